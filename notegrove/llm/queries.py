@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from .embeddings import op10_embedding_near_dedup
+from .html_text import op8_html_extraction
+from .media import op6_media
 from .packing import op7_best_fit_packing
 from .pii import op5_pii
+from .sentencepieces import op1_sentencepiece
+from .sharding import op3_sharding
 from .simhash import op2_simhash
 from .substring import op9_substring_dedup
 from .toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
+    "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
+    "op6_media": op6_media,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_html_extraction": op8_html_extraction,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
