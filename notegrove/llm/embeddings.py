@@ -51,12 +51,12 @@ class Code:
 
 
 def parameters(n: int, dim: int) -> tuple[int, float]:
-    """Codewords of a block, and the cap, for ``n`` vectors: about 40 directions take a vector, and about 60 vectors a direction.
+    """Codewords of a block, and the cap, for ``n`` vectors: about 64 directions take a vector, and about 60 vectors a direction.
 
     The share of unit vectors over a cap is near the normal tail of cap * sqrt(dim). Fewer vectors get fewer and wider caps.
     """
     share = min(0.02, max(60 / max(n, 1), 1e-9))
-    size = max(8, math.ceil(math.sqrt(40 / share)))
+    size = max(8, math.ceil(math.sqrt(64 / share)))
     lo, hi = 0.0, 8.0
     for _ in range(60):
         mid = (lo + hi) / 2
