@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from ..operators import blocks, health, knowledge, markdown, vault
+
+MODULES = [markdown, blocks, vault, knowledge, health]
 
 
 def queries() -> dict:
