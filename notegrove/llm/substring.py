@@ -21,14 +21,13 @@ _hashes = WordHashes()
 class _Chunk:
     """The words of one chunk of documents, in the order of its rows, as one run of hashes."""
 
-    def __init__(self, rows: pa.Table, width: int):
+    def __init__(self, rows: pa.Table, text_col: str):
         self.rows = rows
-        self.texts = rows.column("_text").cast(pa.binary()).to_pylist()
+        self.texts = [t or b"" for t in rows.column(text_col).cast(pa.binary()).to_pylist()]
         parts = [_hashes.of(t.split()) for t in self.texts]
         self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         self.ends = np.cumsum(self.sizes)
         self.h = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        self.width = width
 
     def starts(self, width: int) -> np.ndarray:
         """True where a window of ``width`` words of one document starts."""
@@ -47,9 +46,9 @@ class _Chunk:
         return (np.arange(len(self.h)) - np.repeat(self.ends - self.sizes, self.sizes))[:n]
 
 
-def _order(rows: pa.Table) -> pa.Table:
+def _order(rows: pa.Table, text_col: str) -> pa.Table:
     """Rows by id (nulls last), then text: the order that decides which occurrence is the earlier."""
-    return rows.take(pa.compute.sort_indices(rows, sort_keys=[("_null", "ascending"), ("_key", "ascending"), ("_text", "ascending")]))
+    return rows.take(pa.compute.sort_indices(rows, sort_keys=[("_null", "ascending"), ("_key", "ascending"), (text_col, "ascending")]))
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str, chunk_mb: float) -> tuple[DataFrame, int]:
@@ -57,17 +56,17 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, chunk_mb: float) -> tup
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     n = max(1, round(size / (chunk_mb * 1e6)))
     key = F.when(F.col(id_col).isNull(), F.xxhash64(text_of(text_col))).otherwise(F.col(id_col).cast("long"))
-    out = docs.withColumns({"_text": text_of(text_col), "_null": F.col(id_col).isNull(), "_key": key})
+    out = docs.withColumns({"_null": F.col(id_col).isNull(), "_key": key})
     return out.withColumn("_chunk", F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(n))), n
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, chunk_mb: float = 8.0) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, chunk_mb: float = 6.0) -> DataFrame:
     """``docs`` with n_words (long), n_removed (long) and kept_text (string).
 
     Words are runs without the six ASCII white-space characters, unchanged. A window is ``window`` words in a row of one document. A word
     goes if a window over it also starts earlier: in a row with a smaller id, or earlier in the row. Ids that are null come
     last, ordered by a hash of their texts; rows with equal ids are ordered by text. ``kept_text`` holds the words that stay, joined by one space; null texts have none. Extra
-    columns are kept; those named like an added column (or beginning with the reserved ``_text``, ``_null``, ``_key``, ``_chunk``) are replaced.
+    columns are kept; those named like an added column (or beginning with the reserved ``_null``, ``_key``, ``_chunk``) are replaced.
 
     1. Blocks of half a window at fixed places are the anchors: any repeated window holds a whole one, and the
        other occurrence holds the same words at some place. Each chunk sends each of its rolling hashes once to the
@@ -82,7 +81,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if window < 4:
         raise ValueError("a window has 4 words at least")
     block = window // 2
-    docs = without(docs, ["n_words", "n_removed", "kept_text", "_text", "_null", "_key", "_chunk"])
+    docs = without(docs, ["n_words", "n_removed", "kept_text", "_null", "_key", "_chunk"])
     rows, n_chunks = _chunks(docs, id_col, text_col, chunk_mb)
     bits = max(6, int(np.ceil(np.log2(n_chunks + 1))))
     shift, low = np.uint64(64 - bits), np.uint64(64 - bits - LOW)
@@ -100,7 +99,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table([pa.array(buckets[first].astype(np.int64)), pa.array([number] * len(first), pa.int64()), pa.array([data[a:b].tobytes() for a, b in zip(first, last)], pa.binary())], schema=to_bucket)
 
     def probes(t: pa.Table) -> pa.Table:
-        c = _Chunk(t, window)
+        c = _Chunk(t, text_col)
         at = c.starts(block)
         h = window_hashes(c.h, block, BASES[0])
         key, aligned = h[at] >> low, (c.place(block)[at] % block) == 0
@@ -142,7 +141,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nothing = pa.table([[], [], []], schema=to_bucket)
         if not hits_of.num_rows or not docs_of.num_rows:
             return nothing
-        c = _Chunk(_order(docs_of), window)
+        c = _Chunk(_order(docs_of, text_col), text_col)
         at = c.starts(window)
         if not at.any():
             return nothing
@@ -190,8 +189,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], schema=to_chunk)
 
     def removed(docs_of: pa.Table, later_of: pa.Table) -> pa.Table:
-        rows = _order(docs_of)
-        c = _Chunk(rows, window)
+        rows = _order(docs_of, text_col)
+        c = _Chunk(rows, text_col)
         n_words = len(c.h)
         gone = np.zeros(n_words + 1, np.int32)
         at = np.flatnonzero(c.starts(window))
@@ -227,11 +226,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 keep = ~cover[end - size : end]
                 words = [w for w, k in zip(words, keep.tolist()) if k]
             kept.append(b" ".join(words))
-        rows = rows.drop_columns(["_text", "_null", "_key", "_chunk"])
+        rows = rows.drop_columns(["_null", "_key", "_chunk"])
         return rows.append_column("n_words", pa.array(c.sizes)).append_column("n_removed", pa.array(n_removed.astype(np.int64))).append_column("kept_text", pa.array(kept, pa.binary()).cast(pa.string()))
 
-    light = rows.select("_chunk", "_text", "_null", "_key", *[F.col(f"`{c}`") for c in docs.columns if c != text_col or True])
-    by_chunk = light.repartition("_chunk")
+    by_chunk = rows.repartition("_chunk")
     first = by_chunk.groupBy("_chunk").applyInArrow(probes, sent).groupBy("_bucket").applyInArrow(hits, hit)
     second = by_chunk.groupBy("_chunk").cogroup(first.groupBy("_chunk")).applyInArrow(candidates, sent).groupBy("_bucket").applyInArrow(later, hit)
     out = added(docs.schema, ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()))
