@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import blocks, health, knowledge, markdown, vault
+from ..operators import ask, blocks, graph, health, knowledge, markdown, memory, retrieval, vault
 
-MODULES = [markdown, blocks, vault, knowledge, health]
+MODULES = [markdown, blocks, vault, knowledge, health, retrieval, memory, ask, graph]
 
 
 def queries() -> dict:
