@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import ask, blocks, graph, health, knowledge, markdown, memory, retrieval, vault
+from ..operators import agent, ask, blocks, graph, health, knowledge, markdown, memory, retrieval, vault
+from ..streaming import notes as streams
 
-MODULES = [markdown, blocks, vault, knowledge, health, retrieval, memory, ask, graph]
+MODULES = [markdown, blocks, vault, knowledge, health, retrieval, memory, ask, graph, agent, streams]
 
 
 def queries() -> dict:
