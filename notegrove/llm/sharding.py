@@ -144,9 +144,11 @@ class Store:
             self.commit([f for g in files.values() for f in g], runs)
         return self.version()
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, with ``shard`` (long, the file's place in the manifest) and ``shard_bytes``."""
+    def read(self, version: int | None = None, schema=None) -> DataFrame:
+        """All rows of a version, with ``shard`` (long, the file's place in the manifest) and ``shard_bytes``; of a version without shards no rows, in the columns of ``schema``."""
         shards = self.shards(version)
+        if not shards:
+            return without(self.spark.createDataFrame([], schema or "doc_id long"), ["shard", "shard_bytes"]).selectExpr("*", "cast(null as long) as shard", "cast(null as long) as shard_bytes")
         names = self.spark.createDataFrame([(s.path, k, s.bytes) for k, s in enumerate(shards)], "_path string, shard long, shard_bytes long")
         rows = self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in shards])
         return without(rows, ["shard", "shard_bytes"]).withColumn("_path", F.expr("concat_ws('/', slice(split(_metadata.file_path, '/'), -4, 4))")).join(F.broadcast(names), "_path").drop("_path")
@@ -178,5 +180,6 @@ def sharded(docs: DataFrame, arrivals: int = 8, target: int = 128 << 20, root: s
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
-    store = sharded(table(spark, sf_dir, "documents"))
-    return store.read().select("doc_id", "shard", "shard_bytes", F.lit(store.version()).cast("long").alias("version"), F.octet_length(text_of()).cast("long").alias("n_bytes"), F.sha2(text_of().cast("binary"), 256).alias("text_sha256"))
+    docs = table(spark, sf_dir, "documents")
+    store = sharded(docs)
+    return store.read(schema=docs.schema).select("doc_id", "shard", "shard_bytes", F.lit(store.version()).cast("long").alias("version"), F.octet_length(text_of()).cast("long").alias("n_bytes"), F.sha2(text_of().cast("binary"), 256).alias("text_sha256"))
