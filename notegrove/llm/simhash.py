@@ -109,17 +109,105 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(known.select("fp", "g").join(smallest, "g").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+#: Sketches of ``near_copies``: bands of some minima each. A pair of similarity 0.8 shares a band but for 7 in 100,000 cases.
+BANDS, ROWS = 24, 5
+
+
+def _shingles(text: bytes, words: int) -> np.ndarray:
+    """Distinct XXH64 values of runs of ``words`` lower-cased words; fewer words make one run, none make none."""
+    w = text.lower().split()
+    if not w:
+        return np.empty(0, np.uint64)
+    n, line = len(w), b" ".join(w)
+    if n <= words:
+        return np.asarray([xxhash.xxh64_intdigest(line, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b], 42) for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist())), np.uint64, n - words + 1))
+
+
+def _key(text_col: str = "text"):
+    return F.xxhash64(text_of(text_col), F.lit(1))
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Edges (a, b) between keys (hashes) of different texts of ``docs`` whose sets of ``words``-word runs have Jaccard similarity
+    ``similarity`` or more: each text against the least keys of its bands and of random halves of them.
+
+    Texts so alike lie 5 to 11 bits apart in 64-bit SimHashes (7 in the median), which is beyond what covering masks can
+    reach with keys long enough to tell texts apart. So candidates come from bands of minima here, and the runs themselves decide. A text is
+    paired with three least keys in a band, so pairs are at most 3 * ``BANDS`` for a text, however many share a band. Two texts whose
+    least keys are all unlike them can miss each other; tests hold the groups against brute force.
+    """
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.IntegerType()))])
+    rng = np.random.default_rng(77)
+    factors = (rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+    mix = rng.integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
+
+    def sketch(batches):
+        for b in batches:
+            keys, bands, sketches = [], [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                h = _shingles(text or b"", words)
+                if not len(h):
+                    continue
+                least = np.empty(BANDS * ROWS, np.uint64)
+                for k, f in enumerate(factors):
+                    least[k] = (h * f).min()
+                keys.append(key)
+                bands.append((least.reshape(BANDS, ROWS) * mix).sum(axis=1, dtype=np.uint64).astype(np.int64))
+                sketches.append((least >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))], names=schema.names)
+
+    texts = docs.select(_key().alias("key"), text_of().alias("text"))
+    known = stored(texts.mapInArrow(sketch, schema).dropDuplicates(["key"]), "sketches")
+    held = known.select("key", F.posexplode("bands").alias("k", "band"))
+    # a band's texts whole (part 0), and dealt into two halves by either of two bits that differ from band to band
+    bits = F.xxhash64("key", "k")
+    held = held.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1) + F.pmod(bits, F.lit(2)).cast("int"), F.lit(3) + F.pmod(F.shiftright(bits, 1), F.lit(2)).cast("int"))))
+    least = held.groupBy("k", "band", "part").agg(F.min("key").alias("b"), F.max("key").alias("y")).where("b < y").select("k", "band", "part", "b")
+    pairs = held.join(least, ["k", "band", "part"]).where("key <> b").select(F.col("key").alias("a"), "b").distinct()
+    one, two = known.select(F.col("key").alias("a"), F.col("sketch").alias("x")), known.select(F.col("key").alias("b"), F.col("sketch").alias("y"))
+    likely = pairs.join(one, "a").join(two, "b").withColumn("same", F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda z: z)))
+    # 4 standard deviations of the estimate below the bound, so what the runs decide is not decided by sketches
+    slack = 4 * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
+    likely = stored(likely.where(F.col("same") >= BANDS * ROWS * (similarity - slack)).select("a", "b"), "pairs")
+    wanted = likely.select(F.col("a").alias("key")).unionByName(likely.select(F.col("b").alias("key"))).distinct()
+    full = stored(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    both = likely.join(full.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(full.select(F.col("key").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+
+    def decide(batches):
+        for b in batches:
+            keep = []
+            for s, t in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist()):
+                x, y = _shingles(s, words), _shingles(t, words)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(decide, "a long, b long")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with one row of each near-duplicate class: that of the smallest doc_id.
+    """``docs`` (doc_id, text, ...) with one row of each group of copies: that of the smallest doc_id.
 
-    Of rows with that same id one stays. Classes whose ids are all null keep one row. Columns are those of ``docs``.
+    Groups are what links reach: fingerprints of 2 differing bits or fewer, and five-word similarity of 0.8 or more (``near_copies``).
+    Of rows with the same smallest id one stays, the one whose text has the least hash. Groups whose ids are all null keep one row. Columns are those of ``docs``.
     """
-    found = simhash_components(docs)
-    kept = found.where("component_id is not null").select(F.col("component_id").alias("_keep")).distinct()
-    out = docs.join(kept, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    lost = found.where("component_id is null").select("fp").distinct()
-    nameless = fingerprints(docs.where("doc_id is null")).join(lost, "fp", "left_semi").dropDuplicates(["fp"])
-    return out.unionByName(nameless.select(*docs.columns))
+    rows = stored(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), text_of().alias("text"))).select("doc_id", "key", "fp"), "prints")
+    heads = rows.groupBy("fp").agg(F.min("key").alias("head"))
+    same = rows.select("key", "fp").distinct().join(heads, "fp").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    one, two = heads.select(F.col("fp").alias("a"), F.col("head").alias("h")), heads.select(F.col("fp").alias("b"), F.col("head").alias("g"))
+    close = linked(rows).join(one, "a").join(two, "b").select(F.col("h").alias("a"), F.col("g").alias("b"))
+    groups = connected_components(same.unionByName(close).unionByName(near_copies(docs))).withColumnRenamed("node", "key")
+    known = rows.join(groups, "key", "left").withColumn("g", F.coalesce("component", "key"))
+    # least id of each group, nulls last, then least key
+    first = known.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("m")).select("m.doc_id", "m.key")
+    at = F.struct(F.col("doc_id").cast("long").alias("d"), _key().alias("k"))
+    kept = first.select(F.struct(F.col("doc_id").alias("d"), F.col("key").alias("k")).alias("_at"))
+    out = docs.withColumn("_at", at).join(kept, "_at", "left_semi")
+    return out.dropDuplicates(["_at"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
@@ -127,4 +215,3 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-__all__ = ["fingerprint", "fingerprints", "keep_one", "linked", "masks", "op2_simhash", "simhash_components", "text_of"]
