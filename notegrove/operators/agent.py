@@ -182,6 +182,7 @@ ORACLE = {
     "audit_chain": f"WITH {_CHAIN} SELECT user_id, count(*) AS n, max_by(h, event_id) AS some_hash, min(h) AS least_hash FROM c WHERE i > 0 GROUP BY user_id",
     "audit_verify": "SELECT user_id, user_id % 5 <> 0 AS holds FROM events GROUP BY user_id",
     "line_diff": f"WITH {'vault AS (' + fx.VAULT + ')'}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS a FROM vault), c AS (SELECT path, a LIKE '%copper%' OR a LIKE '%widget%' AS changed FROM l) SELECT path, count(*) FILTER (NOT changed) AS context, count(*) FILTER (changed) AS delete, count(*) FILTER (changed) AS add FROM c GROUP BY path",
+    "plan_merge": f"WITH vault AS ({fx.VAULT}), t AS (SELECT path, replace(substr(content, 7), chr(10) || chr(10) || '```', chr(10) || chr(10) || chr(10) || '```') AS c FROM vault WHERE path IN ('Suppliers/S1.md', 'Suppliers/S2.md', 'Suppliers/S3.md')) SELECT a.path, a.c || chr(10) || (SELECT string_agg(chr(10) || chr(10) || '## From ' || regexp_replace(path, '^Suppliers/|[.]md$', '', 'g') || chr(10) || chr(10) || c, '' ORDER BY path) FROM t WHERE path <> 'Suppliers/S1.md') AS new_content FROM t a WHERE path = 'Suppliers/S1.md'",
     "plan_link": f"WITH vault AS ({fx.VAULT}) SELECT path, rtrim(content, ' ') || chr(10) || chr(10) || 'Related: [[N1]]' AS new_content FROM ({_S}) WHERE contains(lower(content), 'n1') AND NOT contains(content, '[[N1]]') ORDER BY path LIMIT 5",
     "plan_metadata": f"WITH {KNOWN}, h AS (SELECT * FROM titled ORDER BY path LIMIT 100) SELECT path, '# ' || title || chr(10) || chr(10) || content AS new_content FROM h WHERE NOT regexp_matches(content, '(^|\\n)[ \\t]*# ') ORDER BY path LIMIT 5",
 }

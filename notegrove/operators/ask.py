@@ -164,6 +164,21 @@ def ask_prompt(spark, d):
     return e.select("query_id", F.concat(F.lit(rules + "\n\nEvidence:"), "lines", F.lit("\n\nQuestion: "), "query").alias("prompt"))
 
 
+def ask_context(spark, d):
+    """How much evidence of each sort a question gathers."""
+    arms = {"hits": _hits(spark, d), "memories": relevant_memories(spark, d), "claims": context_claims(spark, d), "relations": context_relations(spark, d)}
+    out = questions(spark).select("query_id")
+    for name, arm in arms.items():
+        out = out.join(arm.groupBy("query_id").agg(F.count("*").alias(name)), "query_id", "left")
+    out = out.join(relevant_contradictions(spark, d).select("query_id", F.col("n").alias("contradictions")), "query_id", "left")
+    return out.select("query_id", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in (*arms, "contradictions")])
+
+
+def q_confidence_band(spark, d):
+    s = fx.table(spark, d, "events").select("event_id", (F.col("event_id") % 101 / 100).alias("score"))
+    return s.select("event_id", confidence_band(F.col("score")).alias("band"))
+
+
 #: Answers and the sources they may cite.
 ANSWERS = [
     ("Copper is preferred [Suppliers/S1.md].", ["Suppliers/S1.md"]),
@@ -221,7 +236,7 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 _EV = f"""{_HY}, {_QT}, {mem._MEM}, {_RM}, lines AS (SELECT query_id, 0 AS part, rank AS k, chr(10) || '- ' || trim(replace(left(content, 120), chr(10), ' ')) || ' [' || hits.path || ']' AS line, s FROM hits JOIN vault USING (path)
 UNION ALL SELECT query_id, 1, k, chr(10) || '- Memory: “' || content || '” [' || path || ']', NULL FROM rm), ev AS (SELECT query_id, string_agg(line, '' ORDER BY part, k) AS lines, count(s) AS n, max(s) AS top FROM lines GROUP BY 1)"""
 _CONF = "round(least(0.35 + 0.08 * least(n, 5) + 0.35 * greatest(least(coalesce(top, 0), 1.0), 0.0), 0.95), 6)"
-QUERIES = {"query_tokens": q_query_tokens} | {f.__name__: f for f in (classify_query, classify_documents, query_entities, relevant_memories, context_claims, context_relations, relevant_contradictions, evidence_answer, ask_confidence, ask_answer, ask_prompt, citation_extract, citation_check)}
+QUERIES = {"query_tokens": q_query_tokens, "confidence_band": q_confidence_band} | {f.__name__: f for f in (classify_query, classify_documents, query_entities, relevant_memories, context_claims, context_relations, relevant_contradictions, evidence_answer, ask_confidence, ask_answer, ask_prompt, ask_context, citation_extract, citation_check)}
 ORACLE = {
     "classify_query": f"WITH {_Q} SELECT query_id, {_kind_sql('query')} AS kind FROM asked",
     "classify_documents": f"SELECT conv_id, turn, {_kind_sql('text')} AS kind FROM conversations",
@@ -235,6 +250,8 @@ ORACLE = {
     "ask_confidence": f"WITH {KNOWN}, {_Q}, {_EV} SELECT query_id, {_CONF} AS confidence, CASE WHEN {_CONF} >= 0.7 THEN 'high' WHEN {_CONF} >= 0.35 THEN 'medium' ELSE 'low' END AS band FROM ev",
     "ask_answer": f"WITH {KNOWN}, {_Q}, {_EV}, m AS (SELECT query_id, {_kind_sql('query')} AS kind, lines, n, top FROM asked LEFT JOIN ev USING (query_id)) SELECT query_id, kind, CASE WHEN kind = 'agent_task' THEN 'agent' WHEN lines IS NULL THEN 'no_evidence' ELSE 'evidence' END AS mode, CASE WHEN kind = 'agent_task' THEN 0.3 WHEN lines IS NULL THEN 0.0 ELSE {_CONF} END AS confidence FROM m",
     "ask_prompt": f"WITH {KNOWN}, {_Q}, {_EV} SELECT query_id, 'Answer from the evidence only. Cite the note of every statement in brackets. Say so if the evidence does not answer.' || chr(10) || chr(10) || 'Evidence:' || lines || chr(10) || chr(10) || 'Question: ' || query AS prompt FROM ev JOIN asked USING (query_id)",
+    "ask_context": f"WITH {KNOWN}, {_Q}, {_HY}, {_QT}, {_QE}, {mem._MEM}, {_RM}, {mem._CON}, cc AS (WITH newest AS (SELECT * FROM claims ORDER BY path DESC, \"offset\" DESC, predicate DESC LIMIT 400), f AS (SELECT DISTINCT query_id, path, \"offset\", predicate, object FROM newest JOIN qents ON contains(lower(subject || ' ' || predicate || ' ' || object), key)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path DESC, \"offset\" DESC, predicate DESC) AS k FROM f) SELECT query_id, count(*) AS n FROM r WHERE k <= 4 GROUP BY 1), cr AS (WITH f AS (SELECT DISTINCT query_id, source, relation, target FROM rels JOIN qents ON contains(lower(source), key) OR contains(lower(target), key)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source DESC, target DESC, relation) AS k FROM f) SELECT query_id, count(*) AS n FROM r WHERE k <= 6 GROUP BY 1), co AS (WITH p AS (SELECT a || ' ' || b AS pair, kind AS ckind FROM cons), f AS (SELECT query_id, pair, {_kind_sql('query')} AS kind FROM asked, p WHERE {_kind_sql('query')} = 'contradiction' OR EXISTS (SELECT 1 FROM qtok WHERE qtok.query_id = asked.query_id AND contains(lower(ckind || ' ' || pair), tok))), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pair) AS k FROM f) SELECT query_id, count(*) AS n FROM r WHERE kind = 'contradiction' OR k <= 3 GROUP BY 1), h AS (SELECT query_id, count(*) AS n FROM hits GROUP BY 1), m AS (SELECT query_id, count(*) AS n FROM rm GROUP BY 1) SELECT asked.query_id, coalesce(h.n, 0) AS hits, coalesce(m.n, 0) AS memories, coalesce(cc.n, 0) AS claims, coalesce(cr.n, 0) AS relations, coalesce(co.n, 0) AS contradictions FROM asked LEFT JOIN h USING (query_id) LEFT JOIN m USING (query_id) LEFT JOIN cc USING (query_id) LEFT JOIN cr USING (query_id) LEFT JOIN co USING (query_id)",
+    "confidence_band": "SELECT event_id, CASE WHEN event_id % 101 >= 70 THEN 'high' WHEN event_id % 101 >= 35 THEN 'medium' ELSE 'low' END AS band FROM events",
     "citation_extract": "SELECT * FROM (VALUES (0, 'Suppliers/S1.md'), (1, 'S2'), (1, 'Parts/P3.md'), (2, 'Other/X.md'), (4, 's1.md'), (4, 'Parts/p3')) AS t(id, cited)",
     "citation_check": "SELECT * FROM (VALUES (0, true, true), (1, true, true), (2, false, false), (3, false, true), (4, true, true)) AS t(id, has_citations, all_resolved)",
 }

@@ -196,6 +196,12 @@ def chunks_split(spark, d):
     return chunk_rows(fx.doc_notes(spark, d)).select("path", "ordinal", "start", "end", "tokens")
 
 
+def chunks_hard(spark, d):
+    """Chunks of documents whose lines have been joined to one, so that they are cut at words."""
+    one = fx.doc_notes(spark, d).withColumn("content", F.regexp_replace("content", r"\s+", " "))
+    return chunk_rows(one).select("path", "ordinal", "start", "end", "tokens")
+
+
 def chunk_ordinals(spark, d):
     """Chunks numbered by their place in the note by a window; equal to the numbers that the chunker gave."""
     from pyspark.sql import Window as W
@@ -210,5 +216,5 @@ def note_from_chunks(spark, d):
     return c.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n\n").alias("content"))
 
 
-QUERIES = {"md_blocks": md_blocks, "chunks": md_chunks, "chunks_split": chunks_split, "chunk_ordinals": chunk_ordinals, "note_from_chunks": note_from_chunks}
+QUERIES = {"md_blocks": md_blocks, "chunks": md_chunks, "chunks_split": chunks_split, "chunks_hard": chunks_hard, "chunk_ordinals": chunk_ordinals, "note_from_chunks": note_from_chunks}
 ORACLE: dict[str, str] = {}

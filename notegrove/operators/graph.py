@@ -166,6 +166,7 @@ ORACLE = {
     "graph_stats": f"WITH {_G} SELECT count(*) FILTER (kind = 'note' AND NOT unresolved) AS notes, count(*) FILTER (unresolved) AS unresolved, count(*) FILTER (kind = 'tag') AS tags FROM gn",
     "graph_components": f"WITH {_B} SELECT id, component FROM bn",
     "clusters": f"WITH {_B}, g AS (SELECT component AS id, count(*) AS size, min((-degree, id, label)) AS h FROM bn GROUP BY 1) SELECT id, size, h[2] AS hub, -h[1] AS hub_degree, CASE WHEN size >= 3 THEN h[3] ELSE size || CASE WHEN size = 1 THEN ' note' ELSE ' notes' END END AS label, CASE WHEN size >= 3 THEN 'hub' ELSE 'count' END AS label_source FROM g",
+    "graph_layout": f"WITH {_B}, k AS (SELECT id, row_number() OVER (PARTITION BY component ORDER BY degree DESC, id) - 1 AS k FROM bn), r AS (SELECT id, floor((-1 + sqrt(1 + 4.0::DOUBLE * k / 3)) / 2 + CASE WHEN k > 0 THEN 1 ELSE 0 END) AS ring, (k % 360) * 2.399963::DOUBLE AS a FROM k) SELECT id, round(40 * ring * cos(a), 6) AS x, round(40 * ring * sin(a), 6) AS y FROM r",
     "graph_neighbors": f"WITH {_G} {_NEAR}",
     "node_radius": f"WITH {_G} SELECT gn.id, round(CASE WHEN kind = 'tag' THEN 5.0::DOUBLE ELSE 6.5::DOUBLE * (1 + least(sqrt(degree) * 0.36::DOUBLE, 2.1::DOUBLE)) END, 6) AS radius FROM gn JOIN gd USING (id)",
     "node_emphasis": f"WITH {_G} SELECT id, CASE WHEN id = 'note:Suppliers/S7.md' OR id IN ({_NEAR}) THEN 1.0::DOUBLE ELSE 0.12::DOUBLE END AS emphasis FROM gn",

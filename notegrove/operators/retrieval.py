@@ -186,6 +186,37 @@ def snippet_semantic(spark, d):
     return t.select("path", F.concat(F.when(start > 0, "…").otherwise(""), cut, F.when(start + 180 < F.length("content"), "…").otherwise("")).alias("snippet"))
 
 
+def tokens_stemmed(spark, d):
+    """How many notes hold each stem."""
+    from ..functions.stem import stems
+
+    w = fx.doc_notes(spark, d).select("path", F.array_distinct(stems(words(F.col("content")))).alias("w"))
+    return w.select(F.explode("w").alias("stem")).groupBy("stem").agg(F.count("*").alias("df"))
+
+
+def snippet_fts(spark, d):
+    """Of each hit the first run of 12 words that holds the most of a query's terms, these marked."""
+    q = query_terms(asked(spark)).select("query_id", "terms")
+    hits = search_vault(spark, d).join(fx.vault(spark, d), "path").join(F.broadcast(q), "query_id")
+    shown = F.filter(F.split("content", r"\s+"), lambda t: t != "")
+    bare = lambda t: F.regexp_replace(F.lower(t), r"^\p{Punct}+|\p{Punct}+$", "")
+    hits = hits.withColumn("w", shown).withColumn("hit", F.transform("w", lambda t: F.array_contains("terms", bare(t)).cast("int")))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - 11, F.lit(1)))
+    best = F.array_max(F.transform(starts, lambda i: F.struct(F.aggregate(F.slice("hit", i, F.lit(12)), F.lit(0), lambda a, x: a + x).alias("n"), (-i).alias("i"))))
+    hits = hits.withColumn("at", -best["i"])
+    cut = F.zip_with(F.slice("w", F.col("at"), F.lit(12)), F.slice("hit", F.col("at"), F.lit(12)), lambda t, h: F.when(h == 1, F.concat(F.lit("«"), t, F.lit("»"))).otherwise(t))
+    return hits.select("query_id", "path", F.concat(F.when(F.col("at") > 1, "…").otherwise(""), F.array_join(cut, " "), F.when(F.col("at") + 11 < F.size("w"), "…").otherwise("")).alias("snippet"))
+
+
+def search_metrics(spark, d):
+    """Recall at 5 and 10 and mean reciprocal rank, each query being made of the words of the one note that it should find."""
+    q = _doc_queries(spark, d).where("query <> ''")
+    want = fx.table(spark, d, "documents").select(F.col("doc_id").cast("int").alias("query_id"), F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"))
+    hit = lexical(fx.doc_notes(spark, d), q).join(want, ["query_id", "path"])
+    r = q.join(hit.select("query_id", "rank"), "query_id", "left")
+    return r.agg(F.round(F.avg((F.coalesce("rank", F.lit(99)) <= 5).cast("int")), 6).alias("recall_5"), F.round(F.avg((F.coalesce("rank", F.lit(99)) <= 10).cast("int")), 6).alias("recall_10"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
+
+
 def note_context(spark, d):
     """For each supplier's note the three best other notes for its title."""
     n = fx.vault(spark, d)
@@ -218,7 +249,7 @@ _SEM = f"{_hashed('asked', 'query_id', 'query', 'qa')}, {_hashed('vault', 'path'
 _ENT = "boosts AS (SELECT query_id, path, round(max(least(greatest(strlen(key) / 24, 0.5), 1.0)), 6) AS boost FROM asked JOIN (SELECT DISTINCT lower(name) AS key, path FROM cands) ON contains(lower(query), key) GROUP BY 1, 2)"
 _DOCQ = f"asked AS (SELECT CAST(doc_id AS INT) AS query_id, array_to_string(list_filter({_TOK.format('coalesce(text, chr(32))')}, lambda t: length(t) > 4)[1:2], ' ') AS query FROM documents WHERE doc_id % 50 = 0)"
 _V, _D = f"vault AS ({fx.VAULT})", f"docs AS ({fx.DOC_NOTES})"
-QUERIES = {"query_terms": q_query_terms, "postings": q_postings} | {f.__name__: f for f in (search_lexical, search_vault, search_semantic, entity_boost, search_hybrid, search_fallback, search_degraded, cosine_topk, snippet_semantic, note_context)}
+QUERIES = {"query_terms": q_query_terms, "postings": q_postings} | {f.__name__: f for f in (search_lexical, search_vault, search_semantic, entity_boost, search_hybrid, search_fallback, search_degraded, cosine_topk, snippet_semantic, tokens_stemmed, snippet_fts, search_metrics, note_context)}
 ORACLE = {
     "query_terms": f"WITH {_ASKED}, {_TERMS} SELECT query_id, CASE query_id WHEN 6 THEN 'steel' ELSE array_to_string(list_transform(ts, lambda t: lower(t)), ' ') END AS terms FROM terms WHERE query_id <> 7 UNION ALL SELECT 7, 'brand supplier part'",
     "postings": f"WITH {_D}, tok AS (SELECT path, {_TOK.format('content')} AS w FROM docs), p AS (SELECT path, unnest(w) AS term FROM tok) SELECT term, count(DISTINCT path) AS df, count(*) AS n FROM p GROUP BY 1",
@@ -233,5 +264,6 @@ s AS (SELECT query_id, path, round(lexical, 6) AS lexical, round(semantic, 6) AS
     "search_degraded": f"WITH {_V}, {_ASKED}, {_TERMS}, {_bm25('vault')} SELECT *, CAST(NULL AS DOUBLE) AS semantic FROM lex WHERE rank <= 20",
     "cosine_topk": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM e q, e c WHERE q.vec_id < 5 AND c.vec_id >= 5), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10",
     "snippet_semantic": f"WITH {_D}, a AS (SELECT path, content, greatest(greatest(strpos(lower(content), 'the') - 1, 0) - 40, 0) AS s FROM docs) SELECT path, CASE WHEN s > 0 THEN '…' ELSE '' END || trim(substr(content, s + 1, 180), ' ') || CASE WHEN s + 180 < length(content) THEN '…' ELSE '' END AS snippet FROM a",
+    "search_metrics": f"WITH {_D}, {_DOCQ}, {_TERMS}, {_bm25('docs')}, w AS (SELECT CAST(doc_id AS INT) AS query_id, source || '/' || doc_id || '.md' AS path FROM documents), r AS (SELECT a.query_id, rank FROM asked a LEFT JOIN (SELECT query_id, rank FROM lex JOIN w USING (query_id, path) WHERE rank <= 20) USING (query_id) WHERE query <> '') SELECT round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS recall_10, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM r",
     "note_context": f"WITH {_V}, asked AS (SELECT CAST(mtime AS INT) AS query_id, 'S' || mtime AS query, path AS own FROM vault WHERE path LIKE 'Suppliers/%'), {_TERMS}, {_bm25('vault')}, o AS (SELECT query_id, lex.path, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM lex JOIN asked USING (query_id) WHERE rank <= 6 AND lex.path <> own) SELECT * FROM o WHERE k <= 3",
 }

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from ..operators import agent, ask, blocks, graph, health, knowledge, markdown, memory, retrieval, vault
+from ..sources import queries as sources
 from ..streaming import notes as streams
 
-MODULES = [markdown, blocks, vault, knowledge, health, retrieval, memory, ask, graph, agent, streams]
+MODULES = [markdown, blocks, vault, knowledge, health, retrieval, memory, ask, graph, agent, sources, streams]
 
 
 def queries() -> dict:

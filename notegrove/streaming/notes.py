@@ -48,6 +48,25 @@ def states(events: DataFrame) -> DataFrame:
     return e.groupBy("user_id").applyInPandasWithState(fold, "user_id long, status string, n long", "status string, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def jobs(events: DataFrame) -> DataFrame:
+    """job, status, attempts, n: the state of each job after each batch; a job that fails for the third time is parked as failed, orphans become pending."""
+    actions = F.array(*[F.lit(a) for a in ("start", "fail", "recover", "complete", "start", "fail")])
+    e = events.select(F.col("user_id").alias("job"), "ts", "event_id", F.element_at(actions, (F.col("event_id") % 6 + 1).cast("int")).alias("action"))
+
+    def fold(key, frames, state: GroupState):
+        status, attempts, n = state.get if state.exists else ("pending", 0, 0)
+        for action in pd.concat(list(frames)).sort_values(["ts", "event_id"])["action"]:
+            n += 1
+            if action == "start" and status == "pending":
+                status, attempts = "running", attempts + 1
+            elif status == "running" and action != "start":
+                status = {"complete": "completed", "recover": "pending", "fail": "failed" if attempts >= 3 else "pending"}[action]
+        state.update((status, attempts, n))
+        yield pd.DataFrame({"job": [key[0]], "status": [status], "attempts": [attempts], "n": [n]})
+
+    return e.groupBy("job").applyInPandasWithState(fold, "job long, status string, attempts long, n long", "status string, attempts long, n long", "update", GroupStateTimeout.NoTimeout)
+
+
 def latest(events: DataFrame) -> DataFrame:
     """The last event of each user and type: a snapshot by last write."""
     return events.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("event_id"))
@@ -76,13 +95,19 @@ def memory_transitions_stream(spark, d):
     return out.groupBy("user_id").agg(F.max_by("status", "n").alias("status"), F.max("n").alias("n"))
 
 
+def job_replay_stream(spark, d):
+    out = finished(jobs(event_stream(spark, d)), "update")
+    return out.groupBy("job").agg(F.max_by("status", "n").alias("status"), F.max_by("attempts", "n").alias("attempts"))
+
+
 def latest_stream(spark, d):
     return finished(latest(event_stream(spark, d)), "complete")
 
 
-QUERIES = {f.__name__: f for f in (debounce_stream, memory_transitions_stream, latest_stream)}
+QUERIES = {f.__name__: f for f in (debounce_stream, memory_transitions_stream, job_replay_stream, latest_stream)}
 ORACLE = {
     "debounce_stream": vault.ORACLE["debounce"],
     "memory_transitions_stream": memory.ORACLE["memory_transitions"],
+    "job_replay_stream": memory.ORACLE["job_replay"],
     "latest_stream": "SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2",
 }

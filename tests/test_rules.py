@@ -172,3 +172,11 @@ def test_words_of_lists_are_distinct():
 def test_question_kinds(spark):
     got = dict(spark.createDataFrame([("organize my notes",), ("do they conflict",), ("how has my view changed",), ("Rust vs Go",), ("what did I decide",), ("what links here",), ("explain it",), ("what is x",), ("rust",)], "q string").select("q", ask.kind(F.col("q"))).collect())
     assert list(got.values()) == ["agent_task", "contradiction", "temporal", "comparison", "decision", "relationship", "synthesis", "semantic_search", "simple_search"]
+
+
+def test_stems():
+    from notegrove.functions.stem import stem
+
+    pairs = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor hopping hop falling fall filing file happy happi sky sky relational relat conditional condit triplicate triplic hopeful hope revival reviv adoption adopt probate probat rate rate controll control café cafe databases databas"
+    words = pairs.split()
+    assert [stem(w) for w in words[::2]] == words[1::2]
