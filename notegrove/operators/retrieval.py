@@ -190,7 +190,7 @@ def tokens_stemmed(spark, d):
     """How many notes hold each stem."""
     from ..functions.stem import stems
 
-    w = fx.doc_notes(spark, d).select("path", F.array_distinct(stems(words(F.col("content")))).alias("w"))
+    w = fx.doc_notes(spark, d).select("path", F.array_distinct(stems(F.array_distinct(words(F.col("content"))))).alias("w"))
     return w.select(F.explode("w").alias("stem")).groupBy("stem").agg(F.count("*").alias("df"))
 
 
