@@ -83,7 +83,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     block = window // 2
     docs = without(docs, ["n_words", "n_removed", "kept_text", "_null", "_key", "_chunk"])
     rows, n_chunks = _chunks(docs, id_col, text_col, chunk_mb)
-    bits = max(6, int(np.ceil(np.log2(n_chunks + 1))))
+    # buckets grow with the chunks, a quarter as many, so that what a chunk sends to a bucket stays several hashes; from 6 TB on
+    # there are 2**18 of them, each of about 250 MB at 100 TB
+    bits = min(18, max(8, int(np.ceil(np.log2(n_chunks + 1))) - 2))
     shift, low = np.uint64(64 - bits), np.uint64(64 - bits - LOW)
     ends = window - block + 1
     sent = T.StructType([T.StructField("_bucket", T.LongType()), T.StructField("_chunk", T.LongType()), T.StructField("blob", T.BinaryType())])
