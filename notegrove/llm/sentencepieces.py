@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import added, table, text_of, without
+from ._common import added, table, without
 
 MARK = "▁"
 
@@ -25,7 +27,7 @@ class Vocabulary:
     whatever word goes on from it, and words in a trie share them.
     """
 
-    def __init__(self, path: str | None = None, most: int = 300_000):
+    def __init__(self, path: str | None = None, most: int = 700_000):
         import sentencepiece
 
         if path is None:
@@ -39,6 +41,7 @@ class Vocabulary:
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
         if sp.decode(sp.encode(probe)) != probe or any(MARK in names[i].lstrip(MARK) for i in plain):
             raise ValueError("the model normalises texts, lacks byte fallback or has marks inside of pieces")
+        self.names = names
         self.score = {names[i]: sp.get_score(i) for i in plain}
         self.ids = {names[i]: i for i in plain}
         self.byte = [0] * 256
@@ -51,12 +54,17 @@ class Vocabulary:
                 self.out[i] = " ⁇ ".encode()
             elif not sp.is_control(i):
                 self.out[i] = names[i].replace(MARK, " ").encode()
-        self.longest = max(map(len, self.score))
         joined = sorted({c for p in self.score if len(p) > 1 for c in p} - {MARK})
         members = "".join(map(re.escape, joined))
         # characters that no longer piece has are words of their own: nothing merges with them
         self.words = re.compile(f"{MARK}*[{members}]+|{MARK}+|[^{MARK}]").findall
-        self.most, self.known, self.fits = most, {}, {}
+        self.most, self.known, self.old, self.fits = most, {}, {}, {}
+        self.endings: dict = {}  # pieces from their last character to their first; 0 holds a piece's number
+        for piece, i in self.ids.items():
+            node = self.endings
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[0] = i
 
     def _alone(self, left: str, right: str) -> bool:
         """Whether merging all characters of ``left + right`` ends in these two pieces (``left`` may be empty)."""
@@ -75,57 +83,80 @@ class Vocabulary:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return len(parts) == (2 if left else 1)
 
-    def follows(self, left: str, right: str) -> bool:
-        key = (left, right)
+    def follows(self, left: int, right: int) -> bool:
+        """Whether a text whose pieces end in ``left`` (-1: nothing) keeps them when ``right`` comes after."""
+        key = (left + 1) << 22 | right
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) >= self.most:
                 self.fits.clear()
-            found = self.fits[key] = self._alone(left, right)
+            found = self.fits[key] = self._alone("" if left < 0 else self._text(left), self._text(right))
         return found
 
+    def _text(self, piece: int) -> str:
+        return self.names[piece] if piece < len(self.names) else chr(piece - len(self.names))
+
     def learn(self, words: set[str]) -> None:
         """Add the ids of ``words`` to ``known``: sorted, they are the trie in depth-first order, and forward states of the prefix
-        that a word has in common with the one before it stay."""
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
-        last: list[str] = [""]  # last[i]: the last piece of the current word's first i characters
+        that a word has in common with the one before it stay.
+
+        A state is the number of a prefix' last piece; characters that are no piece are numbered behind the pieces.
+        """
+        last: list[int] = [-1]
+        size: list[int] = [0]
         before = ""
-        score, longest, follows, ids = self.score, self.longest, self.follows, self.ids
+        endings, fits, follows, n = self.endings, self.fits, self.follows, len(self.names)
         for word in sorted(words):
             same, top = 0, min(len(word), len(before))
             while same < top and word[same] == before[same]:
                 same += 1
-            del last[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    if (piece in score or end - start == 1) and follows(last[start], piece):
+            del last[same + 1 :], size[same + 1 :]
+            for end in range(same, len(word)):
+                # all pieces that end here, read backwards from their last characters
+                node, start, found = endings, end, []
+                while start >= 0:
+                    node = node.get(word[start])
+                    if node is None:
+                        break
+                    piece = node.get(0)
+                    if piece is not None:
+                        found.append((start, piece))
+                    start -= 1
+                if not found or found[0][0] != end:
+                    found.insert(0, (end, n + ord(word[end])))
+                for start, piece in reversed(found):
+                    left = last[start]
+                    fit = fits.get((left + 1) << 22 | piece)
+                    if fit or (fit is None and follows(left, piece)):
                         last.append(piece)
+                        size.append(end + 1 - start)
                         break
             before, at, back = word, len(word), []
             while at:
                 piece = last[at]
-                i = ids.get(piece)
-                if i is None:
-                    back.extend(self.byte[b] for b in reversed(piece.encode()))
+                if piece < n:
+                    back.append(piece)
                 else:
-                    back.append(i)
-                at -= len(piece)
-            self.known[word] = tuple(reversed(back))
+                    back.extend(self.byte[b] for b in reversed(chr(piece - n).encode()))
+                at -= size[at]
+            self.known[word] = array("i", reversed(back)).tobytes()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and the number of ids of each text."""
+        """All ids one after another, and the number of ids of each text.
+
+        Words are remembered in two halves: when the newer one is full the older one is forgotten, and words still in use move over.
+        """
         split = [self.words(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        distinct = set(chain.from_iterable(split))
-        if not distinct <= self.known.keys():
-            new = distinct - self.known.keys()
-            if len(self.known) + len(new) > self.most:
-                new = distinct
-            self.learn(new)
-        known = self.known
-        ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, w)), np.int32) for w in split]
-        return (np.concatenate(ids) if ids else np.empty(0, np.int32)), np.fromiter(map(len, ids), np.int64, len(ids))
+        new = set(chain.from_iterable(split))
+        if len(self.known) + len(new) > self.most:
+            self.old, self.known = self.known, {}
+        new -= self.known.keys()
+        for w in new & self.old.keys():
+            self.known[w] = self.old[w]
+        self.learn(new - self.known.keys())
+        known = self.known.__getitem__
+        parts = [b"".join(map(known, w)) for w in split]
+        return np.frombuffer(b"".join(parts), np.int32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; one space that the first piece begins with is the mark put before every text."""
@@ -187,7 +218,31 @@ def decoded(df: DataFrame, ids_col: str = "ids", model: str | None = None) -> Da
     return df.mapInArrow(run, added(df.schema, ("decoded", T.StringType())))
 
 
+def round_trip(docs: DataFrame, model: str | None = None, sub_mb: float = 2.0) -> DataFrame:
+    """(doc_id, n_ids, ids, decoded_sha256, same) of each row of ``docs`` (doc_id, text): its pieces, and the text that they give again.
+
+    Encoding and decoding share a pass, so texts cross to Python once and don't come back.
+    """
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType()), T.StructField("same", T.BooleanType())])
+
+    def run(batches):
+        v = _vocabulary(model)
+        for b in batches:
+            at, end = 0, 0
+            sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0), dtype=np.int64))
+            while at < b.num_rows:
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + sub_mb * 1e6, side="right")))
+                texts = [t or "" for t in b.column(1).slice(at, end - at).to_pylist()]
+                ids, lengths = v.encode(texts)
+                offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+                again = [v.decode(ids[x:y].tolist()) for x, y in zip(offsets, offsets[1:])]
+                digests = [hashlib.sha256(t.encode()).hexdigest() for t in again]
+                same = [x == y for x, y in zip(texts, again)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(digests), pa.array(same)], names=schema.names)
+                at = end
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
-    both = decoded(encoded(docs))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("same"))
+    return round_trip(table(spark, sf_dir, "documents"))
