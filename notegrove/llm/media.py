@@ -159,5 +159,6 @@ def resolved(found: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
 
 def op6_media(spark, sf_dir: str) -> DataFrame:
     store = stored(illustrated(table(spark, sf_dir, "documents")), "media")
-    found = resolved(sequences(store, ["doc_id", "n_bytes"]), described(store), ["doc_id", "n_bytes"]).where("kind = 'media'")
+    known = stored(described(store), "described")  # a table of its own, so that a digest that many documents have can be split in the join
+    found = resolved(sequences(store, ["doc_id", "n_bytes"]), known, ["doc_id", "n_bytes"]).where("kind = 'media'")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

@@ -111,11 +111,11 @@ class Trees:
         return z
 
 
-def boosted(counts: list[dict], rounds: int = 24, rate: float = 0.4, precision: float = 0.98, support: int = 50) -> Trees:
+def boosted(counts: list[dict], rounds: int = 24, rate: float = 0.4, precision: float = 0.95, support: int = 50) -> Trees:
     """Trees fitted to ``counts``: rows of feature values with ``pos`` and ``neg`` numbers of candidates.
 
-    The threshold of a kind is the least score from which on, over all rows of that kind, at least ``precision`` of the candidates are positive,
-    with at least ``support`` of them; kinds without one select nothing.
+    The threshold of a kind is the least score whose calibrated probability (the share of positives, made monotone by pooling) is ``precision`` or more,
+    if at least ``support`` candidates reach it; kinds without one select nothing.
     """
     names = ["kind", *FEATURES]
     pos, neg = sum(r["pos"] for r in counts), sum(r["neg"] for r in counts)
@@ -146,14 +146,18 @@ def boosted(counts: list[dict], rounds: int = 24, rate: float = 0.4, precision:
         z = [x + one.value(r) for x, r in zip(z, counts)]
     thresholds = []
     for k in range(len(KINDS)):
-        mine = sorted(((x, r["pos"], r["neg"]) for x, r in zip(z, counts) if r["kind"] == k), reverse=True)
-        a = b = 0
-        found = math.inf
-        for j, (x, p, n) in enumerate(mine):
-            a, b = a + p, b + n
-            if (j + 1 == len(mine) or mine[j + 1][0] < x - 1e-9) and a + b >= support and a >= precision * (a + b):
-                found = x - 1e-9
-        thresholds.append(found)
+        # scores in falling order, neighbours pooled until shares of positives fall with the score: calibrated probabilities
+        pools: list[list[float]] = []  # least score, positives, all
+        for x, p, n in sorted(((x, r["pos"], r["neg"]) for x, r in zip(z, counts) if r["kind"] == k), reverse=True):
+            if pools and pools[-1][0] - x < 1e-9:
+                pools[-1] = [x, pools[-1][1] + p, pools[-1][2] + p + n]
+            else:
+                pools.append([x, p, p + n])
+            while len(pools) > 1 and pools[-1][1] * pools[-2][2] >= pools[-2][1] * pools[-1][2]:
+                low = pools.pop()
+                pools[-1] = [low[0], pools[-1][1] + low[1], pools[-1][2] + low[2]]
+        good = [(x, n) for x, p, n in pools if p >= precision * n]
+        thresholds.append(good[-1][0] - 1e-9 if sum(n for _, n in good) >= support else math.inf)
     return Trees(trees, bias, thresholds)
 
 
