@@ -63,7 +63,7 @@ def relevant(queries: DataFrame, texts: DataFrame, key: str, text: str, most: in
     q = queries.select("query_id", query_tokens(F.col("query")).alias("tokens"))
     low = F.lower(F.col(text))
     j = texts.crossJoin(F.broadcast(q)).withColumn("matches", F.size(F.filter("tokens", lambda t: low.contains(t))).cast("long")).where("matches > 0")
-    return j.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("matches"), key))).where(F.col("k") <= most).select("query_id", key, "matches", "k")
+    return j.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("matches"), key)).cast("long")).where(F.col("k") <= most).select("query_id", key, "matches", "k")
 
 
 def _notes(spark, d):
@@ -97,7 +97,7 @@ def query_entities(spark, d):
     names = kn.entities(_notes(spark, d)).where(F.octet_length("key") >= 3).select("key")
     q = questions(spark).select("query_id", F.lower("query").alias("q"))
     found = names.join(F.broadcast(q), F.col("q").contains(F.col("key")))
-    return found.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("key"))).where("k <= 25").select("query_id", "key")
+    return found.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("key")).cast("long")).where("k <= 25").select("query_id", "key")
 
 
 def relevant_memories(spark, d):
@@ -110,14 +110,14 @@ def context_claims(spark, d):
     newest = c.orderBy(F.desc("ord")).limit(400).withColumn("hay", F.lower(F.concat_ws(" ", "subject", "predicate", "object")))
     names = query_entities(spark, d)
     j = newest.join(names, F.col("hay").contains(F.col("key"))).select("query_id", "ord", "path", "object").distinct()
-    return j.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("ord")))).where("k <= 4").select("query_id", "path", "object", "k")
+    return j.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("ord"))).cast("long")).where("k <= 4").select("query_id", "path", "object", "k")
 
 
 def context_relations(spark, d):
     names = query_entities(spark, d)
     r = kn.relationships(_notes(spark, d))
     j = r.join(names, F.lower("source").contains(F.col("key")) | F.lower("target").contains(F.col("key"))).select("query_id", "source", "relation", "target").distinct()
-    return j.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("source"), F.desc("target"), "relation"))).where("k <= 6").select("query_id", "source", "relation", "target", "k")
+    return j.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("source"), F.desc("target"), "relation")).cast("long")).where("k <= 6").select("query_id", "source", "relation", "target", "k")
 
 
 def relevant_contradictions(spark, d):
@@ -126,7 +126,7 @@ def relevant_contradictions(spark, d):
     q = questions(spark).select("query_id", kind(F.col("query")).alias("kind"), query_tokens(F.col("query")).alias("tokens"))
     hay = F.lower(F.concat_ws(" ", "ckind", "pair"))
     j = c.crossJoin(F.broadcast(q)).where((F.col("kind") == "contradiction") | F.exists("tokens", lambda t: hay.contains(t)))
-    j = j.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("pair"))).where("kind = 'contradiction' or k <= 3")
+    j = j.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("pair")).cast("long")).where("kind = 'contradiction' or k <= 3")
     return j.groupBy("query_id").agg(F.count("*").alias("n"), F.min("pair").alias("first_pair"))
 
 

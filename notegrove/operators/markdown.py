@@ -193,5 +193,5 @@ n AS (SELECT *, CASE WHEN kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY pat
 SELECT path, run, min(kind) AS kind, count(*) AS n_lines FROM r GROUP BY path, run""",
     "fence_state": rf"""WITH {VAULT}, {_LINES}, f AS (SELECT path, ord, CASE WHEN regexp_matches(l[ord], '^(```|~~~)') THEN 1 ELSE 0 END AS fence FROM lines), s AS (SELECT *, sum(fence) OVER (PARTITION BY path ORDER BY ord) % 2 AS ins FROM f)
 SELECT path, count(*) FILTER (ins = 1 AND fence = 0) AS inside, count(*) FILTER (fence = 1) AS fences, count(*) AS n FROM s GROUP BY path""",
-    "heading_path": """SELECT s_suppkey AS k, o AS ord, CASE o WHEN 1 THEN 'A' || s_suppkey WHEN 3 THEN 'A' || s_suppkey || ' > B' WHEN 5 THEN 'A' || s_suppkey || ' > B > C' WHEN 7 THEN 'A' || s_suppkey || ' > D' ELSE 'E' END AS heading_path FROM supplier, (SELECT unnest([1, 3, 5, 7, 9]) AS o)""",
+    "heading_path": """SELECT s_suppkey AS k, CAST(o AS BIGINT) AS ord, CASE o WHEN 1 THEN 'A' || s_suppkey WHEN 3 THEN 'A' || s_suppkey || ' > B' WHEN 5 THEN 'A' || s_suppkey || ' > B > C' WHEN 7 THEN 'A' || s_suppkey || ' > D' ELSE 'E' END AS heading_path FROM supplier, (SELECT unnest([1, 3, 5, 7, 9]) AS o)""",
 }

@@ -64,7 +64,7 @@ def lexical(notes: DataFrame, queries: DataFrame, limit: int = LIMIT) -> DataFra
 
 def ranked(found: DataFrame, limit: int) -> DataFrame:
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "path")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)
 
 
 def hashed(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -175,7 +175,7 @@ def cosine_topk(spark, d):
     dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     length = norm(F.col("v")) * norm(F.col("q"))
     scored = c.select("query_id", "vec_id", F.round(F.when(length > 0, dot / length).otherwise(0.0), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("rank <= 10")
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")).where("rank <= 10")
 
 
 def snippet_semantic(spark, d):
@@ -222,7 +222,7 @@ def note_context(spark, d):
     n = fx.vault(spark, d)
     q = md.parsed(n.where("path like 'Suppliers/%'")).select(F.col("mtime").cast("int").alias("query_id"), F.col("title").alias("query"), F.col("path").alias("own"))
     hits = lexical(n, q.select("query_id", "query"), 6).join(q.select("query_id", "own"), "query_id").where("path <> own")
-    return hits.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where("k <= 3").select("query_id", "path", "score", "k")
+    return hits.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("rank")).cast("long")).where("k <= 3").select("query_id", "path", "score", "k")
 
 
 def _list(x) -> str:

@@ -144,7 +144,7 @@ ORACLE = {
     "duplicates": f"WITH {_D}, g AS (SELECT path AS note, min(path) OVER (PARTITION BY content) AS first_note, count(*) OVER (PARTITION BY content) AS n FROM docs) SELECT * FROM g WHERE n > 1",
     "duplicate_groups": f"WITH {_D} SELECT sha256(content) AS hash, count(*) AS n, min(path) AS first_note, max(path) AS last_note FROM docs GROUP BY 1 HAVING count(*) > 1",
     "upsert_notes": f"WITH {_V} SELECT path, sha256(CASE WHEN mtime % 3 = 0 THEN content || ' edited' ELSE content END) AS hash FROM vault WHERE mtime % 5 <> 0 OR mtime % 3 = 0",
-    "delete_notes": f"WITH {_V} SELECT path, CASE WHEN path LIKE 'Parts/%' THEN 3 - 1 * CAST(regexp_extract(content, '\\[\\[(Brand [^\\]#]*)', 1) = '' AS INT) WHEN path LIKE 'Suppliers/%' THEN 1 ELSE 0 END AS n_links FROM vault WHERE NOT (path LIKE 'Parts/%' AND mtime % 10 = 0)",
+    "delete_notes": f"WITH {_V} SELECT path, CAST(CASE WHEN path LIKE 'Parts/%' THEN 3 - 1 * CAST(regexp_extract(content, '\\[\\[(Brand [^\\]#]*)', 1) = '' AS INT) WHEN path LIKE 'Suppliers/%' THEN 1 ELSE 0 END AS BIGINT) AS n_links FROM vault WHERE NOT (path LIKE 'Parts/%' AND mtime % 10 = 0)",
     "rename_notes": f"WITH {_R} SELECT sha256(path) AS note_id, coalesce(new_path, path) AS path FROM state LEFT JOIN renames ON old_path = path",
     "count_active": f"WITH {_V} SELECT count(*) AS n, count(*) FILTER (path LIKE 'Parts/%') AS parts FROM vault",
     "state_get": f"WITH {_V} SELECT path, CASE WHEN path LIKE 'Parts/%' THEN 'Part ' || mtime WHEN path LIKE 'Inbox/%' THEN 'C' || mtime WHEN path LIKE 'Nations/%' THEN 'N' || mtime ELSE 'S' || mtime END AS title, mtime FROM vault ORDER BY path",

@@ -85,8 +85,8 @@ QUERIES = {f.__name__: f for f in (vault_scan, ndjson_source, ndjson_sink, rebui
 ORACLE = {
     "vault_scan": f"WITH vault AS ({fx.VAULT}) SELECT path, sha256(content) AS hash, strlen(content) AS size FROM vault WHERE path LIKE 'Nations/%'",
     "ndjson_source": "SELECT event_id, user_id, event_type, props FROM events",
-    "ndjson_sink": "SELECT count(*) AS n, count(DISTINCT user_id) AS users, 0 AS bad FROM events",
-    "rebuild": f"WITH vault AS ({fx.VAULT}) SELECT count(*) AS notes_before, 0 AS notes_after FROM vault",
-    "quarantine": "SELECT 0 AS n, true AS put_aside",
-    "embed_pending": f"WITH vault AS ({fx.VAULT}), {rt._hashed('vault', 'path', 'content', 'nb')} SELECT path, 384 AS dimension, count(*) AS set, 1.0::DOUBLE AS length FROM nb GROUP BY 1",
+    "ndjson_sink": "SELECT count(*) AS n, count(DISTINCT user_id) AS users, CAST(0 AS BIGINT) AS bad FROM events",
+    "rebuild": f"WITH vault AS ({fx.VAULT}) SELECT count(*) AS notes_before, CAST(0 AS BIGINT) AS notes_after FROM vault",
+    "quarantine": "SELECT CAST(0 AS BIGINT) AS n, true AS put_aside",
+    "embed_pending": f"WITH vault AS ({fx.VAULT}), {rt._hashed('vault', 'path', 'content', 'nb')} SELECT path, CAST(384 AS BIGINT) AS dimension, count(*) AS set, 1.0::DOUBLE AS length FROM nb GROUP BY 1",
 }
