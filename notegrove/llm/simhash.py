@@ -145,8 +145,14 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     factors = (rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
     mix = rng.integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 
-    def sketch(batches):
+    def slices(batches, rows=500):
+        """A few rows at a time, so that few texts are Python objects at once."""
         for b in batches:
+            for k in range(0, b.num_rows, rows):
+                yield b.slice(k, rows)
+
+    def sketch(batches):
+        for b in slices(batches):
             keys, bands, sketches = [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 h = _shingles(text or b"", words)
@@ -178,7 +184,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     both = likely.join(full.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(full.select(F.col("key").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
 
     def decide(batches):
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for s, t in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist()):
                 x, y = _shingles(s, words), _shingles(t, words)
