@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by spherical-cap filters: random product codes, list decoding, a join on filters, exact verification."""
+"""Near-duplicate vectors by spherical filters: random product codes, each vector's nearest directions, a join on directions, exact verification."""
 
 from __future__ import annotations
 
@@ -17,51 +17,75 @@ from .components import connected_components
 TILE = 1536
 
 
+#: Directions that a vector goes to, vectors a direction holds on average, and the least share of pairs at the threshold that ``parameters`` accepts.
+DIRECTIONS, MEMBERS, RECALL = 32, 50, 0.995
+#: So many vectors are all compared, without directions.
+ALL_PAIRS = 2048
+
+
 class Code:
     """Filter directions of a random product code for vectors of ``dim`` components.
 
     A fixed random rotation deals the dimensions into two blocks, each with ``size`` random unit codewords; a direction is a pair of codewords, one of each block, so
-    size**2 directions need 2 * size products a vector. ``cap`` is the least product at which a direction takes a vector.
+    size**2 directions need 2 * size products a vector. A vector goes to its ``most`` nearest directions: a number, not a least product, so that
+    no vector is left with fewer because its blocks are of unequal length or because the table is large.
     """
 
-    def __init__(self, dim: int, size: int, cap: float, seed: int = 20):
+    def __init__(self, dim: int, size: int, most: int, seed: int = 20):
         rng = np.random.default_rng([seed, dim, size])
         self.turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0] if dim > 1 else np.ones((1, 1))
         half = [np.arange(dim)[: (dim + 1) // 2], np.arange(dim)[(dim + 1) // 2 :]]
         self.blocks = [b if len(b) else half[0] for b in half]
         words = [rng.normal(size=(size, len(b))) for b in self.blocks]
         self.words = [w / np.linalg.norm(w, axis=1, keepdims=True) / math.sqrt(2) for w in words]
-        self.size, self.cap = size, cap
+        self.size, self.most = size, min(most, size * size)
+        # of places in the falling orders of both blocks, those that can be among the nearest
+        side = np.arange(min(self.most, size))
+        first, second = np.repeat(side, len(side)), np.tile(side, len(side))
+        can = (first + 1) * (second + 1) <= self.most
+        self.first, self.second = first[can], second[can]
+
+    def _falling(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and products of each row's nearest codewords."""
+        k = min(self.most, self.size)
+        at = np.argpartition(-y, k - 1, axis=1)[:, :k] if 4 * k < self.size else np.tile(np.arange(self.size), (len(y), 1))
+        near = np.take_along_axis(y, at, axis=1)
+        order = np.argsort(-near, axis=1, kind="stable")[:, :k]
+        return np.take_along_axis(at, order, axis=1), np.take_along_axis(near, order, axis=1)
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each unit vector the numbers of all directions that take it, and of its nearest direction (none takes nothing)."""
+        """For each unit vector the numbers of its nearest directions, in order of number."""
         y = x @ self.turn
-        a, b = (y[:, block] @ w.T for block, w in zip(self.blocks, self.words))
-        order = np.argsort(-b, axis=1, kind="stable")
-        falling = -np.take_along_axis(b, order, axis=1)
-        out = []
-        for i in range(len(x)):
-            n = np.searchsorted(falling[i], a[i] - self.cap, side="right")
-            first = np.repeat(np.arange(self.size), n)
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found = first * self.size + order[i][place]
-            nearest = int(a[i].argmax()) * self.size + int(order[i][0])
-            out.append(np.union1d(found, [nearest]).astype(np.int64))
-        return out
-
-
-def parameters(n: int, dim: int) -> tuple[int, float]:
-    """Codewords of a block, and the cap, for ``n`` vectors: about 64 directions take a vector, and about 60 vectors a direction.
-
-    The share of unit vectors over a cap is near the normal tail of cap * sqrt(dim). Fewer vectors get fewer and wider caps.
+        (i, a), (j, b) = (self._falling(y[:, block] @ w.T) for block, w in zip(self.blocks, self.words))
+        order = np.argsort(-(a[:, self.first] + b[:, self.second]), axis=1, kind="stable")[:, : self.most]
+        found = np.take_along_axis(i[:, self.first] * self.size + j[:, self.second], order, axis=1)
+        return list(np.sort(found, axis=1).astype(np.int64))
+
+
+def recall(dim: int, size: int, most: int, threshold: float, pairs: int = 1000) -> float:
+    """The share of random pairs at cosine ``threshold`` that have a direction in common."""
+    rng = np.random.default_rng([21, dim])
+    x, away = rng.normal(size=(2, pairs, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    y = x if dim < 2 else threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    code = Code(dim, size, most)
+    return sum(len(np.intersect1d(a, b, assume_unique=True)) > 0 for a, b in zip(code.decode(x), code.decode(y))) / pairs
+
+
+def parameters(n: int, dim: int, threshold: float = 0.95) -> tuple[int, int]:
+    """Codewords of a block, and directions of a vector, for ``n`` vectors: about ``MEMBERS`` vectors a direction, if ``RECALL`` holds for pairs at ``threshold``.
+
+    Recall is measured on random pairs at just ``threshold``. Where it falls short (in few dimensions, or at low thresholds), blocks have fewer codewords; one is all pairs.
     """
-    share = min(0.02, max(60 / max(n, 1), 1e-9))
-    size = max(8, math.ceil(math.sqrt(64 / share)))
-    lo, hi = 0.0, 8.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if 0.5 * math.erfc(mid / math.sqrt(2)) > share else (lo, mid)
-    return size, lo / math.sqrt(max(dim, 1))
+    if n <= ALL_PAIRS or dim < 1:
+        return 1, 1
+    size = math.ceil(math.sqrt(DIRECTIONS * n / MEMBERS))
+    while size * size > DIRECTIONS:
+        if recall(dim, size, DIRECTIONS, threshold) >= RECALL:
+            return size, DIRECTIONS
+        size = size * 2 // 3
+    return 1, 1
 
 
 def usable(column: str):
@@ -79,7 +103,7 @@ def links(classes: DataFrame, threshold: float) -> DataFrame:
     of ``TILE`` rows a side, each a task's work of its own, and only counts and edges of a spanning forest leave a tile.
     """
     dims = {r.n_dim: r.n for r in classes.groupBy("n_dim").agg(F.count("*").alias("n")).collect()}  # one row for each length of vectors
-    chosen = {d: parameters(n, d) for d, n in dims.items()}
+    chosen = {d: parameters(n, d, threshold) for d, n in dims.items()}
     listed = T.StructType([T.StructField("node", T.LongType()), T.StructField("n_vectors", T.LongType()), T.StructField("n_dim", T.IntegerType()), T.StructField("v", T.BinaryType()), T.StructField("all", T.BinaryType()), T.StructField("filters", T.ArrayType(T.LongType()))])
 
     def decode(batches):

@@ -72,6 +72,29 @@ def test_near_vectors(spark, tile, monkeypatch):
     assert embeddings.near_vectors(df.where("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("n", [10_000, 100_000, 1_000_000, 10_000_000])
+def test_recall_holds_at_every_size(n):
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = rng.normal(size=(400, 64))
+    x[:100, :32] *= 0.3
+    x = unit(x)
+    away = rng.normal(size=x.shape)
+    away = unit(away - (away * x).sum(axis=1, keepdims=True) * x)
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * away
+    code = embeddings.Code(64, *embeddings.parameters(n, 64))
+    # some pairs have most of their length in one block
+    back = code.turn.T
+    one, two = code.decode(x @ back), code.decode(y @ back)
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(one, two)]) >= 0.99
+
+
+def test_few_dimensions_keep_all_pairs():
+    for dim in (1, 2, 3, 6, 16):
+        size, most = embeddings.parameters(100_000, dim)
+        assert embeddings.recall(dim, size, most, 0.95) >= embeddings.RECALL
+
+
 def test_repeated_and_null_ids(spark):
     v = [1.0, 0.5, 0.25, 0.1]
     df = spark.createDataFrame([(1, v), (1, v), (None, v), (2, [-x for x in v])], "vec_id long, embedding array<double>")
