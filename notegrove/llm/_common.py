@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -16,13 +17,15 @@ WORD_BREAKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where the session names none (as in local tests) a folder of our own is set.
+    Only a local master (as in tests) gets a folder of our own where none is set; elsewhere that is an error.
     """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="notegrove-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -57,6 +60,20 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def beside(docs: DataFrame, names: list[str], work: Callable[[DataFrame], DataFrame], text_col: str | None = None) -> DataFrame:
+    """``work`` applied to the columns ``names`` of ``docs``; what it keeps of the rows, with all columns of ``docs`` in their order.
+
+    Other columns travel in one struct with names of its own, so none of them can clash with what an operator adds.
+    With ``text_col``, a column ``n_chars`` counts the text anew where it is not null.
+    """
+    others = [c for c in docs.columns if c not in names]
+    kept = work(docs.select(*names, F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)] or [F.lit(0)]).alias("_others_")))
+    at = {c: F.col("_others_").getField(f"c{k}") for k, c in enumerate(others)} | {c: F.col(f"`{c}`") for c in names}
+    if text_col and "n_chars" in others:
+        at["n_chars"] = F.length(text_col).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[at[c].alias(c) for c in docs.columns])
+
+
 def added(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in fields)])
 

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import stored, table
+from .html_text import tokens
 
 #: Samples in a row of an image, and the unit that payloads are filled up to.
 WIDTH, UNIT = 24, 576
 ITEM = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("caption", T.StringType())])
 _ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
-_TOKEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _SOURCE = re.compile(r"""\bsrc\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _MEDIA = {"img", "audio", "video", "source", "embed"}
 
@@ -48,18 +48,20 @@ def sequence(page: str | None) -> list[dict]:
             out.append({"position": len(out), "kind": "text", "text": text, "digest": None, "caption": None})
 
     at, page = 0, page or ""
-    for m in _TOKEN.finditer(page):
-        parts.append(page[at : m.start()])
-        at = m.end()
-        name, closing = (m[3] or "").lower(), bool(m[2])
-        if not name or name in ("b", "i", "em", "strong", "a", "span"):
+    for t in tokens(page):
+        parts.append(page[at : t.start])
+        at = t.end
+        if not t.name or t.name in ("b", "i", "em", "strong", "a", "span"):
+            continue
+        if t.name == "br":
+            parts.append(" ")
             continue
         flush(figure if caption else None)
-        if name == "figcaption":
-            caption = not closing
-        elif name == "figure":
+        if t.name == "figcaption":
+            caption = not t.closing
+        elif t.name == "figure":
             figure, caption = [], False
-        elif name in _MEDIA and not closing and (s := _SOURCE.search(m[4] or "")):
+        elif t.name in _MEDIA and not t.closing and (s := _SOURCE.search(t.attributes)):
             source = entities.unescape(s[1] or s[2] or s[3] or "")
             figure.append(len(out))
             out.append({"position": len(out), "kind": "media", "text": None, "digest": source.removeprefix("sha256:"), "caption": None})
@@ -102,33 +104,63 @@ def samples(image: bytes) -> np.ndarray:
 
 def feature(x: np.ndarray) -> str:
     """Shape, mean, variance and a 64-bit difference hash of the means of an 8 x 9 grid."""
-    rows = np.add.reduceat(x.astype(np.int64), np.arange(8) * x.shape[0] // 8, axis=0)
+    rows = np.add.reduceat(x, np.arange(8) * x.shape[0] // 8, axis=0, dtype=np.int64)
     grid = np.add.reduceat(rows, np.arange(9) * x.shape[1] // 9, axis=1)
     heights = np.diff(np.append(np.arange(8) * x.shape[0] // 8, x.shape[0]))
     widths = np.diff(np.append(np.arange(9) * x.shape[1] // 9, x.shape[1]))
     grid = grid / (heights[:, None] * widths[None, :])
     bits = np.packbits(grid[:, 1:] > grid[:, :-1]).tobytes().hex()
-    n, s, q = x.size, int(x.sum(dtype=np.int64)), int((x.astype(np.int64) ** 2).sum())
+    often = np.zeros(256, np.int64)  # a block at a time: a histogram takes eight bytes a sample
+    for k in range(0, x.shape[0], 1 << 16):
+        often += np.bincount(x[k : k + (1 << 16)].ravel(), minlength=256)
+    level = np.arange(256)
+    n, s, q = x.size, int(often @ level), int(often @ (level * level))
     return f"{x.shape[1]}x{x.shape[0]}:{s / n:.6f}:{(n * q - s * s) / (n * n):.4f}:{bits}"
 
 
+def badge(lang: str | None) -> bytes:
+    """The payload of the small picture that all pages in one language share: its name."""
+    return payload(f"lang:{lang or ''}")
+
+
+def page(doc_id: int | None, text: str | None, lang: str | None, digest: str) -> str:
+    """The page of a document: a heading, the language's badge, the first half of its paragraphs (lines), the payload in a figure with a caption, and the other half."""
+    blocks = [entities.escape(t, quote=False) for t in (text or "").split("\n")]
+    half = (len(blocks) + 1) // 2
+    paragraphs = lambda part: "".join(f"<p>{b}</p>" for b in part)
+    mark = hashlib.sha256(as_image(badge(lang))).hexdigest()
+    return f'<article><h1>Document {doc_id}</h1><img src="sha256:{mark}">{paragraphs(blocks[:half])}<figure><img src="sha256:{digest}"><figcaption>text of document {doc_id}</figcaption></figure>{paragraphs(blocks[half:])}</article>'
+
+
 def illustrated(docs: DataFrame) -> DataFrame:
-    """(doc_id, html, digest, media, n_bytes) of each row of ``docs`` (doc_id, text): its payload as an image, and a page that refers to it."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("html", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("media", T.BinaryType()), T.StructField("n_bytes", T.LongType())])
+    """(doc_id, html, digest, n_bytes) of each row of ``docs`` (doc_id, text, lang): its page (see ``page``), the digest of its payload's image, and the length of its text in UTF-8."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("html", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("n_bytes", T.LongType())])
 
     def run(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
-                media, sizes = [], []
-                for t in part.column(1).to_pylist():
-                    media.append(as_image(payload(t)))
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                pages, digests, sizes = [], [], []
+                for i, t, lang in zip(*(part.column(c).to_pylist() for c in range(3))):
+                    digests.append(hashlib.sha256(as_image(payload(t))).hexdigest())
+                    pages.append(page(i, t, lang, digests[-1]))
                     sizes.append(len((t or "").encode()))
-                digests = [hashlib.sha256(m).hexdigest() for m in media]
-                pages = [f'<figure><img src="sha256:{d}"><figcaption>{n} bytes</figcaption></figure>' for d, n in zip(digests, sizes)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pages), pa.array(digests), pa.array(media, pa.binary()), pa.array(sizes, pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pages), pa.array(digests), pa.array(sizes, pa.int64())], names=schema.names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, schema)
+
+
+def images(payloads: DataFrame) -> DataFrame:
+    """(digest, media) of each row of ``payloads`` (text): the bytes to be stored. Equal texts give equal rows; the table of them may hold a digest more than once."""
+    schema = T.StructType([T.StructField("digest", T.StringType()), T.StructField("media", T.BinaryType())])
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 200):
+                media = [as_image(payload(t)) for t in b.column(0).slice(k, 200).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(media, pa.binary())], names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return payloads.select(F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def described(media: DataFrame) -> DataFrame:
@@ -158,7 +190,16 @@ def resolved(found: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def op6_media(spark, sf_dir: str) -> DataFrame:
-    store = stored(illustrated(table(spark, sf_dir, "documents")), "media")
+    docs = table(spark, sf_dir, "documents")
+    # payloads and badges (a fixed text for each language) are stored once each, then described from the stored bytes
+    badges = docs.select(F.concat(F.lit("lang:"), F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("text")).distinct()
+    store = stored(images(docs.select("text").unionByName(badges)), "media")
     known = stored(described(store), "described")  # a table of its own, so that a digest that many documents have can be split in the join
-    found = resolved(sequences(store, ["doc_id", "n_bytes"]), known, ["doc_id", "n_bytes"]).where("kind = 'media'")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    pages = illustrated(docs)
+    keys = ["doc_id", "n_bytes", "digest_of_text", "n_items", "n_texts"]
+    found = sequences(pages.withColumnRenamed("digest", "digest_of_text"), ["doc_id", "n_bytes", "digest_of_text"])
+    found = found.withColumn("n_items", F.size("items")).withColumn("n_texts", F.size(F.filter("items", lambda i: i["kind"] == "text")))
+    # of the sequence only references go to the join; the document's own picture is the one in the figure
+    found = found.withColumn("items", F.filter("items", lambda i: i["kind"] == "media"))
+    out = resolved(found, known, keys).where("digest = digest_of_text and caption is not null")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "n_texts")

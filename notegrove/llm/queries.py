@@ -46,27 +46,4 @@ kept AS (SELECT d.doc_id, len(w) AS n, coalesce(len(g), 0) AS r,
   CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END AS k
   FROM d LEFT JOIN lost USING (doc_id))
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept""",
-    "op5_pii": r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-p(kind, k, re) AS (VALUES
-  ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'),
-  ('ip', 1, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
-  ('card', 2, '[0-9](?:[ -]?[0-9])+'),
-  ('phone', 3, '\+[0-9][ ().0-9-]+[0-9]')),
-m AS (SELECT doc_id, kind, k, string_split_regex(t, re) AS gaps, regexp_extract_all(t, re) AS ms FROM d, p WHERE regexp_matches(t, re)),
-x AS (SELECT doc_id, kind, k, unnest(range(1, len(ms) + 1)) AS i, gaps, ms FROM m),
-s AS (SELECT doc_id, kind, k, ms[i] AS mt,
-  CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda g: length(g))), 0) AS BIGINT) AS a,
-  regexp_replace(ms[i], '[^0-9]', '', 'g') AS digits FROM x),
-luhn AS (SELECT *, list_sum(list_transform(range(1, length(digits) + 1), lambda j: CASE
-   WHEN (length(digits) - j) % 2 = 0 THEN CAST(digits[j] AS INT)
-   WHEN CAST(digits[j] AS INT) > 4 THEN 2 * CAST(digits[j] AS INT) - 9 ELSE 2 * CAST(digits[j] AS INT) END)) % 10 = 0 AS ok FROM s),
-good AS (SELECT doc_id, kind, k, a, a + length(mt) AS b FROM luhn WHERE kind = 'email'
-  OR (kind = 'ip' AND list_bool_and(list_transform(string_split(mt, '.'), lambda q: TRY_CAST(q AS HUGEINT) <= 255)))
-  OR (kind = 'card' AND length(digits) BETWEEN 12 AND 19 AND ok)
-  OR (kind = 'phone' AND length(digits) BETWEEN 9 AND 15)),
-agg AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS e, count(*) FILTER (kind = 'ip') AS i, count(*) FILTER (kind = 'card') AS c, count(*) FILTER (kind = 'phone') AS f,
-  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS l FROM good GROUP BY doc_id)
-SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(f, 0) AS n_phone,
-  sha256(coalesce(l, '')) AS base_sha256, coalesce(l, '') AS spans FROM d LEFT JOIN agg USING (doc_id)""",
 }

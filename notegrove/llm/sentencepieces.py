@@ -9,6 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +22,11 @@ MARK = "▁"
 class Vocabulary:
     """Pieces, scores and bytes of a model with byte fallback whose pieces bear marks in front only.
 
-    The vocabulary given is of the byte-pair kind: its scores are ranks of merges, not log-probabilities, and the sum-maximising
-    path of a plain Viterbi pass is not what the model means. The forward pass is kept, with the recurrence that is right for merges: the pieces of a
-    prefix end in exactly one piece, namely the one that its predecessor's last piece would leave unmerged. So each prefix has one forward state,
+    Models whose scores are log-probabilities (``unigram``) get the Viterbi pass proper: each prefix of a word has a best forward score and the piece it ends in.
+
+    The vocabulary given is of the byte-pair kind: its scores are ranks of merges (0, -1, -2, ...), not log-probabilities, and the sum-maximising
+    path is not what the model means. The forward pass is kept, with the recurrence that is right for merges: the pieces of a
+    prefix end in exactly one piece, namely the one that its predecessor's last piece would leave unmerged. In both kinds a prefix has one forward state,
     whatever word goes on from it, and words in a trie share them.
     """
 
@@ -44,6 +47,8 @@ class Vocabulary:
         self.names = names
         self.score = {names[i]: sp.get_score(i) for i in plain}
         self.ids = {names[i]: i for i in plain}
+        self.unigram = any(x != round(x) for x in self.score.values())
+        self.unknown = min(self.score.values()) - 10.0  # the library's penalty of characters that are no piece
         self.byte = [0] * 256
         self.out: list[bytes] = [b""] * n
         for i in range(n):
@@ -100,17 +105,19 @@ class Vocabulary:
         """Add the ids of ``words`` to ``known``: sorted, they are the trie in depth-first order, and forward states of the prefix
         that a word has in common with the one before it stay.
 
-        A state is the number of a prefix' last piece; characters that are no piece are numbered behind the pieces.
+        A state is the number of a prefix' last piece (with its score, where scores add up); characters that are no piece are numbered behind the pieces.
         """
         last: list[int] = [-1]
         size: list[int] = [0]
+        best: list[float] = [0.0]
         before = ""
         endings, fits, follows, n = self.endings, self.fits, self.follows, len(self.names)
+        unigram, names, score = self.unigram, self.names, self.score
         for word in sorted(words):
             same, top = 0, min(len(word), len(before))
             while same < top and word[same] == before[same]:
                 same += 1
-            del last[same + 1 :], size[same + 1 :]
+            del last[same + 1 :], size[same + 1 :], best[same + 1 :]
             for end in range(same, len(word)):
                 # all pieces that end here, read backwards from their last characters
                 node, start, found = endings, end, []
@@ -124,6 +131,12 @@ class Vocabulary:
                     start -= 1
                 if not found or found[0][0] != end:
                     found.insert(0, (end, n + ord(word[end])))
+                if unigram:  # the longest of equals
+                    top, start, piece = max((best[b] + (score[names[p]] if p < n else self.unknown), -b, p) for b, p in found)
+                    best.append(top)
+                    last.append(piece)
+                    size.append(end + 1 + start)
+                    continue
                 for start, piece in reversed(found):
                     left = last[start]
                     fit = fits.get((left + 1) << 22 | piece)
@@ -187,7 +200,7 @@ def encoded(docs: DataFrame, text_col: str = "text", model: str | None = None, s
     def run(batches):
         v = _vocabulary(model)
         for b in batches:
-            sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(at)), 0), dtype=np.int64))
+            sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(at)), 0), dtype=np.int64))
             start = 0
             while start < b.num_rows:
                 base = sizes[start - 1] if start else 0
@@ -229,7 +242,7 @@ def round_trip(docs: DataFrame, model: str | None = None, sub_mb: float = 2.0) -
         v = _vocabulary(model)
         for b in batches:
             at, end = 0, 0
-            sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0), dtype=np.int64))
+            sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0), dtype=np.int64))
             while at < b.num_rows:
                 end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + sub_mb * 1e6, side="right")))
                 texts = [t or "" for t in b.column(1).slice(at, end - at).to_pylist()]

@@ -97,7 +97,10 @@ class Store:
         return out
 
     def append(self, df: DataFrame, arrivals: str) -> int:
-        """Write ``df`` as small shards and commit one version for each value of the column ``arrivals``, in order; the newest version."""
+        """Write ``df`` as small shards and commit one version for each value of the column ``arrivals``, in order; the newest version.
+
+        Every task writes a file for each value that it holds, so partitions should hold few values each.
+        """
         last = self.version()
         files = self._write(df, arrivals)
         for key in sorted(files, key=lambda k: (len(k), k)):
@@ -125,33 +128,42 @@ class Store:
             groups.append(group)
         return [g for g in groups if len(g) > 1]
 
-    def compact(self, target: int = 128 << 20, fan_in: int = 4, base: int = 1 << 20) -> int:
-        """Merge until no tier has ``fan_in`` runs under half of ``target``; each round is one job and one commit. The newest version.
+    def compact(self, target: int = 128 << 20, fan_in: int = 4, base: int = 1 << 20, most_names: int = 4096) -> int:
+        """Merge until no tier has ``fan_in`` runs under half of ``target``; the newest version.
 
-        A group of runs is a file's work of one task; groups are told apart by the paths of their files, so rows are moved once.
+        A round is done in jobs of about ``most_names`` files, each with a commit of its own. The names of a job's files, and the group that each belongs to,
+        are broadcast: a table that this number bounds. A group is one partition and one file: rows are dealt by the group's number itself, not by a hash of it.
         """
         before = -1
         while groups := self.plan(target, fan_in, base):
-            runs = [s for g in groups for s in g]
-            if len(runs) == before:
+            count = sum(map(len, groups))
+            if count == before:
                 break  # merging made nothing smaller in number
-            before = len(runs)
-            names = self.spark.createDataFrame([(s.path, k) for k, g in enumerate(groups) for s in g], "_path string, _group int")
-            rows = self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in runs])
-            rows = rows.withColumn("_path", F.expr("concat_ws('/', slice(split(_metadata.file_path, '/'), -4, 4))")).join(F.broadcast(names), "_path").drop("_path")
-            # as many partitions as groups, so that every group is written by one task
-            files = self._write(rows.repartition(len(groups), "_group"), "_group")
-            self.commit([f for g in files.values() for f in g], runs)
+            before = count
+            job: list[list[Shard]] = []
+            for k, g in enumerate(groups):
+                job.append(g)
+                if k + 1 == len(groups) or sum(map(len, job)) + len(groups[k + 1]) > most_names:
+                    self._merge(job)
+                    job = []
         return self.version()
 
+    def _merge(self, groups: list[list[Shard]]) -> None:
+        runs = [s for g in groups for s in g]
+        rows = self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in runs])
+        path, group = _unused(rows, "_path"), _unused(rows, "_group")
+        names = self.spark.createDataFrame([(s.path, k) for k, g in enumerate(groups) for s in g], f"{path} string, {group} int")
+        rows = rows.withColumn(path, _place()).join(F.broadcast(names), path).drop(path)
+        files = self._write(rows.repartitionById(len(groups), F.col(group)), group)
+        self.commit([f for g in files.values() for f in g], runs)
+
     def read(self, version: int | None = None, schema=None) -> DataFrame:
-        """All rows of a version, with ``shard`` (long, the file's place in the manifest) and ``shard_bytes``; of a version without shards no rows, in the columns of ``schema``."""
+        """All rows of a version, with ``shard`` (long, the XXH64 of the file's path in the manifest) and ``shard_bytes`` (of the whole file); of a version without shards no rows, in the columns of ``schema``."""
         shards = self.shards(version)
         if not shards:
             return without(self.spark.createDataFrame([], schema or "doc_id long"), ["shard", "shard_bytes"]).selectExpr("*", "cast(null as long) as shard", "cast(null as long) as shard_bytes")
-        names = self.spark.createDataFrame([(s.path, k, s.bytes) for k, s in enumerate(shards)], "_path string, shard long, shard_bytes long")
         rows = self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in shards])
-        return without(rows, ["shard", "shard_bytes"]).withColumn("_path", F.expr("concat_ws('/', slice(split(_metadata.file_path, '/'), -4, 4))")).join(F.broadcast(names), "_path").drop("_path")
+        return without(rows, ["shard", "shard_bytes"]).withColumns({"shard": F.xxhash64(_place()), "shard_bytes": F.col("_metadata.file_size")})
 
     def vacuum(self) -> int:
         """Delete files that the newest version doesn't name; how many. No reader of an older version may be at work."""
@@ -166,14 +178,28 @@ class Store:
         return gone
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` bears it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _place():
+    """A row's file, as manifests name it."""
+    return F.expr("concat_ws('/', slice(split(_metadata.file_path, '/'), -4, 4))")
+
+
 def sharded(docs: DataFrame, arrivals: int = 8, target: int = 128 << 20, root: str | None = None) -> Store:
-    """A compacted store of ``docs`` (doc_id, ...), which arrive in ``arrivals`` portions by a hash of their ids (nulls in the first).
+    """A compacted store of ``docs`` (doc_id, ...), whose partitions arrive in ``arrivals`` portions; a partition is one small shard.
 
-    An empty table makes an empty store; rows that repeat are all kept. The reserved column names are ``_arrival``, ``_group`` and ``_path``.
+    An empty table makes an empty store; rows that repeat are all kept, and so are all columns, whatever their names (``read`` replaces ``shard`` and ``shard_bytes``).
     """
     spark = docs.sparkSession
     store = Store(spark, root or f"{shared_dir(spark)}/notegrove/shards-{uuid.uuid4().hex}")
-    store.append(docs.withColumn("_arrival", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)), F.lit(0)).cast("int")), "_arrival")
+    arrival = _unused(docs, "_arrival")
+    store.append(docs.withColumn(arrival, F.pmod(F.spark_partition_id(), F.lit(arrivals))), arrival)
     store.compact(target)
     store.vacuum()
     return store

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import added, stored, table, text_of, without
+from ._common import added, beside, stored, table, text_of, without
 from .components import connected_components
 
 BITS = 64
@@ -131,28 +131,40 @@ def _key(text_col: str = "text"):
     return F.xxhash64(text_of(text_col), F.lit(1))
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Edges (a, b) between keys (hashes) of different texts of ``docs`` whose sets of ``words``-word runs have Jaccard similarity
-    ``similarity`` or more: each text against the least keys of its bands and of random halves of them.
+#: Rows of one side of a tile of ``_rest``.
+TILE = 256
+
+
+def _slices(batches, rows: int = 500):
+    """A few rows at a time, so that few texts are Python objects at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) between keys (64-bit hashes) of different texts of ``docs`` whose components are those of all pairs with sets of ``words``-word runs of Jaccard similarity
+    ``similarity`` or more that share a band.
 
     Texts so alike lie 5 to 11 bits apart in 64-bit SimHashes (7 in the median), which is beyond what covering masks can
-    reach with keys long enough to tell texts apart. So candidates come from bands of minima here, and the runs themselves decide. A text is
-    paired with three least keys in a band, so pairs are at most 3 * ``BANDS`` for a text, however many share a band. Two texts whose
-    least keys are all unlike them can miss each other; tests hold the groups against brute force.
+    reach with keys long enough to tell texts apart. So candidates come from bands of minima here, and the runs themselves decide. First each text is
+    compared with the least key of each of its bands: that settles bands of copies. Bands whose texts then aren't all in one component have the rest of their pairs
+    compared (``_rest``), so that no link hides behind a least key that is unlike both of its ends.
     """
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
     rng = np.random.default_rng(77)
     factors = (rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
     mix = rng.integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
-
-    def slices(batches, rows=500):
-        """A few rows at a time, so that few texts are Python objects at once."""
-        for b in batches:
-            for k in range(0, b.num_rows, rows):
-                yield b.slice(k, rows)
+    # 4 standard deviations of the estimate below the bound, so what the runs decide is not decided by sketches
+    enough = BANDS * ROWS * (similarity - 4 * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5)
 
     def sketch(batches):
-        for b in slices(batches):
+        for b in _slices(batches):
             keys, bands, sketches = [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 h = _shingles(text or b"", words)
@@ -163,36 +175,95 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
                     least[k] = (h * f).min()
                 keys.append(key)
                 bands.append((least.reshape(BANDS, ROWS) * mix).sum(axis=1, dtype=np.uint64).astype(np.int64))
-                sketches.append((least >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))], names=schema.names)
+                sketches.append((least >> np.uint64(32)).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=schema.names)
 
     texts = docs.select(_key().alias("key"), text_of().alias("text"))
     known = stored(texts.mapInArrow(sketch, schema).dropDuplicates(["key"]), "sketches")
     held = known.select("key", F.posexplode("bands").alias("k", "band"))
-    # a band's texts whole (part 0), and dealt into two halves by either of two bits that differ from band to band
-    bits = F.xxhash64("key", "k")
-    held = held.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1) + F.pmod(bits, F.lit(2)).cast("int"), F.lit(3) + F.pmod(F.shiftright(bits, 1), F.lit(2)).cast("int"))))
-    least = held.groupBy("k", "band", "part").agg(F.min("key").alias("b"), F.max("key").alias("y")).where("b < y").select("k", "band", "part", "b")
-    pairs = held.join(least, ["k", "band", "part"]).where("key <> b").select(F.col("key").alias("a"), "b").distinct()
+    least = held.groupBy("k", "band").agg(F.min("key").alias("b"), F.max("key").alias("y")).where("b < y").select("k", "band", "b")
+    shared = stored(held.join(least, ["k", "band"]), "bands")
+    pairs = shared.where("key <> b").select(F.col("key").alias("a"), "b").distinct()
     one, two = known.select(F.col("key").alias("a"), F.col("sketch").alias("x")), known.select(F.col("key").alias("b"), F.col("sketch").alias("y"))
-    likely = pairs.join(one, "a").join(two, "b").withColumn("same", F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda z: z)))
-    # 4 standard deviations of the estimate below the bound, so what the runs decide is not decided by sketches
-    slack = 4 * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
-    likely = stored(likely.where(F.col("same") >= BANDS * ROWS * (similarity - slack)).select("a", "b"), "pairs")
-    wanted = likely.select(F.col("a").alias("key")).unionByName(likely.select(F.col("b").alias("key"))).distinct()
+
+    def likely(batches):
+        for b in _slices(batches):
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(b.num_rows, -1) for c in (2, 3))
+            yield b.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= enough))
+
+    likely_pairs = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(likely, "a long, b long"), "pairs")
+    wanted = likely_pairs.select(F.col("a").alias("key")).unionByName(likely_pairs.select(F.col("b").alias("key"))).distinct()
     full = stored(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
-    both = likely.join(full.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(full.select(F.col("key").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+    both = likely_pairs.join(full.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(full.select(F.col("key").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
 
     def decide(batches):
-        for b in slices(batches):
-            keep = []
-            for s, t in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist()):
-                x, y = _shingles(s, words), _shingles(t, words)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for b in _slices(batches):
+            s, t = (b.column(c).cast(pa.binary()).to_pylist() for c in (2, 3))
+            yield b.select([0, 1]).filter(pa.array([_alike(_shingles(x, words), _shingles(y, words), similarity) for x, y in zip(s, t)], pa.bool_()))
 
-    return both.mapInArrow(decide, "a long, b long")
+    links = stored(both.mapInArrow(decide, "a long, b long"), "links")
+    return links.unionByName(_rest(texts, known, shared, links, words, similarity, enough, tile))
+
+
+def _rest(texts: DataFrame, known: DataFrame, shared: DataFrame, links: DataFrame, words: int, similarity: float, enough: float, tile: int) -> DataFrame:
+    """Edges (a, b) that link further components of ``links`` within the bands of ``shared`` (key, k, band).
+
+    Bands whose texts lie in one component are done. Of others all pairs from different components are looked at, in tiles of ``tile`` rows a side,
+    each a task's work of its own: sketches first, then the sets of runs, a pair in the first band that its texts share only. No pair is a row; what leaves a tile are
+    the edges that joined components there, fewer than it has texts.
+    """
+    groups = connected_components(links)
+    labelled = shared.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "k", "band", F.coalesce("component", "key").alias("g"))
+    mixed = labelled.groupBy("k", "band").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("m")).where("x < y")
+    mixed = mixed.select("k", "band", F.ceil(F.col("m") / tile).cast("int").alias("tiles"))
+    dealt = labelled.join(mixed, ["k", "band"]).withColumn("t", F.pmod(F.xxhash64("key", F.lit(9)), F.col("tiles")).cast("int"))
+    # tile (i, j), i <= j, gets the rows of i and of j
+    dealt = dealt.withColumn("tile", F.explode(F.expr("transform(sequence(0, tiles - 1), o -> named_struct('i', least(t, o), 'j', greatest(t, o)))")))
+    dealt = stored(dealt.select("key", "k", "band", "g", "t", "tile.i", "tile.j"), "rest")
+    n = max(1, dealt.count() // (4 * tile))
+    # small bands share a call, so that calls stay few; a tile of a large one has its own
+    cell = F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("k", "band"), F.lit(n))).otherwise(F.xxhash64("k", "band", "i", "j"))
+    full = texts.join(dealt.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    rows = dealt.withColumn("_cell", cell).join(known.join(full, "key"), "key")
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("k", "band", "i", "j", "key")])
+        k, band, i, j, g, key, side = (np.asarray(t.column(c)) for c in ("k", "band", "i", "j", "g", "key", "t"))
+        cut = np.flatnonzero((np.diff(k) != 0) | (np.diff(band) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        every = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u4").reshape(t.num_rows, -1)
+        bands = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(t.num_rows, -1)
+        text = t.column("text").cast(pa.binary())
+        parent: dict[int, int] = {}
+        out: list[tuple[int, int]] = []
+
+        def top(x: int) -> int:
+            while (y := parent.get(x, x)) != x:
+                parent[x] = parent.get(y, y)
+                x = y
+            return x
+
+        for a, b in zip(np.concatenate(([0], cut)), np.concatenate((cut, [t.num_rows]))):
+            sets: dict[int, np.ndarray] = {}
+            for x in range(a, b):
+                other = slice(x + 1, b)
+                near = (g[other] != g[x]) & ((side[other] != side[x]) if i[a] != j[a] else True)
+                at = np.flatnonzero(near) + x + 1
+                at = at[(every[at] == every[x]).sum(axis=1) >= enough]
+                # in the first band that both have
+                at = at[np.argmax(bands[at] == bands[x], axis=1) == k[a]] if len(at) else at
+                for y in at.tolist():
+                    u, v = top(int(g[x])), top(int(g[y]))
+                    if u == v:
+                        continue
+                    for z in (x, y):
+                        if z not in sets:
+                            sets[z] = _shingles(text[z].as_py() or b"", words)
+                    if _alike(sets[x], sets[y], similarity):
+                        parent[max(u, v)] = min(u, v)
+                        out.append((int(key[x]), int(key[y])))
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return rows.groupBy("_cell").applyInArrow(compare, "a long, b long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -201,19 +272,23 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Groups are what links reach: fingerprints of 2 differing bits or fewer, and five-word similarity of 0.8 or more (``near_copies``).
     Of rows with the same smallest id one stays, the one whose text has the least hash. Groups whose ids are all null keep one row. Columns are those of ``docs``.
     """
-    rows = stored(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), text_of().alias("text"))).select("doc_id", "key", "fp"), "prints")
+    return beside(docs, ["doc_id", "text"], _kept)
+
+
+def _kept(docs: DataFrame) -> DataFrame:
+    rows = fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), text_of().alias("text"))).select("doc_id", "key", "fp")
+    # equal texts are one row from here on, so that no key is more than that; nulls are never the smallest
+    rows = stored(rows.groupBy("key", "fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id")).alias("least")), "prints")
     heads = rows.groupBy("fp").agg(F.min("key").alias("head"))
-    same = rows.select("key", "fp").distinct().join(heads, "fp").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    same = rows.join(heads, "fp").select(F.col("key").alias("a"), F.col("head").alias("b"))
     one, two = heads.select(F.col("fp").alias("a"), F.col("head").alias("h")), heads.select(F.col("fp").alias("b"), F.col("head").alias("g"))
     close = linked(rows).join(one, "a").join(two, "b").select(F.col("h").alias("a"), F.col("g").alias("b"))
     groups = connected_components(same.unionByName(close).unionByName(near_copies(docs))).withColumnRenamed("node", "key")
     known = rows.join(groups, "key", "left").withColumn("g", F.coalesce("component", "key"))
-    # least id of each group, nulls last, then least key
-    first = known.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("m")).select("m.doc_id", "m.key")
+    first = known.groupBy("g").agg(F.min(F.struct("least.n", "least.doc_id", "key")).alias("m")).select("m.doc_id", "m.key")
     at = F.struct(F.col("doc_id").cast("long").alias("d"), _key().alias("k"))
     kept = first.select(F.struct(F.col("doc_id").alias("d"), F.col("key").alias("k")).alias("_at"))
-    out = docs.withColumn("_at", at).join(kept, "_at", "left_semi")
-    return out.dropDuplicates(["_at"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumn("_at", at).join(kept, "_at", "left_semi").dropDuplicates(["_at"]).drop("_at")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WordHashes, added, mixed, table, text_of, window_hashes, without
+from ._common import WordHashes, added, beside, mixed, table, text_of, window_hashes, without
 
 #: Odd multipliers of the rolling hashes: of blocks, and two for whole windows.
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -48,7 +49,7 @@ class _Chunk:
 
 def _order(rows: pa.Table, text_col: str) -> pa.Table:
     """Rows by id (nulls last), then text: the order that decides which occurrence is the earlier."""
-    return rows.take(pa.compute.sort_indices(rows, sort_keys=[("_null", "ascending"), ("_key", "ascending"), (text_col, "ascending")]))
+    return rows.take(pc.sort_indices(rows, sort_keys=[("_null", "ascending"), ("_key", "ascending"), (text_col, "ascending")]))
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str, chunk_mb: float) -> tuple[DataFrame, int]:
@@ -239,11 +240,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def dedup_texts(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated words taken out of ``text`` and ``n_chars`` counted anew; texts without repeats stay as they are."""
-    found = substring_dedup(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    cols = [text.alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*cols)
+    """``docs`` with repeated words taken out of ``text`` and ``n_chars`` counted anew; texts without repeats and all other columns, whatever their names, stay as they are."""
+
+    def run(df: DataFrame) -> DataFrame:
+        found = substring_dedup(df)
+        return found.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+
+    return beside(docs, ["doc_id", "text"], run, "text")
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -125,23 +125,27 @@ def held_out(id_col: str = "doc_id"):
 def trained(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_mb: float = 64.0) -> Model:
     """A model of at most ``most_rows`` labelled rows that are not held out (the bound of the sample; those with the
     least hashes of their ids). They are fitted in one task; only the model (at most 4096 terms) comes to the driver.
-    Texts over ``most_mb`` MB / ``most_rows`` never shorten: rows beyond ``most_mb`` in all are left out of the sample.
+    Rows are taken in this order while their texts fill ``most_mb`` MB; one that doesn't fit any more is left out (never shortened), and the next ones are tried.
+    Texts over a sixteenth of that aren't drawn.
     Labels that are null count as missing; of several labels of a document the highest holds.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_y"))
     known = known.where(~held_out()).withColumn("_h", F.xxhash64(F.col("doc_id"), F.lit(5)))
     # labels are narrow: the sample is drawn from them, and only its texts are read; over-drawn, as a label may lack a document
     drawn = known.orderBy("_h", "doc_id").limit(2 * most_rows)
-    rows = docs.select("doc_id", text_of().alias("_text")).join(F.broadcast(drawn), "doc_id").orderBy("_h", "doc_id", "_text").limit(most_rows)
+    fit_in = F.octet_length(text_of()) <= most_mb * 1e6 / 16
+    rows = docs.where(fit_in).select("doc_id", text_of().alias("_text")).join(F.broadcast(drawn), "doc_id").orderBy("_h", "doc_id", "_text").limit(most_rows)
     out = T.StructType([T.StructField("b", T.DoubleType()), T.StructField("ids", T.BinaryType()), T.StructField("w", T.BinaryType()), T.StructField("v", T.BinaryType())])
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("_h", "ascending"), ("doc_id", "ascending"), ("_text", "ascending")])
-        texts, y, size, n = t.column("_text").cast(pa.binary()).to_pylist(), t.column("_y").to_pylist(), 0, 0
-        while n < len(texts) and (n == 0 or size + len(texts[n]) <= most_mb * 1e6):
-            size += len(texts[n])
-            n += 1
-        m = fit(texts[:n], [int(x > 0) for x in y[:n]])
+        texts, y, size = [], [], 0
+        for x, label in zip(t.column("_text").cast(pa.binary()).to_pylist(), t.column("_y").to_pylist()):
+            if size + len(x) <= most_mb * 1e6:
+                texts.append(x)
+                y.append(int(label > 0))
+                size += len(x)
+        m = fit(texts, y)
         return pa.table([[m.b], pa.array([m.ids.tobytes()], pa.binary()), pa.array([m.w.tobytes()], pa.binary()), pa.array([m.v.tobytes()], pa.binary())], names=["b", "ids", "w", "v"])
 
     got = rows.groupBy(F.lit(0).alias("one")).applyInArrow(run, out).collect()

@@ -120,6 +120,42 @@ def test_main_text():
     assert html_text.main_text("<div class='article-body'>t</div>") == "t"
 
 
+LONGER = "This is a paragraph of the article and it goes on for some while, as paragraphs do in articles about things. "
+DIVS = f"""<html><body><div><div>Home</div><div>About us</div><div>News</div><div>Contact</div></div>
+<div><div>A title</div><div>{LONGER * 3}</div><div>{LONGER * 2}</div><div>Short one.</div><div>{LONGER * 4}</div></div>
+<div><div>Nice!</div><div>Thanks for this.</div></div><div><div>Copyright 2020</div><div>Privacy</div></div></body></html>"""
+
+
+def test_windows_decide_where_names_say_nothing():
+    want = ["A title", (LONGER * 3).strip(), (LONGER * 2).strip(), "Short one.", (LONGER * 4).strip()]
+    assert html_text.main_text(DIVS).split("\n") == want
+    # windows of one line find no short line; wide ones bridge the gap to the menu
+    assert html_text.main_text(DIVS, window=1).split("\n") == [x for x in want if x != "A title"]
+    assert html_text.main_text(DIVS, window=6).split("\n")[:5] == ["Home", "About us", "News", "Contact", "A title"]
+    # the level decides what is a surge
+    assert "Thanks" not in html_text.main_text(DIVS) and "Thanks" in html_text.main_text(DIVS, surge=0.001)
+
+
+def test_names_weigh_only_where_they_tell():
+    body = f"<p>{LONGER}</p>" * 3
+    for name in ("related-work", "search-results", "modal-verbs", "post-header"):
+        assert "Inside" in html_text.main_text(f"<article>{body}<div class='{name}'>Inside it</div>{body}</article>"), name
+    for name in ("comments", "reader-comments", "ad", "site-header", "cookie-notice", "newsletterSignup", "x sidebar"):
+        assert "Inside" not in html_text.main_text(f"<article>{body}<div class='{name}'>Inside it</div>{body}</article>"), name
+    assert "Buy" not in html_text.main_text(f"<article>{body}<p class='ad'>Buy now<p>{LONGER}</article>")
+    assert html_text.main_text(f"<body><div class='page has-sidebar'>{body}</div></body>").count("\n") == 2
+    assert "link only" in html_text.main_text(f"<article>{body}<p><a href=x>a link only</a></p></article>")
+
+
+@pytest.mark.parametrize("piece", ["<b ", "<b '", '<b "', "<", "<div>", "<p><span class=ad>", "<!--", "<script>", "</div>", "<li><ul>", "<a href='", "<b x=\"'>", "&amp", "<div class=ad><p>x"])
+def test_malformed_pages_take_linear_time(piece):
+    import time
+
+    page, began = "some text " + piece * (1_000_000 // len(piece)), time.time()
+    assert isinstance(html_text.main_text(page), str) and isinstance(media.sequence(page), list)
+    assert time.time() - began < 15
+
+
 def test_pages_of_the_table(spark):
     import html
     import re
@@ -141,16 +177,41 @@ def test_pages_awkward_rows(spark):
 # --- media
 
 
-def test_media_round_trip(spark):
-    docs = cases.documents(spark)
-    store = media.illustrated(docs)
-    found = media.resolved(media.sequences(store, ["doc_id", "n_bytes"]), media.described(store), ["doc_id", "n_bytes"]).collect()
+def plain_feature(data):
+    """The feature of a payload by plain loops."""
+    rows = [list(data[k : k + 24]) for k in range(0, len(data), 24)]
+    ys, xs = [k * len(rows) // 8 for k in range(9)], [k * 24 // 9 for k in range(10)]
+    cell = [[(lambda v: sum(v) / len(v))([rows[y][x] for y in range(ys[i], ys[i + 1]) for x in range(xs[j], xs[j + 1])]) for j in range(9)] for i in range(8)]
+    bits = "".join("1" if cell[i][j + 1] > cell[i][j] else "0" for i in range(8) for j in range(8))
+    n, s, q = len(data), sum(data), sum(v * v for v in data)
+    return f"24x{len(rows)}:{s / n:.6f}:{(n * q - s * s) / (n * n):.4f}:{int(bits, 2):016x}"
+
+
+def test_media_round_trip(spark, tmp_path):
+    cases.documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    found = media.op6_media(spark, str(tmp_path)).collect()
     assert len(found) == len(cases.ROWS)
-    for r in found:
-        texts = [x[1] for x in cases.ROWS if x[0] == r.doc_id]
-        data = [media.payload(t) for t in texts]
-        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) in [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])) for p in data]
-        assert r.payload_bytes % 576 == 0 and r.payload_bytes > 0
+    want = []
+    for i, t, *_ in cases.ROWS:
+        p = (t or "").encode() + b"\xff" * (576 - len((t or "").encode()) % 576 if len((t or "").encode()) % 576 or not t else 0)
+        image = b"P5\n24 %d\n255\n" % (len(p) // 24) + p
+        blocks = [" ".join(b.split()) for b in (t or "").split("\n")]
+        half = (len(blocks) + 1) // 2
+        above = 1 + sum(1 for b in blocks[:half] if b)  # heading and paragraphs
+        want.append((i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(image), hashlib.sha256(image).hexdigest(), plain_feature(p), above + 1, f"text of document {i}", 3 + sum(1 for b in blocks if b), 1 + sum(1 for b in blocks if b)))
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+
+
+def test_items_stay_aligned(spark):
+    """Text, badge and payload come back in the page's order, with the caption at the payload, and payloads by digest."""
+    docs = spark.createDataFrame([(1, "one & <b>\ntwo\nthree", "en"), (2, "four", "en"), (3, "four", None)], "doc_id long, text string, lang string")
+    pages = media.illustrated(docs)
+    store = media.images(docs.select("text").union(spark.createDataFrame([("lang:en",), ("lang:",)], "text string")))
+    got = media.resolved(media.sequences(pages, ["doc_id"]), media.described(store), ["doc_id"]).orderBy("doc_id", "position").collect()
+    one = [(r.kind, r.text, r.caption, r.payload_sha256) for r in got if r.doc_id == 1]
+    sha = lambda t: hashlib.sha256(media.payload(t)).hexdigest()
+    assert one == [("text", "Document 1", None, None), ("media", None, None, sha("lang:en")), ("text", "one & <b>", None, None), ("text", "two", None, None), ("media", None, "text of document 1", sha("one & <b>\ntwo\nthree")), ("text", "three", None, None)]
+    assert [r.payload_sha256 for r in got if r.doc_id == 3 and r.kind == "media"] == [sha("lang:"), sha("four")]
     assert media.illustrated(cases.documents(spark, [])).count() == 0
 
 
@@ -172,13 +233,28 @@ def test_unknown_digests_keep_their_place(spark):
 
 
 def test_store(spark, tmp_path):
-    docs = cases.documents(spark).repartition(3)
+    docs = cases.documents(spark).repartition(4)
     store = sharding.sharded(docs, arrivals=4, root=f"file://{tmp_path}/a")
     rows = store.read()
-    assert rows.count() == len(cases.ROWS) and {r.shard for r in rows.select("shard").collect()} == {0}
+    assert rows.count() == len(cases.ROWS) and len({(r.shard, r.shard_bytes) for r in rows.select("shard", "shard_bytes").collect()}) == len(store.shards()) == 1
     key = lambda r: str(tuple(r))
     assert sorted(map(key, rows.select(*docs.columns).collect())) == sorted(map(key, docs.collect()))
-    assert store.version() >= 3
+    assert store.version() >= 5
+
+
+def test_clashing_columns_and_groups(spark, tmp_path):
+    docs = cases.clashing(spark)
+    for old, new in (("score", "_arrival"), ("fp", "_path"), ("ids", "_group"), ("base", "shard")):
+        docs = docs.withColumnRenamed(old, new)
+    rows = sharding.sharded(docs.repartition(5), arrivals=2, root=f"file://{tmp_path}/e").read()
+    assert rows.count() == len(cases.ROWS) and set(docs.columns) <= set(rows.columns) and rows.where("_path = 'x' and _group = 'x' and _arrival = 'x'").count() == len(cases.ROWS)
+    # every group of a merge is one file, however the groups' numbers hash
+    store = sharding.Store(spark, f"file://{tmp_path}/f")
+    for k in range(24):
+        store.append(spark.range(50 * k, 50 * k + 50).selectExpr("id as doc_id", "sha2(cast(id as string), 256) as text", "0 as a").coalesce(1), "a")
+    size = max(s.bytes for s in store.shards())
+    store.compact(target=4 * size, fan_in=4, base=1, most_names=12)
+    assert store.read().count() == 24 * 50 and all(s.bytes <= 4.5 * size for s in store.shards()) and len(store.shards()) <= 8
 
 
 def test_tiers_and_versions(spark, tmp_path):

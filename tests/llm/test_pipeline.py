@@ -45,6 +45,43 @@ def test_awkward_rows_pass_every_stage(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+CLASHES = ["score", "Score2", "_score_in", "fp", "key", "n_words", "n_removed", "kept_text", "base", "spans", "_t", "_at", "_chunk", "_key", "_null", "_digits", "_others", "component", "label", "a.b"]
+
+
+def test_clashing_columns_pass_every_stage(spark):
+    """Columns that bear the names of what operators add or use come through with their values."""
+    from pyspark.sql import functions as F
+
+    docs = cases.documents(spark)
+    for n in CLASHES:
+        docs = docs.withColumn(n, F.concat(F.lit(n + " of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    for k, (name, stage) in enumerate(cp.STAGES[:-1]):
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == COLUMNS + CLASHES
+        for r in docs.collect():
+            assert [r[n] for n in CLASHES] == [f"{n} of {'none' if r.doc_id is None else r.doc_id}" for n in CLASHES], name
+    assert cp.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
+def test_operators_run_in_fresh_workers():
+    """Python workers that have imported nothing yet run the operators with Arrow code."""
+    import subprocess
+
+    code = """
+import sys
+sys.path.insert(0, %r)
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[1]").config("spark.sql.shuffle.partitions", "1").config("spark.ui.enabled", "false").config("spark.python.worker.reuse", "false").config("spark.python.use.daemon", "false").getOrCreate()
+import notegrove
+notegrove.ship(s)
+from notegrove.llm import substring, sentencepieces
+d = s.createDataFrame([(1, "a b c " * 30)], "doc_id long, text string")
+print("SAW", substring.dedup_texts(d).count(), sentencepieces.round_trip(d).count())
+""" % __file__.rsplit("/tests/", 1)[0]
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert "SAW 1 1" in said.stdout, said.stderr[-2000:]
+
+
 def test_run(spark):
     out = cp.run(spark, SF)
     assert {"doc_id", "piece", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
