@@ -1,7 +1,7 @@
 """The training-data pipeline: toxicity, near-dedup, substring dedup, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir), docs being what its predecessor left, and returns a DataFrame; all but the last
-keep the columns of ``documents``. Between stages ``run`` writes Parquet to the shared folder and reads it back.
+keep the columns of ``documents`` and any others, whatever their names. Between stages ``run`` writes Parquet to the shared folder and reads it back.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from notegrove import ship
 from notegrove.llm import packing, pii, simhash, substring, toxicity
-from notegrove.llm._common import stored, table
+from notegrove.llm._common import beside, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under 0.7; the model learns from the labels of those in ``docs``."""
     ship(spark)
-    scored = toxicity.toxicity(docs.withColumnRenamed("score", "_score_in") if "score" in docs.columns else docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("score") < 0.7).drop("score")
+    labels = table(spark, sf_dir, "labels")
+    return beside(docs, ["doc_id", "text"], lambda df: toxicity.toxicity(df, labels).where(F.col("score") < 0.7))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
