@@ -33,6 +33,7 @@ GENERATORS = {
 }
 GENERATOR_NEEDS = {"mail": "(contains(_t, '@') OR contains(_t, '(at)') OR contains(_t, '[at]'))", "quad": "_digits", "token": "(_digits OR _t rlike '[A-Z]{16}')", "digits": "_digits"}
 SOURCE = {"email": "mail", "ip": "quad", "card": "digits", "phone": "digits", "secret": "token"}
+PLAIN = {"mail": r"regexp_replace(regexp_replace(x.m, '\\x20?[(\\[]at[)\\]]\\x20?', '@'), '\\x20?[(\\[]dot[)\\]]\\x20?', '.')", "quad": r"regexp_replace(x.m, '[(\\[](\\.|dot)[)\\]]', '.')"}
 SPAN = "struct<start:bigint,end:bigint,m:string,b:string>"
 
 
@@ -127,6 +128,8 @@ def _candidates(df: DataFrame) -> DataFrame:
             merged, flags, label = "array(0)", "array(false)", LABELS[k]
         made = f"transform(_g, (x, i) -> if({POSSIBLE[k]}, named_struct('start', x.start, 'end', x.end, 'kind', {i}, 'y', {label}, {values}), null))"
         made = _let("_known", flags, f"filter({made}, c -> c is not null)")
+        if SOURCE[k] in PLAIN:  # features see written-out signs as what they stand for
+            gen = f"transform({gen}, x -> named_struct('start', x.start, 'end', x.end, 'm', {PLAIN[SOURCE[k]]}, 'b', x.b))"
         sql = _let("_g", gen, f"if(size(_g) = 0, {NO_CANDIDATES}, {_let('_b', f'_base_{k}' if k in BASE else 'array(0)', _let('_m', merged, made))})")
         out = out.withColumn(f"_cand_{k}", F.expr(sql))
     return out
