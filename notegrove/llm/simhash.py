@@ -175,7 +175,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile:
                     least[k] = (h * f).min()
                 keys.append(key)
                 bands.append((least.reshape(BANDS, ROWS) * mix).sum(axis=1, dtype=np.uint64).astype(np.int64))
-                sketches.append((least >> np.uint64(32)).astype("<u4").tobytes())
+                sketches.append((least >> np.uint64(48)).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=schema.names)
 
     texts = docs.select(_key().alias("key"), text_of().alias("text"))
@@ -188,12 +188,12 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile:
 
     def likely(batches):
         for b in _slices(batches):
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(b.num_rows, -1) for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(b.num_rows, -1) for c in (2, 3))
             yield b.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= enough))
 
     likely_pairs = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(likely, "a long, b long"), "pairs")
-    wanted = likely_pairs.select(F.col("a").alias("key")).unionByName(likely_pairs.select(F.col("b").alias("key"))).distinct()
-    full = stored(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    # the texts of all that shares a band, which both rounds read; equal texts are one row before anything is joined
+    full = stored(texts.dropDuplicates(["key"]).join(shared.select("key").distinct(), "key", "left_semi"), "texts")
     both = likely_pairs.join(full.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(full.select(F.col("key").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
 
     def decide(batches):
@@ -202,15 +202,30 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile:
             yield b.select([0, 1]).filter(pa.array([_alike(_shingles(x, words), _shingles(y, words), similarity) for x, y in zip(s, t)], pa.bool_()))
 
     links = stored(both.mapInArrow(decide, "a long, b long"), "links")
-    return links.unionByName(_rest(texts, known, shared, links, words, similarity, enough, tile))
+    return links.unionByName(_rest(full, known, shared, links, words, similarity, enough, tile))
 
 
-def _rest(texts: DataFrame, known: DataFrame, shared: DataFrame, links: DataFrame, words: int, similarity: float, enough: float, tile: int) -> DataFrame:
+def _tiles(t: pa.Table, enough: float):
+    """Of each tile of ``t`` (sorted) the rows x and the rows after it that may be similar, from other components, in the first band that both have."""
+    k, band, i, j, g, side = (np.asarray(t.column(c)) for c in ("k", "band", "i", "j", "g", "t"))
+    cut = np.flatnonzero((np.diff(k) != 0) | (np.diff(band) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+    every = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(t.num_rows, -1)
+    bands = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(t.num_rows, -1)
+    for a, b in zip(np.concatenate(([0], cut)), np.concatenate((cut, [t.num_rows]))):
+        for x in range(a, b):
+            at = np.flatnonzero((g[x + 1 : b] != g[x]) & ((side[x + 1 : b] != side[x]) if i[a] != j[a] else True)) + x + 1
+            at = at[(every[at] == every[x]).sum(axis=1) >= enough]
+            at = at[np.argmax(bands[at] == bands[x], axis=1) == k[a]] if len(at) else at
+            if len(at):
+                yield x, at
+
+
+def _rest(full: DataFrame, known: DataFrame, shared: DataFrame, links: DataFrame, words: int, similarity: float, enough: float, tile: int) -> DataFrame:
     """Edges (a, b) that link further components of ``links`` within the bands of ``shared`` (key, k, band).
 
     Bands whose texts lie in one component are done. Of others all pairs from different components are looked at, in tiles of ``tile`` rows a side,
-    each a task's work of its own: sketches first, then the sets of runs, a pair in the first band that its texts share only. No pair is a row; what leaves a tile are
-    the edges that joined components there, fewer than it has texts.
+    each a task's work of its own: by sketches first, and then, for rows that have a likely partner there, by the sets of runs. No pair is a row; what leaves a tile are
+    the edges that joined components in it, fewer than it has texts.
     """
     groups = connected_components(links)
     labelled = shared.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "k", "band", F.coalesce("component", "key").alias("g"))
@@ -223,17 +238,22 @@ def _rest(texts: DataFrame, known: DataFrame, shared: DataFrame, links: DataFram
     n = max(1, dealt.count() // (4 * tile))
     # small bands share a call, so that calls stay few; a tile of a large one has its own
     cell = F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("k", "band"), F.lit(n))).otherwise(F.xxhash64("k", "band", "i", "j"))
-    full = texts.join(dealt.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    rows = dealt.withColumn("_cell", cell).join(known.join(full, "key"), "key")
+    rows = dealt.withColumn("_cell", cell).join(known, "key")
+    order = [(c, "ascending") for c in ("k", "band", "i", "j", "key")]
+
+    def likely(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        keep = np.zeros(t.num_rows, bool)
+        for x, at in _tiles(t, enough):
+            keep[x] = True
+            keep[at] = True
+        return t.filter(pa.array(keep))
 
     def compare(t: pa.Table) -> pa.Table:
-        t = t.sort_by([(c, "ascending") for c in ("k", "band", "i", "j", "key")])
-        k, band, i, j, g, key, side = (np.asarray(t.column(c)) for c in ("k", "band", "i", "j", "g", "key", "t"))
-        cut = np.flatnonzero((np.diff(k) != 0) | (np.diff(band) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        every = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u4").reshape(t.num_rows, -1)
-        bands = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(t.num_rows, -1)
-        text = t.column("text").cast(pa.binary())
+        t = t.sort_by(order)
+        g, key, text = np.asarray(t.column("g")), np.asarray(t.column("key")), t.column("text").cast(pa.binary())
         parent: dict[int, int] = {}
+        sets: dict[int, np.ndarray] = {}
         out: list[tuple[int, int]] = []
 
         def top(x: int) -> int:
@@ -242,28 +262,21 @@ def _rest(texts: DataFrame, known: DataFrame, shared: DataFrame, links: DataFram
                 x = y
             return x
 
-        for a, b in zip(np.concatenate(([0], cut)), np.concatenate((cut, [t.num_rows]))):
-            sets: dict[int, np.ndarray] = {}
-            for x in range(a, b):
-                other = slice(x + 1, b)
-                near = (g[other] != g[x]) & ((side[other] != side[x]) if i[a] != j[a] else True)
-                at = np.flatnonzero(near) + x + 1
-                at = at[(every[at] == every[x]).sum(axis=1) >= enough]
-                # in the first band that both have
-                at = at[np.argmax(bands[at] == bands[x], axis=1) == k[a]] if len(at) else at
-                for y in at.tolist():
-                    u, v = top(int(g[x])), top(int(g[y]))
-                    if u == v:
-                        continue
-                    for z in (x, y):
-                        if z not in sets:
-                            sets[z] = _shingles(text[z].as_py() or b"", words)
-                    if _alike(sets[x], sets[y], similarity):
-                        parent[max(u, v)] = min(u, v)
-                        out.append((int(key[x]), int(key[y])))
+        for x, at in _tiles(t, enough):
+            for y in at.tolist():
+                u, v = top(int(g[x])), top(int(g[y]))
+                if u == v:
+                    continue
+                for z in (x, y):
+                    if int(key[z]) not in sets:
+                        sets[int(key[z])] = _shingles(text[z].as_py() or b"", words)
+                if _alike(sets[int(key[x])], sets[int(key[y])], similarity):
+                    parent[max(u, v)] = min(u, v)
+                    out.append((int(key[x]), int(key[y])))
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return rows.groupBy("_cell").applyInArrow(compare, "a long, b long")
+    found = stored(rows.groupBy("_cell").applyInArrow(likely, rows.schema), "likely")
+    return found.join(full, "key").groupBy("_cell").applyInArrow(compare, "a long, b long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
