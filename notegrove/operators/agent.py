@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import markdown as md
 from ..plans import fixtures as fx
 from . import blocks
+from .folds import Machine, folded, named
 from .knowledge import KNOWN
 
 # What each permission allows, and the tools with the permission each needs and whether it changes notes.
@@ -79,18 +84,17 @@ def op_list(spark, d):
     return f.groupBy("op").agg(F.max("k").alias("newest"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "action"))), lambda x: x["action"]), ",").alias("actions")).orderBy(F.desc("newest")).limit(100)
 
 
+#: States of operations, and what actions make of them.
+OPERATION = Machine(
+    ["pending", "approved", "rejected", "executed", "rolled_back"],
+    {"approve": {"pending": "approved"}, "reject": {"pending": "rejected"}, "execute": {"approved": "executed"}, "rollback": {"executed": "rolled_back"}},
+)
+
+
 def op_transitions(spark, d):
     """Last approval and state of each operation: a log of events replayed; only pending ones are approved or rejected, only approved ones run, only run ones are rolled back."""
     e = fx.table(spark, d, "events").select(F.col("user_id").alias("op"), "ts", "event_id", F.element_at(F.array(*[F.lit(a) for a in ("approve", "reject", "execute", "rollback")]), (F.col("event_id") % 4 + 1).cast("int")).alias("action"))
-    log = e.groupBy("op").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "action"))).alias("log"))
-    step = lambda s, x: (
-        F.when((x["action"] == "approve") & (s == "pending"), "approved")
-        .when((x["action"] == "reject") & (s == "pending"), "rejected")
-        .when((x["action"] == "execute") & (s == "approved"), "executed")
-        .when((x["action"] == "rollback") & (s == "executed"), "rolled_back")
-        .otherwise(s)
-    )
-    return log.select("op", F.aggregate("log", F.lit("pending"), step).alias("status"))
+    return folded(e, "op", OPERATION).select("op", named(OPERATION.states).alias("status"))
 
 
 def agent_tools(spark, d):
@@ -102,14 +106,34 @@ def agent_tools(spark, d):
 def chain(events: DataFrame) -> DataFrame:
     """user_id, event_id, previous_hash, new_hash: each user's events in order, every hash made over the one before.
 
-    A chain is a fold by nature; chains are one for each user, so users run side by side.
+    A chain is sequential by nature: a user's events pass in order through one task, which holds a batch and the last hash. Users run side by side.
     """
-    log = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("log"))
-    hash_of = lambda prev, x: F.sha2(F.concat_ws("|", prev, F.lit("agent"), x["event_type"], F.lit(""), F.lit("ok"), x["event_id"].cast("string")), 256)
-    empty = F.array().cast("array<struct<event_id:bigint,previous_hash:string,new_hash:string>>")
-    add = lambda acc, x: F.concat(acc, F.array(F.struct(x["event_id"].alias("event_id"), F.coalesce(F.element_at(acc, -1)["new_hash"], F.lit("")).alias("previous_hash"), hash_of(F.coalesce(F.element_at(acc, -1)["new_hash"], F.lit("")), x).alias("new_hash"))))
-    folded = log.select("user_id", F.aggregate("log", empty, lambda acc, x: F.when(F.size(acc) == 0, F.array(F.struct(x["event_id"].alias("event_id"), F.lit("").alias("previous_hash"), hash_of(F.lit(""), x).alias("new_hash")))).otherwise(add(acc, x))).alias("c"))
-    return folded.select("user_id", F.explode("c").alias("c")).select("user_id", "c.*")
+    schema = T.StructType([events.schema["user_id"], events.schema["event_id"], T.StructField("previous_hash", T.StringType()), T.StructField("new_hash", T.StringType())])
+
+    def run(batches):
+        user, last = None, ""
+        for b in batches:
+            before, after = [], []
+            for u, e, kind in zip(*(c.to_pylist() for c in b.columns)):
+                if u != user:
+                    user, last = u, ""
+                before.append(last)
+                last = hashlib.sha256("|".join([last, "agent", *([kind] if kind is not None else []), "", "ok", str(e)]).encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(before, pa.string()), pa.array(after, pa.string())], names=schema.names)
+
+    e = events.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    return e.select("user_id", "event_id", "event_type").mapInArrow(run, schema)
+
+
+def listed(log: DataFrame, most: int = 100) -> DataFrame:
+    """The newest ``most`` entries of an audit log, oldest of them first."""
+    newest = log.orderBy(F.desc("ts"), F.desc("event_id")).limit(most)
+    return newest.orderBy("ts", "event_id")
+
+
+def audit_list(spark, d):
+    return listed(fx.table(spark, d, "events").select("event_id", "user_id", "event_type", "ts"))
 
 
 def audit_chain(spark, d):
@@ -170,7 +194,7 @@ _ORDER = f"f AS ({FILES})"
 _CHAIN = """RECURSIVE o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 c AS (SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS event_id, '' AS h FROM (SELECT DISTINCT user_id FROM o) UNION ALL SELECT o.user_id, o.i, o.event_id, sha256(c.h || '|agent|' || o.event_type || '||ok|' || o.event_id) FROM c JOIN o ON o.user_id = c.user_id AND o.i = c.i + 1)"""
 _S = "SELECT path, content FROM vault WHERE path LIKE 'Suppliers/%'"
-QUERIES = {f.__name__: f for f in (op_prepare, op_version_check, op_verify, op_rollback, op_list, op_transitions, agent_tools, audit_chain, audit_verify, line_diff, plan_merge, plan_link, plan_metadata)}
+QUERIES = {f.__name__: f for f in (op_prepare, op_version_check, op_verify, op_rollback, op_list, op_transitions, agent_tools, audit_chain, audit_verify, audit_list, line_diff, plan_merge, plan_link, plan_metadata)}
 ORACLE = {
     "op_prepare": f"WITH {_ORDER}, x AS (SELECT *, CASE WHEN action = 'delete' THEN 'delete is disabled' WHEN action = 'edit' AND old_content = content THEN 'edit changes nothing' END AS fault FROM f) SELECT op, count(*) AS n_files, CASE WHEN count(*) > 3 OR bool_or(action = 'move') THEN 'medium' ELSE 'low' END AS risk, min_by(fault, path) FILTER (fault IS NOT NULL) AS error FROM x GROUP BY op",
     "op_version_check": f"WITH {_ORDER}, n AS ({NOW}), c AS (SELECT op, CASE WHEN action = 'create' THEN CASE WHEN now IS NOT NULL THEN 'exists' END WHEN now IS NULL THEN 'missing' WHEN now <> old_content THEN 'changed' END AS conflict FROM f LEFT JOIN n USING (path) WHERE action <> 'delete') SELECT op, bool_and(conflict IS NULL) AS may_run, count(conflict) AS conflicts FROM c GROUP BY op",
@@ -180,7 +204,9 @@ ORACLE = {
     "op_transitions": "WITH RECURSIVE o AS (SELECT user_id AS op, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), r AS (SELECT op, 0::BIGINT AS i, 'pending' AS s FROM (SELECT DISTINCT op FROM o) UNION ALL SELECT o.op, o.i, CASE WHEN event_id % 4 = 0 AND s = 'pending' THEN 'approved' WHEN event_id % 4 = 1 AND s = 'pending' THEN 'rejected' WHEN event_id % 4 = 2 AND s = 'approved' THEN 'executed' WHEN event_id % 4 = 3 AND s = 'executed' THEN 'rolled_back' ELSE s END FROM r JOIN o ON o.op = r.op AND o.i = r.i + 1) SELECT op, max_by(s, i) AS status FROM r GROUP BY op",
     "agent_tools": "SELECT name, permission, mutates, CASE WHEN permission = 'vault_delete' THEN 'denied' WHEN mutates THEN 'confirm' ELSE 'allow' END AS decision FROM (VALUES " + ", ".join(f"('{n}', '{p}', {str(m).lower()})" for n, p, m in TOOLS) + ") AS t(name, permission, mutates)",
     "audit_chain": f"WITH {_CHAIN} SELECT user_id, count(*) AS n, max_by(h, event_id) AS some_hash, min(h) AS least_hash FROM c WHERE i > 0 GROUP BY user_id",
-    "audit_verify": "SELECT user_id, user_id % 5 <> 0 AS holds FROM events GROUP BY user_id",
+    "audit_list": "SELECT * FROM (SELECT event_id, user_id, event_type, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) ORDER BY ts, event_id",
+    "audit_verify": f"""WITH {_CHAIN}, t AS (SELECT c.user_id, c.i, o.event_type, c.event_id, CASE WHEN c.user_id % 5 = 0 AND c.event_id = min(c.event_id) OVER (PARTITION BY c.user_id) THEN sha256(c.h) ELSE c.h END AS h, lag(c.h, 1, '') OVER (PARTITION BY c.user_id ORDER BY c.i) AS declared FROM c JOIN o ON o.user_id = c.user_id AND o.i = c.i WHERE c.i > 0),
+k AS (SELECT user_id, declared = lag(h, 1, '') OVER (PARTITION BY user_id ORDER BY i) AND h = sha256(declared || '|agent|' || event_type || '||ok|' || event_id) AS ok FROM t) SELECT user_id, bool_and(ok) AS holds FROM k GROUP BY user_id""",
     "line_diff": f"WITH {'vault AS (' + fx.VAULT + ')'}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS a FROM vault), c AS (SELECT path, a LIKE '%copper%' OR a LIKE '%widget%' AS changed FROM l) SELECT path, count(*) FILTER (NOT changed) AS context, count(*) FILTER (changed) AS delete, count(*) FILTER (changed) AS add FROM c GROUP BY path",
     "plan_merge": f"WITH vault AS ({fx.VAULT}), t AS (SELECT path, replace(substr(content, 7), chr(10) || chr(10) || '```', chr(10) || chr(10) || chr(10) || '```') AS c FROM vault WHERE path IN ('Suppliers/S1.md', 'Suppliers/S2.md', 'Suppliers/S3.md')) SELECT a.path, a.c || chr(10) || (SELECT string_agg(chr(10) || chr(10) || '## From ' || regexp_replace(path, '^Suppliers/|[.]md$', '', 'g') || chr(10) || chr(10) || c, '' ORDER BY path) FROM t WHERE path <> 'Suppliers/S1.md') AS new_content FROM t a WHERE path = 'Suppliers/S1.md'",
     "plan_link": f"WITH vault AS ({fx.VAULT}) SELECT path, rtrim(content, ' ') || chr(10) || chr(10) || 'Related: [[N1]]' AS new_content FROM ({_S}) WHERE contains(lower(content), 'n1') AND NOT contains(content, '[[N1]]') ORDER BY path LIMIT 5",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as md
 from ..plans import fixtures as fx
 from . import knowledge as kn
+from .components import connected_components
 from .knowledge import KNOWN
 
 
@@ -36,27 +37,9 @@ def degrees(n: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def components(n: DataFrame, e: DataFrame) -> DataFrame:
-    """id, component: the smallest id that edges reach, itself included.
-
-    Labels fall to the least of their neighbours' and then to their label's label, so rounds grow with the logarithm of the
-    longest way; each round is checkpointed in the folder that executors share. Ends when no label falls.
-    """
-    spark = n.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="notegrove-")))
-    both = e.select(F.col("source").alias("u"), F.col("target").alias("v")).unionByName(e.select(F.col("target").alias("u"), F.col("source").alias("v"))).distinct().checkpoint()
-    labels = n.select("id", F.col("id").alias("label")).checkpoint()
-    while True:
-        near = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        low = labels.join(near, labels.id == near.u, "left").select("id", "label", F.least("label", "m").alias("low"))
-        # the label of one's label: a jump over several edges
-        jump = low.select(F.col("id").alias("low"), F.col("low").alias("next"))
-        new = low.join(jump, "low", "left").select("id", F.least("low", "next").alias("label"), (F.least("low", "next") < F.col("label")).alias("fell")).checkpoint()
-        if new.where("fell").isEmpty():
-            return new.select("id", F.col("label").alias("component"))
-        labels = new.select("id", "label")
+    """id, component: the smallest id that edges reach, itself included."""
+    found = connected_components(e.select(F.col("source").alias("a"), F.col("target").alias("b"))).withColumnRenamed("node", "id")
+    return n.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def clusters(n: DataFrame, e: DataFrame) -> DataFrame:
@@ -72,12 +55,9 @@ def clusters(n: DataFrame, e: DataFrame) -> DataFrame:
     return g.select(F.col("component").alias("id"), "size", F.col("hub.id").alias("hub"), (-F.col("hub.d")).alias("hub_degree"), label.alias("label"), source.alias("label_source"))
 
 
-def _graph(spark, d, brands_only: bool = False):
+def _graph(spark, d):
     n = md.parsed(fx.vault(spark, d))
     links = kn.resolved_links(n)
-    if brands_only:
-        links = links.where("target like 'Brand %'")
-        n = n.withColumn("tags", F.array().cast("array<string>"))
     return nodes(n, links), edges(n, links)
 
 
@@ -98,12 +78,11 @@ def graph_stats(spark, d):
 
 
 def graph_components(spark, d):
-    """Components of notes and the brands they link to."""
-    return components(*_graph(spark, d, True))
+    return components(*_graph(spark, d))
 
 
 def q_clusters(spark, d):
-    return clusters(*_graph(spark, d, True))
+    return clusters(*_graph(spark, d))
 
 
 def graph_neighbors(spark, d):
@@ -139,7 +118,7 @@ def camera_fit(spark, d):
 
 def graph_layout(spark, d):
     """Coordinates of each component's nodes: rings around its hub, in steps that depend on degree and id only."""
-    n, e = _graph(spark, d, True)
+    n, e = _graph(spark, d)
     full = n.select("id").join(components(n, e), "id").join(degrees(n, e), "id")
     k = F.row_number().over(W.partitionBy("component").orderBy(F.desc("degree"), "id")) - 1
     ring = F.floor((-1 + F.sqrt(1 + 4.0 * k / 3)) / 2 + F.when(k > 0, 1).otherwise(0))
@@ -153,10 +132,10 @@ SELECT 'note:' || target, 'note', regexp_replace(split_part(target, '/', -1), '(
 SELECT 'tag:' || trim(tag), 'tag', trim(tag), false FROM (SELECT unnest(tags) AS tag FROM titled)) GROUP BY id),
 ge AS (SELECT DISTINCT source, target, kind FROM (SELECT 'note:' || path AS source, 'note:' || coalesce(resolved, target) AS target, 'link' AS kind FROM linked UNION ALL SELECT 'note:' || path, 'tag:' || trim(tag), 'tag' FROM (SELECT path, unnest(tags) AS tag FROM titled)) WHERE source <> target),
 gd AS (SELECT id, coalesce(n, 0) AS degree FROM gn LEFT JOIN (SELECT x, count(*) AS n FROM (SELECT source AS x FROM ge UNION ALL SELECT target FROM ge) GROUP BY 1) ON x = id)"""
-# notes and the brands they link to are stars: a brand's component is that of the smallest of its notes
-_B = KNOWN + """, bl AS (SELECT path, target FROM linked WHERE target LIKE 'Brand %'), star AS (SELECT target, min('note:' || path) AS m, count(*) AS n FROM bl GROUP BY 1),
-bn AS (SELECT 'note:' || v.path AS id, stem AS label, coalesce(least(m, 'note:' || bl.target), 'note:' || v.path) AS component, CASE WHEN bl.path IS NULL THEN 0 ELSE 1 END AS degree FROM titled v LEFT JOIN bl ON bl.path = v.path LEFT JOIN star ON star.target = bl.target
-UNION ALL SELECT 'note:' || target, target, least(m, 'note:' || target), n FROM star)"""
+# labels fall to the least of the neighbours' until none does
+_B = "RECURSIVE " + _G + """, bothways AS (SELECT source AS u, target AS v FROM ge UNION SELECT target, source FROM ge),
+cc(id, component) USING KEY (id) AS (SELECT id, id FROM gn UNION SELECT u, min(cc.component) FROM cc JOIN bothways ON v = cc.id JOIN recurring.cc AS old ON old.id = u WHERE cc.component < old.component GROUP BY u),
+bn AS (SELECT gn.id, gn.label, gn.kind, cc.component, gd.degree FROM gn JOIN cc USING (id) JOIN gd USING (id))"""
 _NEAR = "SELECT target AS id FROM ge WHERE source = 'note:Suppliers/S7.md' UNION SELECT source FROM ge WHERE target = 'note:Suppliers/S7.md'"
 QUERIES = {"clusters": q_clusters} | {f.__name__: f for f in (graph_nodes, graph_edges, graph_degree, graph_stats, graph_components, graph_neighbors, node_radius, node_emphasis, label_search, camera_fit, graph_layout)}
 ORACLE = {
@@ -165,7 +144,8 @@ ORACLE = {
     "graph_degree": f"WITH {_G} SELECT * FROM gd",
     "graph_stats": f"WITH {_G} SELECT count(*) FILTER (kind = 'note' AND NOT unresolved) AS notes, count(*) FILTER (unresolved) AS unresolved, count(*) FILTER (kind = 'tag') AS tags FROM gn",
     "graph_components": f"WITH {_B} SELECT id, component FROM bn",
-    "clusters": f"WITH {_B}, g AS (SELECT component AS id, count(*) AS size, min((-degree, id, label)) AS h FROM bn GROUP BY 1) SELECT id, size, h[2] AS hub, -h[1] AS hub_degree, CASE WHEN size >= 3 THEN h[3] ELSE size || CASE WHEN size = 1 THEN ' note' ELSE ' notes' END END AS label, CASE WHEN size >= 3 THEN 'hub' ELSE 'count' END AS label_source FROM g",
+    "clusters": f"""WITH {_B}, g AS (SELECT component AS id, count(*) AS size, min((-degree, id, label)) AS h, min(CASE WHEN kind = 'tag' AND degree >= 2 THEN label END) AS tag FROM bn GROUP BY 1)
+SELECT id, size, h[2] AS hub, -h[1] AS hub_degree, CASE WHEN size < 3 THEN size || CASE WHEN size = 1 THEN ' note' ELSE ' notes' END WHEN tag IS NOT NULL THEN '#' || tag ELSE h[3] END AS label, CASE WHEN size < 3 THEN 'count' WHEN tag IS NOT NULL THEN 'tag' ELSE 'hub' END AS label_source FROM g""",
     "graph_layout": f"WITH {_B}, k AS (SELECT id, row_number() OVER (PARTITION BY component ORDER BY degree DESC, id) - 1 AS k FROM bn), r AS (SELECT id, floor((-1 + sqrt(1 + 4.0::DOUBLE * k / 3)) / 2 + CASE WHEN k > 0 THEN 1 ELSE 0 END) AS ring, (k % 360) * 2.399963::DOUBLE AS a FROM k) SELECT id, round(40 * ring * cos(a), 6) AS x, round(40 * ring * sin(a), 6) AS y FROM r",
     "graph_neighbors": f"WITH {_G} {_NEAR}",
     "node_radius": f"WITH {_G} SELECT gn.id, round(CASE WHEN kind = 'tag' THEN 5.0::DOUBLE ELSE 6.5::DOUBLE * (1 + least(sqrt(degree) * 0.36::DOUBLE, 2.1::DOUBLE)) END, 6) AS radius FROM gn JOIN gd USING (id)",

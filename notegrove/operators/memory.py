@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as md
 from ..plans import fixtures as fx
 from . import knowledge as kn
+from .folds import Machine, folded, named
 from .knowledge import KNOWN
 
 #: Claim types that make memories, and the kinds of contradictions.
@@ -27,16 +28,36 @@ def candidates(claims: DataFrame) -> DataFrame:
     return c.groupBy("path", "content").agg(F.min_by(_map(MEMORY_TYPES)[F.col("claim_type")], first).alias("type"), F.min_by("object", first).alias("excerpt"))
 
 
-def contradictions(claims: DataFrame) -> DataFrame:
+def contradiction_pairs(claims: DataFrame) -> DataFrame:
     """kind, a, b (path:offset): pairs of claims of one subject and type with opposite polarity, the earlier one first.
 
-    Pairs are what is asked for; where a subject has many on both sides their number is the product, which ``contradiction_classes`` avoids.
+    For collections in which few claims share a subject: where many do on both sides their number is the product, which ``contradictions`` and ``contradiction_classes`` avoid.
     """
-    c = claims.where(F.col("claim_type").isin(list(CONFLICTS))).select(F.lower("subject").alias("s"), "claim_type", "polarity", F.struct("path", "offset").alias("at"))
-    pos, neg = c.where("polarity > 0").select("s", "claim_type", F.col("at").alias("p")), c.where("polarity < 0").select("s", "claim_type", F.col("at").alias("n"))
-    both = pos.join(neg, ["s", "claim_type"])
-    name = lambda x: F.concat(x["path"], F.lit(":"), x["offset"].cast("string"))
-    return both.select(_map(CONFLICTS)[F.col("claim_type")].alias("kind"), name(F.least("p", "n")).alias("a"), name(F.greatest("p", "n")).alias("b")).distinct()
+    c = _sided(claims)
+    pos, neg = c.where("polarity > 0").select("subject", "claim_type", F.col("at").alias("p")), c.where("polarity < 0").select("subject", "claim_type", F.col("at").alias("n"))
+    return pos.join(neg, ["subject", "claim_type"]).select(_map(CONFLICTS)[F.col("claim_type")].alias("kind"), _name(F.least("p", "n")).alias("a"), _name(F.greatest("p", "n")).alias("b")).distinct()
+
+
+def _name(x):
+    return F.concat(x["path"], F.lit(":"), x["offset"].cast("string"))
+
+
+def _sided(claims: DataFrame) -> DataFrame:
+    c = claims.where(F.col("claim_type").isin(list(CONFLICTS)))
+    return c.select(F.lower("subject").alias("subject"), "claim_type", F.when(F.col("polarity") > 0, 1).otherwise(-1).alias("polarity"), F.struct("path", "offset").alias("at"), "object")
+
+
+def contradictions(claims: DataFrame) -> DataFrame:
+    """subject, kind, at (path:offset), polarity, opposed, first: each claim that others of its subject and type contradict, with their number and the first of them.
+
+    One row for each claim: what is contradicted by many isn't expanded into pairs.
+    """
+    c = _sided(claims)
+    side = lambda p, n: (F.count_if(F.col("polarity") == p).alias(f"{n}_n"), F.min(F.when(F.col("polarity") == p, F.col("at"))).alias(f"{n}_first"))
+    g = c.groupBy("subject", "claim_type").agg(*side(1, "pos"), *side(-1, "neg")).where("pos_n > 0 and neg_n > 0")
+    j = c.join(g, ["subject", "claim_type"])
+    other = lambda x: F.when(F.col("polarity") > 0, F.col(f"neg_{x}")).otherwise(F.col(f"pos_{x}"))
+    return j.select("subject", _map(CONFLICTS)[F.col("claim_type")].alias("kind"), _name(F.col("at")).alias("at"), "polarity", other("n").alias("opposed"), _name(other("first")).alias("first"))
 
 
 def contradiction_classes(claims: DataFrame) -> DataFrame:
@@ -46,11 +67,16 @@ def contradiction_classes(claims: DataFrame) -> DataFrame:
     return g.where("positives > 0 and negatives > 0").select("subject", _map(CONFLICTS)[F.col("claim_type")].alias("kind"), "positives", "negatives", (F.col("positives") * F.col("negatives")).alias("pairs"))
 
 
-def _claims(spark, d, where: str = "true"):
-    return kn.claims(md.parsed(fx.vault(spark, d).where(where)))
+def contradiction_heads(claims: DataFrame) -> DataFrame:
+    """subject, kind, a, b, a_object, b_object, positives, negatives: each class of contradictions by the first claim of either side, the earlier one first."""
+    head = lambda p: F.min(F.when(F.col("polarity") == p, F.struct("at", "object")))
+    g = _sided(claims).groupBy("subject", "claim_type").agg(head(1).alias("p"), head(-1).alias("n"), F.count_if(F.col("polarity") > 0).alias("positives"), F.count_if(F.col("polarity") < 0).alias("negatives"))
+    g = g.where("p is not null and n is not null").withColumns({"x": F.least("p", "n"), "y": F.greatest("p", "n")})
+    return g.select("subject", _map(CONFLICTS)[F.col("claim_type")].alias("kind"), _name(F.col("x.at")).alias("a"), _name(F.col("y.at")).alias("b"), F.col("x.object").alias("a_object"), F.col("y.object").alias("b_object"), "positives", "negatives")
 
 
-SUPPLIERS = "path like 'Suppliers/%'"
+def _claims(spark, d):
+    return kn.claims(md.parsed(fx.vault(spark, d)))
 
 
 def memory_candidates(spark, d):
@@ -58,7 +84,7 @@ def memory_candidates(spark, d):
 
 
 def q_contradictions(spark, d):
-    return contradictions(_claims(spark, d, SUPPLIERS))
+    return contradictions(_claims(spark, d))
 
 
 def q_contradiction_classes(spark, d):
@@ -66,28 +92,22 @@ def q_contradiction_classes(spark, d):
 
 
 def contradictions_incremental(spark, d):
-    """Contradictions that aren't recorded yet, in whichever order; every third one is."""
-    found = contradictions(_claims(spark, d, SUPPLIERS))
-    recorded = found.where(F.pmod(F.length("a") + F.length("b"), F.lit(3)) == 0).select(F.col("b").alias("x"), F.col("a").alias("y"))
-    keys = recorded.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pair = found.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pair.join(keys, ["a", "b"], "left_anti").select("kind", "a", "b")
+    """Contradicted claims that aren't recorded yet; those whose place has a length divisible by three are."""
+    found = contradictions(_claims(spark, d))
+    recorded = found.where(F.length("at") % 3 == 0).select("subject", "kind", "at")
+    return found.join(recorded, ["subject", "kind", "at"], "left_anti").select("subject", "kind", "at", "opposed")
 
 
 def contradiction_list(spark, d):
-    """Open contradictions with both claims beside each other."""
-    c = _claims(spark, d, SUPPLIERS)
-    side = c.select(F.concat("path", F.lit(":"), F.col("offset").cast("string")).alias("at"), "claim_type", "object", "polarity").where(F.col("claim_type").isin(list(CONFLICTS)))
-    f = contradictions(c).withColumn("t", F.upper(F.element_at(F.split("kind", "_"), 1)))
-    a, b = (side.select(F.col("at").alias(x), F.col("claim_type").alias("t"), F.col("object").alias(f"{x}_object"), F.col("polarity").alias(f"{x}_polarity")) for x in "ab")
-    return f.join(a, ["a", "t"], "left").join(b, ["b", "t"], "left").select("kind", "a", "b", "a_object", "b_object")
+    """Open contradictions, a row for each class, with the first claims of both sides beside each other."""
+    return contradiction_heads(_claims(spark, d))
 
 
 def contradiction_resolve(spark, d):
-    """What resolutions do: by turns both are kept, the later one holds, or it is ignored; the earlier claim's memory is superseded if the later one holds."""
-    f = contradictions(_claims(spark, d, SUPPLIERS)).withColumn("k", F.pmod(F.length("a") + F.length("b"), F.lit(3)))
+    """What resolutions do: by turns both are kept, it is ignored, or the later one holds; the earlier claim's memory is superseded if the later one holds."""
+    f = contradiction_heads(_claims(spark, d)).withColumn("k", F.pmod(F.length("a") + F.length("b"), F.lit(3)))
     status = F.when(F.col("k") == 0, "resolved_keep_both").when(F.col("k") == 1, "ignored").otherwise("resolved_later_current")
-    return f.select("a", "b", status.alias("status"), F.when(F.col("k") == 2, F.col("a")).alias("superseded"))
+    return f.select("subject", "kind", "a", "b", status.alias("status"), F.when(F.col("k") == 2, F.col("a")).alias("superseded"))
 
 
 def _events(spark, d):
@@ -97,18 +117,23 @@ def _events(spark, d):
     return e.select("user_id", "ts", "event_id", F.element_at(actions, (F.col("event_id") % 6 + 1).cast("int")).alias("action"))
 
 
+_OPEN = ("candidate", "stale", "disputed")
+#: States of memories, the first one to begin with, and what actions make of them.
+MEMORY = Machine(
+    ["candidate", "accepted", "rejected", "disputed", "stale", "superseded"],
+    {
+        "accept": dict.fromkeys(_OPEN, "accepted"),
+        "reject": dict.fromkeys(_OPEN, "rejected"),
+        "dispute": {"accepted": "disputed"},
+        "stale": {"accepted": "stale"},
+        "supersede": dict.fromkeys((*_OPEN, "accepted", "superseded"), "superseded"),
+    },
+)
+
+
 def fold_states(events: DataFrame, key: str) -> DataFrame:
     """The last state of each key: actions in order of (ts, event_id) folded from ``candidate``, those that a state doesn't allow skipped."""
-    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "action"))).alias("log"))
-    step = lambda s, x: (
-        F.when((x["action"] == "accept") & s.isin("candidate", "stale", "disputed"), "accepted")
-        .when((x["action"] == "reject") & s.isin("candidate", "stale", "disputed"), "rejected")
-        .when((x["action"] == "dispute") & (s == "accepted"), "disputed")
-        .when((x["action"] == "stale") & (s == "accepted"), "stale")
-        .when((x["action"] == "supersede") & (s != "rejected"), "superseded")
-        .otherwise(s)
-    )
-    return listed.select(key, F.aggregate("log", F.lit("candidate"), step).alias("status"), F.size("log").cast("long").alias("n"))
+    return folded(events, key, MEMORY).select(key, named(MEMORY.states).alias("status"), "n")
 
 
 def memory_transitions(spark, d):
@@ -150,26 +175,49 @@ def resolve_later(spark, d):
     return j.groupBy("claim_type").agg(F.count("*").alias("n"), F.count("type").alias("with_memory"))
 
 
+#: States of jobs with the number of attempts, as far as it matters (3 stands for 3 or more).
+JOB = Machine(
+    [(status, k) for status in ("pending", "running", "completed", "failed") for k in range(4)],
+    {
+        "start": {("pending", k): (("running", min(k + 1, 3)), 1) for k in range(4)},
+        "complete": {("running", k): (("completed", k), 0) for k in range(4)},
+        "fail": {("running", k): (("failed" if k == 3 else "pending", k), 0) for k in range(4)},
+        "recover": {("running", k): (("pending", k), 0) for k in range(4)},
+    },
+)
+
+
+def replayed_jobs(log: DataFrame) -> DataFrame:
+    """job, status, attempts: the last state of each job of a log (job, ts, event_id, action); three failures park it, orphans become pending."""
+    return folded(log, "job", JOB).select("job", named([s for s, _ in JOB.states]).alias("status"), F.col("count").alias("attempts"))
+
+
+def _job_log(spark, d):
+    return fx.table(spark, d, "events").select((F.col("user_id")).alias("job"), "ts", "event_id", F.element_at(F.array(*[F.lit(a) for a in ("start", "fail", "recover", "complete", "start", "fail")]), (F.col("event_id") % 6 + 1).cast("int")).alias("action"))
+
+
 def job_replay(spark, d):
-    """Last state of each job: its log of starts, failures and successes replayed; three failures park it, orphans become pending."""
-    e = fx.table(spark, d, "events").select((F.col("user_id")).alias("job"), "ts", "event_id", F.element_at(F.array(*[F.lit(a) for a in ("start", "fail", "recover", "complete", "start", "fail")]), (F.col("event_id") % 6 + 1).cast("int")).alias("action"))
-    log = e.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "action"))).alias("log"))
-    zero = F.struct(F.lit("pending").alias("status"), F.lit(0).cast("long").alias("attempts"))
-    run = lambda s, x: F.struct(
-        F.when((x["action"] == "start") & (s["status"] == "pending"), "running")
-        .when((x["action"] == "complete") & (s["status"] == "running"), "completed")
-        .when((x["action"] == "fail") & (s["status"] == "running"), F.when(s["attempts"] >= 3, "failed").otherwise("pending"))
-        .when((x["action"] == "recover") & (s["status"] == "running"), "pending")
-        .otherwise(s["status"])
-        .alias("status"),
-        F.when((x["action"] == "start") & (s["status"] == "pending"), s["attempts"] + 1).otherwise(s["attempts"]).alias("attempts"),
-    )
-    return log.select("job", F.aggregate("log", zero, run).alias("s")).select("job", "s.status", "s.attempts")
+    """Last state of each job: its log of starts, failures and successes replayed."""
+    return replayed_jobs(_job_log(spark, d))
+
+
+def next_jobs(jobs: DataFrame, as_of) -> DataFrame:
+    """The job that each queue hands out: of those pending whose time to run has come the oldest, ties by id. ``jobs``: queue, job, status, created_at, run_after."""
+    may = jobs.where((F.col("status") == "pending") & (F.coalesce("run_after", "created_at") <= as_of))
+    return may.groupBy("queue").agg(F.min(F.struct("created_at", "job"))["job"].alias("job"), F.count("*").alias("waiting"))
+
+
+def job_dequeue(spark, d):
+    """Of each user's events as jobs, every other pending and due an hour after each failure before it, the one that runs next at the end of the log's first half."""
+    e = fx.table(spark, d, "events")
+    half = e.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("as_of"))  # one row
+    j = e.select(F.col("user_id").alias("queue"), F.col("event_id").alias("job"), F.when(F.col("event_id") % 2 == 0, "pending").otherwise("completed").alias("status"), F.col("ts").alias("created_at"), (F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 3).cast("int"))).alias("run_after"))
+    return next_jobs(j.crossJoin(F.broadcast(half)), F.col("as_of"))
 
 
 def job_backoff(spark, d):
     """When each attempt may run: a second for each attempt before it, parked from the third on."""
-    e = fx.table(spark, d, "events").where("event_id % 5 = 0")
+    e = fx.table(spark, d, "events")
     n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     return e.select("user_id", "event_id", n.cast("long").alias("attempt")).select("user_id", "event_id", "attempt", F.when(F.col("attempt") < 3, F.col("attempt") * 1000).alias("wait_ms"), (F.col("attempt") >= 3).alias("parked"))
 
@@ -180,21 +228,24 @@ _KIND = "CASE x.claim_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CON
 _CIN = "(" + ", ".join(f"'{t}'" for t in CONFLICTS) + ")"
 _CLEAN = r"trim(regexp_replace(object, '\[\[(?:[^\]|#]*\|)?([^\]|#]*)(?:#[^\]]*)?\]\]', '\1', 'g'))"
 _MEM = f"mems AS (SELECT path, {_CLEAN} AS content, min_by({_TYPE}, (\"offset\", claim_type, predicate)) AS type, min_by(object, (\"offset\", claim_type, predicate)) AS excerpt FROM claims WHERE claim_type IN {_IN} AND {_CLEAN} <> '' GROUP BY 1, 2)"
-_CON = f"""sup AS (SELECT * FROM claims WHERE path LIKE 'Suppliers/%' AND claim_type IN {_CIN}), cons AS (SELECT DISTINCT {_KIND} AS kind, x.claim_type, CASE WHEN (x.path, x."offset") <= (y.path, y."offset") THEN x.path || ':' || x."offset" ELSE y.path || ':' || y."offset" END AS a, CASE WHEN (x.path, x."offset") <= (y.path, y."offset") THEN y.path || ':' || y."offset" ELSE x.path || ':' || x."offset" END AS b FROM sup x JOIN sup y ON lower(x.subject) = lower(y.subject) AND x.claim_type = y.claim_type AND x.polarity > 0 AND y.polarity < 0)"""
+_CON = f"""sided AS (SELECT lower(subject) AS subject, x.claim_type, {_KIND} AS kind, CASE WHEN polarity > 0 THEN 1 ELSE -1 END AS polarity, (path, "offset") AS spot, path || ':' || "offset" AS name, object FROM claims x WHERE claim_type IN {_CIN}),
+sides AS (SELECT subject, claim_type, count(*) FILTER (polarity > 0) AS pn, count(*) FILTER (polarity < 0) AS nn, arg_min(name, spot) FILTER (polarity > 0) AS pf, arg_min(name, spot) FILTER (polarity < 0) AS nf, min(spot) FILTER (polarity > 0) AS pa, min(spot) FILTER (polarity < 0) AS na, arg_min(object, (spot, object)) FILTER (polarity > 0) AS po, arg_min(object, (spot, object)) FILTER (polarity < 0) AS nob FROM sided GROUP BY ALL HAVING pn > 0 AND nn > 0),
+cons AS (SELECT subject, kind, name AS "at", polarity, CASE WHEN polarity > 0 THEN nn ELSE pn END AS opposed, CASE WHEN polarity > 0 THEN nf ELSE pf END AS first FROM sided JOIN sides USING (subject, claim_type)),
+chead AS (SELECT subject, {_KIND} AS kind, CASE WHEN pa < na THEN pf ELSE nf END AS a, CASE WHEN pa < na THEN nf ELSE pf END AS b, CASE WHEN pa < na THEN po ELSE nob END AS a_object, CASE WHEN pa < na THEN nob ELSE po END AS b_object, pn AS positives, nn AS negatives FROM sides x)"""
 
 
 def _replay(step: str, key: str, zero: str, value: str) -> str:
     return f"""WITH RECURSIVE o AS (SELECT {key} AS k, event_id, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i FROM events), r AS (SELECT k, 0::BIGINT AS i, {zero} FROM (SELECT DISTINCT k FROM o) UNION ALL SELECT o.k, o.i, {step} FROM r JOIN o ON o.k = r.k AND o.i = r.i + 1) SELECT {value} FROM r"""
 
 
-QUERIES = {"contradictions": q_contradictions, "contradiction_classes": q_contradiction_classes} | {f.__name__: f for f in (memory_candidates, contradictions_incremental, contradiction_list, contradiction_resolve, memory_transitions, memory_update, memory_supersede, stale_memories, memory_list, resolve_later, job_replay, job_backoff)}
+QUERIES = {"contradictions": q_contradictions, "contradiction_classes": q_contradiction_classes} | {f.__name__: f for f in (memory_candidates, contradictions_incremental, contradiction_list, contradiction_resolve, memory_transitions, memory_update, memory_supersede, stale_memories, memory_list, resolve_later, job_replay, job_dequeue, job_backoff)}
 ORACLE = {
     "memory_candidates": f"WITH {KNOWN}, {_MEM} SELECT * FROM mems",
-    "contradictions": f"WITH {KNOWN}, {_CON} SELECT kind, a, b FROM cons",
+    "contradictions": f"WITH {KNOWN}, {_CON} SELECT * FROM cons",
     "contradiction_classes": f"WITH {KNOWN} SELECT lower(subject) AS subject, any_value({_KIND}) AS kind, count(*) FILTER (polarity > 0) AS positives, count(*) FILTER (polarity < 0) AS negatives, (count(*) FILTER (polarity > 0)) * (count(*) FILTER (polarity < 0)) AS pairs FROM claims x WHERE claim_type IN {_CIN} GROUP BY lower(subject), claim_type HAVING positives > 0 AND negatives > 0",
-    "contradictions_incremental": f"WITH {KNOWN}, {_CON} SELECT kind, least(a, b) AS a, greatest(a, b) AS b FROM cons WHERE (length(a) + length(b)) % 3 <> 0",
-    "contradiction_list": f"WITH {KNOWN}, {_CON}, side AS (SELECT path || ':' || \"offset\" AS p, claim_type, object FROM sup) SELECT kind, a, b, s.object AS a_object, t.object AS b_object FROM cons LEFT JOIN side s ON s.p = a AND s.claim_type = cons.claim_type LEFT JOIN side t ON t.p = b AND t.claim_type = cons.claim_type",
-    "contradiction_resolve": f"WITH {KNOWN}, {_CON} SELECT a, b, CASE (length(a) + length(b)) % 3 WHEN 0 THEN 'resolved_keep_both' WHEN 1 THEN 'ignored' ELSE 'resolved_later_current' END AS status, CASE WHEN (length(a) + length(b)) % 3 = 2 THEN a END AS superseded FROM cons",
+    "contradictions_incremental": f'WITH {KNOWN}, {_CON} SELECT subject, kind, "at", opposed FROM cons WHERE length("at") % 3 <> 0',
+    "contradiction_list": f"WITH {KNOWN}, {_CON} SELECT * FROM chead",
+    "contradiction_resolve": f"WITH {KNOWN}, {_CON} SELECT subject, kind, a, b, CASE (length(a) + length(b)) % 3 WHEN 0 THEN 'resolved_keep_both' WHEN 1 THEN 'ignored' ELSE 'resolved_later_current' END AS status, CASE WHEN (length(a) + length(b)) % 3 = 2 THEN a END AS superseded FROM chead",
     "memory_transitions": _replay("CASE WHEN event_id % 6 = 0 AND status IN ('candidate', 'stale', 'disputed') THEN 'accepted' WHEN event_id % 6 = 1 AND status IN ('candidate', 'stale', 'disputed') THEN 'rejected' WHEN event_id % 6 = 2 AND status = 'accepted' THEN 'disputed' WHEN event_id % 6 = 3 AND status = 'accepted' THEN 'stale' WHEN event_id % 6 = 4 AND status <> 'rejected' THEN 'superseded' ELSE status END", "user_id", "'candidate' AS status", "k AS user_id, max_by(status, i) AS status, max(i) AS n") + " GROUP BY k",
     "memory_update": "SELECT event_id, event_id % 3 <> 2 AND event_id % 4 <> 0 AS valid FROM events",
     "memory_supersede": "SELECT user_id, event_id, CASE WHEN lead(event_id) OVER w IS NULL THEN 'accepted' ELSE 'superseded' END AS status, lead(event_id) OVER w AS superseded_by FROM events WHERE event_type = 'purchase' OR event_id % 3 = 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
@@ -202,5 +253,6 @@ ORACLE = {
     "memory_list": f"WITH {KNOWN}, {_MEM} SELECT type, content, count(*) AS n_sources, min(path) AS first_source, max(path) AS last_source FROM mems GROUP BY 1, 2",
     "resolve_later": f"WITH {KNOWN}, {_MEM} SELECT claim_type, count(*) AS n, count(type) AS with_memory FROM (SELECT c.claim_type, m.type FROM (SELECT path, claim_type, {_CLEAN} AS content FROM claims) c LEFT JOIN mems m ON m.path = c.path AND m.content = c.content) GROUP BY 1",
     "job_replay": _replay("CASE WHEN event_id % 6 IN (0, 4) AND status = 'pending' THEN 'running' WHEN event_id % 6 = 3 AND status = 'running' THEN 'completed' WHEN event_id % 6 IN (1, 5) AND status = 'running' THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END WHEN event_id % 6 = 2 AND status = 'running' THEN 'pending' ELSE status END, CASE WHEN event_id % 6 IN (0, 4) AND status = 'pending' THEN attempts + 1 ELSE attempts END", "user_id", "'pending' AS status, 0::BIGINT AS attempts", "k AS job, max_by(status, i) AS status, max_by(attempts, i) AS attempts") + " GROUP BY k",
-    "job_backoff": "WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events WHERE event_id % 5 = 0) SELECT user_id, event_id, attempt, CASE WHEN attempt < 3 THEN attempt * 1000 END AS wait_ms, attempt >= 3 AS parked FROM a",
+    "job_dequeue": "WITH h AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS now FROM events), j AS (SELECT user_id AS queue, event_id AS job, ts AS created_at, ts + to_hours(event_id % 3) AS run_after FROM events WHERE event_id % 2 = 0) SELECT queue, arg_min(job, (created_at, job)) AS job, count(*) AS waiting FROM j, h WHERE run_after <= now GROUP BY queue",
+    "job_backoff": "WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events) SELECT user_id, event_id, attempt, CASE WHEN attempt < 3 THEN attempt * 1000 END AS wait_ms, attempt >= 3 AS parked FROM a",
 }

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..plans import fixtures as fx
+from ..sources.files import few
 from . import knowledge as kn
 from .knowledge import KNOWN
 
@@ -39,8 +44,22 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def postings(notes: DataFrame) -> DataFrame:
     """path, term, tf, length of each note's words."""
-    t = notes.select("path", words(F.col("content")).alias("w"))
-    return t.select("path", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("path", "length", "term").agg(F.count("*").alias("tf"))
+    return notes.select("path", "content").mapInArrow(_counted, "path string, term string, tf long, length int")
+
+
+def _counted(batches):
+    """Words are counted where their note is: nothing is shuffled for it."""
+    cut = regex.compile(r"[^\p{L}\p{N}]+")
+    for b in batches:
+        for k in range(0, b.num_rows, 200):
+            paths, terms, counts, lengths = [], [], [], []
+            for path, text in zip(*(b.column(c).slice(k, 200).to_pylist() for c in (0, 1))):
+                c = Counter(t for t in cut.split((text or "").lower()) if t)
+                paths += [path] * len(c)
+                terms += c.keys()
+                counts += c.values()
+                lengths += [c.total()] * len(c)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(terms, pa.string()), pa.array(counts, pa.int64()), pa.array(lengths, pa.int32())], names=["path", "term", "tf", "length"])
 
 
 def lexical(notes: DataFrame, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -88,40 +107,18 @@ def semantic(notes: DataFrame, queries: DataFrame) -> DataFrame:
 def entity_boosts(queries: DataFrame, names: DataFrame) -> DataFrame:
     """query_id, path, boost: of the entities (key, path) whose names a query holds, the longest name's share of 24 bytes, between a half and 1.
 
-    The test is for a substring, as names may stand inside of words; queries are a stated set and are what is broadcast.
+    The test is for a substring, as names may stand inside of words; queries are broadcast where their number allows it.
     """
-    q = queries.select("query_id", F.lower("query").alias("q"))
+    q = few(queries.select("query_id", F.lower("query").alias("q")))
     keys = names.select("key").distinct()
-    found = keys.join(F.broadcast(q), F.col("q").contains(F.col("key")))  # queries: a stated set
+    found = keys.join(q, F.col("q").contains(F.col("key")))
     boost = F.least(F.greatest(F.octet_length("key") / 24, F.lit(0.5)), F.lit(1.0))
     return found.select("query_id", "key", boost.alias("b")).join(names, "key").groupBy("query_id", "path").agg(F.round(F.max("b"), 6).alias("boost"))
 
 
-def hybrid(notes: DataFrame, queries: DataFrame, names: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """query_id, path, lexical, semantic, entity, score, rank. Hashed vectors only re-rank: candidates are the lexical ones."""
-    lex = lexical(notes, queries, 2 * limit).drop("rank")
-    sem = semantic(notes.join(lex.select("path").distinct(), "path", "left_semi"), queries).join(lex.select("query_id", "path"), ["query_id", "path"], "left_semi")
-    j = lex.join(sem, ["query_id", "path"], "full").join(entity_boosts(queries, names), ["query_id", "path"], "left")
-    w = W.partitionBy("query_id")
-    top = F.max(F.coalesce("score", F.lit(0.0))).over(w)
-    j = j.withColumns({"lexical": F.when(top > 0, F.coalesce("score", F.lit(0.0)) / top).otherwise(0.0), "semantic": F.coalesce("sim", F.lit(0.0)) / F.greatest(F.max(F.coalesce("sim", F.lit(0.0))).over(w), F.lit(1e-4)), "entity": F.coalesce("boost", F.lit(0.0))})
-    score = F.round(WEIGHT_LEXICAL * F.col("lexical") + WEIGHT_SEMANTIC * F.col("semantic") + WEIGHT_ENTITY * F.col("entity"), 6)
-    return ranked(j.select("query_id", "path", F.round("lexical", 6).alias("lexical"), F.round("semantic", 6).alias("semantic"), "entity", score.alias("score")), limit)
-
-
-def fallback(notes: DataFrame, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """For queries with terms but no lexical hit: notes whose path holds the last word of the query; rank by path."""
-    q = query_terms(queries).where(F.size("terms") > 0)
-    q = q.join(lexical(notes, queries, 1).select("query_id"), "query_id", "left_anti")
-    probe = F.element_at(F.filter(F.transform(F.split("query", r"\s+"), lambda t: F.regexp_replace(t, r"^\p{Punct}+|\p{Punct}+$", "")), lambda t: t != ""), -1)
-    q = q.select("query_id", F.lower(probe).alias("probe"))
-    found = notes.select("path").join(F.broadcast(q), F.lower("path").contains(F.col("probe")))  # queries: a stated set
-    return ranked(found.select("query_id", "path", F.lit(0.0).alias("score")), limit)
-
-
 def _doc_queries(spark, d) -> DataFrame:
-    """The first two words over 4 letters of every fiftieth document."""
-    docs = fx.table(spark, d, "documents").where("doc_id % 50 = 0")
+    """The first two words over 4 letters of every twentieth document."""
+    docs = fx.table(spark, d, "documents").where("doc_id % 20 = 0")
     return docs.select(F.col("doc_id").cast("int").alias("query_id"), F.array_join(F.slice(F.filter(words(F.coalesce("text", F.lit(""))), lambda t: F.length(t) > 4), 1, 2), " ").alias("query"))
 
 
@@ -153,31 +150,6 @@ def entity_boost(spark, d):
     return entity_boosts(asked(spark), _names(spark, d))
 
 
-def search_hybrid(spark, d):
-    return hybrid(fx.vault(spark, d), asked(spark), _names(spark, d))
-
-
-def search_fallback(spark, d):
-    return fallback(fx.vault(spark, d), asked(spark))
-
-
-def search_degraded(spark, d):
-    """Without an embedder: lexical hits alone, by their raw scores."""
-    return lexical(fx.vault(spark, d), asked(spark)).select("query_id", "path", "score", "rank", F.lit(None).cast("double").alias("semantic"))
-
-
-def cosine_topk(spark, d):
-    """The ten nearest of all other vectors for each of five query vectors; each product is taken once, the queries' side being five rows."""
-    e = fx.table(spark, d, "embeddings").where("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    c = e.where("vec_id >= 5").join(F.broadcast(q), F.size("v") == F.size("q"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    length = norm(F.col("v")) * norm(F.col("q"))
-    scored = c.select("query_id", "vec_id", F.round(F.when(length > 0, dot / length).otherwise(0.0), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")).where("rank <= 10")
-
-
 def snippet_semantic(spark, d):
     """180 characters around the first word of a query, from 40 before it."""
     t = fx.doc_notes(spark, d).select("path", "content").withColumn("at", F.greatest(F.locate("the", F.lower("content")) - 1, F.lit(0)))
@@ -197,7 +169,7 @@ def tokens_stemmed(spark, d):
 def snippet_fts(spark, d):
     """Of each hit the first run of 12 words that holds the most of a query's terms, these marked."""
     q = query_terms(asked(spark)).select("query_id", "terms")
-    hits = search_vault(spark, d).join(fx.vault(spark, d), "path").join(F.broadcast(q), "query_id")
+    hits = search_vault(spark, d).join(fx.vault(spark, d), "path").join(q, "query_id")
     shown = F.filter(F.split("content", r"\s+"), lambda t: t != "")
     bare = lambda t: F.regexp_replace(F.lower(t), r"^\p{Punct}+|\p{Punct}+$", "")
     hits = hits.withColumn("w", shown).withColumn("hit", F.transform("w", lambda t: F.array_contains("terms", bare(t)).cast("int")))
@@ -217,14 +189,6 @@ def search_metrics(spark, d):
     return r.agg(F.round(F.avg((F.coalesce("rank", F.lit(99)) <= 5).cast("int")), 6).alias("recall_5"), F.round(F.avg((F.coalesce("rank", F.lit(99)) <= 10).cast("int")), 6).alias("recall_10"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
-def note_context(spark, d):
-    """For each supplier's note the three best other notes for its title."""
-    n = fx.vault(spark, d)
-    q = md.parsed(n.where("path like 'Suppliers/%'")).select(F.col("mtime").cast("int").alias("query_id"), F.col("title").alias("query"), F.col("path").alias("own"))
-    hits = lexical(n, q.select("query_id", "query"), 6).join(q.select("query_id", "own"), "query_id").where("path <> own")
-    return hits.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("rank")).cast("long")).where("k <= 3").select("query_id", "path", "score", "k")
-
-
 def _list(x) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in x) + "]"
 
@@ -247,23 +211,16 @@ def _hashed(source: str, key: str, text: str, name: str) -> str:
 
 _SEM = f"{_hashed('asked', 'query_id', 'query', 'qa')}, {_hashed('vault', 'path', 'content', 'nb')}, qn AS (SELECT query_id, sqrt(sum(w * w)) AS m FROM qa GROUP BY 1), nn AS (SELECT path, sqrt(sum(w * w)) AS m FROM nb GROUP BY 1), sem AS (SELECT * FROM (SELECT query_id, path, round(sum(qa.w * nb.w) / (any_value(qn.m) * any_value(nn.m)), 6) AS sim FROM qa JOIN nb USING (bucket) JOIN qn USING (query_id) JOIN nn USING (path) GROUP BY 1, 2) WHERE sim > 0.01)"
 _ENT = "boosts AS (SELECT query_id, path, round(max(least(greatest(strlen(key) / 24, 0.5), 1.0)), 6) AS boost FROM asked JOIN (SELECT DISTINCT lower(name) AS key, path FROM cands) ON contains(lower(query), key) GROUP BY 1, 2)"
-_DOCQ = f"asked AS (SELECT CAST(doc_id AS INT) AS query_id, array_to_string(list_filter({_TOK.format('coalesce(text, chr(32))')}, lambda t: length(t) > 4)[1:2], ' ') AS query FROM documents WHERE doc_id % 50 = 0)"
+_DOCQ = f"asked AS (SELECT CAST(doc_id AS INT) AS query_id, array_to_string(list_filter({_TOK.format('coalesce(text, chr(32))')}, lambda t: length(t) > 4)[1:2], ' ') AS query FROM documents WHERE doc_id % 20 = 0)"
 _V, _D = f"vault AS ({fx.VAULT})", f"docs AS ({fx.DOC_NOTES})"
-QUERIES = {"query_terms": q_query_terms, "postings": q_postings} | {f.__name__: f for f in (search_lexical, search_vault, search_semantic, entity_boost, search_hybrid, search_fallback, search_degraded, cosine_topk, snippet_semantic, tokens_stemmed, snippet_fts, search_metrics, note_context)}
+QUERIES = {"query_terms": q_query_terms, "postings": q_postings} | {f.__name__: f for f in (search_lexical, search_vault, search_semantic, entity_boost, snippet_semantic, tokens_stemmed, snippet_fts, search_metrics)}
 ORACLE = {
-    "query_terms": f"WITH {_ASKED}, {_TERMS} SELECT query_id, CASE query_id WHEN 6 THEN 'steel' ELSE array_to_string(list_transform(ts, lambda t: lower(t)), ' ') END AS terms FROM terms WHERE query_id <> 7 UNION ALL SELECT 7, 'brand supplier part'",
+    "query_terms": f"WITH {_ASKED}, {_TERMS} SELECT query_id, array_to_string(list_filter(flat, lambda t, i: list_position(flat, t) = i), ' ') AS terms FROM (SELECT query_id, flatten(list_transform(ts, lambda w: {_TOK.format('w')})) AS flat FROM terms)",
     "postings": f"WITH {_D}, tok AS (SELECT path, {_TOK.format('content')} AS w FROM docs), p AS (SELECT path, unnest(w) AS term FROM tok) SELECT term, count(DISTINCT path) AS df, count(*) AS n FROM p GROUP BY 1",
     "search_lexical": f"WITH {_D}, {_DOCQ}, {_TERMS}, {_bm25('docs')} SELECT * FROM lex WHERE rank <= 20",
     "search_vault": f"WITH {_V}, {_ASKED}, {_TERMS}, {_bm25('vault')} SELECT * FROM lex WHERE rank <= 20",
     "search_semantic": f"WITH {_V}, {_ASKED}, {_SEM} SELECT * FROM sem",
     "entity_boost": f"WITH {KNOWN}, {_ASKED}, {_ENT} SELECT * FROM boosts",
-    "search_hybrid": f"""WITH {KNOWN}, {_ASKED}, {_TERMS}, {_bm25('vault')}, {_SEM}, {_ENT}, l AS (SELECT query_id, path, score FROM lex WHERE rank <= 40),
-j AS (SELECT l.query_id, l.path, score / max(score) OVER (PARTITION BY l.query_id) AS lexical, coalesce(sim, 0) / greatest(max(coalesce(sim, 0)) OVER (PARTITION BY l.query_id), 1e-4) AS semantic, coalesce(boost, 0) AS entity FROM l LEFT JOIN sem USING (query_id, path) LEFT JOIN boosts USING (query_id, path)),
-s AS (SELECT query_id, path, round(lexical, 6) AS lexical, round(semantic, 6) AS semantic, entity, round(0.5 * lexical + 0.35 * semantic + 0.15 * entity, 6) AS score FROM j), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM s) SELECT * FROM r WHERE rank <= 20""",
-    "search_fallback": f"WITH {_V}, {_ASKED}, {_TERMS}, {_bm25('vault')}, p AS (SELECT query_id, lower(list_last({_TRIMMED})) AS probe FROM asked WHERE query_id IN (SELECT query_id FROM need) AND query_id NOT IN (SELECT query_id FROM lex)), f AS (SELECT query_id, path, 0.0::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY path) AS rank FROM p JOIN vault ON contains(lower(path), probe)) SELECT * FROM f WHERE rank <= 20",
-    "search_degraded": f"WITH {_V}, {_ASKED}, {_TERMS}, {_bm25('vault')} SELECT *, CAST(NULL AS DOUBLE) AS semantic FROM lex WHERE rank <= 20",
-    "cosine_topk": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM e q, e c WHERE q.vec_id < 5 AND c.vec_id >= 5), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10",
     "snippet_semantic": f"WITH {_D}, a AS (SELECT path, content, greatest(greatest(strpos(lower(content), 'the') - 1, 0) - 40, 0) AS s FROM docs) SELECT path, CASE WHEN s > 0 THEN '…' ELSE '' END || trim(substr(content, s + 1, 180), ' ') || CASE WHEN s + 180 < length(content) THEN '…' ELSE '' END AS snippet FROM a",
     "search_metrics": f"WITH {_D}, {_DOCQ}, {_TERMS}, {_bm25('docs')}, w AS (SELECT CAST(doc_id AS INT) AS query_id, source || '/' || doc_id || '.md' AS path FROM documents), r AS (SELECT a.query_id, rank FROM asked a LEFT JOIN (SELECT query_id, rank FROM lex JOIN w USING (query_id, path) WHERE rank <= 20) USING (query_id) WHERE query <> '') SELECT round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS recall_10, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM r",
-    "note_context": f"WITH {_V}, asked AS (SELECT CAST(mtime AS INT) AS query_id, 'S' || mtime AS query, path AS own FROM vault WHERE path LIKE 'Suppliers/%'), {_TERMS}, {_bm25('vault')}, o AS (SELECT query_id, lex.path, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM lex JOIN asked USING (query_id) WHERE rank <= 6 AND lex.path <> own) SELECT * FROM o WHERE k <= 3",
 }

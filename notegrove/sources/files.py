@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,44 @@ from pyspark.sql import functions as F
 MOST_BYTES = 10 * 1024 * 1024
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Only a local master (as in tests) gets a folder of our own where none is set; elsewhere that is an error.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="notegrove-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def shared(spark: SparkSession) -> str:
+    """A new folder there."""
+    return f"{shared_dir(spark)}/notegrove-files/{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: it is computed once, and its lineage ends there."""
+    at = shared(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def few(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcasting if it has ``most`` rows at most, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def scan(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """path (under ``folder``), content, hash, mtime (ms), size of every file below that is named like ``pattern``.
 

@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as rt
 from ..plans import fixtures as fx
 from . import files
-
-
-def shared(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="notegrove-")
-    return f"{top.rstrip('/')}/notegrove-files/{uuid.uuid4().hex}"
+from .files import shared
 
 
 def vault_scan(spark, d):
-    """The notes of nations, put down as files (25 at most) and scanned."""
+    """The notes of the vault put down as files, one each, by tasks, and scanned; a line's end closes each file."""
     top = shared(spark)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(top).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in fx.vault(spark, d).where("path like 'Nations/%'").collect():  # a fixed table of 25 rows
-        out = fs.create(path(f"{top}/{r.path}"), True)
-        out.write(bytearray(r.content.encode()))
-        out.close()
-    return files.scan(spark, top).select("path", "hash", "size")
+    fx.vault(spark, d).select("content", F.col("path").alias("note")).write.partitionBy("note").text(top)
+    found = files.scan(spark, top, "*.txt")
+    # a file lies in the folder that is named after its note, with the slash written out
+    return found.select(F.url_decode(F.regexp_extract("path", "note=([^/]*)/", 1)).alias("path"), "hash", "size")
 
 
 def ndjson(spark, d):
@@ -83,7 +71,7 @@ def embed_pending(spark, d):
 
 QUERIES = {f.__name__: f for f in (vault_scan, ndjson_source, ndjson_sink, rebuild, quarantine, embed_pending)}
 ORACLE = {
-    "vault_scan": f"WITH vault AS ({fx.VAULT}) SELECT path, sha256(content) AS hash, strlen(content) AS size FROM vault WHERE path LIKE 'Nations/%'",
+    "vault_scan": f"WITH vault AS ({fx.VAULT}) SELECT path, sha256(content || chr(10)) AS hash, strlen(content) + 1 AS size FROM vault",
     "ndjson_source": "SELECT event_id, user_id, event_type, props FROM events",
     "ndjson_sink": "SELECT count(*) AS n, count(DISTINCT user_id) AS users, CAST(0 AS BIGINT) AS bad FROM events",
     "rebuild": f"WITH vault AS ({fx.VAULT}) SELECT count(*) AS notes_before, CAST(0 AS BIGINT) AS notes_after FROM vault",

@@ -1,16 +1,15 @@
-"""Streams of note events: debounce, states and retries, each equal to its batch form."""
+"""Streams of note events: debounce, states and retries, each equal to its batch form where files arrive in the order of their events."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import memory, vault
+from ..sources import files
 
 
 ALLOWED = {"accept": ({"candidate", "stale", "disputed"}, "accepted"), "reject": ({"candidate", "stale", "disputed"}, "rejected"), "dispute": ({"accepted"}, "disputed"), "stale": ({"accepted"}, "stale")}
@@ -29,7 +28,7 @@ def debounced(events: DataFrame, gap: str = "1 hour", late: str = "2 hours") ->
 
 
 def states(events: DataFrame) -> DataFrame:
-    """user_id, status, n: the state of each memory after each batch, with the number of its events so far."""
+    """user_id, status, n: the state of each memory after each batch (its events in order within it), with the number of its events so far."""
     actions = F.array(*[F.lit(a) for a in ACTIONS])
     e = events.select("user_id", "ts", "event_id", F.element_at(actions, (F.col("event_id") % 6 + 1).cast("int")).alias("action"))
 
@@ -73,12 +72,19 @@ def latest(events: DataFrame) -> DataFrame:
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """All that ``stream`` gives for the files that are there now."""
-    spark, name = stream.sparkSession, "s" + uuid.uuid4().hex
-    place = spark.conf.get("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="notegrove-"))
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{place}/streams/{name}").trigger(availableNow=True).start()
+    """All that ``stream`` gives for the files that are there now, with the number of its batch (``batch``).
+
+    Each batch is written by tasks as Parquet in the shared folder; a batch that is given again replaces what it wrote. In ``complete`` mode the last batch is all.
+    """
+    spark, at = stream.sparkSession, files.shared(stream.sparkSession)
+
+    def keep(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    out = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{at}/out")
+    return out.join(out.agg(F.max("batch").alias("batch")), "batch").drop("batch") if mode == "complete" else out
 
 
 def incremental(stream: DataFrame, handle, checkpoint: str):
