@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import markdown as md
-from .operators import agent, ask, blocks, graph, health, knowledge, memory, retrieval, vault
+from .operators import agent, ask, blocks, graph, health, knowledge, memory, search, vault
 from .sources import files
 
 
@@ -57,49 +57,112 @@ class Vault:
 
 
 class Search:
-    """Ranked notes for a table of queries (query_id, query)."""
+    """Ranked chunks for a table of queries (query_id, query). ``embed`` is a function of a text column, such as a pandas UDF that gives vectors; without one, hashed words re-rank."""
 
-    def __init__(self, v: Vault):
-        self.vault = v
+    MOST = 100
+
+    def __init__(self, v: Vault, analyzer: str = "porter", embed=None):
+        self.vault, self.embed = v, embed
+        self.index = search.Index.build(v.notes, analyzer)
+        self.names = knowledge.mentions(v.parsed)
+
+    def _limit(self, limit: int) -> int:
+        return max(1, min(limit, self.MOST))
+
+    def query(self, queries: DataFrame, limit: int = 20) -> DataFrame:
+        """The blend, or the lexical hits where the embedder fails."""
+        return search.found(self.index, queries, self.names, self._limit(limit), self.embed)
 
     def lexical(self, queries: DataFrame, limit: int = 20) -> DataFrame:
-        return retrieval.lexical(self.vault.notes, queries, min(limit, 100))
+        return search.lexical(self.index, queries, self._limit(limit))
+
+    def by_place(self, queries: DataFrame, limit: int = 20) -> DataFrame:
+        """For queries without hits: chunks by their heading or note path."""
+        return search.fallback(self.index, queries, self._limit(limit))
 
-    def hybrid(self, queries: DataFrame, limit: int = 20) -> DataFrame:
-        return retrieval.hybrid(self.vault.notes, queries, knowledge.mentions(self.vault.parsed), min(limit, 100))
+    def vectors(self) -> tuple[DataFrame, DataFrame]:
+        """Vectors of all chunks, and jobs for those that the embedder failed on."""
+        return search.embedded(self.index, self.embed)
+
+    def note_context(self, most: int = 3) -> DataFrame:
+        """For each note, by its title, the best chunks of other notes."""
+        t = self.vault.parsed.select(F.xxhash64("path").alias("query_id"), F.col("title").alias("query"), F.col("path").alias("own"))
+        return search.context(self.index, t, self.names, most).join(t.select("query_id", "own"), "query_id").drop("query_id")
 
 
 class Memory:
+    """Memories (path, content, type, status, ...) made of claims, and contradictions between these."""
+
     def __init__(self, v: Vault):
         self.vault = v
 
-    def candidates(self) -> DataFrame:
-        return memory.candidates(self.vault.claims())
+    def candidates(self, stored: DataFrame | None = None) -> DataFrame:
+        """New candidates: what ``stored`` (path, content; of any status) has is never proposed again."""
+        found = memory.candidates(self.vault.claims())
+        return found if stored is None else memory.unseen(found, stored)
 
     def contradictions(self) -> DataFrame:
         return memory.contradictions(self.vault.claims())
 
-    def replay(self, events: DataFrame, key: str) -> DataFrame:
-        return memory.fold_states(events, key)
+    def contradiction_heads(self) -> DataFrame:
+        return memory.contradiction_heads(self.vault.claims())
+
+    def stale(self, memories: DataFrame) -> DataFrame:
+        """Memories whose note is gone."""
+        return memories.join(self.vault.notes.select("path"), "path", "left_anti")
+
+    replay = staticmethod(memory.fold_states)
+    supersede = staticmethod(memory.superseded)
+    listed = staticmethod(memory.listed)
+    next_jobs = staticmethod(memory.next_jobs)
 
 
 class Ask:
-    """Kinds of questions and the memories that bear on them."""
+    """Questions to a vault: ``context`` gathers the evidence, ``answer`` makes answers of it, by ``generate`` (a function of a prompt column) if there is one."""
 
-    def __init__(self, v: Vault):
-        self.vault = v
+    MOST = 20
+
+    def __init__(self, v: Vault, embed=None, generate=None):
+        self.vault, self.embed, self.generate = v, embed, generate
+        self.index = search.Index.build(v.notes)
 
     def classify(self, queries: DataFrame) -> DataFrame:
         return queries.select("query_id", ask.kind(F.col("query")).alias("kind"))
 
+    def context(self, queries: DataFrame, limit: int = ask.CONTEXT) -> ask.Context:
+        return ask.Context(self.vault.notes, queries, self.index, max(1, min(limit, self.MOST)), self.embed)
+
+    def answer(self, queries: DataFrame, limit: int = ask.CONTEXT) -> DataFrame:
+        return self.context(queries, limit).answers(self.generate)
+
     def memories(self, queries: DataFrame, most: int = 3) -> DataFrame:
         return ask.relevant(queries, Memory(self.vault).candidates(), "content", "content", most)
 
+    check = staticmethod(ask.checked)
+
 
 class Agent:
-    """Checks of proposed operations, and their audit."""
+    """Checks of proposed operations, their plans, their undoing, and their audit."""
+
+    def __init__(self, v: Vault):
+        self.vault = v
+
+    def plan_merge(self, paths: list[str], into: str) -> DataFrame:
+        return agent.merged(self.vault.notes, paths, into)
+
+    def plan_link(self, target: str, most: int = 5) -> DataFrame:
+        return agent.linked(self.vault.notes, target, most)
+
+    def plan_metadata(self, most: int = 5) -> DataFrame:
+        return agent.headed(self.vault.notes, most)
+
+    def tools(self) -> DataFrame:
+        return agent.agent_tools(self.vault.notes.sparkSession, "")
 
     prepare = staticmethod(agent.prepare)
     version_check = staticmethod(agent.version_check)
+    verify_applied = staticmethod(agent.misapplied)
+    rollback = staticmethod(agent.rollback)
+    listed = staticmethod(agent.listed)
     chain = staticmethod(agent.chain)
     verify = staticmethod(agent.verify)

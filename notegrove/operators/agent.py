@@ -63,19 +63,42 @@ def op_version_check(spark, d):
     return c.groupBy("op").agg(F.bool_and(F.col("conflict").isNull()).alias("may_run"), F.count("conflict").alias("conflicts"))
 
 
+def misapplied(files: DataFrame) -> DataFrame:
+    """op, failures: operations whose applied files (op, path, content, seen) don't hold what was meant, with those files in order."""
+    bad = files.where(~F.sha2(F.coalesce("seen", F.lit("")), 256).eqNullSafe(F.sha2("content", 256)))
+    return bad.groupBy("op").agg(F.array_join(F.array_sort(F.collect_list("path")), "; ").alias("failures"))
+
+
+def rollback(files: DataFrame, states: DataFrame, now: DataFrame) -> DataFrame:
+    """op, path, undo, to_path, content, refused: instructions that undo each file's change, in operations (op, status) that were executed only.
+
+    What was created is taken back, edits get their old text, moves go back; a file whose present text (``now``: path, now) isn't what the operation left is refused.
+    """
+    f = files.where("action <> 'delete'").join(states.where("status = 'executed'").select("op"), "op", "left_semi")
+    f = f.withColumn("at", F.when(F.col("action") == "move", F.col("new_path")).otherwise(F.col("path")))
+    j = f.join(now.select(F.col("path").alias("at"), "now"), "at", "left")
+    left = F.when(F.col("action") == "move", F.col("old_content")).otherwise(F.col("content"))
+    refused = F.when(F.col("now").isNull(), "missing").when(F.sha2("now", 256) != F.sha2(left, 256), "changed")
+    undo = F.when(F.col("action") == "create", "remove").when(F.col("action") == "move", "move").otherwise("edit")
+    return j.select("op", F.col("at").alias("path"), undo.alias("undo"), F.when(F.col("action") == "move", F.col("path")).alias("to_path"), F.when(F.col("action") == "edit", F.col("old_content")).alias("content"), refused.alias("refused"))
+
+
+#: What files look like after the operations: every seventh was written wrongly, every eleventh changed or went since.
+APPLIED = """SELECT CASE WHEN o_orderkey % 4 = 2 THEN 'Archive/O' ELSE 'Orders/O' END || o_orderkey || '.md' AS path,
+ CASE WHEN o_orderkey % 7 = 0 THEN 'order ' || o_orderkey || ' v2?' WHEN o_orderkey % 4 = 2 OR o_orderkey % 9 = 0 THEN 'order ' || o_orderkey || ' v1' ELSE 'order ' || o_orderkey || ' v2' END AS now FROM orders WHERE o_orderkey % 11 <> 0"""
+
+
 def op_verify(spark, d):
-    """Operations whose applied files don't have the expected hashes, with those files; every seventh file was written wrongly."""
+    """Operations whose applied files don't have the expected hashes, with those files."""
     f = _files(spark, d).where("action in ('create', 'edit')")
-    seen = F.when(F.col("k") % 7 == 0, F.concat("content", F.lit("?"))).otherwise(F.col("content"))
-    bad = f.where(F.sha2(seen, 256) != F.sha2("content", 256))
-    return bad.groupBy("op").agg(F.array_join(F.array_sort(F.collect_list("path")), "; ").alias("failures"))
+    return misapplied(f.join(fx.sql(spark, d, APPLIED).withColumnRenamed("now", "seen"), "path", "left"))
 
 
 def op_rollback(spark, d):
-    """Instructions that undo each file's change: what was created is taken back, edits get their old text, moves go back."""
-    f = _files(spark, d).where("action <> 'delete'")
-    undo = F.when(F.col("action") == "create", "remove").when(F.col("action") == "move", "move").otherwise("edit")
-    return f.select("op", F.when(F.col("action") == "move", F.col("new_path")).otherwise(F.col("path")).alias("path"), undo.alias("undo"), F.when(F.col("action") == "move", F.col("path")).alias("to_path"), F.when(F.col("action") == "edit", F.col("old_content")).alias("content"))
+    """How operations are undone; those of customers divisible by three were never executed."""
+    f = _files(spark, d)
+    states = f.select("op").distinct().withColumn("status", F.when(F.col("op") % 3 == 0, "approved").otherwise("executed"))
+    return rollback(f, states, fx.sql(spark, d, APPLIED))
 
 
 def op_list(spark, d):
@@ -165,29 +188,38 @@ def line_diff(spark, d):
     return z.select("path", F.explode(kinds).alias("kind")).groupBy("path").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("context", "delete", "add")])
 
 
-def _texts(spark, d, where):
-    c = blocks.chunk_rows(fx.vault(spark, d).where(where))
-    return c.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n\n").alias("content"))
+def merged(notes: DataFrame, paths: list[str], into: str) -> DataFrame:
+    """path, new_content: the edit that folds the notes ``paths`` into one of them; the others stay."""
+    c = blocks.chunk_rows(notes.where(F.col("path").isin([*paths, into])))
+    t = c.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n\n").alias("content"))
+    part = F.concat(F.lit("\n\n## From "), md.stem(F.col("path")), F.lit("\n\n"), F.trim("content"))
+    body = t.where(F.col("path") != into).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", part.alias("p")))), lambda x: x["p"]), "").alias("body"))
+    return t.where(F.col("path") == into).crossJoin(body).select("path", F.concat(F.rtrim("content"), F.lit("\n"), "body").alias("new_content"))
+
+
+def linked(notes: DataFrame, target: str, most: int = 5) -> DataFrame:
+    """path, new_content: ``most`` notes that name ``target`` without linking to it, each with a link added. The target's own note is none of them."""
+    link = f"[[{target}]]"
+    t = notes.where(F.lower("content").contains(target.lower()) & ~F.contains("content", F.lit(link)) & (F.lower(md.stem(F.col("path"))) != target.lower()))
+    return t.orderBy("path").limit(most).select("path", F.concat(F.rtrim("content"), F.lit(f"\n\nRelated: {link}")).alias("new_content"))
+
+
+def headed(notes: DataFrame, most: int = 5, among: int = 100) -> DataFrame:
+    """path, new_content: of the first ``among`` notes ``most`` without a first-level heading, each with its title added."""
+    n = md.parsed(notes.orderBy("path").limit(among)).where(~F.col("content").rlike(r"(^|\n)[ \t]*# "))
+    return n.orderBy("path").limit(most).select("path", F.concat(F.lit("# "), "title", F.lit("\n\n"), F.ltrim("content")).alias("new_content"))
 
 
 def plan_merge(spark, d):
-    """The edit that folds some suppliers' notes into the first one's; sources stay."""
-    t = _texts(spark, d, "path in ('Suppliers/S1.md', 'Suppliers/S2.md', 'Suppliers/S3.md')")
-    part = F.concat(F.lit("\n\n## From "), md.stem(F.col("path")), F.lit("\n\n"), F.trim("content"))
-    body = t.where("path <> 'Suppliers/S1.md'").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", part.alias("p")))), lambda x: x["p"]), "").alias("body"))
-    return t.where("path = 'Suppliers/S1.md'").crossJoin(body).select("path", F.concat(F.rtrim("content"), F.lit("\n"), "body").alias("new_content"))
+    return merged(fx.vault(spark, d), [f"Suppliers/S{k}.md" for k in (1, 2, 3)], "Suppliers/S1.md")
 
 
 def plan_link(spark, d):
-    """Five notes at most that name a nation without linking to it, each with a link added."""
-    t = fx.vault(spark, d).where("path like 'Suppliers/%'").where(F.lower("content").contains("n1") & ~F.contains("content", F.lit("[[N1]]")))
-    return t.orderBy("path").limit(5).select("path", F.concat(F.rtrim("content"), F.lit("\n\nRelated: [[N1]]")).alias("new_content"))
+    return linked(fx.vault(spark, d).where("path like 'Suppliers/%'"), "N1")
 
 
 def plan_metadata(spark, d):
-    """Of the first hundred notes, five at most without a first-level heading, each with its title added."""
-    n = md.parsed(fx.vault(spark, d).orderBy("path").limit(100)).where(~F.col("content").rlike(r"(^|\n)[ \t]*# "))
-    return n.orderBy("path").limit(5).select("path", F.concat(F.lit("# "), "title", F.lit("\n\n"), F.ltrim("content")).alias("new_content"))
+    return headed(fx.vault(spark, d))
 
 
 _ORDER = f"f AS ({FILES})"
@@ -198,8 +230,8 @@ QUERIES = {f.__name__: f for f in (op_prepare, op_version_check, op_verify, op_r
 ORACLE = {
     "op_prepare": f"WITH {_ORDER}, x AS (SELECT *, CASE WHEN action = 'delete' THEN 'delete is disabled' WHEN action = 'edit' AND old_content = content THEN 'edit changes nothing' END AS fault FROM f) SELECT op, count(*) AS n_files, CASE WHEN count(*) > 3 OR bool_or(action = 'move') THEN 'medium' ELSE 'low' END AS risk, min_by(fault, path) FILTER (fault IS NOT NULL) AS error FROM x GROUP BY op",
     "op_version_check": f"WITH {_ORDER}, n AS ({NOW}), c AS (SELECT op, CASE WHEN action = 'create' THEN CASE WHEN now IS NOT NULL THEN 'exists' END WHEN now IS NULL THEN 'missing' WHEN now <> old_content THEN 'changed' END AS conflict FROM f LEFT JOIN n USING (path) WHERE action <> 'delete') SELECT op, bool_and(conflict IS NULL) AS may_run, count(conflict) AS conflicts FROM c GROUP BY op",
-    "op_verify": f"WITH {_ORDER} SELECT op, string_agg(path, '; ' ORDER BY path) AS failures FROM f WHERE action IN ('create', 'edit') AND k % 7 = 0 GROUP BY op",
-    "op_rollback": f"WITH {_ORDER} SELECT op, CASE WHEN action = 'move' THEN new_path ELSE path END AS path, CASE action WHEN 'create' THEN 'remove' WHEN 'move' THEN 'move' ELSE 'edit' END AS undo, CASE WHEN action = 'move' THEN path END AS to_path, CASE WHEN action = 'edit' THEN old_content END AS content FROM f WHERE action <> 'delete'",
+    "op_verify": f"WITH {_ORDER}, a AS ({APPLIED}) SELECT op, string_agg(f.path, '; ' ORDER BY f.path) AS failures FROM f LEFT JOIN a ON a.path = f.path WHERE action IN ('create', 'edit') AND coalesce(now, '') <> content GROUP BY op",
+    "op_rollback": f"WITH {_ORDER}, a AS ({APPLIED}), g AS (SELECT *, CASE WHEN action = 'move' THEN new_path ELSE path END AS spot FROM f WHERE action <> 'delete' AND op % 3 <> 0) SELECT op, spot AS path, CASE action WHEN 'create' THEN 'remove' WHEN 'move' THEN 'move' ELSE 'edit' END AS undo, CASE WHEN action = 'move' THEN g.path END AS to_path, CASE WHEN action = 'edit' THEN old_content END AS content, CASE WHEN now IS NULL THEN 'missing' WHEN now <> CASE WHEN action = 'move' THEN old_content ELSE g.content END THEN 'changed' END AS refused FROM g LEFT JOIN a ON a.path = g.spot",
     "op_list": f"WITH {_ORDER} SELECT op, max(k) AS newest, string_agg(action, ',' ORDER BY k, action) AS actions FROM f GROUP BY op ORDER BY newest DESC LIMIT 100",
     "op_transitions": "WITH RECURSIVE o AS (SELECT user_id AS op, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), r AS (SELECT op, 0::BIGINT AS i, 'pending' AS s FROM (SELECT DISTINCT op FROM o) UNION ALL SELECT o.op, o.i, CASE WHEN event_id % 4 = 0 AND s = 'pending' THEN 'approved' WHEN event_id % 4 = 1 AND s = 'pending' THEN 'rejected' WHEN event_id % 4 = 2 AND s = 'approved' THEN 'executed' WHEN event_id % 4 = 3 AND s = 'executed' THEN 'rolled_back' ELSE s END FROM r JOIN o ON o.op = r.op AND o.i = r.i + 1) SELECT op, max_by(s, i) AS status FROM r GROUP BY op",
     "agent_tools": "SELECT name, permission, mutates, CASE WHEN permission = 'vault_delete' THEN 'denied' WHEN mutates THEN 'confirm' ELSE 'allow' END AS decision FROM (VALUES " + ", ".join(f"('{n}', '{p}', {str(m).lower()})" for n, p, m in TOOLS) + ") AS t(name, permission, mutates)",

@@ -217,4 +217,19 @@ def note_from_chunks(spark, d):
 
 
 QUERIES = {"md_blocks": md_blocks, "chunks": md_chunks, "chunks_split": chunks_split, "chunks_hard": chunks_hard, "chunk_ordinals": chunk_ordinals, "note_from_chunks": note_from_chunks}
-ORACLE: dict[str, str] = {}
+_P = "chr(10) || chr(10)"
+#: The vault's notes cut by SQL at their blank lines; every part but code is a paragraph or a heading.
+_CUT = f"""vault AS ({fx.VAULT}), c AS (SELECT *, string_split(content, {_P}) AS s, regexp_extract(content, '(^|\\n)# ([^\\n]*)', 2) AS heading FROM vault),
+ch AS (SELECT path, 0 AS ordinal, heading AS heading_path, CASE WHEN path LIKE 'Parts/%' THEN s[2] || chr(10) || {_P} || s[3] WHEN path LIKE 'Suppliers/%' THEN s[2] || chr(10) WHEN path LIKE 'Nations/%' THEN s[2] ELSE content END AS text, CASE WHEN path LIKE 'Inbox/%' THEN 0 ELSE strlen(s[1]) + 2 END AS start,
+ CASE WHEN path LIKE 'Suppliers/%' THEN strlen(s[1]) + strlen(s[2]) + 3 ELSE strlen(content) END AS fin FROM c UNION ALL SELECT path, 1, heading, s[3], strlen(s[1]) + strlen(s[2]) + 4, strlen(content) FROM c WHERE path LIKE 'Suppliers/%')"""
+_COUNT = r"CAST(list_sum(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), lambda w: greatest(strlen(w) // 5, 1) + CASE WHEN regexp_matches(w[1], '[\p{L}\p{N}]') THEN 0 ELSE 1 END)) AS INT)"
+_BLOCKS = f"""b AS (SELECT path, 'heading' AS kind, 1 AS level, '# ' || heading AS text, strlen(s[1]) - strlen(heading) - 2 AS start, strlen(s[1]) + 1 AS fin FROM c WHERE heading <> ''
+UNION ALL SELECT path, 'paragraph', 0, CASE WHEN len(s) > 2 THEN s[2] || chr(10) ELSE s[2] END, strlen(s[1]) + 2, strlen(s[1]) + 2 + strlen(s[2]) + CASE WHEN len(s) > 2 THEN 1 ELSE 0 END FROM c WHERE heading <> ''
+UNION ALL SELECT path, CASE WHEN path LIKE 'Suppliers/%' THEN 'code' ELSE 'paragraph' END, 0, s[3], strlen(s[1]) + strlen(s[2]) + 4, strlen(content) FROM c WHERE len(s) > 2
+UNION ALL SELECT path, 'paragraph', 0, content, 0, strlen(content) FROM c WHERE heading = '')"""
+ORACLE = {
+    "md_blocks": f'WITH {_CUT}, {_BLOCKS} SELECT path, kind, level, text, start, fin AS "end" FROM b',
+    "chunks": f"WITH {_CUT} SELECT path, ordinal, heading_path, text, start, fin AS \"end\", {_COUNT} AS tokens, sha256(path || '|' || ordinal) AS chunk_id FROM ch",
+    "chunk_ordinals": f"WITH {_CUT} SELECT path, CAST(ordinal AS BIGINT) AS ordinal, strlen(text) > 0 AS filled FROM ch",
+    "note_from_chunks": f"WITH {_CUT} SELECT path, string_agg(text, {_P} ORDER BY ordinal) AS content FROM ch GROUP BY path",
+}

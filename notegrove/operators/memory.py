@@ -28,6 +28,29 @@ def candidates(claims: DataFrame) -> DataFrame:
     return c.groupBy("path", "content").agg(F.min_by(_map(MEMORY_TYPES)[F.col("claim_type")], first).alias("type"), F.min_by("object", first).alias("excerpt"))
 
 
+def unseen(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """Those of ``found`` (path, content, ...) that ``stored`` (path, content; of any status, so rejected ones too) doesn't have."""
+    return found.join(stored.select("path", "content").distinct(), ["path", "content"], "left_anti")
+
+
+def superseded(memories: DataFrame, changes: DataFrame) -> DataFrame:
+    """Memories (id, content, status, sources, valid_until) after ``changes`` (id, new_id, new_content, ts): the old version is closed at ts, the new one is accepted and inherits its sources.
+
+    Rejected memories, and changes of memories that aren't there, are refused: they change nothing. Of several changes of a memory the first by ts and new_id holds.
+    """
+    one = changes.groupBy("id").agg(F.min(F.struct("ts", "new_id", "new_content")).alias("c"))
+    j = memories.join(one, "id", "left")
+    goes = F.col("c").isNotNull() & (F.col("status") != "rejected")
+    old = j.select("id", "content", F.when(goes, "superseded").otherwise(F.col("status")).alias("status"), "sources", F.when(goes, F.col("c.ts")).otherwise(F.col("valid_until")).alias("valid_until"))
+    new = j.where(goes).select(F.col("c.new_id").alias("id"), F.col("c.new_content").alias("content"), F.lit("accepted").alias("status"), "sources", F.lit(None).cast(memories.schema["valid_until"].dataType).alias("valid_until"))
+    return old.unionByName(new)
+
+
+def listed(memories: DataFrame, most: int = 1000) -> DataFrame:
+    """The ``most`` memories that were updated last (updated_at, ties by id), newest first."""
+    return memories.orderBy(F.desc("updated_at"), "id").limit(most)
+
+
 def contradiction_pairs(claims: DataFrame) -> DataFrame:
     """kind, a, b (path:offset): pairs of claims of one subject and type with opposite polarity, the earlier one first.
 
@@ -147,11 +170,18 @@ def memory_update(spark, d):
 
 
 def memory_supersede(spark, d):
-    """Each memory's versions: closed ones end when the next begins; rejected ones are never superseded."""
-    e = fx.table(spark, d, "events").where("event_type = 'purchase' or event_id % 3 = 0")
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    nxt = F.lead("event_id").over(w)
-    return e.select("user_id", "event_id", F.when(nxt.isNull(), "accepted").otherwise("superseded").alias("status"), nxt.alias("superseded_by"))
+    """Purchases as memories, every seventh rejected, and refunds-to-be (other events divisible by three) as changes of the purchase whose number is a third of theirs."""
+    e = fx.table(spark, d, "events")
+    ts = F.col("ts").cast("timestamp_ntz")
+    m = e.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), F.concat("event_type", F.lit(" of "), "user_id").alias("content"), F.when(F.col("event_id") % 7 == 0, "rejected").otherwise("accepted").alias("status"), F.array(F.concat(F.lit("Users/U"), "user_id", F.lit(".md"))).alias("sources"), F.lit(None).cast("timestamp_ntz").alias("valid_until"))
+    c = e.where("event_id % 3 = 0").select((F.col("event_id") / 3).cast("long").alias("id"), (F.col("event_id") + 1_000_000_000).alias("new_id"), F.concat(F.lit("now "), "event_type").alias("new_content"), ts.alias("ts"))
+    return superseded(m, c).withColumn("sources", F.array_join("sources", ","))
+
+
+def memory_unseen(spark, d):
+    """Candidates that aren't stored yet; of those in notes of parts whose number ends in 1 all are, as rejected ones."""
+    found = candidates(_claims(spark, d))
+    return unseen(found, found.where("path like 'Parts/%1.md'")).select("path", "content", "type")
 
 
 def stale_memories(spark, d):
@@ -238,7 +268,7 @@ def _replay(step: str, key: str, zero: str, value: str) -> str:
     return f"""WITH RECURSIVE o AS (SELECT {key} AS k, event_id, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i FROM events), r AS (SELECT k, 0::BIGINT AS i, {zero} FROM (SELECT DISTINCT k FROM o) UNION ALL SELECT o.k, o.i, {step} FROM r JOIN o ON o.k = r.k AND o.i = r.i + 1) SELECT {value} FROM r"""
 
 
-QUERIES = {"contradictions": q_contradictions, "contradiction_classes": q_contradiction_classes} | {f.__name__: f for f in (memory_candidates, contradictions_incremental, contradiction_list, contradiction_resolve, memory_transitions, memory_update, memory_supersede, stale_memories, memory_list, resolve_later, job_replay, job_dequeue, job_backoff)}
+QUERIES = {"contradictions": q_contradictions, "contradiction_classes": q_contradiction_classes} | {f.__name__: f for f in (memory_candidates, contradictions_incremental, contradiction_list, contradiction_resolve, memory_transitions, memory_update, memory_supersede, memory_unseen, stale_memories, memory_list, resolve_later, job_replay, job_dequeue, job_backoff)}
 ORACLE = {
     "memory_candidates": f"WITH {KNOWN}, {_MEM} SELECT * FROM mems",
     "contradictions": f"WITH {KNOWN}, {_CON} SELECT * FROM cons",
@@ -248,7 +278,8 @@ ORACLE = {
     "contradiction_resolve": f"WITH {KNOWN}, {_CON} SELECT subject, kind, a, b, CASE (length(a) + length(b)) % 3 WHEN 0 THEN 'resolved_keep_both' WHEN 1 THEN 'ignored' ELSE 'resolved_later_current' END AS status, CASE WHEN (length(a) + length(b)) % 3 = 2 THEN a END AS superseded FROM chead",
     "memory_transitions": _replay("CASE WHEN event_id % 6 = 0 AND status IN ('candidate', 'stale', 'disputed') THEN 'accepted' WHEN event_id % 6 = 1 AND status IN ('candidate', 'stale', 'disputed') THEN 'rejected' WHEN event_id % 6 = 2 AND status = 'accepted' THEN 'disputed' WHEN event_id % 6 = 3 AND status = 'accepted' THEN 'stale' WHEN event_id % 6 = 4 AND status <> 'rejected' THEN 'superseded' ELSE status END", "user_id", "'candidate' AS status", "k AS user_id, max_by(status, i) AS status, max(i) AS n") + " GROUP BY k",
     "memory_update": "SELECT event_id, event_id % 3 <> 2 AND event_id % 4 <> 0 AS valid FROM events",
-    "memory_supersede": "SELECT user_id, event_id, CASE WHEN lead(event_id) OVER w IS NULL THEN 'accepted' ELSE 'superseded' END AS status, lead(event_id) OVER w AS superseded_by FROM events WHERE event_type = 'purchase' OR event_id % 3 = 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
+    "memory_supersede": "WITH m AS (SELECT event_id AS id, event_type || ' of ' || user_id AS content, CASE WHEN event_id % 7 = 0 THEN 'rejected' ELSE 'accepted' END AS status, 'Users/U' || user_id || '.md' AS sources FROM events WHERE event_id % 2 = 0), c AS (SELECT event_id // 3 AS id, event_id + 1000000000 AS new_id, 'now ' || event_type AS new_content, ts FROM events WHERE event_id % 3 = 0), j AS (SELECT m.*, new_id, new_content, ts, c.id IS NOT NULL AND status <> 'rejected' AS goes FROM m LEFT JOIN c ON c.id = m.id) SELECT id, content, CASE WHEN goes THEN 'superseded' ELSE status END AS status, sources, CASE WHEN goes THEN ts END AS valid_until FROM j UNION ALL SELECT new_id, new_content, 'accepted', sources, NULL FROM j WHERE goes",
+    "memory_unseen": f"WITH {KNOWN}, {_MEM} SELECT path, content, type FROM mems WHERE NOT path LIKE 'Parts/%1.md'",
     "stale_memories": f"WITH {KNOWN}, {_MEM} SELECT path, content FROM mems WHERE path IN (SELECT path FROM vault WHERE path LIKE 'Suppliers/%' AND mtime % 4 = 0)",
     "memory_list": f"WITH {KNOWN}, {_MEM} SELECT type, content, count(*) AS n_sources, min(path) AS first_source, max(path) AS last_source FROM mems GROUP BY 1, 2",
     "resolve_later": f"WITH {KNOWN}, {_MEM} SELECT claim_type, count(*) AS n, count(type) AS with_memory FROM (SELECT c.claim_type, m.type FROM (SELECT path, claim_type, {_CLEAN} AS content FROM claims) c LEFT JOIN mems m ON m.path = c.path AND m.content = c.content) GROUP BY 1",
