@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..plans import fixtures as fx
+from ..sources.files import migrated, recorded_version
 from . import knowledge as kn
 from .knowledge import KNOWN
 
@@ -63,7 +64,21 @@ def job_stats(spark, d):
 
 
 def schema_version(spark, d):
-    return fx.table(spark, d, "events").where("event_id < 0").agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("version"))
+    """The version of each customer's store: events are migrations, recorded under the customer of their user."""
+    e = fx.table(spark, d, "events").select(F.col("user_id").alias("store"), (F.col("event_id") % 4 + 1).alias("version"))
+    stores = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("store"))
+    return recorded_version(stores.join(e, "store", "left"), "store")
+
+
+#: What made versions 2 and 3 of a table of notes.
+STEPS = {2: lambda df: df.withColumn("hash", F.sha2("content", 256)), 3: lambda df: df.withColumn("size", F.octet_length("content").cast("long")).drop("content")}
+
+
+def migrations(spark, d):
+    """Documents as notes of version 1 brought to the newest version; a table that is there already stays as it is."""
+    notes, at = migrated(fx.doc_notes(spark, d).select("path", "content"), 1, STEPS)
+    again, _ = migrated(notes, at, STEPS)
+    return again.withColumn("version", F.lit(at).cast("long"))
 
 
 def models_status(spark, d):
@@ -78,7 +93,7 @@ def note_payload_valid(spark, d):
     return t.select("k", ((F.col("path") != "") & ~F.col("path").startswith("/") & F.col("hash").rlike("^[0-9a-fA-F]{64}$")).alias("valid"))
 
 
-QUERIES = {"broken_links": q_broken_links, "orphans": q_orphans} | {f.__name__: f for f in (health_counts, health_detailed, job_stats, schema_version, models_status, note_payload_valid)}
+QUERIES = {"broken_links": q_broken_links, "orphans": q_orphans} | {f.__name__: f for f in (health_counts, health_detailed, job_stats, schema_version, migrations, models_status, note_payload_valid)}
 _ORPHANS = "SELECT path FROM vault v WHERE path NOT IN (SELECT path FROM linked) AND path NOT IN (SELECT resolved FROM linked WHERE resolved IS NOT NULL)"
 ORACLE = {
     "broken_links": f"WITH {KNOWN} SELECT path, target AS detail FROM linked WHERE resolved IS NULL",
@@ -86,7 +101,8 @@ ORACLE = {
     "health_counts": f"WITH {KNOWN} SELECT (SELECT count(*) FROM vault) AS total_notes, (SELECT count(*) FROM ents) AS total_entities, (SELECT count(*) FROM claims) AS total_claims, (SELECT count(*) FROM claims WHERE claim_type IN ('DECISION', 'PREFERENCE', 'GOAL', 'EXPERIENCE')) AS candidates, (SELECT count(*) FROM linked WHERE resolved IS NULL) AS broken_links",
     "health_detailed": f"WITH {KNOWN}, g AS (SELECT count(*) OVER (PARTITION BY content) AS n FROM vault) SELECT 'broken_link' AS kind, count(*) AS n FROM linked WHERE resolved IS NULL UNION ALL SELECT 'orphan', count(*) FROM ({_ORPHANS}) UNION ALL SELECT 'duplicate', count(*) FROM g WHERE n > 1",
     "job_stats": "SELECT count(*) FILTER (event_id % 4 = 0) AS pending, count(*) FILTER (event_id % 4 = 1) AS running, count(*) FILTER (event_id % 4 = 2) AS completed, count(*) FILTER (event_id % 4 = 3) AS failed FROM events",
-    "schema_version": "SELECT coalesce(max(event_id), 0) AS version FROM events WHERE event_id < 0",
+    "schema_version": "SELECT c_custkey AS store, coalesce(max(event_id % 4 + 1), 0) AS version FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1",
+    "migrations": f"WITH docs AS ({fx.DOC_NOTES}) SELECT path, sha256(content) AS hash, strlen(content) AS size, CAST(3 AS BIGINT) AS version FROM docs",
     "models_status": "SELECT count(*) AS chunks_total, count(embedding) AS chunks_embedded, count(*) FILTER (embedding IS NULL) AS chunks_pending FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
     "note_payload_valid": "SELECT o_orderkey AS k, o_orderkey % 4 IN (2, 3) AND o_orderkey % 3 <> 0 AS valid FROM orders",
 }

@@ -140,7 +140,7 @@ ORACLE = {
     "renames": f"WITH {_R} SELECT old_path, new_path FROM renames",
     "sync_plan": f"WITH {_R} SELECT path, CASE WHEN a.old_path IS NOT NULL THEN 'move' WHEN b.new_path IS NOT NULL THEN 'moved' WHEN status IN ('added', 'modified') THEN 'fetch' WHEN status = 'deleted' THEN 'delete' ELSE 'keep' END AS action, a.old_path AS moved_from FROM diff LEFT JOIN renames a ON a.new_path = path LEFT JOIN renames b ON b.old_path = path",
     "to_fetch": f"WITH {_R} SELECT path FROM diff WHERE status IN ('added', 'modified') AND path NOT IN (SELECT new_path FROM renames)",
-    "hash_verify": f"WITH {_D} SELECT path, mtime % 7 <> 0 AS holds FROM docs",
+    "hash_verify": f"WITH {_D} SELECT path, sha256(content) = sha256(CASE WHEN mtime % 7 = 0 THEN content || 'x' ELSE content END) AS holds FROM docs",
     "duplicates": f"WITH {_D}, g AS (SELECT path AS note, min(path) OVER (PARTITION BY content) AS first_note, count(*) OVER (PARTITION BY content) AS n FROM docs) SELECT * FROM g WHERE n > 1",
     "duplicate_groups": f"WITH {_D} SELECT sha256(content) AS hash, count(*) AS n, min(path) AS first_note, max(path) AS last_note FROM docs GROUP BY 1 HAVING count(*) > 1",
     "upsert_notes": f"WITH {_V} SELECT path, sha256(CASE WHEN mtime % 3 = 0 THEN content || ' edited' ELSE content END) AS hash FROM vault WHERE mtime % 5 <> 0 OR mtime % 3 = 0",

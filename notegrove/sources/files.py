@@ -131,3 +131,21 @@ class Snapshots:
             self.fs.rename(self._path(f"data/{name}"), self._path(f"data/corrupt-{name}"))
             self.fs.delete(self._path("CURRENT"), False)
             return self.spark.createDataFrame([], schema)
+
+
+def migrated(df: DataFrame, at: int, steps: dict, to: int | None = None) -> tuple[DataFrame, int]:
+    """``df``, a table of version ``at``, brought to version ``to`` (the newest, if none is named), and that version.
+
+    ``steps[v]`` makes version v of version v - 1, as a function of a DataFrame. Steps that a table has behind it aren't run again; going back raises, and so does a step that is missing.
+    """
+    to = max([at, *steps]) if to is None else to
+    if to < at:
+        raise ValueError(f"a table of version {at} can't go back to {to}")
+    for v in range(at + 1, to + 1):
+        df = steps[v](df)
+    return df, to
+
+
+def recorded_version(log: DataFrame, key: str) -> DataFrame:
+    """``key``, version: the highest version recorded for each key (``key``, version); 0 where none is (version null)."""
+    return log.groupBy(key).agg(F.coalesce(F.max("version"), F.lit(0)).cast("long").alias("version"))

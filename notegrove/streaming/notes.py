@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import memory, vault
+from ..operators import blocks, memory, vault
 from ..sources import files
 
 
@@ -92,6 +92,42 @@ def incremental(stream: DataFrame, handle, checkpoint: str):
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def indexed(stream: DataFrame, at: str):
+    """An index of chunks kept by batches: the chunks of the notes that changed, and of no others, are made and written under the batch's number.
+
+    ``stream`` has path and content; a note that comes again replaces its earlier chunks (``current``).
+    """
+
+    def index(batch: DataFrame, number: int) -> None:
+        last = batch.dropDuplicates(["path"])
+        blocks.chunk_rows(last).write.mode("overwrite").parquet(f"{at}/chunks/batch={number}")
+
+    return incremental(stream, index, f"{at}/log")
+
+
+def current(spark: SparkSession, at: str) -> DataFrame:
+    """The chunks that hold now: of each note those of its newest batch."""
+    c = spark.read.parquet(f"{at}/chunks")
+    newest = c.groupBy("path").agg(F.max("batch").alias("batch"))
+    return c.join(newest, ["path", "batch"]).drop("batch")
+
+
+def index_stream(spark, d):
+    """Chunks of documents as they arrive, indexed batch by batch."""
+    at = files.shared(spark)
+    docs = event_stream(spark, d, "documents.parquet")
+    indexed(docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.coalesce("text", F.lit("")).alias("content")), at).awaitTermination()
+    return current(spark, at).groupBy("path").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+
+
+def rename_stream(spark, d):
+    """Renames (here: signups) go through at once, each by itself; other events in bursts."""
+    e = event_stream(spark, d)
+    moves = finished(e.where("event_type = 'signup'").select("user_id", F.col("ts").cast("timestamp_ntz").alias("first_ts"), F.lit(1).cast("long").alias("n"), F.col("event_id").alias("last_event")), "append")
+    bursts = finished(debounced(e.where("event_type <> 'signup'")), "complete")
+    return moves.drop("batch").withColumn("kind", F.lit("rename")).unionByName(bursts.withColumn("kind", F.lit("burst")))
+
+
 def debounce_stream(spark, d):
     return finished(debounced(event_stream(spark, d)), "complete")
 
@@ -110,9 +146,10 @@ def latest_stream(spark, d):
     return finished(latest(event_stream(spark, d)), "complete")
 
 
-QUERIES = {f.__name__: f for f in (debounce_stream, memory_transitions_stream, job_replay_stream, latest_stream)}
+QUERIES = {f.__name__: f for f in (debounce_stream, rename_stream, index_stream, memory_transitions_stream, job_replay_stream, latest_stream)}
 ORACLE = {
     "debounce_stream": vault.ORACLE["debounce"],
+    "rename_stream": "SELECT user_id, ts AS first_ts, CAST(1 AS BIGINT) AS n, event_id AS last_event, 'rename' AS kind FROM events WHERE event_type = 'signup' UNION ALL SELECT *, 'burst' FROM (" + vault.ORACLE["debounce"].replace("FROM events", "FROM events WHERE event_type <> 'signup'") + ")",
     "memory_transitions_stream": memory.ORACLE["memory_transitions"],
     "job_replay_stream": memory.ORACLE["job_replay"],
     "latest_stream": "SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2",
