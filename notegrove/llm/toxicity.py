@@ -59,6 +59,16 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+def _counted(docs: list[np.ndarray], group: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of ``docs`` and in how many of them each is; a group of documents at a time, so that no copy of all is made."""
+    ids, c = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for k in range(0, len(docs), group):
+        u, n = np.unique(np.concatenate(docs[k : k + group]), return_counts=True)
+        ids, at = np.unique(np.concatenate((ids, u)), return_inverse=True)
+        c = np.bincount(at, np.concatenate((c, n)), len(ids)).astype(np.int64)
+    return ids, c
+
+
 def fit(texts: list[bytes], labels: list[int], most_terms: int = 4096, factors: int = 4, epochs: int = 12, rate: float = 0.3, decay: float = 1e-3, margin: float = 2.0, seed: int = 11) -> Model:
     """Fit by AdaGrad on the logistic loss. The terms are the ``most_terms`` with the highest likelihood ratio against the label,
     those in at least 3 texts; a term counts once in a text. The order of the texts is that given, shuffled by ``seed``.
@@ -71,10 +81,10 @@ def fit(texts: list[bytes], labels: list[int], most_terms: int = 4096, factors:
     n, pos = len(y), y.sum()
     if not n or pos in (0, n):
         return Model(np.empty(0, np.uint64), float(np.log((pos + 0.5) / (n - pos + 0.5))), np.empty(0), np.empty((0, factors)))
-    ids, c = np.unique(np.concatenate(docs), return_counts=True)
+    ids, c = _counted(docs)
     ids, c = ids[c >= 3], c[c >= 3].astype(float)
     p = np.zeros(len(ids))
-    toxic, k = np.unique(np.concatenate([d for d, one in zip(docs, y) if one]), return_counts=True)
+    toxic, k = _counted([d for d, one in zip(docs, y) if one])
     at = np.minimum(np.searchsorted(toxic, ids), max(len(toxic) - 1, 0))
     if len(toxic):
         p = np.where(toxic[at] == ids, k[at], 0).astype(float)
@@ -167,7 +177,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         m = Model(*sent.value)
-        seen = _Terms(m.known)
+        seen = _Terms(m.known, 120_000)
         for b in batches:
             out = []
             for t in b.column(at).cast(pa.binary()).to_pylist():
