@@ -9,13 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.stem import stems
 from ..plans import fixtures as fx
 from ..sources import files
 from . import blocks
-from . import knowledge as kn
 from . import retrieval as rt
 from .knowledge import KNOWN
 from .retrieval import words

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notegrove.api import Ask, Memory, Search, Vault
-from notegrove.operators import agent, folds, memory, search
+from notegrove.operators import agent, folds, knowledge, memory, search
 from notegrove.sources import files
 from notegrove.streaming import notes as streams
 
@@ -72,7 +72,7 @@ def test_stems_find_and_words_don_t(spark, vault):
     stems, plain = search.Index.build(vault.notes), search.Index.build(vault.notes, "words")
     assert [(r.query_id, r.path) for r in search.lexical(stems, q).where("query_id = 0").collect()] == [(0, "a.md")]
     assert search.lexical(plain, q).where("query_id < 2").count() == 0
-    hits = search.hybrid(stems, q, search.kn.mentions(vault.parsed)).where("query_id = 0").collect()
+    hits = search.hybrid(stems, q, knowledge.mentions(vault.parsed)).where("query_id = 0").collect()
     assert [r.snippet for r in hits] == ["Copper «seals» «failed» twice. We decided to use steel."] and hits[0].heading_path == "Copper"
     # no hit, and the last word of the query is in a heading
     assert [(r.path, r.heading_path) for r in search.fallback(stems, q).collect()] == [("a.md", "Copper > Costs")]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notegrove.functions import markdown as md
-from notegrove.operators import agent, ask, blocks, knowledge, memory, retrieval, vault
+from notegrove.operators import agent, ask, blocks, knowledge, memory, retrieval, search, vault
 
 
 def notes(spark, *rows):
@@ -125,8 +125,12 @@ def test_ambiguous_renames(spark):
 
 def test_contradiction_order(spark):
     n = md.parsed(notes(spark, ("Old.md", "I prefer Vim for editing."), ("Zew.md", "I do not prefer Vim for editing anymore.")))
-    r = memory.contradictions(knowledge.claims(n)).collect()
+    r = memory.contradiction_pairs(knowledge.claims(n)).collect()
     assert [tuple(x) for x in r] == [("preference_conflict", "Old.md:0", "Zew.md:0")]
+    each = memory.contradictions(knowledge.claims(n)).collect()
+    assert sorted((x.at, x.polarity, x.opposed, x["first"]) for x in each) == [("Old.md:0", 1, 1, "Zew.md:0"), ("Zew.md:0", -1, 1, "Old.md:0")]
+    h = memory.contradiction_heads(knowledge.claims(n)).first()
+    assert (h.a, h.b, h.positives, h.negatives) == ("Old.md:0", "Zew.md:0", 1, 1)
 
 
 def test_memory_is_cleaned(spark):
@@ -147,7 +151,7 @@ def test_ranking(spark):
     got = [(r.query_id, r.path) for r in retrieval.lexical(n, q).collect()]
     assert sorted(got) == [(1, "Rust.md"), (4, "Rust.md")]
     names = knowledge.mentions(md.parsed(n))
-    h = retrieval.hybrid(n, q, names).where("query_id = 1").first()
+    h = search.hybrid(search.Index.build(n), q, names).where("query_id = 1").first()
     assert h.lexical == 1.0 and h.entity == 0.5 and h.score > 0.5
 
 
