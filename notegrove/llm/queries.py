@@ -6,6 +6,7 @@ from .embeddings import op10_embedding_near_dedup
 from .html_text import op8_html_extraction
 from .media import op6_media
 from .packing import op7_best_fit_packing
+from .phrases import op13_phrases
 from .pii import op5_pii
 from .sentencepieces import op1_sentencepiece
 from .sharding import op3_sharding
@@ -24,11 +25,28 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op13_phrases": op13_phrases,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE = {
+    "op13_phrases": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+places AS (SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS t(n)),
+f AS (SELECT lang, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g, count(*) AS f FROM places GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE n = 1 GROUP BY lang),
+c AS (SELECT lang, n, g, f AS a, string_split(g, ' ') AS w FROM f WHERE n > 1 AND f >= 30),
+cut AS (SELECT lang, g, a, w, unnest(range(1, n)) AS k FROM c),
+scored AS (SELECT cut.lang, cut.g, a, k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.g = array_to_string(list_slice(w, 1, k), ' ') JOIN f y ON y.lang = cut.lang AND y.g = array_to_string(list_slice(w, k + 1, len(w)), ' ')),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+sub AS (SELECT lang, a, w, size, unnest(range(1, n - size + 2)) AS i FROM c, (VALUES (2), (3)) AS t(size) WHERE size < n),
+inside AS (SELECT lang, array_to_string(list_slice(w, i, i + size - 1), ' ') AS g, max(a) AS longest FROM sub GROUP BY ALL),
+kept AS (SELECT least.* FROM least LEFT JOIN inside USING (lang, g) WHERE longest IS NULL OR CAST(longest AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT lang, rank, g AS phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
     "op10_embedding_near_dedup": """
 WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
