@@ -5,6 +5,7 @@ from __future__ import annotations
 from .embeddings import op10_embedding_near_dedup
 from .html_text import op8_html_extraction
 from .media import op6_media
+from .neighbours import op12_nearest_neighbours
 from .packing import op7_best_fit_packing
 from .phrases import op13_phrases
 from .pii import op5_pii
@@ -13,6 +14,7 @@ from .sharding import op3_sharding
 from .simhash import op2_simhash
 from .substring import op9_substring_dedup
 from .toxicity import op4_toxicity
+from .variants import op11_spelling_variants
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
@@ -25,12 +27,30 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_phrases": op13_phrases,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE = {
+    "op11_spelling_variants": r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS m, hex(encode(doc_id || ':' || run)) AS x FROM r GROUP BY doc_id, run),
+h AS (SELECT run, m, xor(list_reduce(list_transform(range(1, len(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) AS h FROM d, crc),
+o AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, m FROM h),
+w AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM o WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+p AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w),
+less AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM p),
+near AS (SELECT a.word, b.word AS other FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, w.word FROM less a JOIN w ON w.word = a.rest UNION SELECT w.word, a.word FROM less a JOIN w ON w.word = a.rest),
+best AS (SELECT near.word, count(*) AS n_near, min((-w.n, w.word)) AS b FROM near JOIN w ON w.word = near.other GROUP BY near.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * w.n THEN b[2] END AS form, CASE WHEN -b[1] >= 2 * w.n THEN -b[1] END AS form_n FROM w LEFT JOIN best USING (word)),
+go AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT go.word, f.form, k + 1 FROM go JOIN f ON f.word = go.root WHERE f.form IS NOT NULL),
+last AS (SELECT word, max_by(root, k) AS root FROM go GROUP BY word)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN last USING (word)""",
     "op13_phrases": r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
