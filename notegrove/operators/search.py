@@ -20,6 +20,7 @@ from .retrieval import words
 
 #: Words of a snippet, and characters of one without marks: before the first word of the query, and in all.
 WINDOW, BEFORE, SHOWN = 12, 40, 180
+KEYS = ["query_id", "chunk_id", "path", "ordinal", "heading_path"]
 
 
 def _terms(text, analyzer: str):
@@ -40,15 +41,25 @@ class Index:
         c = blocks.chunk_rows(notes).select("chunk_id", "path", "ordinal", "heading_path", "text")
         return cls(files.stored(c.withColumn("terms", _terms(F.col("text"), analyzer)).withColumn("n_terms", F.size("terms"))), analyzer)
 
+    def size(self) -> DataFrame:
+        """n, avg: how many chunks there are, and their mean number of words; one row."""
+        return self.rows.agg(F.count("*").alias("n"), F.avg("n_terms").alias("avg"))
+
+    def hits(self, terms: DataFrame) -> DataFrame:
+        """chunk_id, path, ordinal, heading_path, n_terms, term, tf: the occurrences of ``terms`` (term; distinct), counted by chunk."""
+        found = self.rows.select(*KEYS[1:], "n_terms", F.explode("terms").alias("term")).join(terms, "term", "left_semi")
+        return found.groupBy("term", *KEYS[1:], "n_terms").agg(F.count("*").alias("tf"))
+
+    def frequencies(self, hits: DataFrame, terms: DataFrame) -> DataFrame:
+        """term, df: in how many chunks each of ``terms`` is."""
+        return hits.groupBy("term").agg(F.count("*").alias("df"))
+
     def queries(self, queries: DataFrame) -> DataFrame:
         """query_id, query, terms (analysed like chunks); queries of stop words only have none."""
         q = rt.query_terms(queries)
         return q.withColumn("terms", F.array_distinct(stems("terms"))) if self.analyzer == "porter" else q
 
 
-KEYS = ["query_id", "chunk_id", "path", "ordinal", "heading_path"]
-
-
 def lexical(ix: Index, queries: DataFrame, limit: int = rt.LIMIT) -> DataFrame:
     """KEYS, score (positive), rank: BM25 of the chunks that hold all terms of a query. Ties go to the smaller path and ordinal.
 
@@ -56,13 +67,12 @@ def lexical(ix: Index, queries: DataFrame, limit: int = rt.LIMIT) -> DataFrame:
     """
     q = ix.queries(queries).select("query_id", "terms", F.size("terms").alias("n_wanted")).where("n_wanted > 0")
     wanted = q.select("query_id", "n_wanted", F.explode("terms").alias("term"))
-    stats = ix.rows.agg(F.count("*").alias("n"), F.avg("n_terms").alias("avg"))  # one row
-    hits = ix.rows.select("chunk_id", "path", "ordinal", "heading_path", "n_terms", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    hits = hits.groupBy("term", "chunk_id", "path", "ordinal", "heading_path", "n_terms").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    terms = wanted.select("term").distinct()
+    hits = ix.hits(terms)
+    df = ix.frequencies(hits, terms)
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (rt.K1 + 1) / (F.col("tf") + rt.K1 * (1 - rt.B + rt.B * F.col("n_terms") / F.col("avg")))
-    found = hits.join(df, "term").join(wanted, "term").crossJoin(stats)
+    found = hits.join(df, "term").join(wanted, "term").crossJoin(ix.size())  # one row
     found = found.groupBy(*KEYS, "n_wanted").agg(F.count("*").alias("k"), F.round(F.sum(part), 6).alias("score")).where("k = n_wanted")
     return ranked(found.select(*KEYS, "score"), limit)
 

@@ -77,60 +77,95 @@ def write_ndjson(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value")).write.text(path)
 
 
-class Snapshots:
-    """A table kept as whole versions: ``data/<name>`` folders of Parquet and a file ``CURRENT`` that names the newest.
-
-    A version is written first and named after, so readers see old or new, nothing in between.
-    """
+class Pointer:
+    """A small text in a file of a folder, replaced as a whole: readers see the old one or the new one, nothing in between."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, name: str = "CURRENT"):
+        self.spark, self.root, self.name = spark, root.rstrip("/"), name
         self.jvm = spark._jvm
-        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _path(self, name: str):
+    def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def current(self) -> str | None:
-        if not self.fs.exists(self._path("CURRENT")):
+    def get(self) -> str | None:
+        if not self.fs.exists(self.path(self.name)):
             return None
-        stream = self.fs.open(self._path("CURRENT"))
+        stream = self.fs.open(self.path(self.name))
         try:
             return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
         finally:
             stream.close()
 
-    def write(self, df: DataFrame) -> str:
-        name = uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/data/{name}")
-        draft = self._path(f"CURRENT-{name}")
+    def put(self, text: str) -> None:
+        draft = self.path(f"{self.name}-{uuid.uuid4().hex}")
         out = self.fs.create(draft, True)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(text.encode()))
         out.close()
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration())
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").toUri(), self.spark._jsc.hadoopConfiguration())
         how = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
         how[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(context.makeQualified(draft), context.makeQualified(self._path("CURRENT")), how)
+        context.rename(context.makeQualified(draft), context.makeQualified(self.path(self.name)), how)
+
+    def drop(self) -> None:
+        self.fs.delete(self.path(self.name), False)
+
+
+def damaged(spark: SparkSession, folder: str) -> DataFrame:
+    """path, why: the Parquet files under ``folder`` that can't be read. Each file's length, first and last bytes and footer are checked by a task; no row of data is read."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def check(batches):
+        for b in batches:
+            bad = []
+            for path, head, tail, size in zip(*(c.to_pylist() for c in b.columns)):
+                try:
+                    n = int.from_bytes(tail[-8:-4], "little")
+                    if size < 12 or head != b"PAR1" or tail[-4:] != b"PAR1" or n + 12 > size:
+                        raise ValueError("no Parquet file")
+                    if n + 8 <= len(tail):  # a footer of a file of no rows: the bytes before it don't matter to its reader
+                        pq.read_metadata(pa.BufferReader(b"PAR1" + tail[-n - 8 :]))
+                except Exception as e:
+                    bad.append((path, str(e).splitlines()[0][:200]))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in bad], pa.string()), pa.array([w for _, w in bad], pa.string())], names=["path", "why"])
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(folder)
+    ends = raw.select("path", F.expr("substring(content, 1, 4)").alias("head"), F.expr("substring(content, greatest(length - 1048576, 0) + 1, 1048576)").alias("tail"), "length")
+    return ends.mapInArrow(check, "path string, why string")
+
+
+class Snapshots:
+    """A table kept as whole versions: ``data/<name>`` folders of Parquet and a file ``CURRENT`` that names the newest.
+
+    A version is written first and named after, so readers see old or new, nothing in between.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.pointer = spark, root.rstrip("/"), Pointer(spark, root)
+
+    def current(self) -> str | None:
+        return self.pointer.get()
+
+    def write(self, df: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        df.write.parquet(f"{self.root}/data/{name}")
+        self.pointer.put(name)
         return name
 
     def read(self, schema: str) -> DataFrame:
-        """The newest version; an empty table if there is none, or if its files can't be read, which are then put aside as ``corrupt-<name>``.
+        """The newest version; an empty table if there is none, or if any of its files is damaged: the version is then put aside as ``corrupt-<name>``.
 
-        Only files whose Parquet can't be opened count as corrupt; a store that can't be reached raises.
+        The ends and footers of all files are checked by tasks. A store that can't be reached raises.
         """
         name = self.current()
         if name is None:
             return self.spark.createDataFrame([], schema)
-        try:
-            df = self.spark.read.parquet(f"{self.root}/data/{name}")
-            df.limit(1).collect()
-            return df
-        except Exception as e:
-            if not any(x in str(e) for x in ("CANNOT_READ_FILE_FOOTER", "UNABLE_TO_INFER_SCHEMA", "not a Parquet file", "FAILED_READ_FILE")):
-                raise
-            self.fs.rename(self._path(f"data/{name}"), self._path(f"data/corrupt-{name}"))
-            self.fs.delete(self._path("CURRENT"), False)
-            return self.spark.createDataFrame([], schema)
+        if damaged(self.spark, f"{self.root}/data/{name}").isEmpty():
+            return self.spark.read.schema(schema).parquet(f"{self.root}/data/{name}")
+        self.pointer.fs.rename(self.pointer.path(f"data/{name}"), self.pointer.path(f"data/corrupt-{name}"))
+        self.pointer.drop()
+        return self.spark.createDataFrame([], schema)
 
 
 def migrated(df: DataFrame, at: int, steps: dict, to: int | None = None) -> tuple[DataFrame, int]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import blocks, memory, vault
+from ..operators import memory, retrieval, search, segments, vault
 from ..sources import files
 
 
@@ -92,32 +92,29 @@ def incremental(stream: DataFrame, handle, checkpoint: str):
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def indexed(stream: DataFrame, at: str):
-    """An index of chunks kept by batches: the chunks of the notes that changed, and of no others, are made and written under the batch's number.
+def indexed(stream: DataFrame, ix: segments.Segments, checkpoint: str):
+    """Keeps an index by batches of ``stream`` (path, content, version): only the notes that changed are cut and counted; segments are merged behind each batch.
 
-    ``stream`` has path and content; a note that comes again replaces its earlier chunks (``current``).
+    A batch that is given again changes nothing.
     """
 
     def index(batch: DataFrame, number: int) -> None:
-        last = batch.dropDuplicates(["path"])
-        blocks.chunk_rows(last).write.mode("overwrite").parquet(f"{at}/chunks/batch={number}")
+        ix.apply(batch, number)
+        ix.merge()
 
-    return incremental(stream, index, f"{at}/log")
-
-
-def current(spark: SparkSession, at: str) -> DataFrame:
-    """The chunks that hold now: of each note those of its newest batch."""
-    c = spark.read.parquet(f"{at}/chunks")
-    newest = c.groupBy("path").agg(F.max("batch").alias("batch"))
-    return c.join(newest, ["path", "batch"]).drop("batch")
+    return incremental(stream, index, checkpoint)
 
 
 def index_stream(spark, d):
-    """Chunks of documents as they arrive, indexed batch by batch."""
+    """The chunks of the vault after its batches of edits, empties, deletions and returns have come as files, one after the other."""
     at = files.shared(spark)
-    docs = event_stream(spark, d, "documents.parquet")
-    indexed(docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.coalesce("text", F.lit("")).alias("content")), at).awaitTermination()
-    return current(spark, at).groupBy("path").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+    rows = segments.changes(spark, d)
+    ix = segments.Segments(spark, f"{at}/index", fan_in=3)
+    rows = files.stored(rows)
+    for n in range(segments.LAST + 1):
+        rows.where(F.col("batch") == n).drop("batch").write.mode("append").parquet(f"{at}/in")
+        indexed(spark.readStream.schema(rows.drop("batch").schema).parquet(f"{at}/in"), ix, f"{at}/log").awaitTermination()
+    return ix.rows.select("path", "ordinal", "heading_path", "text", F.size("terms").alias("n_terms"))
 
 
 def rename_stream(spark, d):
@@ -148,6 +145,7 @@ def latest_stream(spark, d):
 
 QUERIES = {f.__name__: f for f in (debounce_stream, rename_stream, index_stream, memory_transitions_stream, job_replay_stream, latest_stream)}
 ORACLE = {
+    "index_stream": f"WITH {segments._AFTER}, {search.CHUNKS} SELECT path, ordinal, heading_path, text, CAST(len({retrieval._TOK.format('text')}) AS INT) AS n_terms FROM ck",
     "debounce_stream": vault.ORACLE["debounce"],
     "rename_stream": "SELECT user_id, ts AS first_ts, CAST(1 AS BIGINT) AS n, event_id AS last_event, 'rename' AS kind FROM events WHERE event_type = 'signup' UNION ALL SELECT *, 'burst' FROM (" + vault.ORACLE["debounce"].replace("FROM events", "FROM events WHERE event_type <> 'signup'") + ")",
     "memory_transitions_stream": memory.ORACLE["memory_transitions"],

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from notegrove.api import Ask, Memory, Search, Vault
 from notegrove.operators import agent, folds, knowledge, memory, search
 from notegrove.sources import files
-from notegrove.streaming import notes as streams
 
 NOTES = [
     ("a.md", "# Copper\n\nCopper seals failed twice. We decided to use steel.\n\n## Costs\n\nThe costs of running copper lines are high.", 1),
@@ -121,17 +120,6 @@ def test_nearest_equals_brute_force(spark):
     assert sorted((r.query_id, r.id, r.rank) for r in got) == sorted(want)
 
 
-def test_index_follows_changed_notes(spark, tmp_path):
-    at, folder = f"file://{tmp_path}/index", f"{tmp_path}/in"
-    one = spark.createDataFrame([("a", "first text"), ("b", "other")], "path string, content string")
-    one.coalesce(1).write.mode("append").parquet(folder)
-    run = lambda: streams.indexed(spark.readStream.schema(one.schema).parquet(folder), at).awaitTermination()
-    run()
-    spark.createDataFrame([("a", "# H\n\nnew\n\n# I\n\ntext")], one.schema).coalesce(1).write.mode("append").parquet(folder)
-    run()
-    assert sorted((r.path, r.text) for r in streams.current(spark, at).collect()) == [("a", "new\n"), ("a", "text"), ("b", "other")]
-
-
 def test_migrations(spark):
     steps = {2: lambda df: df.withColumn("x", F.lit(1)), 3: lambda df: df.drop("id")}
     assert files.migrated(spark.range(1), 1, steps)[0].columns == ["x"] and files.migrated(spark.range(1), 1, steps, 2)[1] == 2
