@@ -21,6 +21,8 @@ from ._common import WordHashes, mixed, stored, table, window_hashes
 WORDS, MAP_BITS = 4, 27
 #: Entries of a task's part of the cells before it is sent, and about so many entries of a range when all parts meet.
 FLUSH, RANGE = 3_000_000, 4_000_000
+#: N-grams that a task sums before it sends them.
+SENT = 1_200_000
 BASE = 0x9FB21C651E98DF25
 
 _hashes = WordHashes(13)
@@ -41,7 +43,7 @@ def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
     """(lang, piece, m): each distinct piece of a language with the number of its occurrences.
 
     Texts are lower-cased (A-Z only) and split at ``. , ; : ! ?`` and the line breaks \\x0A-\\x0D; a piece is its words, runs of neither space nor tab, joined by one
-    space. Pieces without words and null texts have no row; a null language is ``und``. Each task counts its own copies before any is sent.
+    space. Pieces without words and null texts have no row; a null language is ``und``. Each task counts its own copies before any is sent. Pieces of one language lie together.
     """
     schema = "lang string, piece string, m long"
 
@@ -55,7 +57,7 @@ def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
                 yield out
 
     found = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(split, schema)
-    return found.groupBy("lang", "piece").agg(F.sum("m").alias("m"))
+    return found.groupBy("lang", "piece").agg(F.sum("m").alias("m")).sortWithinPartitions("lang")
 
 
 class _Run:
@@ -104,15 +106,37 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summed(cells: np.ndarray, weights: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct cells in order, with their weights summed up to ``most``."""
-    order = np.argsort(cells, kind="stable")
-    cells, weights = cells[order], weights[order]
+    """Distinct cells (of 56 bits at most) in order, with their weights (255 at most) summed up to ``most``."""
+    both = np.sort(cells << np.uint64(8) | weights.astype(np.uint64))
+    cells, weights = both >> np.uint64(8), (both & np.uint64(255)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if len(cells) else np.empty(0, np.int64)
     return cells[first], np.minimum(np.add.reduceat(weights, first), most) if len(first) else weights
 
 
-def heavy_map(held: DataFrame, tokens: int, least: int) -> tuple[bytes, int]:
-    """A map of ``2**MAP_BITS`` bits, and the bits of a cell: set where a cell of n-grams may hold one that occurs ``least`` times or more, and clear where none can.
+def _numbered(keys: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each key, which stands at a place of ``at`` (under ``size``), the number of its value in order; and where each value stands first."""
+    bits = max(1, size - 1).bit_length()
+    if int(keys.max()) >> (63 - bits):
+        _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+        return number, at[first]
+    both = np.sort(keys << bits | at)  # one sort of plain numbers
+    new = np.concatenate(([True], (both[1:] >> bits) != (both[:-1] >> bits)))
+    place = both & ((1 << bits) - 1)
+    number = np.empty(size, np.int64)
+    number[place] = np.cumsum(new) - 1
+    return number[at], place[new]
+
+
+class _Numbers(dict):
+    """word -> the number of its first call."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def heavy_map(held: DataFrame, tokens: int, least: int) -> tuple[bytes, int, int]:
+    """A map of ``2**MAP_BITS`` bits, the bits of a cell, and how many of these name its range: set where a cell of n-grams may hold one that occurs ``least`` times or more, and clear where none can.
 
     Each task sums the weights of its n-grams by cell, a hash of more bits the more words there are, and sends them packed by ranges of cells; where all
     parts of a range meet, cells of ``least`` or more set the bit of their first ``MAP_BITS`` bits. Only the map, whose size is fixed, goes to the driver. On inputs so large that
@@ -133,7 +157,7 @@ def heavy_map(held: DataFrame, tokens: int, least: int) -> tuple[bytes, int]:
             low = c & np.uint64((1 << (bits - ranges)) - 1)
             return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int64)), pa.array([_packed(low[a:b], w[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=sent.names)
 
-        for run in _runs(batches, 1_500_000):
+        for run in _runs(batches, 3_000_000):
             for n in range(1, WORDS + 1):
                 held_cells.append(run.cells(n, bits))
                 held_weights.append(np.minimum(run.weight[run.starts(n)], most))
@@ -148,7 +172,7 @@ def heavy_map(held: DataFrame, tokens: int, least: int) -> tuple[bytes, int]:
 
     def meet(t: pa.Table) -> pa.Table:
         parts = [_unpacked(b) for b in t.column("blob").to_pylist()]
-        c, w = _summed(np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts]).astype(np.int64), least)
+        c, w = _summed(np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts]), least)
         marks = np.zeros(1 << (MAP_BITS - ranges), bool)
         marks[(c[w >= most] >> np.uint64(bits - MAP_BITS)).astype(np.int64)] = True
         return pa.table([pa.array([t.column("part")[0].as_py()], pa.int64()), pa.array([zlib.compress(np.packbits(marks).tobytes(), 1)], pa.binary())], names=out.names)
@@ -157,45 +181,63 @@ def heavy_map(held: DataFrame, tokens: int, least: int) -> tuple[bytes, int]:
     whole = bytearray(1 << (MAP_BITS - 3))
     for r in held.mapInArrow(cells, sent).groupBy("part").applyInArrow(meet, out).collect():  # 16 MB at most
         whole[r.part * size : (r.part + 1) * size] = zlib.decompress(r.bits)
-    return bytes(whole), bits
+    return bytes(whole), bits, ranges
 
 
 def counted(held: DataFrame, tokens: int, least: int) -> DataFrame:
     """(lang, gram, n, f): the n-grams (n words joined by a space) of ``pieces`` that occur ``least`` times or more, with their occurrences f.
 
-    N-grams that may be so frequent (``heavy_map``), and whose parts may be, are dealt by hash; each bucket is counted by DuckDB on disk,
+    N-grams that may be so frequent (``heavy_map``), and whose parts may be, are dealt by the ranges of their hashes; each bucket is counted by DuckDB on disk,
     in bounded memory, so a bucket may be larger than its task. The map only spares work: counts are of the words themselves.
     """
-    found, bits = heavy_map(held, tokens, least)
+    found, bits, ranges = heavy_map(held, tokens, least)
     told = held.sparkSession.sparkContext.broadcast(found)
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("f", T.LongType())])
     arrow = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int32()), ("f", pa.int64())])
+    dealt = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("gram", T.ArrayType(T.StringType())), T.StructField("f", T.ArrayType(T.LongType()))])
 
     def grams(batches):
         marks = np.frombuffer(told.value, np.uint8)
+        kept: list[pa.Table] = []
 
         def heavy(cells: np.ndarray) -> np.ndarray:
             at = cells >> np.uint64(bits - MAP_BITS)
             return (marks[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
+        def summed() -> pa.RecordBatch:
+            """What is kept, each n-gram once, as a row for each language, length and bucket."""
+            t = pa.concat_tables(kept).group_by(["bucket", "lang", "n", "gram"]).aggregate([("f", "sum")]).sort_by([("bucket", "ascending"), ("lang", "ascending"), ("n", "ascending")]).combine_chunks()
+            bucket, lang, n = np.asarray(t.column("bucket")), pc.rank(t.column("lang"), tiebreaker="dense").to_numpy(), np.asarray(t.column("n"))
+            first = np.flatnonzero(np.concatenate(([True], (np.diff(bucket) != 0) | (np.diff(lang.astype(np.int64)) != 0) | (np.diff(n) != 0))))
+            ends = pa.array(np.append(first, t.num_rows).astype(np.int32))
+            listed = lambda c: pa.ListArray.from_arrays(ends, t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c))
+            one = t.take(first)
+            return pa.RecordBatch.from_arrays([one.column("bucket").combine_chunks(), one.column("lang").combine_chunks(), one.column("n").combine_chunks(), listed("gram"), listed("f_sum")], names=dealt.names)
+
         for run in _runs(batches, 6_000_000):
             # code: the number of the (n-1)-gram that starts at a word, -1 where none does that may be frequent
-            names: dict[bytes, int] = {}
-            code = np.fromiter((names.setdefault(w, len(names)) for w in run.words), np.int64, len(run.words))
+            code = np.fromiter(map(_Numbers().__getitem__, run.words), np.int64, len(run.words))
             for n in range(1, WORDS + 1):
-                at = run.starts(n)
-                at = at[heavy(run.cells(n, bits))]
+                at, cells = run.starts(n), run.cells(n, bits)
+                some = heavy(cells)
                 if n > 1:
-                    at = at[(code[at] >= 0) & (code[at + 1] >= 0)]
-                if not len(at):
+                    some &= (code[at] >= 0) & (code[at + 1] >= 0)
+                if not some.any():
                     break
-                key = code[at] if n == 1 else code[at] << 32 | code[at + 1]
-                _, first, number = np.unique(key, return_index=True, return_inverse=True)
+                at, cells = at[some], cells[some]
+                key = code[at] if n == 1 else code[at] * (int(code.max()) + 1) + code[at + 1]
+                number, first = _numbered(key, at, len(code))
                 total = np.bincount(number, run.weight[at]).astype(np.int64)  # doubles, exact up to 2**53
-                text = [b" ".join(run.words[i : i + n]).decode("utf-8", "replace") for i in at[first].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([run.lang] * len(text), pa.string()), pa.array(text, pa.string()), pa.array([n] * len(text), pa.int32()), pa.array(total)], schema=arrow)
+                text = [b" ".join(run.words[i : i + n]).decode("utf-8", "replace") for i in first.tolist()]
+                bucket = (cells[np.searchsorted(at, first)] >> np.uint64(bits - ranges)).astype(np.int64)
+                kept.append(pa.table([pa.array(bucket), pa.array([run.lang] * len(text), pa.string()), pa.array(text, pa.string()), pa.array([n] * len(text), pa.int32()), pa.array(total)], names=["bucket", "lang", "gram", "n", "f"]))
                 code = np.full(len(run.words), -1, np.int64)
                 code[at] = number
+            if sum(t.num_rows for t in kept) >= SENT:
+                yield summed()
+                kept.clear()
+        if kept:
+            yield summed()
 
     def count(batches):
         import duckdb
@@ -203,13 +245,14 @@ def counted(held: DataFrame, tokens: int, least: int) -> DataFrame:
         with tempfile.TemporaryDirectory() as at, duckdb.connect(f"{at}/grams.db", config={"memory_limit": "300MB", "threads": 1, "temp_directory": f"{at}/spill", "preserve_insertion_order": False}) as db:
             db.execute("CREATE TABLE grams (lang VARCHAR, gram VARCHAR, n INTEGER, f BIGINT)")
             for b in batches:
-                db.register("arrived", pa.Table.from_batches([b]))
-                db.execute("INSERT INTO grams SELECT * FROM arrived")
-                db.unregister("arrived")
+                for k in range(0, b.num_rows, 1000):
+                    db.register("arrived", pa.Table.from_batches([b.slice(k, 1000)]))
+                    db.execute("INSERT INTO grams SELECT lang, unnest(gram), n, unnest(f) FROM arrived")
+                    db.unregister("arrived")
             for b in db.sql(f"SELECT lang, gram, n, CAST(sum(f) AS BIGINT) AS f FROM grams GROUP BY lang, gram, n HAVING sum(f) >= {least}").to_arrow_reader(50_000):
                 yield b.cast(arrow)
 
-    return held.mapInArrow(grams, schema).repartition("lang", "gram").mapInArrow(count, schema)
+    return held.mapInArrow(grams, dealt).repartition("bucket").mapInArrow(count, schema)
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
