@@ -27,12 +27,11 @@ class Machine:
             self.to[a], self.rise[a] = to, rise
 
 
-def folded(events: DataFrame, key: str, machine: Machine, order: tuple[str, ...] = ("ts", "event_id"), action: str = "action") -> DataFrame:
-    """``key``, state (number), count, n: where the actions of each key, in ``order``, lead from the first state.
+def maps(events: DataFrame, key: str, machine: Machine, order: tuple[str, ...] = ("ts", "event_id"), action: str = "action") -> DataFrame:
+    """``key``, parts: the maps (place, to, rise, n) that the actions of each key, in ``order``, make of all states, a few in a row.
 
     Events are dealt by ranges of (key, order), so a key with very many of them is spread over many tasks. Each task composes the maps of a key's
-    actions to one map of all states, and only these maps (one for each task that a key is in) are put in order and composed.
-    Nulls in ``order`` come first.
+    actions to one map of all states, and only these maps (one for each task that a key is in) are brought together. Nulls in ``order`` come first.
     """
     schema = T.StructType([events.schema[key], T.StructField("place", T.IntegerType()), T.StructField("to", T.ArrayType(T.IntegerType())), T.StructField("rise", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())])
     size = len(machine.states)
@@ -60,12 +59,24 @@ def folded(events: DataFrame, key: str, machine: Machine, order: tuple[str, ...]
             yield row()
 
     dealt = events.select(key, action, *order).repartitionByRange(key, *order).sortWithinPartitions(key, *order)
-    maps = dealt.select(key, action, F.spark_partition_id().alias("place")).mapInArrow(run, schema)
+    found = dealt.select(key, action, F.spark_partition_id().alias("place")).mapInArrow(run, schema)
     # ranges are in order, so the number of a partition is the place of its maps
-    listed = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "to", "rise", "n"))).alias("parts"))
+    return found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "to", "rise", "n"))).alias("parts"))
+
+
+def applied(found: DataFrame, key: str, states: DataFrame | None = None) -> DataFrame:
+    """``key``, state (number), count, n: where ``maps`` lead from ``states`` (key, state, count, n), or from the first state for keys that these don't have."""
     zero = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("n"))
+    if states is not None:
+        found = found.join(states, key, "left").select(key, "parts", F.struct(F.coalesce("state", F.lit(0)).alias("state"), F.coalesce("count", F.lit(0).cast("long")).alias("count"), F.coalesce("n", F.lit(0).cast("long")).alias("n")).alias("zero"))
+        zero = F.col("zero")
     step = lambda s, x: F.struct(F.get(x["to"], s["state"]).alias("state"), (s["count"] + F.get(x["rise"], s["state"])).alias("count"), (s["n"] + x["n"]).alias("n"))
-    return listed.select(key, F.aggregate("parts", zero, step).alias("s")).select(key, "s.*")
+    return found.select(key, F.aggregate("parts", zero, step).alias("s")).select(key, "s.*")
+
+
+def folded(events: DataFrame, key: str, machine: Machine, order: tuple[str, ...] = ("ts", "event_id"), action: str = "action") -> DataFrame:
+    """``key``, state (number), count, n: where the actions of each key, in ``order``, lead from the first state (see ``maps``)."""
+    return applied(maps(events, key, machine, order, action), key)
 
 
 def named(states: list, column: str = "state"):

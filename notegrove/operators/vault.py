@@ -37,15 +37,20 @@ def q_renames(spark, d):
     return renames(_diff(spark, d))
 
 
-def sync_plan(spark, d):
-    """What a sync does with each path: fetch, move, delete or keep."""
-    diff = _diff(spark, d)
+def planned(state: DataFrame, inventory: DataFrame) -> DataFrame:
+    """path, action, moved_from: what a sync does with each path of ``state`` and ``inventory`` (path, hash): fetch, move (here), moved (away), delete or keep."""
+    diff = inventory_diff(state, inventory)
     moved = renames(diff)
     out = diff.join(moved.select(F.col("new_path").alias("path"), F.col("old_path").alias("moved_from")), "path", "left").join(moved.select(F.col("old_path").alias("path"), F.lit(True).alias("moved_away")), "path", "left")
     action = F.when(F.col("moved_from").isNotNull(), "move").when(F.col("moved_away"), "moved").when(F.col("status").isin("added", "modified"), "fetch").when(F.col("status") == "deleted", "delete").otherwise("keep")
     return out.select("path", action.alias("action"), "moved_from")
 
 
+def sync_plan(spark, d):
+    """What a sync does with each path: fetch, move, delete or keep."""
+    return planned(*fx.snapshots(spark, d))
+
+
 def to_fetch(spark, d):
     diff = _diff(spark, d)
     wanted = diff.where("status in ('added', 'modified')").select("path")
