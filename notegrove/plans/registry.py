@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ..operators import agent, ask, blocks, graph, health, knowledge, markdown, memory, retrieval, search, segments, sync, vault
+from ..operators import agent, ask, blocks, graph, health, knowledge, maintained, markdown, memory, retrieval, search, segments, sync, vault
 from ..sources import queries as sources
 from ..streaming import notes as streams
 
-MODULES = [markdown, blocks, vault, knowledge, health, retrieval, search, segments, sync, memory, ask, graph, agent, sources, streams]
+MODULES = [markdown, blocks, vault, knowledge, health, retrieval, search, segments, sync, maintained, memory, ask, graph, agent, sources, streams]
 
 
 def queries() -> dict:
