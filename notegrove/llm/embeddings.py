@@ -19,8 +19,8 @@ TILE = 1536
 
 #: Directions that a vector goes to, vectors a direction holds on average, and the least share of pairs at the threshold that ``parameters`` accepts.
 DIRECTIONS, MEMBERS, RECALL = 32, 50, 0.995
-#: So many vectors are all compared, without directions.
-ALL_PAIRS = 2048
+#: So few vectors are all compared, without directions.
+ALL_PAIRS = 48
 
 
 class Code:

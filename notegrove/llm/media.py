@@ -124,12 +124,12 @@ def badge(lang: str | None) -> bytes:
 
 
 def page(doc_id: int | None, text: str | None, lang: str | None, digest: str) -> str:
-    """The page of a document: a heading, the language's badge, the first half of its paragraphs (lines), the payload in a figure with a caption, and the other half."""
+    """The page of a document: a heading, the language's badge, the first half of its paragraphs (lines), the payload in a figure whose caption says its digest, and the other half."""
     blocks = [entities.escape(t, quote=False) for t in (text or "").split("\n")]
     half = (len(blocks) + 1) // 2
     paragraphs = lambda part: "".join(f"<p>{b}</p>" for b in part)
     mark = hashlib.sha256(as_image(badge(lang))).hexdigest()
-    return f'<article><h1>Document {doc_id}</h1><img src="sha256:{mark}">{paragraphs(blocks[:half])}<figure><img src="sha256:{digest}"><figcaption>text of document {doc_id}</figcaption></figure>{paragraphs(blocks[half:])}</article>'
+    return f'<article><h1>Document {doc_id}</h1><img src="sha256:{mark}">{paragraphs(blocks[:half])}<figure><img src="sha256:{digest}"><figcaption>text {digest[:12]}</figcaption></figure>{paragraphs(blocks[half:])}</article>'
 
 
 def illustrated(docs: DataFrame) -> DataFrame:

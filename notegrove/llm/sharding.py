@@ -134,12 +134,7 @@ class Store:
         A round is done in jobs of about ``most_names`` files, each with a commit of its own. The names of a job's files, and the group that each belongs to,
         are broadcast: a table that this number bounds. A group is one partition and one file: rows are dealt by the group's number itself, not by a hash of it.
         """
-        before = -1
-        while groups := self.plan(target, fan_in, base):
-            count = sum(map(len, groups))
-            if count == before:
-                break  # merging made nothing smaller in number
-            before = count
+        while groups := self.plan(target, fan_in, base):  # a group becomes one shard, so each round leaves fewer
             job: list[list[Shard]] = []
             for k, g in enumerate(groups):
                 job.append(g)

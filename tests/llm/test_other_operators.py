@@ -72,6 +72,22 @@ def test_near_vectors(spark, tile, monkeypatch):
     assert embeddings.near_vectors(df.where("vec_id < 0")).count() == 0
 
 
+def test_planted_pairs_through_the_filters(spark):
+    """More vectors than are all compared, a third of them close to one: links just over the threshold are found, none under it."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.normal(size=(1500, 32)))
+    x[1000:] = unit(x[0] + 0.03 * rng.normal(size=(500, 32)))
+    for k in range(0, 300, 2):
+        away = rng.normal(size=32)
+        away = unit(away - (away @ x[k + 1]) * x[k + 1])
+        x[k + 2] = x[k + 2] if k % 4 else 0.952 * x[k + 1] + np.sqrt(1 - 0.952**2) * away
+    assert embeddings.parameters(len(x), 32)[0] > 1
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    want = ((x @ x.T) >= 0.95).sum(axis=1) - 1
+    assert all(got[i].n_links <= w for i, w in enumerate(want)) and sum(r.n_links for r in got.values()) >= 0.99 * want.sum() and (want[:300] > 0).sum() > 100
+
+
 @pytest.mark.parametrize("n", [10_000, 100_000, 1_000_000, 10_000_000])
 def test_recall_holds_at_every_size(n):
     rng = np.random.default_rng(5)
@@ -198,7 +214,7 @@ def test_media_round_trip(spark, tmp_path):
         blocks = [" ".join(b.split()) for b in (t or "").split("\n")]
         half = (len(blocks) + 1) // 2
         above = 1 + sum(1 for b in blocks[:half] if b)  # heading and paragraphs
-        want.append((i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(image), hashlib.sha256(image).hexdigest(), plain_feature(p), above + 1, f"text of document {i}", 3 + sum(1 for b in blocks if b), 1 + sum(1 for b in blocks if b)))
+        want.append((i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(image), hashlib.sha256(image).hexdigest(), plain_feature(p), above + 1, f"text {hashlib.sha256(image).hexdigest()[:12]}", 3 + sum(1 for b in blocks if b), 1 + sum(1 for b in blocks if b)))
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
 
 
@@ -210,7 +226,7 @@ def test_items_stay_aligned(spark):
     got = media.resolved(media.sequences(pages, ["doc_id"]), media.described(store), ["doc_id"]).orderBy("doc_id", "position").collect()
     one = [(r.kind, r.text, r.caption, r.payload_sha256) for r in got if r.doc_id == 1]
     sha = lambda t: hashlib.sha256(media.payload(t)).hexdigest()
-    assert one == [("text", "Document 1", None, None), ("media", None, None, sha("lang:en")), ("text", "one & <b>", None, None), ("text", "two", None, None), ("media", None, "text of document 1", sha("one & <b>\ntwo\nthree")), ("text", "three", None, None)]
+    assert one == [("text", "Document 1", None, None), ("media", None, None, sha("lang:en")), ("text", "one & <b>", None, None), ("text", "two", None, None), ("media", None, "text " + hashlib.sha256(media.as_image(media.payload("one & <b>\ntwo\nthree"))).hexdigest()[:12], sha("one & <b>\ntwo\nthree")), ("text", "three", None, None)]
     assert [r.payload_sha256 for r in got if r.doc_id == 3 and r.kind == "media"] == [sha("lang:"), sha("four")]
     assert media.illustrated(cases.documents(spark, [])).count() == 0
 
@@ -271,6 +287,17 @@ def test_tiers_and_versions(spark, tmp_path):
     assert store.vacuum() == 5 and store.read().count() == 250
 
 
+def test_compaction_goes_on_until_no_tier_is_full(spark, tmp_path):
+    """Four small runs and three larger ones: what the four make is the fourth of the next tier."""
+    store = sharding.Store(spark, f"file://{tmp_path}/g")
+    for k, n in enumerate([400, 400, 400, 400, 1600, 1600, 1600]):
+        store.append(spark.range(10_000 * k, 10_000 * k + n).selectExpr("id as doc_id", "sha2(cast(id as string), 256) as text", "0 as a").coalesce(1), "a")
+    small = int(0.8 * min(s.bytes for s in store.shards()))
+    assert [len(g) for g in store.plan(1 << 30, 4, small)] == [4]
+    store.compact(1 << 30, 4, small)
+    assert store.plan(1 << 30, 4, small) == [] and len(store.shards()) == 1 and store.read().count() == 6400
+
+
 def test_commits_don_t_overwrite(spark, tmp_path):
     a, b = (sharding.Store(spark, f"file://{tmp_path}/c") for _ in range(2))
     first = a.commit([("data/x/y/part-1", 1)])
