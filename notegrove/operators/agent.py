@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import markdown as md
 from ..plans import fixtures as fx
+from ..sources import files
 from . import blocks
 from .folds import Machine, folded, named
 from .knowledge import KNOWN
@@ -164,28 +165,103 @@ def audit_chain(spark, d):
 
 
 def verify(chained: DataFrame, events: DataFrame) -> DataFrame:
-    """user_id, holds: each row's link to the one before, and its hash made anew. Rows are checked side by side."""
+    """user_id, holds: whether each event's hash is made over the one before, and is what its contents give.
+
+    Events are dealt by ranges of (user, time), so a chain with very many of them is checked by as many tasks as it takes; each says whether its part holds, and with which hash the
+    part begins and ends. Only these, one for each part of a chain, are put in order and compared.
+    """
+    order = F.struct("ts", "event_id")
     j = chained.join(events.select("user_id", "event_id", "ts", "event_type"), ["user_id", "event_id"])
-    before = F.coalesce(F.lag("new_hash").over(W.partitionBy("user_id").orderBy("ts", "event_id")), F.lit(""))
+    j = j.repartitionByRange("user_id", "ts", "event_id").withColumn("place", F.spark_partition_id())
+    w = W.partitionBy("user_id", "place").orderBy("ts", "event_id")
     again = F.sha2(F.concat_ws("|", "previous_hash", F.lit("agent"), "event_type", F.lit(""), F.lit("ok"), F.col("event_id").cast("string")), 256)
-    j = j.withColumn("ok", (before == F.col("previous_hash")) & (again == F.col("new_hash")))
-    return j.groupBy("user_id").agg(F.bool_and("ok").alias("holds"))
+    j = j.withColumn("ok", (F.coalesce(F.lag("new_hash").over(w), F.col("previous_hash")) == F.col("previous_hash")) & (again == F.col("new_hash")))
+    # ranges are in order, so the number of a partition is the place of its part
+    parts = j.groupBy("user_id", "place").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"), F.min_by("previous_hash", order).alias("head"), F.max_by("new_hash", order).alias("tail"))
+    joint = F.coalesce(F.lag("tail").over(W.partitionBy("user_id").orderBy("place")), F.lit("")) == F.col("head")
+    return parts.withColumn("joint", F.coalesce(joint, F.lit(False))).groupBy("user_id").agg(F.bool_and(F.col("ok") & F.col("joint")).alias("holds"))
 
 
 def audit_verify(spark, d):
     """Chains of users divisible by five have had one event's hash changed."""
     e = fx.table(spark, d, "events")
     c = chain(e)
-    bad = (F.col("user_id") % 5 == 0) & (F.col("event_id") == F.min("event_id").over(W.partitionBy("user_id")))
-    return verify(c.withColumn("new_hash", F.when(bad, F.sha2("new_hash", 256)).otherwise(F.col("new_hash"))), e)
+    bad = e.where("user_id % 5 = 0").groupBy("user_id").agg(F.min("event_id").alias("event_id")).withColumn("bad", F.lit(True))
+    c = c.join(bad, ["user_id", "event_id"], "left")
+    return verify(c.withColumn("new_hash", F.when(F.col("bad"), F.sha2("new_hash", 256)).otherwise(F.col("new_hash"))).drop("bad"), e)
+
+
+#: Lines after which a preview stops.
+SHOWN = 40
+
+
+def previewed(texts: DataFrame, most: int = SHOWN) -> DataFrame:
+    """path, k, kind, line of ``texts`` (path, old, new), compared line by line: ``context`` where both are equal, else the old one as ``delete`` and the new one as ``add``, each with its mark.
+
+    The preview stops when it has ``most`` lines; both lines of a pair are shown. A file that is made (old null) shows all its lines; a null new text is empty.
+    """
+    lines = lambda c: F.split(F.coalesce(c, F.lit("")), "\n")
+    z = F.arrays_zip(lines(F.col("old")).alias("a"), lines(F.col("new")).alias("b"))
+    one = lambda kind, mark, line, i: F.struct(i.alias("i"), F.lit(kind).alias("kind"), F.concat(F.lit(mark), line).alias("line"))
+    pair = lambda x, i: F.array_compact(F.array(F.when(x["a"].isNotNull(), one("delete", "- ", x["a"], i)), F.when(x["b"].isNotNull(), one("add", "+ ", x["b"], i))))
+    of = lambda x, i: F.when(x["a"].eqNullSafe(x["b"]), F.array(one("context", "  ", x["a"], i))).otherwise(pair(x, i))
+    made = F.transform(lines(F.col("new")), lambda x, i: one("add", "+ ", x, i))
+    every = F.when(F.col("old").isNull() & F.col("new").isNotNull(), made).otherwise(F.flatten(F.transform(z, of)))
+    t = texts.select("path", F.col("old").isNull().alias("made"), every.alias("all"))
+    last = F.get("all", F.lit(most - 1))["i"]
+    t = t.select("path", F.posexplode(F.when(F.col("made") | (F.size("all") <= most), F.col("all")).otherwise(F.filter("all", lambda x: x["i"] <= last))).alias("k", "x"))
+    return t.select("path", (F.col("k") + 1).alias("k"), "x.kind", "x.line")
 
 
 def line_diff(spark, d):
-    """Lines of two texts by position: context where equal, else the old one taken away and the new one added."""
-    n = fx.vault(spark, d).select("path", F.split("content", "\n").alias("a"), F.split(F.regexp_replace("content", "copper|widget", "steel"), "\n").alias("b"))
-    z = n.select("path", F.posexplode(F.arrays_zip("a", "b")).alias("k", "x"))
-    kinds = F.when(F.col("x.a") == F.col("x.b"), F.array(F.lit("context"))).otherwise(F.array_compact(F.array(F.when(F.col("x.a").isNotNull(), "delete"), F.when(F.col("x.b").isNotNull(), "add"))))
-    return z.select("path", F.explode(kinds).alias("kind")).groupBy("path").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("context", "delete", "add")])
+    """Previews of a change of words in all documents; every tenth is made anew."""
+    n = fx.doc_notes(spark, d).select("path", F.when(F.col("mtime") % 10 != 0, F.col("content")).alias("old"), F.regexp_replace("content", "the|und|les", "that").alias("new"))
+    return previewed(n)
+
+
+def planned(notes: DataFrame, request: str, merge: list[str] | None = None, into: str | None = None, link: str | None = None) -> DataFrame:
+    """goal, path, new_content: the edits of the first kind that a request names: a merge (of the notes ``merge`` into ``into``), links to ``link``, else missing headings.
+
+    A request is refused with an error if it is blank, names notes that aren't there or nothing besides the target, or gives nothing to do. The note ``into`` and the sources stay.
+    """
+    if not request.strip():
+        raise ValueError("request must not be empty")
+    if into is not None and merge is not None:
+        sources = [p for p in dict.fromkeys(merge) if p != into]
+        there = {r.path for r in notes.where(F.col("path").isin([into, *sources])).select("path").collect()}  # as many as the request names
+        if into not in there:
+            raise ValueError(f"merge target not found: {into}")
+        if not sources:
+            raise ValueError("merge needs at least one source besides the target")
+        if lost := [p for p in sources if p not in there]:
+            raise ValueError(f"merge source not found: {lost[0]}")
+        found, nothing = merged(notes, sources, into), "nothing to merge"
+    elif link is not None:
+        base = link.removesuffix(".md").rsplit("/", 1)[-1]
+        named = notes.where(F.lower("content").contains(base.lower()) & (F.col("path") != link))
+        if named.isEmpty():
+            raise ValueError(f"no indexed notes mention {link}; nothing to link")
+        found, nothing = linked(notes, base), "all candidate notes already link to the target"
+    else:
+        found, nothing = headed(notes), "no organization opportunities found; the vault looks tidy"
+    found = files.stored(found.select(F.lit(request).alias("goal"), "path", "new_content"))
+    if found.isEmpty():
+        raise ValueError(nothing)
+    return found
+
+
+def plan_requests(spark, d):
+    """Plans of requests upon the whole vault, one of each kind, and what refused ones are told."""
+    v = files.stored(fx.vault(spark, d))
+    asked = [("fold", {"merge": ["Suppliers/S2.md", "Suppliers/S1.md"], "into": "Suppliers/S1.md"}), ("link", {"link": "Nations/N1.md"}), ("tidy", {}), (" ", {}), ("fold none", {"merge": ["Suppliers/S1.md"], "into": "Suppliers/S1.md"}), ("fold lost", {"merge": ["No.md"], "into": "Suppliers/S1.md"}), ("link none", {"link": "zzz-nowhere"}), ("both", {"merge": ["x"], "into": "No.md", "link": "N1"})]
+    out, told = None, []
+    for request, how in asked:
+        try:
+            one = planned(v, request, **how).select(F.col("goal").alias("request"), "path", "new_content")
+            out = one if out is None else out.unionByName(one)
+        except ValueError as e:
+            told.append((request, None, str(e)))
+    return out.unionByName(spark.createDataFrame(told, "request string, path string, new_content string"))
 
 
 def merged(notes: DataFrame, paths: list[str], into: str) -> DataFrame:
@@ -226,7 +302,7 @@ _ORDER = f"f AS ({FILES})"
 _CHAIN = """RECURSIVE o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 c AS (SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS event_id, '' AS h FROM (SELECT DISTINCT user_id FROM o) UNION ALL SELECT o.user_id, o.i, o.event_id, sha256(c.h || '|agent|' || o.event_type || '||ok|' || o.event_id) FROM c JOIN o ON o.user_id = c.user_id AND o.i = c.i + 1)"""
 _S = "SELECT path, content FROM vault WHERE path LIKE 'Suppliers/%'"
-QUERIES = {f.__name__: f for f in (op_prepare, op_version_check, op_verify, op_rollback, op_list, op_transitions, agent_tools, audit_chain, audit_verify, audit_list, line_diff, plan_merge, plan_link, plan_metadata)}
+QUERIES = {f.__name__: f for f in (op_prepare, op_version_check, op_verify, op_rollback, op_list, op_transitions, agent_tools, audit_chain, audit_verify, audit_list, line_diff, plan_requests, plan_merge, plan_link, plan_metadata)}
 ORACLE = {
     "op_prepare": f"WITH {_ORDER}, x AS (SELECT *, CASE WHEN action = 'delete' THEN 'delete is disabled' WHEN action = 'edit' AND old_content = content THEN 'edit changes nothing' END AS fault FROM f) SELECT op, count(*) AS n_files, CASE WHEN count(*) > 3 OR bool_or(action = 'move') THEN 'medium' ELSE 'low' END AS risk, min_by(fault, path) FILTER (fault IS NOT NULL) AS error FROM x GROUP BY op",
     "op_version_check": f"WITH {_ORDER}, n AS ({NOW}), c AS (SELECT op, CASE WHEN action = 'create' THEN CASE WHEN now IS NOT NULL THEN 'exists' END WHEN now IS NULL THEN 'missing' WHEN now <> old_content THEN 'changed' END AS conflict FROM f LEFT JOIN n USING (path) WHERE action <> 'delete') SELECT op, bool_and(conflict IS NULL) AS may_run, count(conflict) AS conflicts FROM c GROUP BY op",
@@ -239,7 +315,16 @@ ORACLE = {
     "audit_list": "SELECT * FROM (SELECT event_id, user_id, event_type, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) ORDER BY ts, event_id",
     "audit_verify": f"""WITH {_CHAIN}, t AS (SELECT c.user_id, c.i, o.event_type, c.event_id, CASE WHEN c.user_id % 5 = 0 AND c.event_id = min(c.event_id) OVER (PARTITION BY c.user_id) THEN sha256(c.h) ELSE c.h END AS h, lag(c.h, 1, '') OVER (PARTITION BY c.user_id ORDER BY c.i) AS declared FROM c JOIN o ON o.user_id = c.user_id AND o.i = c.i WHERE c.i > 0),
 k AS (SELECT user_id, declared = lag(h, 1, '') OVER (PARTITION BY user_id ORDER BY i) AND h = sha256(declared || '|agent|' || event_type || '||ok|' || event_id) AS ok FROM t) SELECT user_id, bool_and(ok) AS holds FROM k GROUP BY user_id""",
-    "line_diff": f"WITH {'vault AS (' + fx.VAULT + ')'}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS a FROM vault), c AS (SELECT path, a LIKE '%copper%' OR a LIKE '%widget%' AS changed FROM l) SELECT path, count(*) FILTER (NOT changed) AS context, count(*) FILTER (changed) AS delete, count(*) FILTER (changed) AS add FROM c GROUP BY path",
+    "line_diff": f"""WITH docs AS ({fx.DOC_NOTES}), l AS (SELECT path, mtime % 10 = 0 AS made, string_split(content, chr(10)) AS a, string_split(regexp_replace(content, 'the|und|les', 'that', 'g'), chr(10)) AS b FROM docs), u AS (SELECT path, made, a, b, unnest(range(1, len(b) + 1)) AS i FROM l),
+x AS (SELECT path, made, i, 0 AS j, CASE WHEN a[i] = b[i] THEN 'context' ELSE 'delete' END AS kind, CASE WHEN a[i] = b[i] THEN '  ' ELSE '- ' END || a[i] AS line FROM u WHERE NOT made UNION ALL SELECT path, made, i, 1, 'add', '+ ' || b[i] FROM u WHERE made OR a[i] <> b[i]),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY i, j) AS INT) AS k FROM x), t AS (SELECT path, max(i) FILTER (k = 40) AS last FROM n GROUP BY path) SELECT path, k, kind, line FROM n JOIN t USING (path) WHERE made OR last IS NULL OR i <= last""",
+    "plan_requests": f"""WITH {KNOWN}, t AS (SELECT path, replace(substr(content, 7), chr(10) || chr(10) || '```', chr(10) || chr(10) || chr(10) || '```') AS c FROM vault WHERE path IN ('Suppliers/S1.md', 'Suppliers/S2.md')),
+h AS (SELECT path, '# ' || title || chr(10) || chr(10) || content AS c FROM (SELECT * FROM titled ORDER BY path LIMIT 100) WHERE NOT regexp_matches(content, '(^|\n)[ \t]*# ') ORDER BY path LIMIT 5),
+l AS (SELECT path, rtrim(content, ' ') || chr(10) || chr(10) || 'Related: [[N1]]' AS c FROM vault WHERE contains(lower(content), 'n1') AND NOT contains(content, '[[N1]]') AND path <> 'Nations/N1.md' ORDER BY path LIMIT 5)
+SELECT 'fold' AS request, a.path, a.c || chr(10) || chr(10) || chr(10) || '## From S2' || chr(10) || chr(10) || b.c AS new_content FROM t a, t b WHERE a.path = 'Suppliers/S1.md' AND b.path = 'Suppliers/S2.md'
+UNION ALL SELECT 'link', path, c FROM l UNION ALL SELECT 'tidy', path, c FROM h
+UNION ALL SELECT 'link', NULL, 'all candidate notes already link to the target' WHERE NOT EXISTS (SELECT 1 FROM l) UNION ALL SELECT 'tidy', NULL, 'no organization opportunities found; the vault looks tidy' WHERE NOT EXISTS (SELECT 1 FROM h)
+UNION ALL SELECT * FROM (VALUES (' ', NULL, 'request must not be empty'), ('fold none', NULL, 'merge needs at least one source besides the target'), ('fold lost', NULL, 'merge source not found: No.md'), ('link none', NULL, 'no indexed notes mention zzz-nowhere; nothing to link'), ('both', NULL, 'merge target not found: No.md')) AS r(a, b, c)""",
     "plan_merge": f"WITH vault AS ({fx.VAULT}), t AS (SELECT path, replace(substr(content, 7), chr(10) || chr(10) || '```', chr(10) || chr(10) || chr(10) || '```') AS c FROM vault WHERE path IN ('Suppliers/S1.md', 'Suppliers/S2.md', 'Suppliers/S3.md')) SELECT a.path, a.c || chr(10) || (SELECT string_agg(chr(10) || chr(10) || '## From ' || regexp_replace(path, '^Suppliers/|[.]md$', '', 'g') || chr(10) || chr(10) || c, '' ORDER BY path) FROM t WHERE path <> 'Suppliers/S1.md') AS new_content FROM t a WHERE path = 'Suppliers/S1.md'",
     "plan_link": f"WITH vault AS ({fx.VAULT}) SELECT path, rtrim(content, ' ') || chr(10) || chr(10) || 'Related: [[N1]]' AS new_content FROM ({_S}) WHERE contains(lower(content), 'n1') AND NOT contains(content, '[[N1]]') ORDER BY path LIMIT 5",
     "plan_metadata": f"WITH {KNOWN}, h AS (SELECT * FROM titled ORDER BY path LIMIT 100) SELECT path, '# ' || title || chr(10) || chr(10) || content AS new_content FROM h WHERE NOT regexp_matches(content, '(^|\\n)[ \\t]*# ') ORDER BY path LIMIT 5",

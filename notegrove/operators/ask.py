@@ -13,7 +13,7 @@ from . import memory as mem
 from . import retrieval as rt
 from . import search
 from ..sources import files
-from ..sources.files import few
+from .contains import containing
 from .knowledge import KNOWN, contains_any
 
 # Words that tell the kind of a question, in the order in which they are tried.
@@ -62,10 +62,10 @@ def confidence_band(score):
 
 
 def relevant(queries: DataFrame, texts: DataFrame, key: str, text: str, most: int) -> DataFrame:
-    """query_id, key, matches, k: the ``most`` texts that hold the most tokens of a query, ties by key. Queries are few against texts."""
-    q = few(queries.select("query_id", query_tokens(F.col("query")).alias("tokens")))
-    low = F.lower(F.col(text))
-    j = texts.crossJoin(q).withColumn("matches", F.size(F.filter("tokens", lambda t: low.contains(t))).cast("long")).where("matches > 0")
+    """query_id, key, matches, k: the ``most`` texts that hold the most tokens of a query, ties by key."""
+    q = queries.select("query_id", F.explode(query_tokens(F.col("query"))).alias("word"))
+    t = texts.select(key, F.lower(F.col(text)).alias("text")).distinct()
+    j = t.join(containing(t, "text", q, "word"), "text").join(q, "word").groupBy("query_id", key).agg(F.count_distinct("word").alias("matches"))
     return j.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("matches"), key)).cast("long")).where(F.col("k") <= most).select("query_id", key, "matches", "k")
 
 
@@ -94,7 +94,8 @@ def q_query_tokens(spark, d):
 def named_entities(queries: DataFrame, entities: DataFrame, most: int = 25) -> DataFrame:
     """query_id, key: entities (key) of 3 bytes or more that a question names, ``most`` for a question."""
     names = entities.where(F.octet_length("key") >= 3).select("key")
-    found = names.join(few(queries.select("query_id", F.lower("query").alias("q"))), F.col("q").contains(F.col("key")))
+    q = queries.select("query_id", F.lower("query").alias("text"))
+    found = q.join(containing(q, "text", names, "key"), "text").select("query_id", F.col("word").alias("key"))
     return found.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("key")).cast("long")).where(F.col("k") <= most).select("query_id", "key")
 
 
@@ -110,18 +111,21 @@ def about_claims(claims: DataFrame, named: DataFrame, newest: int = 400, most: i
     """query_id, path, subject, predicate, object, k: of the ``newest`` claims ``most`` that name an entity of the question (``named_entities``)."""
     c = claims.withColumn("ord", F.struct("path", "offset", "predicate")).orderBy(F.desc("ord")).limit(newest)
     c = c.withColumn("hay", F.lower(F.concat_ws(" ", "subject", "predicate", "object")))
-    j = named.join(F.broadcast(c), F.col("hay").contains(F.col("key"))).select("query_id", "ord", "path", "subject", "predicate", "object").distinct()  # ``newest`` rows
+    c = files.stored(c)
+    met = containing(c, "hay", named, "key").select(F.col("text").alias("hay"), F.col("word").alias("key"))
+    j = named.join(met, "key").join(c, "hay").select("query_id", "ord", "path", "subject", "predicate", "object").distinct()
     return j.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("ord"))).cast("long")).where(F.col("k") <= most).select("query_id", "path", "subject", "predicate", "object", "k")
 
 
 def about_relations(relations: DataFrame, named: DataFrame, most: int = 6) -> DataFrame:
     """query_id, source, relation, target, k: relations with an entity of the question at either end.
 
-    Each end is a name that many relations share: distinct names are compared with those of the questions, which are few, and relations are joined to the names found by equality.
+    Each end is a name that many relations share: distinct names are compared with those of the questions, and relations are joined to the names found by equality.
     """
     low = relations.select("source", "relation", "target", F.lower("source").alias("s"), F.lower("target").alias("t"))
     ends = low.select(F.col("s").alias("end")).unionByName(low.select(F.col("t").alias("end"))).distinct()
-    near = ends.join(few(named), F.col("end").contains(F.col("key"))).select("query_id", "end").distinct()
+    met = containing(ends, "end", named, "key").select(F.col("text").alias("end"), F.col("word").alias("key"))
+    near = met.join(named, "key").select("query_id", "end").distinct()
     one = low.join(near, F.col("s") == F.col("end")).select("query_id", "source", "relation", "target")
     j = one.unionByName(low.join(near, F.col("t") == F.col("end")).select("query_id", "source", "relation", "target")).distinct()
     return j.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("source"), F.desc("target"), "relation")).cast("long")).where(F.col("k") <= most).select("query_id", "source", "relation", "target", "k")
@@ -143,12 +147,16 @@ def relevant_contradictions(spark, d):
 
 
 def about_contradictions(heads: DataFrame, queries: DataFrame, most: int = 3) -> DataFrame:
-    """query_id, pair, kind, subject, a, b, k: what ``relevant_contradictions`` counts, from ``contradiction_heads``. Queries are few against claims."""
+    """query_id, pair, kind, subject, a, b, k: what ``relevant_contradictions`` counts, from ``contradiction_heads``. A question about contradictions has all of them as its answer; others have ``most`` that hold one of their tokens."""
     c = heads.select("subject", "a", "b", "a_object", "b_object", F.concat_ws(" ", "subject", "a", "b").alias("pair"), F.col("kind").alias("ckind"))
-    q = few(queries.select("query_id", kind(F.col("query")).alias("kind"), query_tokens(F.col("query")).alias("tokens")))
-    hay = F.lower(F.concat_ws(" ", "ckind", "pair"))
-    j = c.crossJoin(q).where((F.col("kind") == "contradiction") | F.exists("tokens", lambda t: hay.contains(t)))
-    return j.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("pair", "ckind")).cast("long")).where((F.col("kind") == "contradiction") | (F.col("k") <= most))
+    c = c.withColumn("hay", F.lower(F.concat_ws(" ", "ckind", "pair")))
+    q = queries.select("query_id", kind(F.col("query")).alias("kind"), query_tokens(F.col("query")).alias("tokens"))
+    words = q.where("kind <> 'contradiction'").select("query_id", "kind", F.explode("tokens").alias("word"))
+    met = words.join(containing(c, "hay", words, "word"), "word").select("query_id", "kind", F.col("text").alias("hay")).distinct()
+    w = W.partitionBy("query_id").orderBy("pair", "ckind")
+    some = met.join(c, "hay").withColumn("k", F.row_number().over(w).cast("long")).where(F.col("k") <= most)
+    every = q.where("kind = 'contradiction'").drop("tokens").crossJoin(c).withColumn("k", F.row_number().over(w).cast("long"))  # all of it is the answer
+    return some.unionByName(every)
 
 
 # How an answer begins, and what is said without evidence or where an action is asked for.

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..plans import fixtures as fx
-from ..sources.files import few
 from . import knowledge as kn
+from .contains import containing
 from .knowledge import KNOWN
 
 # Fixed values.
@@ -107,13 +107,12 @@ def semantic(notes: DataFrame, queries: DataFrame) -> DataFrame:
 def entity_boosts(queries: DataFrame, names: DataFrame) -> DataFrame:
     """query_id, path, boost: of the entities (key, path) whose names a query holds, the longest name's share of 24 bytes, between a half and 1.
 
-    The test is for a substring, as names may stand inside of words; queries are broadcast where their number allows it.
+    The test is for a substring, as names may stand inside of words.
     """
-    q = few(queries.select("query_id", F.lower("query").alias("q")))
-    keys = names.select("key").distinct()
-    found = keys.join(q, F.col("q").contains(F.col("key")))
-    boost = F.least(F.greatest(F.octet_length("key") / 24, F.lit(0.5)), F.lit(1.0))
-    return found.select("query_id", "key", boost.alias("b")).join(names, "key").groupBy("query_id", "path").agg(F.round(F.max("b"), 6).alias("boost"))
+    q = queries.select("query_id", F.lower("query").alias("text"))
+    boost = F.least(F.greatest(F.octet_length("word") / 24, F.lit(0.5)), F.lit(1.0))
+    found = containing(q, "text", names, "key").select("text", F.col("word").alias("key"), boost.alias("b"))
+    return q.join(found, "text").join(names, "key").groupBy("query_id", "path").agg(F.round(F.max("b"), 6).alias("boost"))
 
 
 def _doc_queries(spark, d) -> DataFrame:

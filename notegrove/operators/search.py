@@ -15,6 +15,7 @@ from ..plans import fixtures as fx
 from ..sources import files
 from . import blocks
 from . import retrieval as rt
+from .contains import containing
 from .knowledge import KNOWN
 from .retrieval import words
 
@@ -60,6 +61,16 @@ class Index:
         return q.withColumn("terms", F.array_distinct(stems("terms"))) if self.analyzer == "porter" else q
 
 
+def idf(n, df):
+    """The weight of a term that ``df`` of ``n`` chunks hold."""
+    return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+
+
+def part(weight, tf, length, avg):
+    """What a term of a weight that occurs ``tf`` times in a chunk of some length adds to its score: the more the higher ``tf``, and the shorter the chunk."""
+    return weight * tf * (rt.K1 + 1) / (tf + rt.K1 * (1 - rt.B + rt.B * length / avg))
+
+
 def lexical(ix: Index, queries: DataFrame, limit: int = rt.LIMIT) -> DataFrame:
     """KEYS, score (positive), rank: BM25 of the chunks that hold all terms of a query. Ties go to the smaller path and ordinal.
 
@@ -70,10 +81,8 @@ def lexical(ix: Index, queries: DataFrame, limit: int = rt.LIMIT) -> DataFrame:
     terms = wanted.select("term").distinct()
     hits = ix.hits(terms)
     df = ix.frequencies(hits, terms)
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (rt.K1 + 1) / (F.col("tf") + rt.K1 * (1 - rt.B + rt.B * F.col("n_terms") / F.col("avg")))
     found = hits.join(df, "term").join(wanted, "term").crossJoin(ix.size())  # one row
-    found = found.groupBy(*KEYS, "n_wanted").agg(F.count("*").alias("k"), F.round(F.sum(part), 6).alias("score")).where("k = n_wanted")
+    found = found.groupBy(*KEYS, "n_wanted").agg(F.count("*").alias("k"), F.round(F.sum(part(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("n_terms"), F.col("avg"))), 6).alias("score")).where("k = n_wanted")
     return ranked(found.select(*KEYS, "score"), limit)
 
 
@@ -210,9 +219,12 @@ def fallback(ix: Index, queries: DataFrame, limit: int = rt.LIMIT) -> DataFrame:
     q = ix.queries(queries).where(F.size("terms") > 0)
     q = q.join(lexical(ix, queries, 1).select("query_id"), "query_id", "left_anti")
     probe = F.element_at(F.filter(F.transform(F.split("query", r"\s+"), lambda t: F.regexp_replace(t, r"^\p{Punct}+|\p{Punct}+$", "")), lambda t: t != ""), -1)
-    q = files.few(q.select("query_id", F.lower(probe).alias("probe")))
-    hit = F.lower("path").contains(F.col("probe")) | F.lower("heading_path").contains(F.col("probe"))
-    return ranked(ix.rows.drop("terms", "n_terms", "text").join(q, hit).select(*KEYS, F.lit(0.0).alias("score")), limit)
+    q = q.select("query_id", F.lower(probe).alias("word"))
+    rows = ix.rows.select(*KEYS[1:])
+    places = [rows.select(*KEYS[1:], F.lower(c).alias("text")) for c in ("path", "heading_path")]
+    met = containing(places[0].select("text").unionByName(places[1].select("text")), "text", q, "word").join(q, "word").select("query_id", "text")
+    hits = places[0].join(met, "text").unionByName(places[1].join(met, "text")).select(*KEYS).distinct()
+    return ranked(hits.withColumn("score", F.lit(0.0)), limit)
 
 
 def context(ix: Index, titles: DataFrame, names: DataFrame, most: int = 3, limit: int = 6) -> DataFrame:

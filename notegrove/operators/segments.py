@@ -6,6 +6,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,16 +16,21 @@ from . import blocks, search
 from . import retrieval as rt
 
 CHUNKS = "b int, segment long, path string, chunk_id string, ordinal int, heading_path string, text string, n_terms int, tf array<struct<term: string, tf: bigint>>"
-POSTINGS = "b int, segment long, term string, tf long, chunk_id string, path string, ordinal int, heading_path string, n_terms int"
+POSTINGS = "b int, segment long, term string, r long, n int, max_tf long, min_length int, rows array<struct<chunk_id: string, path: string, ordinal: int, heading_path: string, n_terms: int, tf: bigint>>"
 TERMS = "b int, term string, df long"
 GRAVES = "b int, segment long, path string"
+#: Chunks of a range at most, about, and ranges of lengths to a doubling.
+BLOCK, FINE = 4096, 8
+#: So many times its limit a search opens before it knows what to skip.
+FIRST = 2
 SCHEMAS = {"chunks": CHUNKS, "postings": POSTINGS, "terms": TERMS, "graves": GRAVES}
 
 
 class Segments(search.Index):
     """Searchable as an ``Index`` is; ``apply`` and ``merge`` keep it.
 
-    A segment is never changed once it is written. It has *chunks* (a batch's notes, by bucket of their path), *postings* (their terms, by bucket of the term), *terms* (by how much
+    A segment is never changed once it is written. It has *chunks* (a batch's notes, by bucket of their path), *postings* (their terms, by bucket of the term; in blocks, each of a range of chunks of like length, with the largest tf and the
+    smallest length in it), *terms* (by how much
     the batch changes each term's number of chunks) and *graves* (notes of earlier segments that the batch replaces, empties or deletes). A small file names the
     segments that hold and counts chunks and words; a batch becomes visible when that file is replaced, so a job that dies leaves nothing to see.
 
@@ -76,10 +82,53 @@ class Segments(search.Index):
     def _buckets_of(self, df: DataFrame, column: str) -> list[int]:
         return sorted(r.b for r in df.select(self._bucket(column).alias("b")).distinct().collect())  # ``buckets`` at most
 
+    def _postings(self, terms: DataFrame) -> DataFrame:
+        """The blocks of ``terms`` (term; distinct). Only the buckets of the terms are read."""
+        return self._read("postings").where(F.col("b").isin(self._buckets_of(terms, "term"))).join(terms, "term", "left_semi")
+
+    def _opened(self, blocks: DataFrame) -> DataFrame:
+        """What lives of the rows of ``blocks``."""
+        rows = blocks.select("segment", "term", F.explode("rows").alias("x")).select("segment", "term", "x.*")
+        return self._living(rows).select("term", *search.KEYS[1:], "n_terms", "tf")
+
     def hits(self, terms: DataFrame) -> DataFrame:
-        """Only the buckets of the terms are read; a term's postings say all that is scored."""
-        found = self._read("postings").where(F.col("b").isin(self._buckets_of(terms, "term"))).join(terms, "term", "left_semi")
-        return self._living(found).select("term", *search.KEYS[1:], "n_terms", "tf")
+        """A term's postings say all that is scored."""
+        return self._opened(self._postings(terms))
+
+    def top(self, queries: DataFrame, limit: int = rt.LIMIT) -> tuple[DataFrame, DataFrame]:
+        """The first ``limit`` of ``search.lexical``, and how it was done (query_id, blocks, opened: how many the query's terms have, and how many of these were opened).
+
+        A range of chunks can't score more than its blocks' largest tf and smallest length give. Each query first opens the ranges of the highest bounds, until they hold ``FIRST`` times
+        ``limit`` chunks that may have all its terms; the score at ``limit`` among these is what others must reach, and only ranges whose bound does are opened then.
+        """
+        q = self.queries(queries).select("query_id", "terms", F.size("terms").alias("n_wanted")).where("n_wanted > 0")
+        wanted = files.stored(q.select("query_id", "n_wanted", F.explode("terms").alias("term")))
+        terms = wanted.select("term").distinct()
+        df = files.stored(self.frequencies(None, terms).crossJoin(self.size()).select("term", search.idf(F.col("n"), F.col("df")).alias("idf"), "avg"))  # one row
+        blocks = self._postings(terms)
+        weighed = blocks.select("segment", "term", "r", "n", "max_tf", "min_length").join(df, "term").join(wanted, "term")
+        bound = F.sum(search.part(F.col("idf"), F.col("max_tf"), F.col("min_length"), F.col("avg")))
+        ranges = weighed.groupBy("query_id", "n_wanted", "segment", "r").agg(F.count("*").alias("k"), bound.alias("bound"), F.min("n").alias("held")).where("k = n_wanted")
+        w = W.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "r")
+        ranges = files.stored(ranges.withColumn("before", F.sum("held").over(w) - F.col("held")).drop("k", "held"))
+
+        def scored(chosen: DataFrame) -> DataFrame:
+            """All hits of queries in the ranges chosen for them."""
+            opened = blocks.join(chosen.select("segment", "r").distinct(), ["segment", "r"], "left_semi")
+            rows = opened.select("segment", "r", "term", F.explode("rows").alias("x")).select("segment", "r", "term", "x.*")
+            rows = self._living(rows).join(wanted, "term").join(chosen.select("query_id", "segment", "r"), ["query_id", "segment", "r"], "left_semi").join(df, "term")
+            score = F.round(F.sum(search.part(F.col("idf"), F.col("tf"), F.col("n_terms"), F.col("avg"))), 6)
+            return rows.groupBy(*search.KEYS, "n_wanted").agg(F.count("*").alias("k"), score.alias("score")).where("k = n_wanted").select(*search.KEYS, "score")
+
+        first = ranges.where(F.col("before") < FIRST * limit)
+        one = files.stored(search.ranked(scored(first), limit))
+        least = one.where(F.col("rank") == limit).select("query_id", F.col("score").alias("least"))
+        rest = ranges.where(F.col("before") >= FIRST * limit).join(least, "query_id", "left").where(F.col("least").isNull() | (F.round(F.col("bound") + 1e-9, 6) >= F.col("least")))
+        rest = files.stored(rest.drop("least"))
+        found = search.ranked(one.drop("rank").unionByName(scored(rest)), limit)
+        count = lambda df, name: df.groupBy("query_id").agg(F.sum("n_wanted").alias(name))
+        done = weighed.groupBy("query_id").agg(F.count("*").alias("blocks")).join(count(first.unionByName(rest), "opened"), "query_id", "left")
+        return found, done.select("query_id", "blocks", F.coalesce("opened", F.lit(0)).cast("long").alias("opened"))
 
     def frequencies(self, hits: DataFrame, terms: DataFrame) -> DataFrame:
         found = self._read("terms").where(F.col("b").isin(self._buckets_of(terms, "term"))).join(terms, "term", "left_semi")
@@ -87,6 +136,13 @@ class Segments(search.Index):
 
     # --- what changes
 
+    def _blocks(self, rows: DataFrame, chunks: int) -> DataFrame:
+        """``rows`` (segment, term, tf, chunk_id, ...) as blocks: of each term those of the chunks of one range. A range has chunks of like length, dealt by hash so that it holds ``BLOCK`` at most, about."""
+        splits = max(1, -(-chunks // BLOCK))
+        r = F.floor(F.log2(F.col("n_terms") + 1) * FINE) * splits + F.pmod(F.xxhash64("chunk_id"), F.lit(splits))
+        row = F.struct("chunk_id", "path", "ordinal", "heading_path", "n_terms", "tf")
+        return rows.withColumn("r", r).groupBy("segment", "term", "r").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("n_terms").alias("min_length"), F.collect_list(row).alias("rows"))
+
     def _write(self, folder: str, kind: str, df: DataFrame, by: str) -> None:
         dealt = df.withColumn("b", self._bucket(by)).repartition("b").sortWithinPartitions("b", by)
         dealt.select(*T.StructType.fromDDL(SCHEMAS[kind]).names).write.partitionBy("b").parquet(f"{self.root}/{kind}/s={folder}")
@@ -115,11 +171,12 @@ class Segments(search.Index):
         else:
             old = self.spark.createDataFrame([], "segment long, path string, n_terms int, terms array<string>")
         self._write(folder, "graves", old.select("segment", "path").distinct(), "path")
-        self._write(folder, "postings", new.select("segment", "chunk_id", "path", "ordinal", "heading_path", "n_terms", F.explode("tf").alias("x")).select("*", "x.term", "x.tf").drop("x"), "term")
-        change = new.select(F.explode("tf.term").alias("term"), F.lit(1).alias("d")).unionByName(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("d")))
-        self._write(folder, "terms", change.groupBy("term").agg(F.sum("d").alias("df")).where("df <> 0"), "term")
         total = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("w")).first()
         plus, minus = total(new), total(old)
+        rows = new.select("segment", "chunk_id", "path", "ordinal", "heading_path", "n_terms", F.explode("tf").alias("x")).select("*", "x.term", "x.tf").drop("x")
+        self._write(folder, "postings", self._blocks(rows, plus.n), "term")
+        change = new.select(F.explode("tf.term").alias("term"), F.lit(1).alias("d")).unionByName(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("d")))
+        self._write(folder, "terms", change.groupBy("term").agg(F.sum("d").alias("df")).where("df <> 0"), "term")
         m["segments"].append({"id": segment, "folder": folder, "level": 0, "chunks": plus.n - minus.n, "words": plus.w - minus.w})
         self._commit(m | {"next": segment + 1, "applied": m["applied"] if number is None else number})
 
@@ -141,8 +198,10 @@ class Segments(search.Index):
             ids = [s["id"] for s in parts]
             segment, folder = m["next"], f"segment-{m['next']}-{uuid.uuid4().hex[:8]}"
             here = F.lit(segment).cast("long")
-            for kind, by in (("chunks", "path"), ("postings", "term")):
-                self._write(folder, kind, self._living(self._read(kind, ids)).withColumn("segment", here), by)
+            self._write(folder, "chunks", self._living(self._read("chunks", ids)).withColumn("segment", here), "path")
+            chunks = self.spark.read.schema(CHUNKS).parquet(f"{self.root}/chunks/s={folder}").count()
+            rows = self._living(self._read("postings", ids).select("segment", "term", F.explode("rows").alias("x")).select("segment", "term", "x.*"))
+            self._write(folder, "postings", self._blocks(rows.withColumn("segment", here), chunks), "term")
             # what these segments hid in one another is gone now; what they hide in others stays hidden
             self._write(folder, "graves", self._read("graves", ids).where(~F.col("segment").isin(ids)).select("segment", "path"), "path")
             self._write(folder, "terms", self._read("terms", ids).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), "term")
@@ -181,7 +240,7 @@ def index_segments(spark, d):
     """Terms of the index after edits, empties, deletions and returns, with the chunks that hold them as sums of changes tell, and as living postings do."""
     ix = kept(spark, d)
     told = ix._read("terms").groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
-    seen = ix._living(ix._read("postings")).groupBy("term").agg(F.count("*").alias("postings"), F.sum("tf").alias("n"))
+    seen = ix._opened(ix._read("postings")).groupBy("term").agg(F.count("*").alias("postings"), F.sum("tf").alias("n"))
     return told.join(seen, "term", "full")
 
 
@@ -190,10 +249,16 @@ def search_segments(spark, d):
     return search.lexical(kept(spark, d), rt.asked(spark))
 
 
+def search_topk(spark, d):
+    """The five best chunks of each query; ranges that can't hold any of them stay closed."""
+    return kept(spark, d).top(rt.asked(spark), 5)[0]
+
+
 #: The vault after all batches: of each note its last change.
 _AFTER = f"old AS ({fx.VAULT}), changed AS ({BATCHES.replace('FROM vault', 'FROM old')}), vault AS (SELECT path, content FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY batch DESC, version DESC) AS k FROM changed) WHERE k = 1 AND content <> '')"
-QUERIES = {f.__name__: f for f in (index_segments, search_segments)}
+QUERIES = {f.__name__: f for f in (index_segments, search_segments, search_topk)}
 ORACLE = {
     "index_segments": f"WITH {_AFTER}, {search.CHUNKS}, t AS (SELECT chunk_id, unnest({rt._TOK.format('text')}) AS term FROM ck) SELECT term, count(DISTINCT chunk_id) AS df, count(DISTINCT chunk_id) AS postings, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1",
     "search_segments": f"WITH {_AFTER}, {search.CHUNKS}, {rt._ASKED}, {rt._TERMS}, {search._BM} SELECT * FROM lex WHERE rank <= 20",
+    "search_topk": f"WITH {_AFTER}, {search.CHUNKS}, {rt._ASKED}, {rt._TERMS}, {search._BM} SELECT * FROM lex WHERE rank <= 5",
 }

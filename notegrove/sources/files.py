@@ -45,11 +45,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def few(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """``df`` marked for broadcasting if it has ``most`` rows at most, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def scan(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """path (under ``folder``), content, hash, mtime (ms), size of every file below that is named like ``pattern``.
 

@@ -80,3 +80,20 @@ def test_stream_keeps_the_index(spark, tmp_path):
         spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(folder)
         streams.indexed(spark.readStream.schema(SCHEMA).parquet(folder), ix, f"{tmp_path}/log").awaitTermination()
     assert sorted((r.path, r.text) for r in ix.rows.collect()) == [("a", "new\n"), ("a", "text")]
+
+
+def test_top_skips_and_ranks_alike(spark, tmp_path):
+    """The first few of many chunks, with dead ones among them, equal those of a full search; most blocks stay closed."""
+    rng = random.Random(8)
+    ix = segments.Segments(spark, f"file://{tmp_path}/i", buckets=2)
+    make = lambda i: " ".join(["copper"] * rng.choice([0, 0, 0, 0, 0, 1, 1, 6]) + ["steel"] * rng.choice([0, 0, 0, 1, 3]) + rng.choices(WORDS[2:], k=rng.choice([3, 10, 40, 150, 300])))
+    ix.apply(spark.createDataFrame([(f"n{i:04}", make(i), 1) for i in range(1500)], SCHEMA))
+    ix.apply(spark.createDataFrame([(f"n{i:04}", None if i % 2 else make(i), 2) for i in range(0, 1500, 5)], SCHEMA))
+    queries = spark.createDataFrame([(0, "copper"), (1, "steel copper"), (2, "zinc"), (3, "copper zinc"), (4, "valve seal"), (5, "the")], "query_id int, query string")
+    pick = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.path, r.score) for r in df.collect())
+    for limit in (1, 7, 2000):
+        found, done = ix.top(queries, limit)
+        assert pick(found) == pick(lexical(ix, queries, limit))
+        read = {r.query_id: (r.opened, r.blocks) for r in done.collect()}
+        assert limit == 2000 or (2 * read[0][0] < read[0][1] and read[1][0] < read[1][1]), read
+        assert read[3] == (0, read[0][1])
