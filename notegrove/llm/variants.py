@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 from ._common import stored, table
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
-#: Distinct words that a task counts before it sends them; code points of words that are indexed together, and of a cell before it is split.
-KEPT, TOGETHER, CELL = 300_000, 300_000, 100_000
+#: Distinct words that a task counts before it sends them; code points of words that are indexed together.
+KEPT, TOGETHER = 300_000, 300_000
+#: A cell is split if it has more code points than the first and more words than the second.
+CELL, FEW = 100_000, 64
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", odd: int = 97, shortest: int = 5) -> DataFrame:
@@ -148,8 +150,8 @@ def _cells(words: DataFrame, shortest: int) -> DataFrame:
     """(k, lo, hi, key, long, word, n): cells in which pairs are looked for. A pair is words of k and of k (or k + 1, ``long``) letters that differ at a place in [lo, hi), so what is before
     ``lo`` and from ``hi`` on is the same: ``key``.
 
-    At first places are cut in two halves. A cell of more than ``CELL`` code points is split in two by the middle of its places, again and again; in the end places are
-    single, and at most twice as many words as there are letters differ there.
+    At first places are cut in two halves. A cell of more than ``CELL`` code points and ``FEW`` words is split in two by the middle of its places, again and again; in the end places are
+    single, and at most twice as many words as there are letters differ there. Words that have little in common with others, however long, are in cells of few words, which stay whole.
     """
     size = F.length("word")
     home = words.withColumn("long", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("k", F.when(F.col("long"), size - 1).otherwise(size)).where(F.col("k") >= shortest)
@@ -159,7 +161,7 @@ def _cells(words: DataFrame, shortest: int) -> DataFrame:
     rows = home.withColumn("_w", F.explode(halves)).select("k", "_w.lo", "_w.hi", "long", "word", "n").withColumn("key", key)
     rows, done = stored(rows, "cells"), None
     while True:
-        large = rows.groupBy(*of).agg(F.sum(F.length("word").cast("long")).alias("s")).where((F.col("s") > CELL) & (F.col("hi") - F.col("lo") > 1)).drop("s")
+        large = rows.groupBy(*of).agg(F.sum(F.length("word").cast("long")).alias("s"), F.count("*").alias("m")).where((F.col("s") > CELL) & (F.col("m") > FEW) & (F.col("hi") - F.col("lo") > 1)).drop("s", "m")
         large = stored(large, "large")
         if large.isEmpty():
             return rows if done is None else done.unionByName(rows)

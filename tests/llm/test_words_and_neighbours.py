@@ -56,8 +56,9 @@ def variants_of(spark, rows, **kind):
 
 @pytest.mark.parametrize("cell", [100_000, 40])
 def test_variants(spark, cell, monkeypatch):
-    """Cells of few code points are split down to single places."""
+    """Cells of few code points are split down to single places; very long words aren't."""
     monkeypatch.setattr(variants, "CELL", cell)
+    monkeypatch.setattr(variants, "FEW", 64 if cell > 40 else 4)
     rng = random.Random(2)
     vocabulary = ["".join(rng.choice("abé") for _ in range(rng.randint(4, 8))) for _ in range(250)] + ["Straße", "strase", "STRASSE", "zzzzz", "zzzzzz", "zzzzzzz"]
     rows = [(i, " ".join(rng.choices(vocabulary, weights=[1 + k % 23 for k in range(len(vocabulary))], k=60)) + ", zzzzz-zzzzzz zzzzzzz") for i in range(60)]
@@ -154,14 +155,14 @@ def test_phrases_against_sql(spark):
     con.register("documents", docs.select("doc_id", "text", "lang").toPandas().astype({"doc_id": "Int64"}))
     want = con.execute(queries.ORACLE["op13_phrases"]).fetchall()
     got = phrases.collocations(docs).collect()
-    assert sorted(map(tuple, got)) == sorted(want) and len(got) > 100
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) > 50
     # the order within a language, and phrases whose words lie in longer ones
     assert {"new york city hall"} <= {r.phrase for r in got} and not {"york city", "city hall"} & {r.phrase for r in got if r.lang == "xx"}
 
 
 def test_phrases_by_python(spark, monkeypatch):
     """Counts by a plain loop; a map of few bits prunes nothing and changes nothing."""
-    monkeypatch.setattr(phrases, "MAP_BITS", 8)
+    monkeypatch.setattr(phrases, "MAP_BITS", 10)
     rng = random.Random(9)
     text = ["".join(rng.choice("abc ") for _ in range(400)) for _ in range(30)]
     docs = cases.documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(text)])
