@@ -55,15 +55,24 @@ class Vault:
     def duplicates(self) -> DataFrame:
         return vault.duplicates(self.notes)
 
+    def health(self) -> DataFrame:
+        """One row: notes, entities, claims, candidates for memories, broken links, orphans and duplicates."""
+        return health.summary(self.notes)
+
+    def embedding_status(self, vectors: DataFrame) -> DataFrame:
+        """One row: chunks in all, those with one of ``vectors`` (chunk_id, v), and those without."""
+        return health.embedding_status(self.chunks(), vectors)
+
 
 class Search:
     """Ranked chunks for a table of queries (query_id, query). ``embed`` is a function of a text column, such as a pandas UDF that gives vectors; without one, hashed words re-rank."""
 
     MOST = 100
 
-    def __init__(self, v: Vault, analyzer: str = "porter", embed=None):
+    def __init__(self, v: Vault, analyzer: str = "porter", embed=None, index: search.Index | None = None):
+        """``index``: one that is kept (``segments.Segments``), in place of one built anew."""
         self.vault, self.embed = v, embed
-        self.index = search.Index.build(v.notes, analyzer)
+        self.index = index or search.Index.build(v.notes, analyzer)
         self.names = knowledge.mentions(v.parsed)
 
     def _limit(self, limit: int) -> int:
@@ -112,6 +121,8 @@ class Memory:
         return memories.join(self.vault.notes.select("path"), "path", "left_anti")
 
     replay = staticmethod(memory.fold_states)
+    decide = staticmethod(memory.decided)
+    update = staticmethod(memory.updated)
     supersede = staticmethod(memory.superseded)
     listed = staticmethod(memory.listed)
     next_jobs = staticmethod(memory.next_jobs)
@@ -147,6 +158,10 @@ class Agent:
     def __init__(self, v: Vault):
         self.vault = v
 
+    def plan(self, request: str, **how) -> DataFrame:
+        """The edits that a request asks for (see ``agent.planned``)."""
+        return agent.planned(self.vault.notes, request, **how)
+
     def plan_merge(self, paths: list[str], into: str) -> DataFrame:
         return agent.merged(self.vault.notes, paths, into)
 
@@ -159,6 +174,9 @@ class Agent:
     def tools(self) -> DataFrame:
         return agent.agent_tools(self.vault.notes.sparkSession, "")
 
+    gate = staticmethod(agent.gated)
+    decide = staticmethod(agent.decided)
+    preview = staticmethod(agent.previewed)
     prepare = staticmethod(agent.prepare)
     version_check = staticmethod(agent.version_check)
     verify_applied = staticmethod(agent.misapplied)

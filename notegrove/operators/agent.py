@@ -14,7 +14,7 @@ from ..functions import markdown as md
 from ..plans import fixtures as fx
 from ..sources import files
 from . import blocks
-from .folds import Machine, folded, named
+from .folds import Machine, folded, named, stepped
 from .knowledge import KNOWN
 
 # What each permission allows, and the tools with the permission each needs and whether it changes notes.
@@ -121,12 +121,35 @@ def op_transitions(spark, d):
     return folded(e, "op", OPERATION).select("op", named(OPERATION.states).alias("status"))
 
 
+def decided(operations: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``operations`` (op, status, ...) after one decision for each (op, action: approve, reject, execute or rollback), and the decisions with what became of them (op, was, status, refused)."""
+    said = stepped(operations, "op", OPERATION, decisions)
+    after = operations.join(said.where("not refused").select("op", F.col("status").alias("_new")), "op", "left")
+    return after.withColumn("status", F.coalesce("_new", "status")).drop("_new").select(*operations.columns), said
+
+
 def agent_tools(spark, d):
     t = spark.createDataFrame(TOOLS, "name string, permission string, mutates boolean")
     p = spark.createDataFrame(list(POLICY.items()), "permission string, decision string")
     return t.join(F.broadcast(p), "permission").select("name", "permission", "mutates", "decision")  # ten fixed rows
 
 
+def gated(calls: DataFrame) -> DataFrame:
+    """``calls`` (tool, approved, ...) with ``decision``: run, needs approval, denied, or unknown tool. Tools that change notes run only if a user approved the call; some never do."""
+    spark = calls.sparkSession
+    t = spark.createDataFrame(TOOLS, "tool string, permission string, mutates boolean").join(spark.createDataFrame(list(POLICY.items()), "permission string, policy string"), "permission")
+    j = calls.join(F.broadcast(t.select("tool", "policy")), "tool", "left")  # ten fixed rows or so
+    how = F.when(F.col("policy").isNull(), "unknown tool").when(F.col("policy") == "denied", "denied").when((F.col("policy") == "confirm") & ~F.coalesce("approved", F.lit(False)), "needs approval").otherwise("run")
+    return j.withColumn("decision", how).drop("policy")
+
+
+def tool_calls(spark, d):
+    """Events as calls of tools, every third approved; what becomes of them, by user and tool."""
+    names = F.array(*[F.lit(n) for n in [*(n for n, _, _ in TOOLS), "vault.format"]])
+    e = fx.table(spark, d, "events").select("user_id", F.element_at(names, (F.col("event_id") % (len(TOOLS) + 1) + 1).cast("int")).alias("tool"), (F.col("event_id") % 3 == 0).alias("approved"))
+    return gated(e).groupBy("user_id", "tool", "decision").agg(F.count("*").alias("n"))
+
+
 def chain(events: DataFrame) -> DataFrame:
     """user_id, event_id, previous_hash, new_hash: each user's events in order, every hash made over the one before.
 
@@ -302,7 +325,7 @@ _ORDER = f"f AS ({FILES})"
 _CHAIN = """RECURSIVE o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 c AS (SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS event_id, '' AS h FROM (SELECT DISTINCT user_id FROM o) UNION ALL SELECT o.user_id, o.i, o.event_id, sha256(c.h || '|agent|' || o.event_type || '||ok|' || o.event_id) FROM c JOIN o ON o.user_id = c.user_id AND o.i = c.i + 1)"""
 _S = "SELECT path, content FROM vault WHERE path LIKE 'Suppliers/%'"
-QUERIES = {f.__name__: f for f in (op_prepare, op_version_check, op_verify, op_rollback, op_list, op_transitions, agent_tools, audit_chain, audit_verify, audit_list, line_diff, plan_requests, plan_merge, plan_link, plan_metadata)}
+QUERIES = {f.__name__: f for f in (op_prepare, op_version_check, op_verify, op_rollback, op_list, op_transitions, agent_tools, tool_calls, audit_chain, audit_verify, audit_list, line_diff, plan_requests, plan_merge, plan_link, plan_metadata)}
 ORACLE = {
     "op_prepare": f"WITH {_ORDER}, x AS (SELECT *, CASE WHEN action = 'delete' THEN 'delete is disabled' WHEN action = 'edit' AND old_content = content THEN 'edit changes nothing' END AS fault FROM f) SELECT op, count(*) AS n_files, CASE WHEN count(*) > 3 OR bool_or(action = 'move') THEN 'medium' ELSE 'low' END AS risk, min_by(fault, path) FILTER (fault IS NOT NULL) AS error FROM x GROUP BY op",
     "op_version_check": f"WITH {_ORDER}, n AS ({NOW}), c AS (SELECT op, CASE WHEN action = 'create' THEN CASE WHEN now IS NOT NULL THEN 'exists' END WHEN now IS NULL THEN 'missing' WHEN now <> old_content THEN 'changed' END AS conflict FROM f LEFT JOIN n USING (path) WHERE action <> 'delete') SELECT op, bool_and(conflict IS NULL) AS may_run, count(conflict) AS conflicts FROM c GROUP BY op",
@@ -311,6 +334,7 @@ ORACLE = {
     "op_list": f"WITH {_ORDER} SELECT op, max(k) AS newest, string_agg(action, ',' ORDER BY k, action) AS actions FROM f GROUP BY op ORDER BY newest DESC LIMIT 100",
     "op_transitions": "WITH RECURSIVE o AS (SELECT user_id AS op, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), r AS (SELECT op, 0::BIGINT AS i, 'pending' AS s FROM (SELECT DISTINCT op FROM o) UNION ALL SELECT o.op, o.i, CASE WHEN event_id % 4 = 0 AND s = 'pending' THEN 'approved' WHEN event_id % 4 = 1 AND s = 'pending' THEN 'rejected' WHEN event_id % 4 = 2 AND s = 'approved' THEN 'executed' WHEN event_id % 4 = 3 AND s = 'executed' THEN 'rolled_back' ELSE s END FROM r JOIN o ON o.op = r.op AND o.i = r.i + 1) SELECT op, max_by(s, i) AS status FROM r GROUP BY op",
     "agent_tools": "SELECT name, permission, mutates, CASE WHEN permission = 'vault_delete' THEN 'denied' WHEN mutates THEN 'confirm' ELSE 'allow' END AS decision FROM (VALUES " + ", ".join(f"('{n}', '{p}', {str(m).lower()})" for n, p, m in TOOLS) + ") AS t(name, permission, mutates)",
+    "tool_calls": "WITH t AS (SELECT row_number() OVER () - 1 AS i, * FROM (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p, _ in TOOLS) + ", ('vault.format', '')) AS v(tool, permission)) SELECT user_id, tool, CASE WHEN permission = '' THEN 'unknown tool' WHEN permission = 'vault_delete' THEN 'denied' WHEN permission IN (" + ", ".join(f"'{k}'" for k, v in POLICY.items() if v == "confirm") + f") AND event_id % 3 <> 0 THEN 'needs approval' ELSE 'run' END AS decision, count(*) AS n FROM events JOIN t ON i = event_id % {len(TOOLS) + 1} GROUP BY ALL",
     "audit_chain": f"WITH {_CHAIN} SELECT user_id, count(*) AS n, max_by(h, event_id) AS some_hash, min(h) AS least_hash FROM c WHERE i > 0 GROUP BY user_id",
     "audit_list": "SELECT * FROM (SELECT event_id, user_id, event_type, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) ORDER BY ts, event_id",
     "audit_verify": f"""WITH {_CHAIN}, t AS (SELECT c.user_id, c.i, o.event_type, c.event_id, CASE WHEN c.user_id % 5 = 0 AND c.event_id = min(c.event_id) OVER (PARTITION BY c.user_id) THEN sha256(c.h) ELSE c.h END AS h, lag(c.h, 1, '') OVER (PARTITION BY c.user_id ORDER BY c.i) AS declared FROM c JOIN o ON o.user_id = c.user_id AND o.i = c.i WHERE c.i > 0),

@@ -82,3 +82,12 @@ def folded(events: DataFrame, key: str, machine: Machine, order: tuple[str, ...]
 def named(states: list, column: str = "state"):
     """The name of a state's number."""
     return F.element_at(F.array(*[F.lit(s) for s in states]), F.col(column) + 1)
+
+
+def stepped(rows: DataFrame, key: str, machine: Machine, actions: DataFrame) -> DataFrame:
+    """``key``, was, status, refused: what one action for each key (``actions``: key, action) makes of the states of ``rows`` (key, status), by the machine's rules; refused if these don't allow it, the status being kept, or if there is no such row."""
+    moves = {f"{s}|{a}": machine.states[int(to[k])] for a, to in machine.to.items() for k, s in enumerate(machine.states) if to[k] != k}
+    known = F.create_map(*[F.lit(x) for kv in moves.items() for x in kv])
+    j = actions.select(key, "action").join(rows.select(key, F.col("status").alias("was")), key, "left")
+    to = F.try_element_at(known, F.concat_ws("|", "was", "action"))
+    return j.select(key, "was", F.coalesce(to, "was").alias("status"), to.isNull().alias("refused"))

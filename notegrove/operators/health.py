@@ -33,20 +33,44 @@ def q_orphans(spark, d):
     return orphans(n, kn.resolved_links(n))
 
 
-def health_counts(spark, d):
-    n = md.parsed(fx.vault(spark, d))
-    frames = [
+def counts(n: DataFrame) -> list[DataFrame]:
+    return [
         n.agg(F.count("*").alias("total_notes")),
         kn.entities(n).agg(F.count("*").alias("total_entities")),
         kn.claims(n).agg(F.count("*").alias("total_claims"), F.count_if(F.col("claim_type").isin("DECISION", "PREFERENCE", "GOAL", "EXPERIENCE")).alias("candidates")),
         kn.resolved_links(n).agg(F.count_if(F.col("resolved").isNull()).alias("broken_links")),
     ]
+
+
+def _side_by_side(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
         out = out.crossJoin(f)  # one row each
     return out
 
 
+def summary(notes: DataFrame) -> DataFrame:
+    """One row: how many notes, entities, claims, candidates for memories, broken links, orphans and notes with a copy there are."""
+    from .vault import duplicates
+
+    n = md.parsed(notes)
+    return _side_by_side([*counts(n), orphans(n, kn.resolved_links(n)).agg(F.count("*").alias("orphans")), duplicates(n).agg(F.count("*").alias("duplicates"))])
+
+
+def embedding_status(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row: chunks_total, chunks_embedded, chunks_pending, for ``vectors`` (chunk_id, v)."""
+    there = chunks.select("chunk_id").join(vectors.where("v is not null").select("chunk_id", F.lit(1).alias("x")).distinct(), "chunk_id", "left")
+    return there.agg(F.count("*").alias("chunks_total"), F.count("x").alias("chunks_embedded"), F.count_if(F.col("x").isNull()).alias("chunks_pending"))
+
+
+def health_counts(spark, d):
+    return _side_by_side(counts(md.parsed(fx.vault(spark, d))))
+
+
+def health_summary(spark, d):
+    return summary(fx.vault(spark, d))
+
+
 def health_detailed(spark, d):
     """Findings by kind."""
     n = md.parsed(fx.vault(spark, d))
@@ -93,7 +117,7 @@ def note_payload_valid(spark, d):
     return t.select("k", ((F.col("path") != "") & ~F.col("path").startswith("/") & F.col("hash").rlike("^[0-9a-fA-F]{64}$")).alias("valid"))
 
 
-QUERIES = {"broken_links": q_broken_links, "orphans": q_orphans} | {f.__name__: f for f in (health_counts, health_detailed, job_stats, schema_version, migrations, models_status, note_payload_valid)}
+QUERIES = {"broken_links": q_broken_links, "orphans": q_orphans} | {f.__name__: f for f in (health_counts, health_summary, health_detailed, job_stats, schema_version, migrations, models_status, note_payload_valid)}
 _ORPHANS = "SELECT path FROM vault v WHERE path NOT IN (SELECT path FROM linked) AND path NOT IN (SELECT resolved FROM linked WHERE resolved IS NOT NULL)"
 ORACLE = {
     "broken_links": f"WITH {KNOWN} SELECT path, target AS detail FROM linked WHERE resolved IS NULL",
@@ -106,3 +130,4 @@ ORACLE = {
     "models_status": "SELECT count(*) AS chunks_total, count(embedding) AS chunks_embedded, count(*) FILTER (embedding IS NULL) AS chunks_pending FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
     "note_payload_valid": "SELECT o_orderkey AS k, o_orderkey % 4 IN (2, 3) AND o_orderkey % 3 <> 0 AS valid FROM orders",
 }
+ORACLE["health_summary"] = f"SELECT * FROM ({ORACLE['health_counts']}), (SELECT count(*) AS orphans FROM ({ORACLE['orphans']})), (SELECT coalesce(sum(n), 0)::BIGINT AS duplicates FROM (WITH vault AS ({fx.VAULT}) SELECT count(*) AS n FROM vault GROUP BY content HAVING count(*) > 1))"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as md
 from ..plans import fixtures as fx
 from . import knowledge as kn
-from .folds import Machine, folded, named
+from .folds import Machine, folded, named, stepped
 from .knowledge import KNOWN
 
 #: Claim types that make memories, and the kinds of contradictions.
@@ -159,6 +159,35 @@ def fold_states(events: DataFrame, key: str) -> DataFrame:
     return folded(events, key, MEMORY).select(key, named(MEMORY.states).alias("status"), "n")
 
 
+def decided(memories: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``memories`` (id, status, ...) after one decision for each (id, action: accept, reject, dispute, stale or supersede), and the decisions with what became of them (id, was, status, refused)."""
+    said = stepped(memories, "id", MEMORY, decisions)
+    after = memories.join(said.where("not refused").select("id", F.col("status").alias("_new")), "id", "left")
+    return after.withColumn("status", F.coalesce("_new", "status")).drop("_new").select(*memories.columns), said
+
+
+def updated(memories: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``memories`` (id, type, content, ...) with changed content and type (id, type, content; null: as it was), and the changes that are refused (id, why): no such memory, a type that there isn't, blank content."""
+    why = F.when(F.col("old").isNull(), "no such memory").when(F.col("type").isNotNull() & ~F.col("type").isin(list(MEMORY_TYPES.values())), "unknown type").when(F.trim("content") == "", "blank content")
+    c = changes.join(memories.select("id", F.lit(True).alias("old")), "id", "left").withColumn("why", why)
+    good = c.where("why is null").select("id", F.col("type").alias("_t"), F.col("content").alias("_c"))
+    after = memories.join(good, "id", "left").withColumns({"type": F.coalesce("_t", "type"), "content": F.coalesce("_c", "content")})
+    return after.select(*memories.columns), c.where("why is not null").select("id", "why")
+
+
+def memory_decisions(spark, d):
+    """One decision upon each user's memory after the log of events: an acceptance, a rejection or a supersession by turns; refused where its state doesn't allow it."""
+    m = fold_states(_events(spark, d), "user_id").select(F.col("user_id").alias("id"), "status")
+    actions = F.element_at(F.array(*[F.lit(a) for a in ("accept", "reject", "supersede")]), (F.col("id") % 3 + 1).cast("int"))
+    return decided(m, m.select("id", actions.alias("action")))[1]
+
+
+def memory_newest(spark, d):
+    """The hundred memories (by text) of the newest notes, in order of their last update."""
+    m = candidates(_claims(spark, d)).join(fx.vault(spark, d).select("path", "mtime"), "path").groupBy(F.col("content").alias("id")).agg(F.max("mtime").alias("updated_at"), F.count("*").alias("n_sources"))
+    return listed(m, 100)
+
+
 def memory_transitions(spark, d):
     return fold_states(_events(spark, d), "user_id")
 
@@ -268,7 +297,7 @@ def _replay(step: str, key: str, zero: str, value: str) -> str:
     return f"""WITH RECURSIVE o AS (SELECT {key} AS k, event_id, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i FROM events), r AS (SELECT k, 0::BIGINT AS i, {zero} FROM (SELECT DISTINCT k FROM o) UNION ALL SELECT o.k, o.i, {step} FROM r JOIN o ON o.k = r.k AND o.i = r.i + 1) SELECT {value} FROM r"""
 
 
-QUERIES = {"contradictions": q_contradictions, "contradiction_classes": q_contradiction_classes} | {f.__name__: f for f in (memory_candidates, contradictions_incremental, contradiction_list, contradiction_resolve, memory_transitions, memory_update, memory_supersede, memory_unseen, stale_memories, memory_list, resolve_later, job_replay, job_dequeue, job_backoff)}
+QUERIES = {"contradictions": q_contradictions, "contradiction_classes": q_contradiction_classes} | {f.__name__: f for f in (memory_candidates, contradictions_incremental, contradiction_list, contradiction_resolve, memory_transitions, memory_decisions, memory_newest, memory_update, memory_supersede, memory_unseen, stale_memories, memory_list, resolve_later, job_replay, job_dequeue, job_backoff)}
 ORACLE = {
     "memory_candidates": f"WITH {KNOWN}, {_MEM} SELECT * FROM mems",
     "contradictions": f"WITH {KNOWN}, {_CON} SELECT * FROM cons",
@@ -276,6 +305,7 @@ ORACLE = {
     "contradictions_incremental": f'WITH {KNOWN}, {_CON} SELECT subject, kind, "at", opposed FROM cons WHERE length("at") % 3 <> 0',
     "contradiction_list": f"WITH {KNOWN}, {_CON} SELECT * FROM chead",
     "contradiction_resolve": f"WITH {KNOWN}, {_CON} SELECT subject, kind, a, b, CASE (length(a) + length(b)) % 3 WHEN 0 THEN 'resolved_keep_both' WHEN 1 THEN 'ignored' ELSE 'resolved_later_current' END AS status, CASE WHEN (length(a) + length(b)) % 3 = 2 THEN a END AS superseded FROM chead",
+    "memory_newest": f"WITH {KNOWN}, {_MEM} SELECT mems.content AS id, max(mtime) AS updated_at, count(*) AS n_sources FROM mems JOIN vault USING (path) GROUP BY 1 ORDER BY updated_at DESC, id LIMIT 100",
     "memory_transitions": _replay("CASE WHEN event_id % 6 = 0 AND status IN ('candidate', 'stale', 'disputed') THEN 'accepted' WHEN event_id % 6 = 1 AND status IN ('candidate', 'stale', 'disputed') THEN 'rejected' WHEN event_id % 6 = 2 AND status = 'accepted' THEN 'disputed' WHEN event_id % 6 = 3 AND status = 'accepted' THEN 'stale' WHEN event_id % 6 = 4 AND status <> 'rejected' THEN 'superseded' ELSE status END", "user_id", "'candidate' AS status", "k AS user_id, max_by(status, i) AS status, max(i) AS n") + " GROUP BY k",
     "memory_update": "SELECT event_id, event_id % 3 <> 2 AND event_id % 4 <> 0 AS valid FROM events",
     "memory_supersede": "WITH m AS (SELECT event_id AS id, event_type || ' of ' || user_id AS content, CASE WHEN event_id % 7 = 0 THEN 'rejected' ELSE 'accepted' END AS status, 'Users/U' || user_id || '.md' AS sources FROM events WHERE event_id % 2 = 0), c AS (SELECT event_id // 3 AS id, event_id + 1000000000 AS new_id, 'now ' || event_type AS new_content, ts FROM events WHERE event_id % 3 = 0), j AS (SELECT m.*, new_id, new_content, ts, c.id IS NOT NULL AND status <> 'rejected' AS goes FROM m LEFT JOIN c ON c.id = m.id) SELECT id, content, CASE WHEN goes THEN 'superseded' ELSE status END AS status, sources, CASE WHEN goes THEN ts END AS valid_until FROM j UNION ALL SELECT new_id, new_content, 'accepted', sources, NULL FROM j WHERE goes",
@@ -287,3 +317,4 @@ ORACLE = {
     "job_dequeue": "WITH h AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS now FROM events), j AS (SELECT user_id AS queue, event_id AS job, ts AS created_at, ts + to_hours(event_id % 3) AS run_after FROM events WHERE event_id % 2 = 0) SELECT queue, arg_min(job, (created_at, job)) AS job, count(*) AS waiting FROM j, h WHERE run_after <= now GROUP BY queue",
     "job_backoff": "WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events) SELECT user_id, event_id, attempt, CASE WHEN attempt < 3 THEN attempt * 1000 END AS wait_ms, attempt >= 3 AS parked FROM a",
 }
+ORACLE["memory_decisions"] = f"SELECT user_id AS id, status AS was, CASE WHEN user_id % 3 = 2 THEN CASE WHEN status IN ('rejected', 'superseded') THEN status ELSE 'superseded' END WHEN status IN ('candidate', 'stale', 'disputed') THEN CASE user_id % 3 WHEN 0 THEN 'accepted' ELSE 'rejected' END ELSE status END AS status, CASE WHEN user_id % 3 = 2 THEN status IN ('rejected', 'superseded') ELSE status NOT IN ('candidate', 'stale', 'disputed') END AS refused FROM ({ORACLE['memory_transitions']})"

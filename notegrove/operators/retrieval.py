@@ -149,12 +149,18 @@ def entity_boost(spark, d):
     return entity_boosts(asked(spark), _names(spark, d))
 
 
+def around(text, word, before: int = 40, shown: int = 180):
+    """``shown`` characters of ``text`` from ``before`` characters before the first ``word`` in it (case aside), from its beginning where there is none; cuts are marked."""
+    at = F.greatest(F.coalesce(F.position(F.lower(word), F.lower(text)), F.lit(0)) - 1, F.lit(0))
+    start = F.greatest(at - before, F.lit(0))
+    return F.concat(F.when(start > 0, "…").otherwise(""), F.trim(F.substr(text, start + 1, F.lit(shown))), F.when(start + shown < F.length(text), "…").otherwise(""))
+
+
 def snippet_semantic(spark, d):
-    """180 characters around the first word of a query, from 40 before it."""
-    t = fx.doc_notes(spark, d).select("path", "content").withColumn("at", F.greatest(F.locate("the", F.lower("content")) - 1, F.lit(0)))
-    start = F.greatest(F.col("at") - 40, F.lit(0))
-    cut = F.trim(F.substr("content", start + 1, F.lit(180)))
-    return t.select("path", F.concat(F.when(start > 0, "…").otherwise(""), cut, F.when(start + 180 < F.length("content"), "…").otherwise("")).alias("snippet"))
+    """What documents show for a query of a word of their own, the third of more than four letters; those without such a word show their beginning."""
+    t = fx.doc_notes(spark, d).select("path", "content")
+    own = F.get(F.filter(words(F.col("content")), lambda t: F.length(t) > 4), F.lit(2))
+    return t.withColumn("word", own).select("path", around(F.col("content"), F.col("word")).alias("snippet"))
 
 
 def tokens_stemmed(spark, d):
@@ -220,6 +226,6 @@ ORACLE = {
     "search_vault": f"WITH {_V}, {_ASKED}, {_TERMS}, {_bm25('vault')} SELECT * FROM lex WHERE rank <= 20",
     "search_semantic": f"WITH {_V}, {_ASKED}, {_SEM} SELECT * FROM sem",
     "entity_boost": f"WITH {KNOWN}, {_ASKED}, {_ENT} SELECT * FROM boosts",
-    "snippet_semantic": f"WITH {_D}, a AS (SELECT path, content, greatest(greatest(strpos(lower(content), 'the') - 1, 0) - 40, 0) AS s FROM docs) SELECT path, CASE WHEN s > 0 THEN '…' ELSE '' END || trim(substr(content, s + 1, 180), ' ') || CASE WHEN s + 180 < length(content) THEN '…' ELSE '' END AS snippet FROM a",
+    "snippet_semantic": f"WITH {_D}, a AS (SELECT path, content, greatest(greatest(coalesce(strpos(lower(content), list_filter({_TOK.format('content')}, lambda t: length(t) > 4)[3]), 0) - 1, 0) - 40, 0) AS s FROM docs) SELECT path, CASE WHEN s > 0 THEN '…' ELSE '' END || trim(substr(content, s + 1, 180), ' ') || CASE WHEN s + 180 < length(content) THEN '…' ELSE '' END AS snippet FROM a",
     "search_metrics": f"WITH {_D}, {_DOCQ}, {_TERMS}, {_bm25('docs')}, w AS (SELECT CAST(doc_id AS INT) AS query_id, source || '/' || doc_id || '.md' AS path FROM documents), r AS (SELECT a.query_id, rank FROM asked a LEFT JOIN (SELECT query_id, rank FROM lex JOIN w USING (query_id, path) WHERE rank <= 20) USING (query_id) WHERE query <> '') SELECT round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS recall_10, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM r",
 }

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from notegrove.api import Ask, Memory, Search, Vault
+from notegrove.api import Agent, Ask, Memory, Search, Vault
 from notegrove.operators import agent, folds, knowledge, memory, search
 from notegrove.sources import files
 
@@ -128,3 +128,39 @@ def test_migrations(spark):
         files.migrated(spark.range(1), 3, steps, 2)
     with pytest.raises(KeyError):
         files.migrated(spark.range(1), 1, {3: steps[3]})
+
+
+def test_decisions_and_updates(spark):
+    m = spark.createDataFrame([(1, "candidate", "goal", "a"), (2, "rejected", "goal", "b"), (3, "accepted", "fact?", "c")], "id long, status string, type string, content string")
+    after, said = memory.decided(m, spark.createDataFrame([(1, "accept"), (2, "accept"), (3, "dispute"), (9, "accept"), (1, "nonsense")][:4], "id long, action string"))
+    assert {r.id: r.status for r in after.collect()} == {1: "accepted", 2: "rejected", 3: "disputed"}
+    assert {(r.id, r.was, r.status, r.refused) for r in said.collect()} == {(1, "candidate", "accepted", False), (2, "rejected", "rejected", True), (3, "accepted", "disputed", False), (9, None, None, True)}
+    after, bad = memory.updated(m, spark.createDataFrame([(1, "decision", None), (2, None, "  "), (3, "nonsense", "x"), (9, None, "y")], "id long, type string, content string"))
+    assert {(r.id, r.type, r.content) for r in after.collect()} == {(1, "decision", "a"), (2, "goal", "b"), (3, "fact?", "c")}
+    assert {(r.id, r.why) for r in bad.collect()} == {(2, "blank content"), (3, "unknown type"), (9, "no such memory")}
+    ops, said = agent.decided(spark.createDataFrame([(1, "pending"), (2, "pending")], "op long, status string"), spark.createDataFrame([(1, "approve"), (2, "execute")], "op long, action string"))
+    assert {r.op: r.status for r in ops.collect()} == {1: "approved", 2: "pending"} and {r.op: r.refused for r in said.collect()} == {1: False, 2: True}
+
+
+def test_facade_of_plans_and_health(spark, vault):
+    plans = Agent(vault)
+    assert [r.path for r in plans.plan("link them", link="Steel").collect()] == ["a.md", "b.md"]
+    with pytest.raises(ValueError, match="merge source not found: x.md"):
+        plans.plan("fold", merge=["a.md", "x.md"], into="a.md")
+    with pytest.raises(ValueError, match="must not be empty"):
+        plans.plan("  ")
+    row = vault.health().first()
+    assert (row.total_notes, row.broken_links, row.duplicates) == (4, 0, 0) and row.orphans == 2
+    chunk = vault.chunks().limit(1).select("chunk_id", F.lit(1).alias("v"))
+    row = vault.embedding_status(chunk).first()
+    assert row.chunks_embedded == 1 and row.chunks_total == row.chunks_pending + 1
+    calls = Agent.gate(spark.createDataFrame([("vault.edit", None), ("vault.edit", True), ("vault.delete", True), ("vault.read", None), ("x", True)], "tool string, approved boolean")).collect()
+    assert [r.decision for r in sorted(calls, key=lambda r: (r.tool, r.approved or False))] == ["denied", "needs approval", "run", "run", "unknown tool"]
+
+
+def test_previews_stop(spark):
+    t = spark.createDataFrame([("same", "x\n" * 100, "x\n" * 100), ("edit", "a\n" * 100, "b\n" * 100), ("new", None, "n\n" * 60), ("gone", "one\ntwo", None), ("less", "a\nb", "a")], "path string, old string, new string")
+    got = {}
+    for r in agent.previewed(t).orderBy("path", "k").collect():
+        got.setdefault(r.path, []).append(r.line)
+    assert len(got["same"]) == 40 and got["edit"] == ["- a", "+ b"] * 20 and len(got["new"]) == 61 and got["gone"] == ["- one", "+ ", "- two"] and got["less"] == ["  a", "- b"]
