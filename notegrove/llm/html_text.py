@@ -28,10 +28,11 @@ _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data",
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements whose end may be left out; the next of the same set at their level, or the end of what holds them, ends them.
 _LOOSE = {"p": "p", "li": "li", "dt": "dl", "dd": "dl", "tr": "tr", "td": "td", "th": "td", "thead": "tb", "tbody": "tb", "tfoot": "tb", "option": "op", "optgroup": "og", "rp": "r", "rt": "r"}
-#: Words of class, id or role that tell what a region is: these in any company, and those only in the company given or alone.
+#: Words of class, id or role that tell what a region is: these alone or among each other and those of company, and those only in the company given or alone. A name with any other word in it (share-price, banner-history) tells nothing.
 _SAYS = set("ad ads advert advertisement advertising adverts sponsor sponsored promo nav navbar navigation menu sidebar footer masthead cookie cookies consent breadcrumb breadcrumbs comment comments disqus respond newsletter subscribe popup pagination pager toolbar share sharing social contentinfo complementary banner".split())
 _SAYS_ALONE = set("header notice related search modal login widget alert signup links recommended teaser".split())
 _COMPANY = set("site page global top main box bar form posts articles links list container wrapper inner left right block area section".split())
+_FILLER = set("a and by with us on-page slot slots unit units zone btn btns button buttons primary secondary tertiary item items wrap outer body content label title heading text header footer panel overlay icon icons count counts bottom rail col column row group holder region mobile desktop sticky fixed small large full wide js ui module component reader readers user users reply replies thread author meta media policy settings dialog mini mega sub dropdown toggle trail number numbers first last prev next follow buttonbar feed stream google dfp leaderboard skyscraper rectangle native display".split())
 #: The part of its text that a line weighs outside of the page's article, and the length from which a line's say in the page's level is more than half.
 BESIDE, SAY = 0.05, 80
 
@@ -104,8 +105,8 @@ def _against(name: str, attributes: str) -> bool:
         return False
     for m in _NAMES.finditer(attributes):
         for word in next(filter(None, m.groups()), "").split():
-            parts = {x.lower() for x in _PARTS.findall(word)}
-            if parts & _SAYS or (parts & _SAYS_ALONE and not parts - _SAYS_ALONE - _COMPANY - _SAYS):
+            parts = {x.lower() for x in _PARTS.findall(word) if not x.isdigit()}
+            if (parts & _SAYS and not parts - _SAYS - _SAYS_ALONE - _COMPANY - _FILLER) or (parts & _SAYS_ALONE and not parts - _SAYS_ALONE - _COMPANY - _SAYS):
                 return True
     return False
 
@@ -175,7 +176,7 @@ def lines(page: str) -> list[Line]:
     """The lines of a page: text between block tags, and a blank line for each block tag after the first between two texts.
 
     A line weighs as much as its text is long, less what is links, and a small part of that outside of a page's article; nothing where names speak against it. What holds
-    the article or nearly all text can call itself anything. The edges of articles are wide gaps, and gaps inside of them are none.
+    the article or nearly all text can call itself anything, and a header in an article is the article's own. The edges of articles are wide gaps, and gaps inside of them are none.
     """
     found = list(tokens(page))
     until, around = regions(found)
@@ -230,6 +231,8 @@ def lines(page: str) -> list[Line]:
             link = False
         if k in until:
             body, against = t.name in ("article", "main"), _against(t.name, t.attributes)
+            if against and t.name == "header" and articles and not _against("div", t.attributes):
+                against = False  # an article's own header is part of it
             if against and t.name not in _OUTSIDE:
                 inside = bisect(bodies, k) < bisect(bodies, until[k]) if bodies else before[until[k] + 1] - before[k + 1] > 0.9 * before[-1]
                 against = not inside

@@ -315,3 +315,13 @@ def test_empty_store(spark, tmp_path):
     store = sharding.sharded(cases.documents(spark, []), root=f"file://{tmp_path}/d")
     got = store.read(schema=cases.documents(spark, []).schema)
     assert got.count() == 0 and got.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "shard_bytes"]
+
+
+def test_article_text_is_not_lost_to_names():
+    """An article's own header stays, and names that hold other words than those of menus and adverts tell nothing."""
+    words = " ".join(f"word{k}" for k in range(40))
+    page = f"""<body><header><p>Site name</p></header><nav>Menu</nav><article><header><h1>The headline</h1></header><p class="share-price">Prices: {words}</p>
+<div class="banner-history">Banners: {words}</div><p id="comment-on-law">Law: {words}</p><p>Last: {words}</p>
+<div class="ad-slot">Buy</div><div class="share-buttons-2">Tell</div><header class="nav-header">Top</header><div class="commentList">Said</div></article><footer>Imprint</footer></body>"""
+    got = html_text.main_text(page).split("\n")
+    assert [x.split()[0] for x in got] == ["The", "Prices:", "Banners:", "Law:", "Last:"]
