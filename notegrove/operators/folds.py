@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,20 @@ class Machine:
             self.to[a], self.rise[a] = to, rise
 
 
+def _composed(to: np.ndarray, rise: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One map for each run of rows that begins at ``first``: neighbours are composed two by two, all runs at once, until each run is one row."""
+    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(to))))
+    while len(run) > len(first):
+        start = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        place = np.arange(len(run)) - np.repeat(start, np.diff(np.append(start, len(run))))
+        odd = np.flatnonzero(place % 2)
+        rise[odd - 1] += np.take_along_axis(rise[odd], to[odd - 1], axis=1)
+        to[odd - 1] = np.take_along_axis(to[odd], to[odd - 1], axis=1)
+        stay = place % 2 == 0
+        run, to, rise = run[stay], to[stay], rise[stay]
+    return to, rise
+
+
 def maps(events: DataFrame, key: str, machine: Machine, order: tuple[str, ...] = ("ts", "event_id"), action: str = "action") -> DataFrame:
     """``key``, parts: the maps (place, to, rise, n) that the actions of each key, in ``order``, make of all states, a few in a row.
 
@@ -36,27 +51,40 @@ def maps(events: DataFrame, key: str, machine: Machine, order: tuple[str, ...] =
     schema = T.StructType([events.schema[key], T.StructField("place", T.IntegerType()), T.StructField("to", T.ArrayType(T.IntegerType())), T.StructField("rise", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())])
     size = len(machine.states)
 
+    names = list(machine.to)
+    tos = np.stack([*(machine.to[n] for n in names), np.arange(size)])  # the last one is that of unknown actions
+    rises = np.stack([*(machine.rise[n] for n in names), np.zeros(size, np.int64)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, False
-        to, rise, n, place = np.arange(size), np.zeros(size, np.int64), 0, 0
+        held = None  # the key that the last batch ended with, and its map so far
 
-        def row():
-            return pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([place], pa.int32()), pa.array([to.tolist()], pa.list_(pa.int32())), pa.array([rise.tolist()], pa.list_(pa.int64())), pa.array([n])], names=schema.names)
+        def rows(keys: pa.Array, place: int, to: np.ndarray, rise: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * size)
+            maps = (pa.ListArray.from_arrays(ends, pa.array(x.ravel(), t)) for x, t in ((to, pa.int32()), (rise, pa.int64())))
+            return pa.RecordBatch.from_arrays([keys, pa.array([place] * len(n), pa.int32()), *maps, pa.array(n, pa.int64())], names=schema.names)
 
         for b in batches:
-            kind = b.schema.field(0).type
-            for k, a, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if not held or k != now:
-                    if held:
-                        yield row()
-                    now, held, place = k, True, p
-                    to, rise, n = np.arange(size), np.zeros(size, np.int64), 0
-                if a in machine.to:
-                    rise = rise + machine.rise[a][to]
-                    to = machine.to[a][to]
-                n += 1
-        if held:
-            yield row()
+            if not b.num_rows:
+                continue
+            key, place = b.column(0), b.column(2)[0].as_py()
+            code = pc.index_in(b.column(1), value_set=pa.array(names, b.schema.field(1).type))
+            code = pc.fill_null(code, len(names)).to_numpy(zero_copy_only=False)
+            number = pc.fill_null(key.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+            to, rise = _composed(tos[code], rises[code], first)
+            n, keys = np.diff(np.append(first, len(number))), key.take(pa.array(first))
+            if held is not None:
+                if held[0][0].as_py() == keys[0].as_py():
+                    rise[0] = held[2][0] + rise[0][held[1][0]]
+                    to[0] = to[0][held[1][0]]
+                    n[0] += held[3][0]
+                else:
+                    yield rows(held[0], place, *held[1:])
+            if len(n) > 1:
+                yield rows(keys[:-1], place, to[:-1], rise[:-1], n[:-1])
+            held = keys[-1:], to[-1:], rise[-1:], n[-1:]
+        if held is not None:
+            yield rows(held[0], place, *held[1:])
 
     dealt = events.select(key, action, *order).repartitionByRange(key, *order).sortWithinPartitions(key, *order)
     found = dealt.select(key, action, F.spark_partition_id().alias("place")).mapInArrow(run, schema)
