@@ -8,9 +8,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import files
+
 
 class Machine:
     """States by number; for each action the state that each state turns to, and how much a counter rises then. Unknown actions change nothing."""
@@ -107,6 +110,20 @@ def folded(events: DataFrame, key: str, machine: Machine, order: tuple[str, ...]
     return applied(maps(events, key, machine, order, action), key)
 
 
+def numbered(rows: DataFrame, group: str, order: list, name: str) -> DataFrame:
+    """``rows`` with ``name`` (long): the place of each in its group by ``order`` (columns or orders), from 0.
+
+    Rows are dealt by ranges of (group, order), so a group of most rows is many tasks' work: each numbers what it has of a group, and only the counts of these parts are summed up in order.
+    """
+    dealt = files.stored(rows.repartitionByRange(F.col(group), *order).withColumn("_place", F.spark_partition_id()))
+    counts = dealt.groupBy(group, "_place").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(group).orderBy("_place")) - F.col("_n")
+    local = F.row_number().over(W.partitionBy(group, "_place").orderBy(*order)) - 1
+    at = F.struct(group, "_place").alias("_at")  # a group that is null is one too
+    j = dealt.withColumn("_k", local).withColumn("_at", at).join(counts.withColumn("_before", before).select(at, "_before"), "_at")
+    return j.select(*rows.columns, (F.col("_k") + F.col("_before")).cast("long").alias(name))
+
+
 def named(states: list, column: str = "state"):
     """The name of a state's number."""
     return F.element_at(F.array(*[F.lit(s) for s in states]), F.col(column) + 1)

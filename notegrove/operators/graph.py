@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..plans import fixtures as fx
 from . import knowledge as kn
 from .components import connected_components
+from .folds import numbered
 from .knowledge import KNOWN
 
 
@@ -120,7 +120,8 @@ def graph_layout(spark, d):
     """Coordinates of each component's nodes: rings around its hub, in steps that depend on degree and id only."""
     n, e = _graph(spark, d)
     full = n.select("id").join(components(n, e), "id").join(degrees(n, e), "id")
-    k = F.row_number().over(W.partitionBy("component").orderBy(F.desc("degree"), "id")) - 1
+    full = numbered(full, "component", [F.desc("degree"), F.col("id")], "k")
+    k = F.col("k")
     ring = F.floor((-1 + F.sqrt(1 + 4.0 * k / 3)) / 2 + F.when(k > 0, 1).otherwise(0))
     angle = (k % 360) * 2.399963
     return full.withColumn("ring", ring).withColumn("angle", angle).select("id", F.round(40 * F.col("ring") * F.cos("angle"), 6).alias("x"), F.round(40 * F.col("ring") * F.sin("angle"), 6).alias("y"))

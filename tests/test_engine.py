@@ -164,3 +164,14 @@ def test_previews_stop(spark):
     for r in agent.previewed(t).orderBy("path", "k").collect():
         got.setdefault(r.path, []).append(r.line)
     assert len(got["same"]) == 40 and got["edit"] == ["- a", "+ b"] * 20 and len(got["new"]) == 61 and got["gone"] == ["- one", "+ ", "- two"] and got["less"] == ["  a", "- b"]
+
+
+def test_numbers_within_a_hot_group(spark):
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.6 else rng.choice("abc"), rng.randrange(30), i) for i in range(3000)] + [(None, 1, 5000), (None, 1, 5001)]
+    df = spark.createDataFrame(rows, "g string, d int, id int")
+    got = {r.id: r.k for r in folds.numbered(df.repartition(9), "g", [F.desc("d"), F.col("id")], "k").collect()}
+    want = {5000: 0, 5001: 1}
+    for g in ("hot", "a", "b", "c"):
+        want |= {i: k for k, (_, i) in enumerate(sorted((-d, i) for x, d, i in rows if x == g))}
+    assert got == want
