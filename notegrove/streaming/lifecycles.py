@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -14,6 +15,8 @@ TRIES = 3
 HOUR = 3_600_000_000
 #: What jobs are given in the queries, in microseconds: between tries, for one run, and until an ended job is forgotten.
 WAIT, LEASE, KEEP = 8 * HOUR, 10 * HOUR, 72 * HOUR
+#: Into so many groups jobs and operations are dealt: state is fetched and put once a group and batch, not once a key.
+GROUPS = 1 << 12
 STEP = {"job": "int64", "at_us": "int64", "what": "object", "attempts": "int64"}
 
 
@@ -21,12 +24,16 @@ def _frame(rows: list[tuple], columns: dict) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list(columns)).astype(columns)
 
 
+def _group(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(GROUPS)).cast("int")
+
+
 class Retries(StatefulProcessor):
     """A job's tries: it starts only when it is due; a failure makes it due after ``wait`` for each try so far, the third parks it; a run that isn't heard of for ``lease`` is an orphan's, which is due at once;
     an ended job is forgotten after ``keep``, and what comes then is a new one's. Actions that a state doesn't allow change nothing.
 
-    What time brings is applied before an event that comes after it, and by a timer where no event does: rows are the same however events fall into batches. A job's
-    events in one batch are put in order of time, so batches should be bounded (``maxBytesPerTrigger``).
+    What time brings is applied before an event that comes after it, and by a timer where no event does: rows are the same however events fall into batches. The
+    events of a group of jobs (one of ``GROUPS``) in one batch are put in order of time, so batches should be bounded (``maxBytesPerTrigger``). A group's state is its jobs that have begun.
     """
 
     def __init__(self, wait: int = WAIT, lease: int = LEASE, keep: int = KEEP):
@@ -34,7 +41,7 @@ class Retries(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("job", "status string, attempts long, since long")
+        self.state = handle.getListState("jobs", "job long, status string, attempts long, since long")
 
     def due(self, status: str, attempts: int, since: int) -> int | None:
         """When time alone changes the state."""
@@ -65,34 +72,40 @@ class Retries(StatefulProcessor):
         out.append((now, s[0], s[1]))
         return s
 
-    def _keep(self, s: tuple) -> None:
-        at = self.due(*s)
-        if s[0] == "pending" and not s[1]:
+    def _held(self) -> dict[int, tuple]:
+        return {job: (status, attempts, since) for job, status, attempts, since in map(tuple, self.state.get())}
+
+    def _keep(self, held: dict[int, tuple]) -> None:
+        """Puts the states of the jobs that have begun, and a timer for the first that time will change."""
+        rows = [(job, *s) for job, s in held.items() if s[0] != "pending" or s[1]]
+        if rows:
+            self.state.put(rows)
+        else:
             self.state.clear()
-            return
-        self.state.update(s)
+        at = min((at for _, *s in rows if (at := self.due(*s)) is not None), default=None)
         if at is not None:
             self.handle.registerTimer(-(-at // 1000))
 
-    def _rows(self, key, out: list) -> pd.DataFrame:
-        return _frame([(key[0], *x) for x in out], STEP)
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s, out = self.state.get() if self.state.exists() else ("pending", 0, 0), []
-        s = tuple(s)
-        for us, action in pd.concat(list(rows)).sort_values(["us", "event_id"])[["us", "action"]].itertuples(index=False):
-            s = self.act(self.lapse(s, us, out), us, action, out)
-        self._keep(s)
-        yield self._rows(key, out)
+        held, out = self._held(), []
+        for job, us, action in pd.concat(list(rows)).sort_values(["us", "event_id"])[["job", "us", "action"]].itertuples(index=False):
+            got: list = []
+            held[job] = self.act(self.lapse(held.get(job, ("pending", 0, 0)), us, got), us, action, got)
+            out += [(job, *x) for x in got]
+        self._keep(held)
+        yield _frame(out, STEP)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out: list = []
-        if self.state.exists():
-            s = tuple(self.state.get())
-            after = self.lapse(s, max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000, out)
-            if after != s:
-                self._keep(after)
-        yield self._rows(key, out)
+        held, out = self._held(), []
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+        after = {}
+        for job, s in held.items():
+            got: list = []
+            after[job] = self.lapse(s, now, got)
+            out += [(job, *x) for x in got]
+        if after != held:
+            self._keep(after)
+        yield _frame(out, STEP)
 
     def close(self) -> None:
         pass
@@ -104,61 +117,108 @@ def retried(events: DataFrame, late: str = "2 hours", **times) -> DataFrame:
     Rows more than ``late`` behind the newest are dropped. State is of jobs that have begun and aren't forgotten.
     """
     e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
-    return e.groupBy("job").transformWithStateInPandas(Retries(**times), "job long, at_us long, what string, attempts long", "Append", "EventTime")
+    return e.withColumn("g", _group("job")).groupBy("g").transformWithStateInPandas(Retries(**times), "job long, at_us long, what string, attempts long", "Append", "EventTime")
 
 
 OUTCOME = {"op": "int64", "step": "int64", "what": "object", "faults": "int64"}
 
 
 class Operations(StatefulProcessor):
-    """An operation's files, what is attested of them, and its status: prepared, then approved or rejected, executed and rolled back. Each file is an entry of a map, so large operations
-    change what they touch.
+    """An operation's files, what is attested of them, and its status: prepared, then approved or rejected, executed and rolled back.
 
-    It is executed if it is approved and every file is as it was when the operation was made: a path to create must not be attested, any other must be, with the text expected. One fault stops
+    The state of a group of operations (one of ``GROUPS``) is a log: a batch adds its files, attestations and decisions as one entry, so large operations write what comes. It is read when a
+    decision comes, and written anew, without what holds no more, when that is the larger part.
+
+    An operation is executed if it is approved and every file is as it was when the operation was made: a path to create must not be attested, any other must be, with the text expected. One fault stops
     the whole operation, which stays approved. It is rolled back if it is executed and every file is as it left it, by what was attested since; a fault refuses that too.
     """
 
     def init(self, handle) -> None:
-        self.status = handle.getValueState("status", "status string")
-        self.files = handle.getMapState("files", "path string", "action string, before string, after string, spot string")
-        self.seen = handle.getMapState("seen", "path string", "hash string")
+        self.log = handle.getListState("log", "rows string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        t = pd.concat(list(rows)).sort_values(["op", "step", "path"], na_position="first")
+        told = t["kind"].isin(["file", "attest"])
+        t["after"] = t["after"].where(t["kind"] != "attest", t["hash"])
+        t = t[["step", "op", "kind", "path", "action", "before", "after", "spot"]].astype(object)
+        t = t.where(t.notna(), None)
+        if told.all():
+            self.log.appendValue((json.dumps(t.iloc[:, 1:].values.tolist()),))
+            return
+        ops: dict[int, _Operation] = {}
+        n, new, out = 0, [], []
+        for (text,) in self.log.get():
+            for op, *x in json.loads(text):
+                n += 1
+                ops.setdefault(op, _Operation()).note(*x)
+        for step, op, kind, *x in t.values.tolist():
+            o = ops.setdefault(op, _Operation())
+            if kind in ("file", "attest"):
+                o.note(kind, *x)
+                new.append((op, kind, *x))
+            else:
+                what, faults = o.decide(kind)
+                if what == o.status:
+                    new.append((op, what))
+                out.append((op, step, what, faults))
+        if n + len(new) > 2 * sum(o.size() for o in ops.values()):
+            self.log.put([(json.dumps([(op, *x) for op, o in ops.items() for x in o.entries()]),)])
+        elif new:
+            self.log.appendValue((json.dumps(new),))
+        yield _frame(out, OUTCOME)
+
+    def close(self) -> None:
+        pass
+
+
+class _Operation:
+    """One operation as its log tells it."""
+
+    def __init__(self):
+        self.status, self.files, self.seen = "prepared", {}, {}
+
+    def note(self, kind: str, path=None, action=None, before=None, after=None, spot=None) -> None:
+        if kind == "file":
+            if self.status == "prepared":
+                self.files[path] = (action, before, after, spot)
+        elif kind == "attest":
+            self.seen[path] = after
+        else:
+            self.status = kind
+            if kind == "executed":  # what was seen before tells nothing of what the operation left
+                self.seen = {}
 
     def faults(self, check: str) -> int:
-        seen = {k[0]: v[0] for k, v in self.seen.iterator()}
         bad = 0
-        for (path,), (action, before, after, spot) in self.files.iterator():
+        for path, (action, before, after, spot) in self.files.items():
             if check == "rollback":
-                bad += seen.get(spot) != after
+                bad += self.seen.get(spot) != after
             else:
-                bad += path in seen if action == "create" else seen.get(path) != before
+                bad += path in self.seen if action == "create" else self.seen.get(path) != before
         return bad
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        status, out = self.status.get()[0] if self.status.exists() else "prepared", []
-        for r in pd.concat(list(rows)).sort_values(["step", "path"], na_position="first").itertuples(index=False):
-            if r.kind == "file":
-                if status == "prepared":
-                    self.files.updateValue((r.path,), (r.action, r.before, r.after, r.spot))
-            elif r.kind == "attest":
-                self.seen.updateValue((r.path,), (r.hash,))
-            else:
-                before, faults = status, 0
-                wanted = {"approve": "prepared", "reject": "prepared", "execute": "approved", "rollback": "executed"}[r.kind]
-                if status == wanted:
-                    faults = self.faults(r.kind) if r.kind in ("execute", "rollback") else 0
-                    if not faults:
-                        status = {"approve": "approved", "reject": "rejected", "execute": "executed", "rollback": "rolled_back"}[r.kind]
-                        if r.kind == "execute":  # what was seen before tells nothing of what the operation left
-                            self.seen.clear()
-                out.append((key[0], r.step, status if status != before else "aborted" if faults else "refused", faults))
-        self.status.update((status,))
-        yield _frame(out, OUTCOME)
+    def decide(self, kind: str) -> tuple[str, int]:
+        wanted, to = {"approve": ("prepared", "approved"), "reject": ("prepared", "rejected"), "execute": ("approved", "executed"), "rollback": ("executed", "rolled_back")}[kind]
+        if self.status != wanted:
+            return "refused", 0
+        faults = self.faults(kind) if kind in ("execute", "rollback") else 0
+        if faults:
+            return "aborted", faults
+        self.note(to)
+        return to, 0
 
-    def close(self) -> None:
-        pass
+    def size(self) -> int:
+        return len(self.files) + len(self.seen) + (self.status != "prepared")
+
+    def entries(self) -> Iterator[tuple]:
+        """The shortest log: files come first, as they count while the operation is prepared; what was attested comes after the status, as execution forgets it."""
+        yield from (("file", path, *x) for path, x in self.files.items())
+        if self.status != "prepared":
+            yield (self.status,)
+        yield from (("attest", path, None, None, h, None) for path, h in self.seen.items())
 
 
 def operated(events: DataFrame) -> DataFrame:
     """op, step, what, faults: what becomes of each decision of a stream (op, step, kind: file, attest, approve, reject, execute or rollback; path, action, before, after, spot: where it lies then, hash): the status it leads to,
     ``aborted`` with the number of files at fault, or ``refused`` in a status that doesn't allow it."""
-    return events.groupBy("op").transformWithStateInPandas(Operations(), "op long, step long, what string, faults long", "Append", "None")
+    return events.withColumn("g", _group("op")).groupBy("g").transformWithStateInPandas(Operations(), "op long, step long, what string, faults long", "Append", "None")

@@ -108,3 +108,19 @@ def test_operations_run_whole_or_not_at_all(spark):
     for cuts in ([(0, 99)], [(0, 3), (3, 6), (6, 99)]):
         out = notes.Runs([df.where((F.col("step") >= a) & (F.col("step") < b)) for a, b in cuts], lifecycles.operated).out
         assert sorted(map(tuple, out.collect())) == want
+
+
+def test_state_is_fetched_by_groups(spark, monkeypatch):
+    """Of 600 operations in 8 groups the state is a few entries for each group and run, however many operations and files there are; so is that of jobs, but for their rows."""
+    monkeypatch.setattr(lifecycles, "GROUPS", 8)
+    f = lambda op, path: (op, 0, "file", path, "create", None, "new", path, None)
+    do = lambda op, step, kind: (op, step, kind, None, None, None, None, None, None)
+    rows = [x for op in range(600) for x in (f(op, "a"), f(op, "b"), do(op, 1, "approve"), do(op, 2, "execute"))]
+    df = spark.createDataFrame(rows, EVENT)
+    runs = notes.Runs([df.where("step = 0"), df.where("step = 1"), df.where("step = 2")], lifecycles.operated)
+    assert max(runs.held()) <= 3 * 8
+    assert sorted(map(tuple, runs.out.collect())) == sorted(x for op in range(600) for x in ((op, 1, "approved", 0), (op, 2, "executed", 0)))
+    times = {"wait": SECOND, "lease": 60 * SECOND, "keep": 600 * SECOND}
+    events = [(i, 1000 + i / 100 + d, a) for i in range(600) for d, a in ((0, "start"), (5, "complete"))]
+    jobs = notes.Runs(notes.arrivals(log(spark, events), "ts", 2), lambda e: lifecycles.retried(e, "10 seconds", **times))
+    assert jobs.out.count() == 1200 and max(jobs.held()) <= 600 + 4 * 8
