@@ -175,3 +175,21 @@ def test_numbers_within_a_hot_group(spark):
     for g in ("hot", "a", "b", "c"):
         want |= {i: k for k, (_, i) in enumerate(sorted((-d, i) for x, d, i in rows if x == g))}
     assert got == want
+
+
+def test_no_term_is_one_tasks_work(spark):
+    """Words of queries are small and meet chunks by a broadcast: occurrences of a word that is in every chunk aren't dealt to one task. Queries of the same words are answered once, each with all hits."""
+    import re
+
+    from notegrove.operators import retrieval, search
+
+    notes = spark.createDataFrame([(f"n{i:02}.md", f"alpha beta gamma{i % 3} alpha", i) for i in range(30)], "path string, content string, mtime long")
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "beta, alpha?"), (3, "gamma1"), (4, "alpha zzz"), (5, "gamma2 alpha beta")], "query_id int, query string")
+    for got in (retrieval.lexical(notes, q, 4), search.lexical(search.Index.build(notes, "words"), q, 4)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"SortMergeJoin \[term#\d+L?\]", plan)
+        hits: dict = {}
+        for r in sorted(got.collect(), key=lambda r: (r.query_id, r["rank"])):
+            hits.setdefault(r.query_id, []).append((r.path, r.score))
+        assert hits[1] == hits[2] and [p for p, _ in hits[1]] == [f"n{i:02}.md" for i in range(4)]
+        assert [p for p, _ in hits[3]] == ["n01.md", "n04.md", "n07.md", "n10.md"] and [p for p, _ in hits[5]] == ["n02.md", "n05.md", "n08.md", "n11.md"] and 4 not in hits
