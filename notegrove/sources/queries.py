@@ -13,10 +13,9 @@ from .files import shared
 def vault_scan(spark, d):
     """The notes of the vault put down as files, one each, by tasks, and scanned; a line's end closes each file."""
     top = shared(spark)
-    fx.vault(spark, d).select("content", F.col("path").alias("note")).write.partitionBy("note").text(top)
+    files.write_notes(fx.vault(spark, d), top)
     found = files.scan(spark, top, "*.txt")
-    # a file lies in the folder that is named after its note, with the slash written out
-    return found.select(F.url_decode(F.regexp_extract("path", "note=([^/]*)/", 1)).alias("path"), "hash", "size")
+    return found.select(files.note_path(F.col("path")).alias("path"), "hash", "size")
 
 
 def ndjson(spark, d):
