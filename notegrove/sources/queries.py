@@ -62,9 +62,11 @@ def quarantine(spark, d):
 
 def embed_pending(spark, d):
     """Unit vectors of hashed words for all notes: how many components are set, and the length."""
-    h = rt.hashed(fx.vault(spark, d), "path", "content")
-    v = h.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    full = v.select("path", F.transform(F.sequence(F.lit(0), F.lit(rt.DIMENSION - 1)), lambda i: (F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0)) / F.col("length")).cast("float")).alias("embedding"))
+    v = rt.vectors(fx.vault(spark, d), "path", "content")
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("float"), n.cast("int"))
+    before = lambda x, i: x["bucket"] - F.coalesce(F.get("v", i - 1)["bucket"], F.lit(-1)) - 1
+    parts = F.transform("v", lambda x, i: F.concat(zeros(before(x, i)), F.array((x["weight"] / F.col("length")).cast("float"))))
+    full = v.select("path", F.concat(F.flatten(parts), zeros(rt.DIMENSION - 1 - F.element_at("v", -1)["bucket"])).alias("embedding"))
     return full.select("path", F.size("embedding").cast("long").alias("dimension"), F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("set"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 3).alias("length"))
 
 
