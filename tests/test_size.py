@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from notegrove.operators import graph, search
 from notegrove.operators import retrieval as rt
-from notegrove.operators import search
 from notegrove.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,8 @@ def test_vectors_are_made_in_their_rows(spark):
     assert [r.path for r in rows] == ["a"]
     assert sorted(abs(x.weight) for x in rows[0].v) == [1, 2] and abs(rows[0].length - 5**0.5) < 1e-12
     assert [x.bucket for x in rows[0].v] == sorted(x.bucket for x in rows[0].v)
+
+
+def test_a_graph_takes_notes_apart_once(spark):
+    n, e = graph._graph(spark, SF)
+    assert "p_partkey" not in _plan(n) and "p_partkey" not in _plan(e)
