@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent import futures
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ MENTIONS = "key string, path string, mtime long, ord int, name string, kind stri
 ENTITIES = "key string, canonical_name string, type string, first_seen long, last_seen long, source_count long"
 NAMES = "key string, path string"
 LINKS = "key string, path string, target string, resolved string"
+#: Of a note: the names that links may know it by, the keys that its links point to, and those that it mentions.
+KEYS = ["names", "targets", "mentioned"]
 MEMORIES = "path string, content string, type string, excerpt string, claim_id string, status string"
 
 
@@ -24,10 +29,12 @@ class Knowledge:
     """The tables of a vault; ``apply`` brings them to what they would be if all notes were read anew, reading and writing only what the changes touch.
 
     - By note (``claims``, ``relations``, ``memories``, ``notes``): rows of the notes that changed give way to new ones.
-    - By name (``mentions``, ``entities``, ``names``, ``links``): a note's old and new names say which keys change. Entities are counted anew for these keys only. A link is resolved anew if it is new, or if
-      a note got or lost the name that it points to; of notes with one name the smallest path counts, so losing it falls back to the next.
+    - By name (``mentions``, ``entities``, ``names``, ``links``): a note's old and new names say which buckets of keys change. A note mentions a key once, by its first name for it; entities are counted anew in
+      these buckets only, in the same way links are resolved there (those that are new, and those to a name that a note got or lost). Of notes with one name the smallest path counts, so losing it falls back to the next.
     - A memory stays with its status when its claim is found again, and gets the new claim; one whose claim is gone stays without. Notes that are deleted lose all but their memories.
 
+    Sentences are judged once, and tables that don't need one another are written side by side; ``notes`` come last.
+
     Batches have numbers; one that is given again, after a crash say, does what is left of it: each table knows which batch it has. ``touched`` holds the buckets that the last batch wrote, by table.
     """
 
@@ -39,61 +46,69 @@ class Knowledge:
 
     def apply(self, changes: DataFrame, number: int | None = None) -> None:
         """Takes in ``changes`` (path, content, version): notes that are new or changed, or deleted (content null). Of several rows for a path the highest version holds, of equal ones the larger content."""
+        t = self.touched = {}
+        if number is not None and number <= self.notes.manifest()["applied"]:
+            return
         last = changes.groupBy("path").agg(F.max(F.struct("version", F.col("content").isNotNull().alias("there"), "content")).alias("x"))
         last = files.stored(last.select("path", F.col("x.content").alias("content"), F.col("x.version").cast("long").alias("mtime")))
         paths = last.select("path")
-        old = files.stored(self.notes.read(self.notes.touched(paths)).join(paths, "path", "left_semi"))
-        new = files.stored(md.parsed(last.where("content is not null")))
-        mentions = files.stored(kn.candidates(new).select(F.lower("name").alias("key"), "path", "mtime", F.col("ord").cast("int").alias("ord"), "name", "kind", F.col("k").cast("int").alias("k")))
-        names = new.select(F.explode(F.array_distinct(F.array(F.lower(F.regexp_replace("path", r"\.md$", "")), F.lower("title")))).alias("key"), "path")
-        links = new.select("path", F.explode("links").alias("target")).withColumn("key", F.lower("target"))
-        claims = files.stored(kn.claims(new))
-        keys = lambda *parts: files.stored(_union([p.select("key") for p in parts]).distinct())
-        of_old = lambda column: old.select(F.explode(column).alias("key"), "path")
-        t = self.touched = {}
-
-        t["claims"] = self.claims.replace(claims, paths, number)
-        t["relations"] = self.relations.replace(kn.relationships(new), paths, number)
-        t["memories"] = self._relink(claims, paths, number)
-
-        said = keys(of_old("mentioned"), mentions)
-        t["mentions"] = self.mentions.update(said, lambda held: held.join(paths, "path", "left_anti").unionByName(mentions.select(*held.columns)), number)
-        held = self.mentions.read(self.mentions.touched(said)).join(said, "key", "left_semi")
-        first = F.struct("path", "k", "ord")
-        counted = held.groupBy("key").agg(F.min_by("name", first).alias("canonical_name"), F.min_by("kind", first).alias("type"), F.min("mtime").alias("first_seen"), F.max("mtime").alias("last_seen"), F.count_distinct("path").alias("source_count"))
-        t["entities"] = self.entities.replace(counted, said, number)
-
-        # names that a note got or lost
-        was, now = of_old("names").distinct(), names.distinct()
-        lost, got = files.stored(was.join(now, ["key", "path"], "left_anti")), files.stored(now.join(was, ["key", "path"], "left_anti"))
-        moved = keys(lost, got)
-        t["names"] = self.names.update(moved, lambda held: held.join(lost, ["key", "path"], "left_anti").unionByName(got), number)
-        pointed = keys(of_old("targets"), links, moved)
-        known = self.names.read(self.names.touched(pointed)).groupBy("key").agg(F.min("path").alias("to"))
-
-        def heal(held: DataFrame) -> DataFrame:
-            stay = held.join(paths, "path", "left_anti")
-            kept = stay.join(moved, "key", "left_anti")
-            anew = stay.join(moved, "key", "left_semi").select("key", "path", "target").unionByName(links.select("key", "path", "target"))
-            return kept.unionByName(anew.join(known, "key", "left").withColumnRenamed("to", "resolved"))
-
-        t["links"] = self.links.update(pointed, heal, number)
-        listed = lambda df, name: df.groupBy("path").agg(F.collect_set("key").alias(name))
-        rows = new.select("path", "title", "mtime").join(listed(names, "names"), "path", "left").join(listed(links, "targets"), "path", "left").join(listed(mentions, "mentioned"), "path", "left")
-        t["notes"] = self.notes.replace(rows, paths, number)
-
-    def _relink(self, claims: DataFrame, paths: DataFrame, number: int | None) -> list[int]:
+        at = self.notes.touched(paths)
+        new = md.parsed(last.where("content is not null")).select("path", "content", "title", "mtime", "tags", "links")
+        new = files.stored(new.withColumns({"names": kn.called(), "targets": F.array_distinct(F.transform("links", lambda x: F.lower(x))), "mentioned": kn.mentioned()}))
+        judged = files.stored(kn.judged(new).drop("links"))
+        was = self.notes.read(at).join(paths, "path", "left_semi").select("path", *[F.col(c).alias(f"old_{c}") for c in KEYS])
+        both = new.select("path", *KEYS).join(was, "path", "full")
+        both = both.select("path", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for k in KEYS for c in (k, f"old_{k}")])
+        both = files.stored(both.withColumns({"lost": F.array_except("old_names", "names"), "got": F.array_except("names", "old_names")}))
+        each = lambda c: both.select(F.explode(c).alias("key"), "path")
+        said, moved, pointed = self._buckets_of(both, [("mentioned", "old_mentioned"), ("lost", "got"), ("targets", "old_targets", "lost", "got")])
+        stay = lambda held: held.join(paths, "path", "left_anti")
+
+        def by_note() -> None:
+            claims = kn.claimed(judged)
+            t["claims"] = self.claims.update(at, lambda held: stay(held).unionByName(claims.select(*held.columns)), number)
+            t["relations"] = self.relations.update(at, lambda held: stay(held).unionByName(kn.related(judged).select(*held.columns)), number)
+
+        def memories() -> None:
+            t["memories"] = self._relink(kn.claimed(judged), paths, at, number)
+
+        def mentions() -> None:
+            one = kn.candidates(new).groupBy(F.lower("name").alias("key"), "path").agg(F.min(F.struct(F.col("k").cast("int").alias("k"), F.col("ord").cast("int").alias("ord"), "name", "kind", "mtime")).alias("x")).select("key", "path", "x.*")
+            t["mentions"] = self.mentions.update(said, lambda held: stay(held).unionByName(one.select(*held.columns)), number)
+            first = F.min(F.struct("path", "name", "kind")).alias("x")
+            counted = self.mentions.read(said).groupBy("key").agg(first, F.min("mtime").alias("first_seen"), F.max("mtime").alias("last_seen"), F.count("*").alias("source_count"))
+            counted = counted.select("key", F.col("x.name").alias("canonical_name"), F.col("x.kind").alias("type"), "first_seen", "last_seen", "source_count")
+            t["entities"] = self.entities.update(said, lambda held: counted, number)
+
+        def links() -> None:
+            t["names"] = self.names.update(moved, lambda held: held.join(each("lost"), ["key", "path"], "left_anti").unionByName(each("got")), number)
+            known = self.names.read(pointed).groupBy("key").agg(F.min("path").alias("resolved"))
+            now = new.select("path", F.explode("links").alias("target")).withColumn("key", F.lower("target"))
+            t["links"] = self.links.update(pointed, lambda held: stay(held.select("path", "target", "key")).unionByName(now).join(known, "key", "left"), number)
+
+        with futures.ThreadPoolExecutor() as pool:  # tables that don't wait for one another
+            for f in [pool.submit(inheritable_thread_target(self.spark)(part)) for part in (mentions, links, by_note, memories)]:
+                f.result()
+        t["notes"] = self.notes.update(at, lambda held: stay(held).unionByName(new.select(*held.columns)), number)
+
+    def _buckets_of(self, both: DataFrame, groups: list[tuple[str, ...]]) -> list[list[int]]:
+        """For each group of columns (lists of keys) the buckets of its keys."""
+        bucket = self.names.bucket("key")
+        found = F.array(*[F.struct(F.lit(i).alias("i"), F.concat(*g).alias("keys")) for i, g in enumerate(groups)])
+        rows = both.select(F.explode(found).alias("x")).select("x.i", F.explode("x.keys").alias("key")).select("i", bucket.alias("b")).distinct().collect()
+        return [sorted(r.b for r in rows if r.i == i) for i in range(len(groups))]
+
+    def _relink(self, claims: DataFrame, paths: DataFrame, at: list[int], number: int | None) -> list[int]:
         """Memories of the changed notes: those found again keep their status and get the new claim and excerpt, those not found lose their claim, new ones are candidates."""
-        found = memory.candidates(claims).join(_sources(claims), ["path", "content"], "left")
-        found = files.stored(found.select("path", "content", F.col("type").alias("t"), F.col("excerpt").alias("e"), F.col("claim_id").alias("c")))
+        found = memory.candidates(claims, "claim_id").select("path", "content", F.col("type").alias("t"), F.col("excerpt").alias("e"), F.col("claim_id").alias("c"))
 
         def both(held: DataFrame) -> DataFrame:
-            here = held.join(paths, "path", "left_semi").withColumn("stored", F.lit(True)).join(found, ["path", "content"], "full")
+            all_ = held.join(paths.withColumn("changed", F.lit(True)), "path", "left").join(found, ["path", "content"], "full")
             seen = F.col("c").isNotNull()
-            anew = here.select("path", "content", F.coalesce("type", "t").alias("type"), F.when(seen, F.col("e")).otherwise(F.col("excerpt")).alias("excerpt"), F.col("c").alias("claim_id"), F.coalesce("status", F.lit("candidate")).alias("status"))
-            return held.join(paths, "path", "left_anti").unionByName(anew)
+            claim = F.when(seen | F.col("changed").isNotNull(), F.col("c")).otherwise(F.col("claim_id")).alias("claim_id")
+            return all_.select("path", "content", F.coalesce("type", "t").alias("type"), F.when(seen, F.col("e")).otherwise(F.col("excerpt")).alias("excerpt"), claim, F.coalesce("status", F.lit("candidate")).alias("status"))
 
-        return self.memories.update(paths, both, number)
+        return self.memories.update(at, both, number)
 
     def reviewed(self, decisions: DataFrame) -> None:
         """Sets the status of memories by ``decisions`` (path, content, status)."""
@@ -101,23 +116,10 @@ class Knowledge:
         self.memories.update(d, lambda held: held.join(d, ["path", "content"], "left").withColumn("status", F.coalesce("s", "status")).drop("s"))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _sources(claims: DataFrame) -> DataFrame:
-    """path, content, claim_id: the claim that a memory is made of, the earliest with its text."""
-    c = claims.where(F.col("claim_type").isin(list(memory.MEMORY_TYPES))).withColumn("content", md.clean(F.col("object")))
-    return c.groupBy("path", "content").agg(F.min_by("claim_id", F.struct("offset", "claim_type", "predicate")).alias("claim_id"))
-
-
 def kept(spark, d) -> Knowledge:
     """The tables after all batches of changes to the vault (``segments.BATCHES``)."""
     k = Knowledge(spark, files.shared(spark))
-    rows = files.stored(segments.changes(spark, d))
+    rows = segments.changes(spark, d)
     for n in range(segments.LAST + 1):
         k.apply(rows.where(F.col("batch") == n), n)
     return k

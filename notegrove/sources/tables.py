@@ -40,19 +40,20 @@ class Buckets:
         paths = [f"{self.root}/{folder}/_b={b}" for b, folder in sorted(at.items()) if only is None or int(b) in only]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def update(self, keys: DataFrame, how: Callable[[DataFrame], DataFrame], number: int | None = None) -> list[int]:
-        """Replaces the buckets that ``keys`` touch by what ``how`` makes of their rows; the numbers of these buckets.
+    def update(self, keys: DataFrame | list[int], how: Callable[[DataFrame], DataFrame], number: int | None = None) -> list[int]:
+        """Replaces the buckets that ``keys`` touch (or that are listed) by what ``how`` makes of their rows; the numbers of these buckets.
 
         ``how`` may give rows of these buckets only. A batch whose ``number`` isn't above the last one applied changes nothing.
+        Large buckets are several tasks' to write, as a key may have any share of all rows.
         """
         m = self.manifest()
         if number is not None and number <= m["applied"]:
             return []
-        only = self.touched(keys)
+        only = keys if isinstance(keys, list) else self.touched(keys)
         if only:
             folder = uuid.uuid4().hex[:12]
             new = how(self.read(only)).withColumn("_b", self.bucket())
-            new.repartition("_b").write.partitionBy("_b").parquet(f"{self.root}/{folder}")
+            new.hint("rebalance", F.col("_b")).write.partitionBy("_b").parquet(f"{self.root}/{folder}")
             there = {s.getPath().getName() for s in self.pointer.fs.listStatus(self.pointer.path(folder))}
             for b in only:
                 m["at"].pop(str(b), None)

@@ -56,6 +56,15 @@ def test_links_heal_and_only_touched_buckets_are_written(spark, tmp_path):
     assert to() == {"Target": None, "other": "d.md"}
 
 
+def test_a_note_mentions_a_key_once(spark, tmp_path):
+    """Tag, link and title that differ by case are one row, and sentences are judged once for claims, relations and memories."""
+    k = maintained.Knowledge(spark, f"file://{tmp_path}/k", buckets=2)
+    k.apply(spark.createDataFrame([("b.md", "# Steel\n\nThis uses [[STEEL]]. #steel", 1), ("a.md", "See [[Steel]] and [[steel]].", 2)], SCHEMA))
+    assert sorted((r.path, r.key, r.name, r.k) for r in k.mentions.read().where("key = 'steel'").collect()) == [("a.md", "steel", "Steel", 1), ("b.md", "steel", "steel", 0)]
+    e = k.entities.read().where("key = 'steel'").first()
+    assert (e.canonical_name, e.type, e.first_seen, e.last_seen, e.source_count) == ("Steel", "CONCEPT", 1, 2, 2)
+
+
 def test_memories_keep_their_review(spark, tmp_path):
     k = maintained.Knowledge(spark, f"file://{tmp_path}/k", buckets=2)
     put = lambda text: k.apply(spark.createDataFrame([("a.md", text, 1)], SCHEMA))

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from notegrove.operators import graph, search
+from notegrove.operators import graph, search, segments
 from notegrove.operators import retrieval as rt
 from notegrove.plans import fixtures as fx
+from notegrove.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +46,20 @@ def test_vectors_are_made_in_their_rows(spark):
 def test_a_graph_takes_notes_apart_once(spark):
     n, e = graph._graph(spark, SF)
     assert "p_partkey" not in _plan(n) and "p_partkey" not in _plan(e)
+
+
+def test_batches_of_changes_take_notes_made_once(spark):
+    rows = segments.changes(spark, SF)
+    assert "p_partkey" not in _plan(rows) and _plan(rows).count("FileScan") > 1
+    assert _plan(rows.where("batch = 2")).count("FileScan") == 1
+
+
+def test_a_large_bucket_is_several_tasks(spark, tmp_path):
+    """All rows have one key, as a tag that every note has."""
+    t = tables.Buckets(spark, f"file://{tmp_path}/t", "k long, v string", "k", 4)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        t.update(spark.createDataFrame([(7,)], "k long"), lambda _: spark.range(0, 20000, 1, 4).select(F.lit(7).cast("long").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list(tmp_path.glob("t/*/_b=*/*.parquet"))) > 1 and t.read().distinct().count() == 20000
