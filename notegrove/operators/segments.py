@@ -13,15 +13,16 @@ from pyspark.sql import types as T
 
 from ..plans import fixtures as fx
 from ..sources import files
-from . import blocks, search
+from . import blocks as blks
+from . import search
 from . import retrieval as rt
 
 CHUNKS = "b int, segment long, path string, chunk_id string, ordinal int, heading_path string, text string, n_terms int, tf array<struct<term: string, tf: bigint>>"
-POSTINGS = "b int, segment long, term string, r long, n int, max_tf long, min_length int, rows array<struct<chunk_id: string, path: string, ordinal: int, heading_path: string, n_terms: int, tf: bigint>>"
+POSTINGS = "b int, segment long, term string, r long, n int, max_tf long, min_length int, rows array<struct<path: string, ordinal: int, heading_path: string, n_terms: int, tf: bigint>>"
 TERMS = "b int, term string, df long"
 GRAVES = "b int, segment long, path string"
-#: Chunks of a range at most, about, and ranges of lengths to a doubling.
-BLOCK, FINE = 4096, 8
+#: Chunks of a range at most, about, and ranges of lengths to a doubling; words whose postings a task makes, about.
+BLOCK, FINE, SHARE = 4096, 8, 1 << 20
 #: So many times its limit a search opens before it knows what to skip.
 FIRST = 2
 SCHEMAS = {"chunks": CHUNKS, "postings": POSTINGS, "terms": TERMS, "graves": GRAVES}
@@ -90,7 +91,7 @@ class Segments(search.Index):
     def _opened(self, blocks: DataFrame) -> DataFrame:
         """What lives of the rows of ``blocks``."""
         rows = blocks.select("segment", "term", F.explode("rows").alias("x")).select("segment", "term", "x.*")
-        return self._living(rows).select("term", *search.KEYS[1:], "n_terms", "tf")
+        return self._living(rows).withColumn("chunk_id", blks.chunk_id()).select("term", *search.KEYS[1:], "n_terms", "tf")
 
     def hits(self, terms: DataFrame) -> DataFrame:
         """A term's postings say all that is scored."""
@@ -117,7 +118,7 @@ class Segments(search.Index):
             """All hits of queries in the ranges chosen for them."""
             opened = blocks.join(chosen.select("segment", "r").distinct(), ["segment", "r"], "left_semi")
             rows = opened.select("segment", "r", "term", F.explode("rows").alias("x")).select("segment", "r", "term", "x.*")
-            rows = self._living(rows).join(wanted, "term").join(chosen.select("query_id", "segment", "r"), ["query_id", "segment", "r"], "left_semi").join(df, "term")
+            rows = self._living(rows).withColumn("chunk_id", blks.chunk_id()).join(wanted, "term").join(chosen.select("query_id", "segment", "r"), ["query_id", "segment", "r"], "left_semi").join(df, "term")
             score = F.round(F.sum(search.part(F.col("idf"), F.col("tf"), F.col("n_terms"), F.col("avg"))), 6)
             return rows.groupBy(*search.KEYS, "n_wanted").agg(F.count("*").alias("k"), score.alias("score")).where("k = n_wanted").select(*search.KEYS, "score")
 
@@ -137,15 +138,21 @@ class Segments(search.Index):
 
     # --- what changes
 
-    def _blocks(self, rows: DataFrame, chunks: int) -> DataFrame:
-        """``rows`` (segment, term, tf, chunk_id, ...) as blocks: of each term those of the chunks of one range. A range has chunks of like length, dealt by hash so that it holds ``BLOCK`` at most, about."""
+    def _blocks(self, made: DataFrame, chunks: int, words: int) -> DataFrame:
+        """The postings of chunks as blocks: of each term those of the chunks of one range. A range has chunks of like length, dealt by hash so that it holds ``BLOCK`` at most, about.
+
+        Chunks are dealt by range before their terms are listed: a task has whole ranges, and no posting is sent to be grouped.
+        """
         splits = max(1, -(-chunks // BLOCK))
         r = F.floor(F.log2(F.col("n_terms") + 1) * FINE) * splits + F.pmod(F.xxhash64("chunk_id"), F.lit(splits))
-        row = F.struct("chunk_id", "path", "ordinal", "heading_path", "n_terms", "tf")
-        return rows.withColumn("r", r).groupBy("segment", "term", "r").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("n_terms").alias("min_length"), F.collect_list(row).alias("rows"))
+        dealt = made.select("segment", "path", "ordinal", "heading_path", "n_terms", "tf", r.alias("r")).repartition(max(1, -(-words // SHARE)), "r")
+        rows = dealt.select("*", F.explode_outer("tf").alias("x")).where("x is not null").select("segment", "r", "path", "ordinal", "heading_path", "n_terms", "x.term", "x.tf")
+        row = F.struct("path", "ordinal", "heading_path", "n_terms", "tf")
+        return rows.groupBy("segment", "term", "r").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("n_terms").alias("min_length"), F.collect_list(row).alias("rows"))
 
     def _write(self, folder: str, kind: str, df: DataFrame, by: str) -> None:
-        dealt = df.withColumn("b", self._bucket(by)).repartition("b").sortWithinPartitions("b", by)
+        """Writes rows by bucket; a large bucket is several tasks', as one term may be in any share of all chunks."""
+        dealt = df.withColumn("b", self._bucket(by)).hint("rebalance", F.col("b")).sortWithinPartitions("b", by)
         dealt.select(*T.StructType.fromDDL(SCHEMAS[kind]).names).write.partitionBy("b").parquet(f"{self.root}/{kind}/s={folder}")
 
     def apply(self, changes: DataFrame, number: int | None = None) -> None:
@@ -160,10 +167,9 @@ class Segments(search.Index):
         segment, folder = m["next"], f"segment-{m['next']}-{uuid.uuid4().hex[:8]}"
         last = changes.groupBy("path").agg(F.max(F.struct("version", F.col("content").isNotNull().alias("there"), "content")).alias("x"))
         last = files.stored(last.select("path", F.col("x.content").alias("content")))
-        made = blocks.chunk_rows(last.where("content is not null")).select("path", "chunk_id", "ordinal", "heading_path", "text")
+        made = blks.chunk_rows(last.where("content is not null")).select("path", "chunk_id", "ordinal", "heading_path", "text")
         made = made.withColumn("terms", search._terms(F.col("text"), self.analyzer)).withColumn("n_terms", F.size("terms"))
-        counts = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda u: u == t)).cast("long").alias("tf")))
-        self._write(folder, "chunks", made.withColumn("tf", counts).withColumn("segment", F.lit(segment).cast("long")), "path")
+        self._write(folder, "chunks", made.withColumn("tf", rt.tallied(F.col("terms"))).withColumn("segment", F.lit(segment).cast("long")), "path")
         new = self.spark.read.schema(CHUNKS).parquet(f"{self.root}/chunks/s={folder}")
         if m["segments"]:
             touched = self._buckets_of(last, "path")
@@ -172,11 +178,10 @@ class Segments(search.Index):
         else:
             old = self.spark.createDataFrame([], "segment long, path string, n_terms int, terms array<string>")
         self._write(folder, "graves", old.select("segment", "path").distinct(), "path")
-        total = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("w")).first()
-        plus, minus = total(new), total(old)
-        rows = new.select("segment", "chunk_id", "path", "ordinal", "heading_path", "n_terms", F.explode("tf").alias("x")).select("*", "x.term", "x.tf").drop("x")
-        self._write(folder, "postings", self._blocks(rows, plus.n), "term")
-        change = new.select(F.explode("tf.term").alias("term"), F.lit(1).alias("d")).unionByName(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("d")))
+        plus, minus = _total(new), _total(old)
+        self._write(folder, "postings", self._blocks(new, plus.n, plus.w), "term")
+        listed = self.spark.read.schema(POSTINGS).parquet(f"{self.root}/postings/s={folder}")
+        change = listed.select("term", F.col("n").alias("d")).unionByName(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("d")))
         self._write(folder, "terms", change.groupBy("term").agg(F.sum("d").alias("df")).where("df <> 0"), "term")
         m["segments"].append({"id": segment, "folder": folder, "level": 0, "chunks": plus.n - minus.n, "words": plus.w - minus.w})
         self._commit(m | {"next": segment + 1, "applied": m["applied"] if number is None else number})
@@ -200,9 +205,9 @@ class Segments(search.Index):
             segment, folder = m["next"], f"segment-{m['next']}-{uuid.uuid4().hex[:8]}"
             here = F.lit(segment).cast("long")
             self._write(folder, "chunks", self._living(self._read("chunks", ids)).withColumn("segment", here), "path")
-            chunks = self.spark.read.schema(CHUNKS).parquet(f"{self.root}/chunks/s={folder}").count()
-            rows = self._living(self._read("postings", ids).select("segment", "term", F.explode("rows").alias("x")).select("segment", "term", "x.*"))
-            self._write(folder, "postings", self._blocks(rows.withColumn("segment", here), chunks), "term")
+            made = self.spark.read.schema(CHUNKS).parquet(f"{self.root}/chunks/s={folder}")
+            held = _total(made)
+            self._write(folder, "postings", self._blocks(made, held.n, held.w), "term")
             # what these segments hid in one another is gone now; what they hide in others stays hidden
             self._write(folder, "graves", self._read("graves", ids).where(~F.col("segment").isin(ids)).select("segment", "path"), "path")
             self._write(folder, "terms", self._read("terms", ids).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), "term")
@@ -211,6 +216,11 @@ class Segments(search.Index):
             done += 1
 
 
+def _total(made: DataFrame):
+    """n, w: how many chunks there are, and how many words they have."""
+    return made.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("w")).first()
+
+
 #: Five batches of changes to the vault, one after the other: all notes, then edits, notes that become empty, deletions, and deleted notes that come back. Both engines read it.
 BATCHES = f"""
 SELECT path, content, 0 AS batch, mtime AS version FROM vault

@@ -63,3 +63,14 @@ def test_a_large_bucket_is_several_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert len(list(tmp_path.glob("t/*/_b=*/*.parquet"))) > 1 and t.read().distinct().count() == 20000
+
+
+def test_postings_are_grouped_where_their_range_is(spark, tmp_path):
+    """Chunks are sent once, by range; their postings aren't. The ids of chunks, which no compression shortens, are made when postings are opened."""
+    ix = segments.Segments(spark, f"file://{tmp_path}/i", buckets=2)
+    ix.apply(spark.createDataFrame([("a", "copper steel copper", 1), ("b", "copper", 1)], "path string, content string, version long"))
+    assert _plan(ix._blocks(ix._read("chunks"), 2, 4)).count("Exchange") == 1
+    assert "chunk_id" not in ix._read("postings").schema.simpleString()
+    ids = {r.path: r.chunk_id for r in ix._read("chunks").collect()}
+    hits = ix.hits(spark.createDataFrame([("copper",), ("steel",)], "term string")).collect()
+    assert sorted((r.path, r.term, r.tf, r.chunk_id == ids[r.path]) for r in hits) == [("a", "copper", 2, True), ("a", "steel", 1, True), ("b", "copper", 1, True)]
