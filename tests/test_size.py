@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from notegrove.operators import graph, search, segments
+from notegrove.functions import markdown as md
+from notegrove.operators import graph, knowledge, search, segments
 from notegrove.operators import retrieval as rt
 from notegrove.plans import fixtures as fx
 from notegrove.sources import tables
@@ -74,3 +75,16 @@ def test_postings_are_grouped_where_their_range_is(spark, tmp_path):
     ids = {r.path: r.chunk_id for r in ix._read("chunks").collect()}
     hits = ix.hits(spark.createDataFrame([("copper",), ("steel",)], "term string")).collect()
     assert sorted((r.path, r.term, r.tf, r.chunk_id == ids[r.path]) for r in hits) == [("a", "copper", 2, True), ("a", "steel", 1, True), ("b", "copper", 1, True)]
+
+
+def test_boosts_are_those_of_candidates(spark, monkeypatch):
+    """A name that all queries hold and all notes bear makes no product: only notes that a query finds get a boost of it."""
+    notes = spark.createDataFrame([(f"N{i}.md", f"seal{i} [[ax]]") for i in range(20)], "path string, content string").withColumn("mtime", F.lit(0))
+    queries = spark.createDataFrame([(i, f"seal{i} ax") for i in range(20)], "query_id int, query string")
+    names = knowledge.mentions(md.parsed(notes))
+    every, made = rt.entity_boosts(queries, names), []
+    monkeypatch.setattr(rt, "entity_boosts", lambda *a, real=rt.entity_boosts: made.append(real(*a)) or made[-1])
+    hits = search.hybrid(search.Index.build(notes, "words"), queries, names).collect()
+    assert [(r.query_id, r.path) for r in sorted(hits)] == [(i, f"N{i}.md") for i in range(20)]
+    assert every.count() == 400 and made[0].count() == 20 and made[0].exceptAll(every).isEmpty()
+    assert {r.entity for r in hits} == {r.boost for r in made[0].collect()}
