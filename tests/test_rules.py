@@ -184,3 +184,22 @@ def test_stems():
     pairs = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor hopping hop falling fall filing file happy happi sky sky relational relat conditional condit triplicate triplic hopeful hope revival reviv adoption adopt probate probat rate rate controll control café cafe databases databas"
     words = pairs.split()
     assert [stem(w) for w in words[::2]] == words[1::2]
+
+
+def test_claims_about_an_entity_are_found_among_all(spark):
+    """However many newer claims there are; four of them for a question, the last by path, offset and predicate."""
+    n = notes(spark, ("A.md", "The seal of [[Old Works]] failed."), *[(f"Z{i:03}.md", "The box is blue.") for i in range(420)])
+    q = spark.createDataFrame([(0, "old works"), (1, "about Old Works or z001"), (2, "nothing")], "query_id int, query string")
+    c = ask.Context(n, q, search.Index.build(n, "words"))
+    assert sorted((r.query_id, r.path, r.k) for r in c.claims.collect()) == [(0, "A.md", 1), (1, "A.md", 2), (1, "Z001.md", 1)]
+    assert {r.query_id: r.claims for r in c.counts().collect()} == {0: 1, 1: 2, 2: 0}
+    rows = [(f"{i % 7}.md", i % 5, f"s{i % 11}", f"p{i % 3}", f"o{i % 13} x") for i in range(600)]
+    claims = spark.createDataFrame(sorted(set(rows)), "path string, offset long, subject string, predicate string, object string")
+    named = spark.createDataFrame([(i, k) for i in range(40) for k in ("s1", f"o{i % 13}", "x s", "p0 o1")], "query_id int, key string")
+    keys = {(r.query_id, r.key) for r in named.collect()}
+    last = lambda i: sorted({x[:2] + (x[3],) for x in rows if any(k in f"{x[2]} {x[3]} {x[4]}" for j, k in keys if j == i)}, reverse=True)[:4]
+    got = ask.about_claims(claims, named).collect()
+    for i in range(40):
+        mine = sorted((r for r in got if r.query_id == i), key=lambda r: r.k)
+        assert [r.k for r in mine] == [1, 2, 3, 4] and [(r.path, r.predicate) for r in mine][0] == (last(i)[0][0], last(i)[0][2])
+        assert {(r.path, r.predicate) for r in mine} <= {(x[0], x[2]) for x in last(i)}
