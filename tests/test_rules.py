@@ -203,3 +203,34 @@ def test_claims_about_an_entity_are_found_among_all(spark):
         mine = sorted((r for r in got if r.query_id == i), key=lambda r: r.k)
         assert [r.k for r in mine] == [1, 2, 3, 4] and [(r.path, r.predicate) for r in mine][0] == (last(i)[0][0], last(i)[0][2])
         assert {(r.path, r.predicate) for r in mine} <= {(x[0], x[2]) for x in last(i)}
+
+
+def test_clusters_follow_links_by_file_names(spark, monkeypatch):
+    """A link that no path or title bears leads to the first note of that file name; one that a title bears stays with it."""
+    import duckdb
+
+    from notegrove.operators import graph
+    from notegrove.plans import fixtures as fx
+
+    n = notes(
+        spark,
+        ("Parts/P1.md", "# Part 1\n\nSee [[p2]], [[Q3.md]] and [[Lone]]."),
+        ("Parts/P2.md", "# Part 2"),
+        ("Parts/Q3.md", "# Part 3"),
+        ("Old/P2.md", "# Another"),
+        ("More/Z.md", "# M\n\n[[Old/P2.md]] [[nowhere]]"),
+        ("More/Lone.md", "# L\n\nalone"),
+        ("Zed/Y.md", "# Lone"),
+    )
+    monkeypatch.setattr(fx, "vault", lambda *_: n)
+    got = {r.id: r.component for r in graph.graph_components(spark, "").collect()}
+    one = "note:More/Z.md"
+    assert got == {f"note:{p}": one for p in ("Parts/P1.md", "Parts/Q3.md", "Old/P2.md", "More/Z.md", "Zed/Y.md", "nowhere")} | {f"note:{p}": f"note:{p}" for p in ("Parts/P2.md", "More/Lone.md")}
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE odd (path VARCHAR, content VARCHAR, mtime BIGINT)")
+    duck.executemany("INSERT INTO odd VALUES (?, ?, ?)", [(r.path, r.content, r.mtime) for r in n.collect()])
+    for name, query in (("graph_components", graph.graph_components), ("clusters", graph.q_clusters), ("graph_edges", graph.graph_edges), ("graph_layout", graph.graph_layout)):
+        df = query(spark, "")
+        assert fx.VAULT in graph.ORACLE[name]
+        found = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({graph.ORACLE[name].replace(fx.VAULT, 'SELECT * FROM odd')})").fetchall()
+        assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, found)), name
